@@ -946,14 +946,14 @@ def set_equality(spark, sf):
 @query(
     "U01_T05_union_and_queue_head",
     """SELECT kind, id, pending, attempts FROM (SELECT 'order' AS kind, o_orderkey AS id, o_orderpriority AS pending, NULL AS attempts
-    FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'event', event_id, NULL, cast(value AS bigint) FROM events
+    FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'event', event_id, NULL, cast(floor(value) AS bigint) FROM events
     WHERE event_type = 'error') ORDER BY kind, id DESC LIMIT 30""",
 )
 def union_queue(spark, sf):
     orders = table(spark, sf, "orders").filter("o_orderstatus = 'P'")
     one = orders.select(F.lit("order").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("pending"))
     log = table(spark, sf, "events").filter("event_type = 'error'")
-    two = log.select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.col("value").cast("long").alias("attempts"))
+    two = log.select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.floor("value").alias("attempts"))
     return one.unionByName(two, allowMissingColumns=True).orderBy("kind", F.desc("id")).limit(30)
 
 

@@ -36,16 +36,16 @@ def single(
     group: str | None = None,
     scenario: str | None = None,
     also_complete: tuple[str, ...] = (),
-    **labels: str,
+    labels: dict[str, str] | None = None,
 ) -> ModelSpec:
-    """One-exposure model."""
+    """One-exposure model (M01); ``labels`` travel to the result table."""
     return ModelSpec(
         model_id, (exposure_term(exposure), *adjust), "pollution10", group, scenario, also_complete,
-        labels=tuple(labels.items()),
+        labels=tuple((labels or {}).items()),
     )
 
 
-def interaction(model_id: str, exposure: str, modifier: str, adjust, group=None, scenario=None, **labels) -> ModelSpec:
+def interaction(model_id: str, exposure: str, modifier: str, adjust, group=None, scenario=None) -> ModelSpec:
     """Exposure x modifier product without a main effect, which is constant in a stratum.
 
     A null modifier drops the stratum.
@@ -55,19 +55,19 @@ def interaction(model_id: str, exposure: str, modifier: str, adjust, group=None,
         *adjust,
         Term("pollution10:modifier", (exposure, modifier), 1.0 / INCREMENT),
     )
-    return ModelSpec(model_id, terms, "pollution10:modifier", group, scenario, labels=tuple(labels.items()))
+    return ModelSpec(model_id, terms, "pollution10:modifier", group, scenario)
 
 
-def two_pollutant(model_id: str, first: str, second: str, adjust, group=None, **labels) -> ModelSpec:
+def two_pollutant(model_id: str, first: str, second: str, adjust, group=None) -> ModelSpec:
     """Two exposures together."""
     terms = (exposure_term(first, "poll_first"), exposure_term(second, "poll_second"), *adjust)
-    return ModelSpec(model_id, terms, "poll_first", group, gate="events", labels=tuple(labels.items()))
+    return ModelSpec(model_id, terms, "poll_first", group, gate="events")
 
 
-def custom(model_id: str, names: list[str], adjust, group=None, **labels) -> ModelSpec:
+def custom(model_id: str, names: list[str], adjust, group=None) -> ModelSpec:
     """Base for curve and lag models: several exposure columns, event-count gate."""
     terms = (*[Term(n, (n,)) for n in names], *adjust)
-    return ModelSpec(model_id, terms, names[0], group, gate="events", labels=tuple(labels.items()))
+    return ModelSpec(model_id, terms, names[0], group, gate="events")
 
 
 def scenario_grid(
@@ -89,11 +89,13 @@ def scenario_grid(
                 group,
                 which,
                 extra,
-                outcome_id=group,
-                pollutant=pol,
-                window=window,
-                weather_config=config,
-                scenario=scenario,
+                {
+                    "outcome_id": group,
+                    "pollutant": pol,
+                    "window": window,
+                    "weather_config": config,
+                    "scenario": scenario,
+                },
             )
         )
 

@@ -68,16 +68,23 @@ def rolling_mean(series: DataFrame, value: str, days: int = 4, out: str = "rh_ma
     return series.withColumn(out, F.when(full, F.avg(value).over(w)))
 
 
-def basis_parameters(series: DataFrame, config: BasisConfig) -> dict:
-    """Knots and bounds of temperature and humidity, pooled over the lattice."""
-    probs = {f"k{i}": i / config.var_df for i in range(1, config.var_df)}
+def basis_parameters(series: DataFrame, configs: dict[str, BasisConfig]) -> dict[str, dict]:
+    """Knots and bounds per configuration, pooled over the lattice.
+
+    All quantiles of a variable come from one pass.
+    """
+    dfs = sorted({c.var_df for c in configs.values()})
+    probs = {f"k{n}_{i}": i / n for n in dfs for i in range(1, n)}
     temp = exact_quantiles(series, [], "temp", {"lo": 0.0, **probs, "hi": 1.0}).first()
     rh = exact_quantiles(series, [], "rh_ma03", {"lo": 0.0, "k1": 1 / 3, "k2": 2 / 3, "hi": 1.0}).first()
     return {
-        "temp_knots": [temp[k] for k in probs],
-        "temp_bounds": [temp["lo"], temp["hi"]],
-        "rh_knots": [rh["k1"], rh["k2"]],
-        "rh_bounds": [rh["lo"], rh["hi"]],
+        name: {
+            "temp_knots": [temp[f"k{c.var_df}_{i}"] for i in range(1, c.var_df)],
+            "temp_bounds": [temp["lo"], temp["hi"]],
+            "rh_knots": [rh["k1"], rh["k2"]],
+            "rh_bounds": [rh["lo"], rh["hi"]],
+        }
+        for name, c in configs.items()
     }
 
 
