@@ -8,6 +8,9 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
+
+from matchstrata.core import let
 
 # Districts of the study city and their area codes, in matching order.
 DISTRICTS = {
@@ -37,13 +40,13 @@ COARSE_NUMBER = r"^(.*?\d+(?:号|栋|幢|座))"
 COARSE_PLACE = r"^(.*?(?:社区|小区|花园|大厦|村)(?!委))"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode compatibility form; Spark has no built-in for it."""
     return s.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block similarity 2M/T of two texts; argument order matters."""
     return pd.Series(
@@ -59,14 +62,12 @@ def normalise(c: Column, compatibility: bool = True) -> Column:
     """Compatibility form, no spaces or clause marks, doubled admin names collapsed (F16)."""
     s = nfkc(c) if compatibility else c
     s = F.regexp_replace(s, r"(?U)[\s，,；;。]+", "")
-    for name in [PROVINCE, CITY, *DISTRICTS]:
-        s = F.replace(s, F.lit(name + name), F.lit(name))
-    return s
+    return F.regexp_replace(s, rf"({ADMIN_NAMES})\1", "$1")
 
 
 def district(c: Column) -> Column:
     """First district of the list found in the text, else '' (F17)."""
-    return F.coalesce(*[F.when(c.contains(d), F.lit(d)) for d in DISTRICTS], F.lit(""))
+    return let(c, lambda t: F.coalesce(*[F.when(t.contains(d), F.lit(d)) for d in DISTRICTS], F.lit("")))
 
 
 def without_admin(c: Column) -> Column:
@@ -97,13 +98,23 @@ def coarse_prefix(c: Column) -> Column:
     return F.coalesce(F.nullif(numbered, F.lit("")), placed)
 
 
-def signatures(c: Column, normalised: bool = False) -> Column:
-    """struct(roads, houses, buildings)."""
-    s = c if normalised else normalise(c)
+def profile(c: Column) -> Column:
+    """Everything the scores read from one normalised address or candidate text.
+
+    Computed once per address and once per candidate, before the two meet.
+    """
+    return let(c, _profile)
+
+
+def _profile(c: Column) -> Column:
     return F.struct(
-        roads(s).alias("roads"),
-        F.regexp_extract_all(s, F.lit(HOUSE_NUMBER), F.lit(1)).alias("houses"),
-        F.regexp_extract_all(s, F.lit(BUILDING_NUMBER), F.lit(1)).alias("buildings"),
+        c.alias("text"),
+        district(c).alias("district"),
+        without_admin(c).alias("plain"),
+        roads(c).alias("roads"),
+        door_numbers(c).alias("numbers"),
+        F.regexp_extract_all(c, F.lit(HOUSE_NUMBER), F.lit(1)).alias("houses"),
+        F.regexp_extract_all(c, F.lit(BUILDING_NUMBER), F.lit(1)).alias("buildings"),
     )
 
 
@@ -130,50 +141,55 @@ def _first(c: Column) -> Column:
     return F.get(c, F.lit(0))
 
 
-def strict_score(address: Column, formatted: Column, adcode: Column) -> Column:
-    """struct(score, reason); any conflict gives -1 (F23). ``formatted`` is normalised."""
-    d, r, n = district(address), roads(address), door_numbers(address)
-    tn = door_numbers(formatted)
-    road_found = F.exists(r, lambda x: formatted.contains(x))
-    strong = (F.size(r) > 0) & (F.size(n) > 0) & F.coalesce(F.array_contains(tn, _first(n)), F.lit(False))
-    similar = sequence_ratio(without_admin(address), without_admin(formatted))
+def _number_conflict(a: Column, t: Column) -> Column:
+    n, tn = a["numbers"], t["numbers"]
+    return (F.size(n) > 0) & (F.size(tn) > 0) & (_first(n) != _first(tn))
+
+
+def _number_found(a: Column, t: Column) -> Column:
+    return (F.size(a["numbers"]) > 0) & F.coalesce(F.array_contains(t["numbers"], _first(a["numbers"])), F.lit(False))
+
+
+def _road_found(a: Column, t: Column) -> Column:
+    return F.exists(a["roads"], lambda x: t["text"].contains(x))
+
+
+def strict_score(a: Column, t: Column, adcode: Column) -> Column:
+    """struct(score, reason) of two profiles; any conflict gives -1."""
+    has_road = F.size(a["roads"]) > 0
+    strong = has_road & _number_found(a, t)
     reason = (
-        F.when((d != "") & ~formatted.contains(d), "district_conflict")
+        F.when((a["district"] != "") & ~t["text"].contains(a["district"]), "district_conflict")
         .when(~F.coalesce(adcode, F.lit("")).startswith(CITY_CODE), "outside_area")
-        .when((F.size(r) > 0) & ~road_found, "road_conflict_or_missing")
-        .when((F.size(n) > 0) & (F.size(tn) > 0) & (_first(n) != _first(tn)), "house_number_conflict")
+        .when(has_road & ~_road_found(a, t), "road_conflict_or_missing")
+        .when(_number_conflict(a, t), "house_number_conflict")
         .when(strong, "road_and_number_agree")
         .otherwise("text_and_district")
     )
-    bad = reason.isin("district_conflict", "outside_area", "road_conflict_or_missing", "house_number_conflict")
-    value = F.least(F.lit(1.0), similar + F.when(strong, 0.18).otherwise(0.0))
-    return F.struct(F.when(bad, -1.0).otherwise(value).alias("score"), reason.alias("reason"))
+    value = F.least(F.lit(1.0), sequence_ratio(a["plain"], t["plain"]) + F.when(strong, 0.18).otherwise(0.0))
+    fits = reason.isin("road_and_number_agree", "text_and_district")
+    return F.struct(F.when(fits, value).otherwise(-1.0).alias("score"), reason.alias("reason"))
 
 
-def loose_score(address: Column, text: Column, accepted: Column) -> Column:
+def loose_score(a: Column, t: Column, accepted: Column) -> Column:
     """Similarity with rewards and penalties, null on a district conflict."""
-    d, td = district(address), district(text)
-    a, b = normalise(address), normalise(text)
-    r, n, tr, tn = roads(a), door_numbers(a), roads(b), door_numbers(b)
-    road_found = F.exists(r, lambda x: b.contains(x))
-
-    def strip(c):
-        return F.regexp_replace(c, f"{PROVINCE}|{CITY}", "")
+    d, td, has_road = a["district"], t["district"], F.size(a["roads"]) > 0
+    found = _road_found(a, t)
+    city_names = f"{PROVINCE}|{CITY}"
 
-    def yes(cond, w):
-        return F.when(cond, F.lit(w)).otherwise(F.lit(0.0))
+    def part(cond, weight):
+        return F.when(cond, F.lit(weight)).otherwise(F.lit(0.0))
 
-    number_in = F.coalesce(F.array_contains(tn, _first(n)), F.lit(False))
     value = (
-        sequence_ratio(strip(a), strip(b))
-        + yes((d != "") & b.contains(d), 0.2)
-        + yes((F.size(r) > 0) & road_found, 0.2)
-        + yes((F.size(n) > 0) & number_in, 0.2)
-        - yes((F.size(n) > 0) & (F.size(tn) > 0) & (_first(n) != _first(tn)), 0.4)
-        - yes((F.size(r) > 0) & (F.size(tr) > 0) & ~road_found, 0.25)
-        + yes(accepted, 2.0)
+        sequence_ratio(F.regexp_replace(a["text"], city_names, ""), F.regexp_replace(t["text"], city_names, ""))
+        + part((d != "") & t["text"].contains(d), 0.2)
+        + part(has_road & found, 0.2)
+        + part(_number_found(a, t), 0.2)
+        + part(_number_conflict(a, t), -0.4)
+        + part(has_road & (F.size(t["roads"]) > 0) & ~found, -0.25)
+        + part(accepted, 2.0)
     )
-    return F.when(~((d != "") & (td != "") & (td != d)), F.bround(value, 4))
+    return F.when((d == "") | (td == "") | (td == d), F.bround(value, 4))
 
 
 EVIDENCE_FLAGS = [
@@ -183,17 +199,13 @@ EVIDENCE_FLAGS = [
 ] + ["road_agree", "house_number_agree", "building_number_agree"]
 
 
-def evidence(address: Column, text: Column, adcode: Column) -> Column:
-    """struct of 11 agree / conflict / missing flags; ``text`` is normalised."""
+def evidence(a: Column, t: Column, adcode: Column) -> Column:
+    """struct of 11 agree / conflict / missing flags of two profiles."""
     by_code = F.coalesce(*[F.when(adcode == v, F.lit(k)) for k, v in DISTRICTS.items()], F.lit(""))
-    d, named = district(address), district(text)
-    td = F.when(named != "", named).otherwise(by_code)
-    s, t = signatures(address), signatures(text, normalised=True)
-    r, h, b = s["roads"], s["houses"], s["buildings"]
-    tr, th, tb = t["roads"], t["houses"], t["buildings"]
+    d, td = a["district"], F.when(t["district"] != "", t["district"]).otherwise(by_code)
+    r, tr = a["roads"], t["roads"]
     agree = F.exists(
-        r,
-        lambda x: text.contains(x) | F.exists(tr, lambda y: x.endswith(y) | y.endswith(x)),
+        r, lambda x: t["text"].contains(x) | F.exists(tr, lambda y: x.endswith(y) | y.endswith(x))
     )
     out = {
         "district_conflict": (d != "") & (td != "") & (d != td),
@@ -202,7 +214,8 @@ def evidence(address: Column, text: Column, adcode: Column) -> Column:
         "road_evidence_missing": (F.size(r) > 0) & (F.size(tr) == 0),
         "road_agree": agree,
     }
-    for name, x, y in (("house_number", h, th), ("building_number", b, tb)):
+    for name, part in (("house_number", "houses"), ("building_number", "buildings")):
+        x, y = a[part], t[part]
         both = (F.size(x) > 0) & (F.size(y) > 0)
         same = F.coalesce(_first(x) == _first(y), F.lit(False))
         out[f"{name}_conflict"] = both & ~same
