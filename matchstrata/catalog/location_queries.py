@@ -29,7 +29,8 @@ def address_sql(q, customer="customer"):
     doubled = f"CASE WHEN {c} % 4 = 1 THEN '广州市广州市' ELSE '广州市' END"
     return f"""SELECT {c} AS location_id,
       '广东省 ' || {doubled} || {d} || {_pick(c, _TOWNS)} || {place} || {q.num(f"{c} % 50 + 1")} || '号' || {tail} AS address,
-      112.9e0 + ({c} % 40) / 1e2 AS longitude, 22.9e0 + ({c} % 30) / 1e2 AS latitude FROM {customer}"""
+      112.9e0 + ({c} % 40) / 1e2 AS longitude, 22.9e0 + ({c} % 30) / 1e2 AS latitude,
+      c_mktsegment AS segment FROM {customer}"""
 
 
 def candidate_sql(q, orders="orders", customer="customer"):
@@ -293,7 +294,7 @@ def provider_selection(spark, sf):
 
 @query("W11_J26_best_of_pool")
 def pool_best(spark, sf):
-    rows = addresses(spark, sf).withColumn("longitude", F.when(F.col("location_id") % 4 != 0, F.col("longitude")))
+    rows = addresses(spark, sf).withColumn("longitude", F.when(F.col("segment") != "MACHINERY", F.col("longitude")))
     pool = candidates(spark, sf).select(
         "location_id", "text", "adcode", "level", "lon", "lat", F.lit("amap").alias("provider"),
         (F.col("pos") % 17 == 0).alias("accepted"),
@@ -323,16 +324,18 @@ _PLACES = f"""toks AS (SELECT *, {_district('norm')} AS d FROM addr),
  rests AS (SELECT *, CASE WHEN d <> '' THEN substr(norm, instr(norm, d) + length(d)) ELSE replace(replace(norm, '广东省', ''), '广州市', '') END AS rest FROM toks),
  towns AS (SELECT *, regexp_extract(rest, '^([{_HAN}]{{2,12}}?(?:街道|镇))', 1) AS t FROM rests),
  vills AS (SELECT *, regexp_extract(substr(rest, length(t) + 1), '^([{_HAN}]{{2,16}}?(?:社区|村|小区|花园))', 1) AS v FROM towns),
- keyed AS (SELECT location_id, longitude, latitude, unnest(['village','town','district','city']) AS level,
+ keyed AS (SELECT location_id, segment, longitude, latitude, unnest(['village','town','district','city']) AS level,
    unnest([CASE WHEN d <> '' AND t <> '' AND v <> '' THEN d || '|' || t || '|' || v END,
            CASE WHEN d <> '' AND t <> '' THEN d || '|' || t END, nullif(d, ''), '广州市']) AS place FROM vills),
  refs AS (SELECT level, place, count(*) AS support, quantile_cont(longitude, 0.5) AS x, quantile_cont(latitude, 0.5) AS y
-   FROM keyed WHERE place IS NOT NULL AND location_id % 4 <> 0 GROUP BY 1, 2 HAVING count(*) >= 3)"""
+   FROM keyed WHERE place IS NOT NULL AND segment <> 'MACHINERY' GROUP BY 1, 2 HAVING count(*) >= 3)"""
 
 
 def located(spark, sf):
     rows = addresses(spark, sf).withColumn("address", ad.normalise(F.col("address")))
-    return rows.filter(F.col("location_id") % 4 != 0), rows.filter(F.col("location_id") % 4 == 0)
+    # One market segment stands for the locations that have no coordinates yet.
+    missing = F.col("segment") == "MACHINERY"
+    return rows.filter(~missing), rows.filter(missing)
 
 
 @query(
@@ -350,7 +353,7 @@ def reference_points(spark, sf):
     "J18_hierarchical_fallback",
     f"""WITH {_ADDR}, {_PLACES}, j AS (SELECT k.location_id, r.*, row_number() OVER (PARTITION BY k.location_id ORDER BY
       CASE r.level WHEN 'village' THEN 1 WHEN 'town' THEN 2 WHEN 'district' THEN 3 ELSE 4 END) AS rn
-      FROM keyed k JOIN refs r ON r.level = k.level AND r.place = k.place WHERE k.location_id % 4 = 0)
+      FROM keyed k JOIN refs r ON r.level = k.level AND r.place = k.place WHERE k.segment = 'MACHINERY')
     SELECT location_id, level, support, round(x, 6) AS ref_longitude, round(y, 6) AS ref_latitude FROM j WHERE rn = 1""",
 )
 def fallback(spark, sf):
@@ -361,16 +364,16 @@ def fallback(spark, sf):
     )
 
 
-_ANCHOR = f"""anc AS (SELECT p.location_id, longitude, latitude, ad AS d, ar[1] AS road, an[1] AS number,
+_ANCHOR = f"""anc AS (SELECT p.location_id, segment, longitude, latitude, ad AS d, ar[1] AS road, an[1] AS number,
  regexp_extract(regexp_replace(norm, '{_ADMIN}', '', 'g'), '([{_HAN}]{{2,10}}(?:街道|镇))', 1) AS town FROM prof p)"""
 
 
 @query(
     "J15_house_anchor_reuse",
     f"""WITH {_ADDR}, {_PROFILED}, {_ANCHOR}, g AS (SELECT d, town, road, number, arg_min(longitude, location_id) AS lon,
-      arg_min(latitude, location_id) AS lat, count(*) AS members FROM anc WHERE location_id % 4 <> 0 AND road IS NOT NULL AND number IS NOT NULL
+      arg_min(latitude, location_id) AS lat, count(*) AS members FROM anc WHERE segment <> 'MACHINERY' AND road IS NOT NULL AND number IS NOT NULL
       GROUP BY 1, 2, 3, 4 HAVING max(longitude) - min(longitude) < 0.3e0 AND max(latitude) - min(latitude) < 0.3e0)
-    SELECT a.location_id AS query_id, round(lon, 6) AS lon, round(lat, 6) AS lat, members FROM anc a JOIN g USING (d, town, road, number) WHERE a.location_id % 4 = 0""",
+    SELECT a.location_id AS query_id, round(lon, 6) AS lon, round(lat, 6) AS lat, members FROM anc a JOIN g USING (d, town, road, number) WHERE a.segment = 'MACHINERY'""",
 )
 def house_reuse(spark, sf):
     have, missing = located(spark, sf)
@@ -444,8 +447,9 @@ def audited(spark, sf):
     cached = candidates(spark, sf).withColumn("provider", F.lit("amap")).join(
         rows.select("location_id", F.col("request").alias("address")), "location_id"
     )
-    by_address = cached.filter("pos % 2 = 0").drop("location_id")
-    by_location = cached.filter("pos % 2 = 1").drop("address")
+    direct = F.col("level").isin("门牌号", "道路")
+    by_address = cached.filter(direct).drop("location_id")
+    by_location = cached.filter(~direct).drop("address")
     pool = loc.candidate_pool(rows.select("location_id", "request"), by_address, by_location)
     return loc.audit_locations(rows.drop("request"), pool)
 

@@ -1 +1,148 @@
+"""Queries over ingest steps."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from matchstrata.catalog.base import query, table
+from matchstrata.operators import validate, weather
+from matchstrata.sources import readers
+
+
+@query(
+    "S01_S02_alias_union",
+    """SELECT source_year, source_row, sex, review_status, card_no FROM (
+    SELECT 1995 AS source_year, o_orderkey AS source_row, o_orderstatus AS sex, NULL AS review_status, o_orderpriority AS card_no
+      FROM orders WHERE year(o_orderdate) = 1995
+    UNION ALL SELECT 1996, o_orderkey, o_orderstatus, o_orderpriority, NULL FROM orders WHERE year(o_orderdate) = 1996)""",
+)
+def alias_union(spark, sf):
+    """Two yearly sources with different headers; a present but null first alias still wins."""
+    orders = table(spark, sf, "orders")
+    first = orders.filter("year(o_orderdate) = 1995").select(
+        F.lit(1995).alias("source_year"),
+        F.col("o_orderkey").alias("source_row"),
+        F.col("o_orderstatus").alias("性别"),
+        F.lit(None).cast("string").alias("审核状态"),
+        F.lit("unused").alias("卡片状态"),
+        F.col("o_orderpriority").alias("报告卡编号"),
+    )
+    second = orders.filter("year(o_orderdate) = 1996").select(
+        F.lit(1996).alias("source_year"),
+        F.col("o_orderkey").alias("source_row"),
+        F.col("o_orderstatus").alias("性别"),
+        F.col("o_orderpriority").alias("卡片状态"),
+    )
+    both = readers.aliased(first).unionByName(readers.aliased(second), allowMissingColumns=True)
+    return both.select("source_year", "source_row", "sex", "review_status", "card_no")
+
+
+@query(
+    "S03_field_inventory",
+    """SELECT 1995 AS year, row_number() OVER () AS position, column_name AS field, (SELECT count(*) FROM orders) AS rows
+    FROM (SELECT unnest(['o_orderkey','o_custkey','o_orderstatus','o_totalprice','o_orderdate','o_orderpriority']) AS column_name)""",
+)
+def inventory(spark, sf):
+    orders = table(spark, sf, "orders")
+    rows = orders.agg(F.count(F.lit(1)).alias("rows"))
+    return readers.field_inventory(spark, {1995: orders}).select("*", rows.scalar().alias("rows"))
+
+
+@query(
+    "S08_weather_flatten",
+    """SELECT l_suppkey AS latitude, l_linenumber AS longitude, cast(cast(l_shipdate AS date) AS varchar) AS date, min(l_tax) AS low,
+    count(DISTINCT l_tax) > 1 AS several FROM lineitem GROUP BY 1, 2, 3""".replace(
+        "count(DISTINCT l_tax) > 1 AS several", "cast(count(DISTINCT l_tax) > 1 AS integer) AS conflict"
+    ),
+)
+def weather_flatten(spark, sf):
+    """Parallel day arrays per grid back to rows, with the conflict mark of repeated days."""
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    batches = (
+        table(spark, sf, "lineitem")
+        .groupBy("l_suppkey", "l_linenumber", "l_orderkey")
+        .agg(F.collect_list(F.struct(day.alias("time"), "l_tax")).alias("d"))
+        .select(
+            F.col("l_suppkey").cast("double").alias("latitude"),
+            F.col("l_linenumber").cast("double").alias("longitude"),
+            F.struct(
+                F.col("d.time").alias("time"),
+                F.col("d.l_tax").alias("temp"),
+                F.transform("d.l_tax", lambda _: F.lit(50.0)).alias("rh"),
+            ).alias("daily"),
+        )
+    )
+    out = weather.flatten_daily(batches)
+    return out.select(
+        F.col("latitude").cast("long").alias("latitude"),
+        F.col("longitude").cast("int").alias("longitude"),
+        F.date_format("date", "yyyy-MM-dd").alias("date"),
+        F.col("temp").alias("low"),
+        "conflict",
+    )
+
+
+@query(
+    "S09_published_files",
+    """SELECT p_brand AS pollutant, cast(p_partkey AS varchar) AS record, 'X_D1K_' || y || '_' || p_partkey AS filename, p_size AS bytes
+    FROM part, (VALUES (2022), (2024)) t(y)""",
+)
+def published(spark, sf):
+    """Manifest rows from per-record JSON metadata."""
+    body = F.to_json(
+        F.struct(
+            F.array(
+                *[
+                    F.struct(
+                        F.concat(F.lit(name), F.col("p_partkey").cast("string")).alias("key"),
+                        F.col("p_size").alias("size"),
+                        F.lit("md5:0").alias("checksum"),
+                        F.struct(F.lit("u").alias("self")).alias("links"),
+                    )
+                    for name in ("X_D1K_2022_", "X_D1K_2024_", "X_D1K_2019_", "X_M1K_2024_")
+                ]
+            ).alias("files")
+        )
+    )
+    meta = table(spark, sf, "part").select(
+        F.col("p_brand").alias("pollutant"), F.col("p_partkey").cast("string").alias("record"), body.alias("body")
+    )
+    return readers.published_files(meta).select("pollutant", "record", "filename", "bytes")
+
+
+@query(
+    "S07_A27_archive_coverage",
+    """SELECT 'qty' AS pollutant, y AS year, n AS daily_files, CASE WHEN y = 1996 OR y = 2000 THEN 366 ELSE 365 END AS expected_days,
+    cast(n = CASE WHEN y = 1996 OR y = 2000 THEN 366 ELSE 365 END AS integer) AS covered FROM (
+    SELECT year(l_shipdate) AS y, count(DISTINCT cast(l_shipdate AS date)) AS n FROM lineitem GROUP BY 1) WHERE y BETWEEN 1995 AND 2001""",
+)
+def archive_coverage(spark, sf):
+    """File dates read from names, against the calendar."""
+    names = table(spark, sf, "lineitem").select(
+        F.year("l_shipdate").alias("year"),
+        F.concat(F.lit("a/CHAP_D1K_"), F.date_format("l_shipdate", "yyyyMMdd"), F.lit("_V4.nc")).alias("name"),
+    ).distinct()
+    files = names.select(F.lit("qty").alias("pollutant"), "year", readers.date_of_name(F.col("name"), F.col("year")).alias("date"))
+    return readers.coverage(files, list(range(1995, 2002)))
+
+
+@query(
+    "S10_content_drift",
+    """SELECT doc_id AS filename, sha256(text) AS sha256 FROM documents WHERE lang = 'en' AND length(text) > 0""",
+)
+def drift(spark, sf):
+    """Documents whose digest differs from the recorded one."""
+    docs = table(spark, sf, "documents").filter("length(text) > 0").select(
+        F.col("doc_id").alias("filename"), "lang", "text"
+    )
+    actual = docs.select(
+        "filename",
+        F.sha2(F.when(F.col("lang") == "en", F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("sha256"),
+    )
+    expected = docs.select("filename", F.sha2("text", 256).alias("sha256"))
+    return readers.drifted(actual, expected)
+
+
+@query("V02_weather_key", "SELECT cast(0 AS bigint) AS event_id, cast(0 AS bigint) AS rows WHERE false")
+def event_key(spark, sf):
+    return validate.duplicate_keys(table(spark, sf, "events"), ["event_id"])

@@ -1,0 +1,37 @@
+"""Incremental intake of unresolved match queries.
+
+The study itself is batch; the one incremental step is the queue between two match passes.
+As a stream it is a ``foreachBatch`` sink that appends only new ids, so a replayed
+micro-batch after a failure adds nothing twice.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
+
+from matchstrata.operators.location import sync_queue
+
+
+def append_new(batch: DataFrame, path: str, key: str = "id") -> None:
+    """Append rows of a batch whose id the queue table does not hold."""
+    spark = batch.sparkSession
+    once = batch.dropDuplicates([key])
+    try:
+        queue = spark.read.parquet(path)
+    except Exception as error:  # the first batch finds no table
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        once.write.mode("append").parquet(path)
+        return
+    sync_queue(queue, once, key).write.mode("append").parquet(path)
+
+
+def feed_queue(unresolved: DataFrame, path: str, checkpoint: str, key: str = "id") -> StreamingQuery:
+    """Feed a queue table from a stream of unresolved rows, all available input, then stop."""
+    return (
+        unresolved.writeStream.foreachBatch(lambda batch, _: append_new(batch, path, key))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
