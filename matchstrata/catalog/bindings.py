@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from matchstrata.catalog.base import table
+from matchstrata.core import spread
 
 
 class SparkDialect:
@@ -111,7 +112,7 @@ def registry_sql(q, orders: str = "orders", customer: str = "customer") -> str:
 def registry_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         registry_sql(SparkDialect, "{orders}", "{customer}"),
-        orders=table(spark, sf_dir, "orders"),
+        orders=spread(table(spark, sf_dir, "orders")),
         customer=table(spark, sf_dir, "customer"),
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchstrata.catalog import exposure_queries as eq
 from matchstrata.catalog.base import query
-from matchstrata.core import stable
+from matchstrata.core import keep, stable
 from matchstrata.models import bootstrap, clogit, grid, likelihood, shape
 from matchstrata.models.clogit import ModelSpec, Term
 from matchstrata.models.strata import pack_strata
@@ -182,20 +182,9 @@ def study_calendar(spark):
     )
 
 
-_READY: dict = {}
-
-
-def ready(spark, sf, name, build):
-    """Prepared tables, kept for the session as a study would keep them between its scripts."""
-    key = (spark.sparkContext.applicationId, sf, name)
-    if key not in _READY:
-        _READY[key] = build()
-    return _READY[key]
-
-
 def study_rows(spark, sf, configs=("main",)):
     """Matched rows of the full design."""
-    series = ready(spark, sf, "series", lambda: stable(eq.humid(spark, sf)))
+    series = keep(spark, (sf, "series"), lambda: stable(eq.humid(spark, sf)))
     params = weather.basis_parameters(series, {c: weather.CONFIGS[c] for c in configs})
     bases = {c: weather.cross_basis(series, weather.CONFIGS[c], params[c]) for c in configs}
     cells = ex.nearest_cell(eq.locations(spark, sf), eq.LAT_AXIS, eq.LON_AXIS).select(
@@ -209,10 +198,10 @@ def study_rows(spark, sf, configs=("main",)):
 def curve_parameters(spark, sf):
     def build():
         probs = {"k1": 1 / 3, "k2": 2 / 3, "lo": 0.0, "hi": 1.0, "ref": 0.5, "d05": 0.05, "d95": 0.95}
-        rows = study_rows(spark, sf).select("PM25_lag01")
+        rows = ex.with_windows(eq.exposure_rows(spark, sf), ["PM25"], {"lag01": (0, 1)})
         return exact_quantiles(rows, [], "PM25_lag01", probs).first().asDict()
 
-    return ready(spark, sf, "curve", build)
+    return keep(spark, (sf, "curve"), build)
 
 
 def full_table(spark, sf):
@@ -227,7 +216,7 @@ def full_table(spark, sf):
         more += ["PM25_lag4", "PM25_lag04", "age65", "male", "warm"]
         return study.model_table(rows, study.grid_columns() + more, SCENARIOS)
 
-    return ready(spark, sf, "full", build)
+    return keep(spark, (sf, "full"), build)
 
 
 GROUPS = ["CVD", "CBVD"]

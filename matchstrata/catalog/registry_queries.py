@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from matchstrata.catalog.base import query, table
 from matchstrata.catalog.bindings import registry_raw, with_registry
+from matchstrata.core import keep, stable
 from matchstrata.functions import text as tx
 from matchstrata.functions.identity import ReadableTokens, Tokenizer
 from matchstrata.operators import audit, registry, timeline, validate
@@ -15,10 +16,15 @@ from matchstrata.operators.multiplicity import benjamini_hochberg
 EXAMPLE_SALT = b"synthetic-tables-only"
 
 
-def records(spark, sf):
+def typed_now(spark, sf):
     return registry.typed_records(registry_raw(spark, sf), ReadableTokens())
 
 
+def records(spark, sf):
+    """Typed records, written once: every later step reads them instead of parsing again."""
+    return keep(spark, (sf, "records"), lambda: stable(typed_now(spark, sf)))
+
+
 def screened(spark, sf):
     return registry.screen(records(spark, sf))
 
@@ -48,7 +54,7 @@ def days(*cols):
     ),
 )
 def typed(spark, sf):
-    return records(spark, sf).select(
+    return typed_now(spark, sf).select(
         "event_id", *days("onset", "birth", "report_date", "diagnosis_date"),
         "sex", "icd10", "icd_prefix", "diagnosis_text", "age", "season", "review_status",
     )
@@ -86,7 +92,7 @@ def salted(spark, sf):
     ),
 )
 def identity_checks(spark, sf):
-    return records(spark, sf).select(
+    return typed_now(spark, sf).select(
         "event_id", "id_check", "canonical_person_id", "id_dob_conflict", "id_sex_conflict", "id_numeric_storage"
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +29,10 @@ def local_session(cores: str = "8", name: str = "matchstrata") -> SparkSession:
     )
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def _ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir():
-        return
+        return sc.getCheckpointDir()
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         sc.setCheckpointDir(shared)
@@ -39,6 +40,7 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="matchstrata-ckpt-"))
     else:
         raise ContractError("set spark.checkpoint.dir to a folder all executors share")
+    return sc.getCheckpointDir()
 
 
 def stable(df: DataFrame) -> DataFrame:
@@ -47,6 +49,17 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table to the shared checkpoint folder and read it back.
+
+    Like ``stable``, but columnar: readers that need a few of many columns scan only those.
+    """
+    spark = df.sparkSession
+    path = f"{_ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def require_empty(df: DataFrame, message: str) -> None:
     """Fail when a violation query returns any row."""
     if not df.isEmpty():
@@ -65,6 +78,29 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a scan that arrives in fewer splits than there are cores.
+
+    A table of many files is left alone; one small file would otherwise feed one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+_KEPT: dict = {}
+
+
+def keep(spark: SparkSession, name: tuple, build):
+    """Build a table or value once per session and hand it out again.
+
+    Stands for what a study writes once and its later steps read.
+    """
+    key = (spark.sparkContext.applicationId, *name)
+    if key not in _KEPT:
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
 def flag(cond) -> "F.Column":
     """0/1 integer of a condition, 0 for null."""
     return F.coalesce(cond.cast("int"), F.lit(0))

@@ -46,7 +46,8 @@ def _classified(s: Column) -> Column:
     old, new = s.rlike(r"^\d{15}$"), s.rlike(r"^\d{17}[\dX]$")
     full = _expanded(s)
     check_ok = _check_char(F.substring(s, 1, 17)) == F.substring(s, 18, 1)
-    birth = F.try_to_date(F.when(old | new, F.substring(full, 7, 8)), "yyyyMMdd")
+    digits = F.when(old | new, F.substring(full, 7, 8))
+    birth = F.concat_ws("-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2)).try_cast("date")
     usable = old | (new & check_ok)
     label = (
         F.when(new & ~check_ok, CHECK_BAD)

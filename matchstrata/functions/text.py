@@ -49,7 +49,9 @@ def _date_of_text(t: Column) -> Column:
     serial = F.floor(F.regexp_extract(t, r"^\d{1,5}(?:\.\d+)?$", 0).try_cast("double")).cast("int")
     # Serials below 60 are a day off, as the 1900 system counts a 29 February that year.
     days = F.when(serial.between(1, 80000), serial + (serial < 60).cast("int"))
-    return F.coalesce(F.try_to_date(iso, "yyyy-M-d"), F.date_add(F.lit("1899-12-30").cast("date"), days))
+    # A plain cast: the pattern-based parser raises and catches an exception per bad text.
+    parsed = F.when(iso.rlike(r"^\d{4}-\d\d?-\d\d?$"), iso).try_cast("date")
+    return F.coalesce(parsed, F.date_add(F.lit("1899-12-30").cast("date"), days))
 
 
 def code_prefix(c: Column) -> Column:

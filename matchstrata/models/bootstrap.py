@@ -52,18 +52,18 @@ def _weights(draws: DataFrame) -> tuple[np.ndarray, list[str]]:
 def _weighted_sums(spec: ModelSpec, betas: dict[int, np.ndarray], weights, months, table: StrataTable):
     """Weighted Newton sums of every active draw; strata of one month share a weight."""
     at = {m: i for i, m in enumerate(months)}
-    cols, scen, width, k = table.columns, table.scenarios, len(table.columns), len(spec.terms)
+    cols, scen, needed, k = table.columns, table.scenarios, spec.needed(), len(spec.terms)
 
     def run(batches):
         import pyarrow as pa
 
         acc = {b: np.zeros(1 + k + k * k) for b in betas}
-        for batch in read_batches(batches, width):
+        for batch in read_batches(batches, cols, needed):
             for block in batch.blocks:
-                _, whole = clogit._selection(block, spec, cols, scen)
+                _, whole = clogit._selection(block, spec, scen)
                 if not whole.any():
                     continue
-                d = clogit._design(block, whole, spec, cols)
+                d = clogit._design(block, whole, spec)
                 month = np.array([at.get(m, -1) for m in block.month[whole]])
                 for b, beta in betas.items():
                     w = np.where(month >= 0, weights[b][month], 0.0)
@@ -98,7 +98,7 @@ def bootstrap_fits(table: StrataTable, base: Fit, draws: DataFrame) -> dict[int,
         active = {b: beta[b] for b in beta if b not in out}
         if not active:
             break
-        job = table.df.mapInArrow(
+        job = table.scan(spec.needed()).mapInArrow(
             _weighted_sums(spec, active, weights, months, table), "model_id string, v array<double>"
         )
         sums = clogit._collect_sums(job)

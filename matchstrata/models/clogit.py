@@ -77,27 +77,26 @@ class Fit:
 # ---------------------------------------------------------------- block arithmetic (in tasks)
 
 
-def _selection(block: Block, spec: ModelSpec, table_cols: list[str], scenarios: list[str]):
+def _selection(block: Block, spec: ModelSpec, scenarios: list[str]):
+    """(strata of the model's sample, those of them without a missing value)."""
     keep = np.ones(len(block.rows), bool)
     if spec.group is not None:
         keep &= block.group == spec.group
     if spec.scenario is not None:
         keep &= (block.bits & (1 << scenarios.index(spec.scenario))) != 0
-    at = [table_cols.index(c) for c in spec.needed()]
-    whole = keep & ~np.isnan(block.x[:, :, at]).any(axis=(1, 2))
-    return keep, whole
+    return keep, keep & ~block.missing(spec.needed())
 
 
-def _design(block: Block, whole: np.ndarray, spec: ModelSpec, table_cols: list[str]) -> np.ndarray:
-    x = block.x[whole]
-    cols = []
-    for t in spec.terms:
-        v = np.full(x.shape[:2], t.scale)
-        for c in t.columns:
-            v = v * x[:, :, table_cols.index(c)]
-        cols.append(v)
-    d = np.stack(cols, axis=-1)
-    return d - d[:, :1, :]
+def _design(block: Block, whole: np.ndarray, spec: ModelSpec) -> np.ndarray:
+    """(strata, dates, terms), centred on the case row."""
+    out = np.empty((int(whole.sum()), block.values[spec.terms[0].columns[0]].shape[1], len(spec.terms)))
+    for j, t in enumerate(spec.terms):
+        out[:, :, j] = block.term(t.columns, t.scale)[whole]
+    return out
+
+
+def _all_needed(specs) -> list[str]:
+    return list(dict.fromkeys(c for s in specs for c in s.needed()))
 
 
 def _likelihood(d: np.ndarray, beta: np.ndarray):
@@ -122,20 +121,20 @@ def _information(d, p, mean, weight=None) -> np.ndarray:
 
 
 def _newton_sums(specs, betas, table: StrataTable):
-    cols, scen, width = table.columns, table.scenarios, len(table.columns)
+    cols, scen, needed = table.columns, table.scenarios, _all_needed(specs)
 
     def run(batches):
         import pyarrow as pa
 
         acc = {}
-        for batch in read_batches(batches, width):
+        for batch in read_batches(batches, cols, needed):
             for block in batch.blocks:
                 for s in specs:
-                    keep, whole = _selection(block, s, cols, scen)
+                    keep, whole = _selection(block, s, scen)
                     if not keep.any():
                         continue
                     k = len(s.terms)
-                    d = _design(block, whole, s, cols)
+                    d = _design(block, whole, s)
                     ll, score, p = _likelihood(d, betas[s.model_id])
                     target = d[:, :, [t.name for t in s.terms].index(s.target)]
                     part = np.concatenate(
@@ -156,9 +155,9 @@ def _newton_sums(specs, betas, table: StrataTable):
 
 
 def _score_sums(specs, betas, table: StrataTable, key: str, sorted_by_key: bool):
-    """Per-cluster score sums. Clusters inside a task are closed there ('meat'); only those
-    at its two ends, which may go on in a neighbouring task, are passed on ('edge')."""
-    cols, scen, width = table.columns, table.scenarios, len(table.columns)
+    """Per-cluster score sums. Clusters inside a stretch of consecutive rows are closed there
+    ('meat'); only those at its two ends, which may go on elsewhere, are passed on ('edge')."""
+    cols, scen, needed = table.columns, table.scenarios, _all_needed(specs)
 
     def run(batches):
         import pyarrow as pa
@@ -166,7 +165,7 @@ def _score_sums(specs, betas, table: StrataTable, key: str, sorted_by_key: bool)
         meat = {s.model_id: np.zeros((len(s.terms),) * 2) for s in specs}
         closed = {s.model_id: 0 for s in specs}
         edges: list[tuple[str, str, np.ndarray]] = []
-        open_key, open_sum, first = None, None, True
+        open_key, open_sum, first, last_pos = None, None, True, None
         loose: dict = {}
 
         def close(name, sums, at_edge):
@@ -179,21 +178,23 @@ def _score_sums(specs, betas, table: StrataTable, key: str, sorted_by_key: bool)
                     meat[m] += np.outer(u, u)
                     closed[m] += 1
 
-        for batch in read_batches(batches, width, key):
+        for batch in read_batches(batches, cols, needed, key):
             scores, touched = {}, {}
             for s in specs:
                 scores[s.model_id] = np.zeros((batch.size, len(s.terms)))
                 touched[s.model_id] = np.zeros(batch.size, bool)
             for block in batch.blocks:
                 for s in specs:
-                    _, whole = _selection(block, s, cols, scen)
+                    _, whole = _selection(block, s, scen)
                     if whole.any():
-                        d = _design(block, whole, s, cols)
+                        d = _design(block, whole, s)
                         _, score, _ = _likelihood(d, betas[s.model_id])
                         scores[s.model_id][block.rows[whole]] = score
                         touched[s.model_id][block.rows[whole]] = True
-            names = batch.key
-            starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+            names, pos = batch.key, batch.pos
+            broken = np.r_[last_pos is None or pos[0] != last_pos + 1, pos[1:] != pos[:-1] + 1]
+            last_pos = pos[-1]
+            starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]] | broken)
             sums = {m: np.add.reduceat(v, starts, axis=0) for m, v in scores.items()}
             seen = {m: np.add.reduceat(v.astype(int), starts) > 0 for m, v in touched.items()}
             for i, at in enumerate(starts):
@@ -203,6 +204,10 @@ def _score_sums(specs, betas, table: StrataTable, key: str, sorted_by_key: bool)
                         if u is not None:
                             loose[m, names[at]] = loose.get((m, names[at]), 0.0) + u
                     continue
+                if broken[at] and open_key is not None:
+                    # A new stretch of rows: what is open may go on in another task.
+                    close(open_key, open_sum, True)
+                    open_key, first = None, True
                 if names[at] == open_key:
                     for m, u in now.items():
                         if u is not None:
@@ -303,7 +308,7 @@ def fit_models(table: StrataTable, specs: list[ModelSpec], cluster: str = "clust
     active = list(specs)
     for round_no in range(MAX_ITERATIONS + 1):
         betas = {s.model_id: fits[s.model_id].beta for s in active}
-        job = table.df.mapInArrow(_newton_sums(active, betas, table), "model_id string, v array<double>")
+        job = table.scan(_all_needed(active)).mapInArrow(_newton_sums(active, betas, table), "model_id string, v array<double>")
         sums = _collect_sums(job)
         for s in active:
             f, k = fits[s.model_id], len(s.terms)
@@ -358,7 +363,7 @@ def fit_models(table: StrataTable, specs: list[ModelSpec], cluster: str = "clust
 def _robust_variance(table: StrataTable, specs, fits, cluster: str) -> None:
     betas = {s.model_id: fits[s.model_id].beta for s in specs}
     run = _score_sums(specs, betas, table, cluster, sorted_by_key=cluster == table.cluster)
-    parts = table.df.mapInArrow(run, "kind string, model_id string, cluster string, v array<double>").persist()
+    parts = table.scan(_all_needed(specs)).mapInArrow(run, "kind string, model_id string, cluster string, v array<double>").persist()
     try:
         edges = _sum_arrays(parts.filter("kind = 'edge'").drop("kind"), ["model_id", "cluster"])
         meat = parts.filter("kind = 'meat'").select("model_id", "v")

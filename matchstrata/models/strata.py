@@ -9,20 +9,23 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchstrata.core import partitions, stable
+from matchstrata.core import partitions, stored
+
+KEYS = ["pos", "study_group", "cluster_id", "month", "bits", "n"]
 
 
 @dataclass
 class StrataTable:
-    """Packed strata, range-partitioned and sorted by cluster."""
+    """Packed strata: one array column per variable, the case row's value first."""
 
     df: DataFrame
     columns: list[str]
     scenarios: list[str]
     cluster: str = "cluster_id"
 
-    def position(self, name: str) -> int:
-        return self.columns.index(name)
+    def scan(self, needed: list[str]) -> DataFrame:
+        """Only the variables a job reads; the rest stays unread in the columnar files."""
+        return self.df.select(*KEYS, *[F.col(f"v{self.columns.index(c)}") for c in needed])
 
 
 def pack_strata(
@@ -36,72 +39,95 @@ def pack_strata(
     """One row per event: the case row's values first, then those of the 3-4 referent dates.
 
     The only shuffles of a whole model grid are here. Range partitioning on (cluster, event)
-    splits a busy cluster over several tasks and leaves every other cluster inside one, so
-    the robust variance needs no further shuffle of persons.
+    splits a busy cluster over several files and leaves every other cluster inside one, so
+    the robust variance needs no further shuffle of persons. ``pos`` numbers the rows within a
+    file, which lets a reader see where its stretch of rows begins and ends.
     """
-    values = F.array(*[F.col(c).cast("double") for c in columns])
-    member = F.struct((1 - F.col("case")).alias("rank"), F.col("date").alias("date"), values.alias("v"))
+    named = [F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]
+    member = F.struct((1 - F.col("case")).alias("rank"), F.col("date").alias("date"), *named)
     marks = [F.when(F.array_contains("scenarios", s), F.lit(1 << i)).otherwise(F.lit(0)) for i, s in enumerate(scenarios)]
     bits = sum(marks[1:], marks[0]) if marks else F.lit(0)
     one = rows.groupBy("event_id").agg(
         F.first(group).alias("study_group"),
-        F.first(cluster).cast("string").alias("cluster_id"),
+        F.coalesce(F.first(cluster).cast("string"), F.lit("")).alias("cluster_id"),
         F.date_format(F.min("date"), "yyyy-MM").alias("month"),
         F.first(bits.cast("long")).alias("bits"),
         F.sort_array(F.collect_list(member)).alias("m"),
     )
-    packed = one.select(
+    parts = parts or partitions(rows.sparkSession)
+    ranged = one.repartitionByRange(parts, "cluster_id", "event_id").sortWithinPartitions("cluster_id", "event_id")
+    packed = ranged.select(
         "event_id",
+        F.monotonically_increasing_id().alias("pos"),
         "study_group",
-        F.coalesce("cluster_id", F.lit("")).alias("cluster_id"),
+        "cluster_id",
         "month",
         "bits",
         F.size("m").alias("n"),
-        F.transform("m", lambda r: r["date"]).alias("dates"),
-        F.flatten(F.transform("m", lambda r: r["v"])).alias("x"),
+        F.col("m.date").alias("dates"),
+        *[F.col(f"m.v{i}").alias(f"v{i}") for i in range(len(columns))],
     )
-    parts = parts or partitions(rows.sparkSession)
-    ranged = packed.repartitionByRange(parts, "cluster_id", "event_id").sortWithinPartitions("cluster_id", "event_id")
-    return StrataTable(stable(ranged), list(columns), list(scenarios))
+    return StrataTable(stored(packed), list(columns), list(scenarios))
 
 
 @dataclass
 class Block:
-    """Strata of one Arrow batch with equal size."""
+    """Strata of one Arrow batch with equal size; every variable is (strata, dates), case first."""
 
-    rows: np.ndarray  # positions in the batch
-    x: np.ndarray  # (strata, dates, columns), case first
+    rows: np.ndarray
+    values: dict[str, np.ndarray]
     group: np.ndarray
     bits: np.ndarray
     month: np.ndarray
+    centred: dict = field(default_factory=dict)
+
+    def missing(self, names) -> np.ndarray:
+        out = np.zeros(len(self.rows), bool)
+        for c in names:
+            key = ("missing", c)
+            if key not in self.centred:
+                self.centred[key] = np.isnan(self.values[c]).any(axis=1)
+            out |= self.centred[key]
+        return out
+
+    def term(self, columns: tuple[str, ...], scale: float) -> np.ndarray:
+        """scale x product of columns, minus its value on the case date; kept for the next model."""
+        key = (columns, scale)
+        if key not in self.centred:
+            v = self.values[columns[0]] * scale
+            for c in columns[1:]:
+                v = v * self.values[c]
+            self.centred[key] = v - v[:, :1]
+        return self.centred[key]
 
 
 @dataclass
 class Batch:
     size: int
+    pos: np.ndarray
     blocks: list[Block] = field(default_factory=list)
     key: np.ndarray | None = None
-    event: np.ndarray | None = None
 
 
-def read_batches(batches, width: int, key: str | None = None) -> Iterator[Batch]:
-    """Arrow batches of the packed table as numpy blocks."""
+def read_batches(batches, table_columns: list[str], needed: list[str], key: str | None = None) -> Iterator[Batch]:
+    """Arrow batches of a scan as numpy blocks."""
     for rb in batches:
         if rb.num_rows == 0:
             continue
         n = rb.column("n").to_numpy(zero_copy_only=False)
-        lists = rb.column("x")
-        flat = lists.values.to_numpy(zero_copy_only=False).astype(float, copy=False)
-        starts = lists.offsets.to_numpy()[:-1]
         group = np.asarray(rb.column("study_group").to_pylist(), dtype=object)
         month = np.asarray(rb.column("month").to_pylist(), dtype=object)
         bits = rb.column("bits").to_numpy(zero_copy_only=False)
-        out = Batch(rb.num_rows)
+        out = Batch(rb.num_rows, rb.column("pos").to_numpy(zero_copy_only=False))
         if key:
             out.key = np.asarray(rb.column(key).to_pylist(), dtype=object)
+        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        flat = {}
+        for c in needed:
+            values = rb.column(f"v{table_columns.index(c)}").flatten()
+            flat[c] = values.to_numpy(zero_copy_only=False).astype(float, copy=False)
         for size in np.unique(n):
             at = np.flatnonzero(n == size)
-            take = starts[at][:, None] + np.arange(size * width)
-            x = flat[take].reshape(len(at), size, width)
-            out.blocks.append(Block(at, x, group[at], bits[at], month[at]))
+            take = starts[at][:, None] + np.arange(size)
+            out.blocks.append(Block(at, {c: v[take] for c, v in flat.items()}, group[at], bits[at], month[at]))
         yield out

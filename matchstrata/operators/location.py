@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchstrata.core import stable
 from matchstrata.functions import address as ad
 from matchstrata.functions import geo
 from matchstrata.operators import clusters
@@ -297,7 +298,8 @@ def plausible_candidates(locations: DataFrame, pool: DataFrame) -> DataFrame:
 
 def audit_locations(locations: DataFrame, pool: DataFrame) -> DataFrame:
     """Consistency audit of every location."""
-    locations = with_profile(locations)
+    # Both sides are read twice (evidence and clusters) and carry the costly text profiles.
+    locations, pool = stable(with_profile(locations)), stable(pool)
     evidence = evidence_match(locations, pool)
     # A point seen twice is one point; the earliest place keeps the order.
     points = (
