@@ -596,3 +596,15 @@ def leader_clusters(spark, sf):
     found = clusters.leaders(spread_points(spark, sf), "location_id", "ord", "lon", "lat")
     out = clusters.separation(found, "location_id")
     return out.withColumn("max_separation_m", F.round("max_separation_m", 2))
+
+
+@query(
+    "J03_J04_event_tier_join",
+    f"""WITH {_AUDITED}, {_TIERS} SELECT o_orderstatus AS status, analysis_tier, count(*) AS events
+    FROM orders LEFT JOIN tie ON o_custkey = location_id GROUP BY 1, 2""",
+)
+def event_tiers(spark, sf):
+    tiers = loc.tiers(synthetic_audit(spark, sf)).select("location_id", "analysis_tier")
+    events = table(spark, sf, "orders").select(F.col("o_custkey").alias("location_id"), F.col("o_orderstatus").alias("status"))
+    joined = events.join(tiers, "location_id", "left")
+    return joined.groupBy("status", "analysis_tier").agg(F.count(F.lit(1)).alias("events"))

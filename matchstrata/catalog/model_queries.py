@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchstrata.catalog import exposure_queries as eq
 from matchstrata.catalog.base import query
-from matchstrata.core import keep, stable
+from matchstrata.core import keep, stable, stored
 from matchstrata.models import bootstrap, clogit, grid, likelihood, shape
 from matchstrata.models.clogit import ModelSpec, Term
 from matchstrata.models.strata import pack_strata
@@ -187,11 +187,12 @@ def study_rows(spark, sf, configs=("main",)):
     series = keep(spark, (sf, "series"), lambda: stable(eq.humid(spark, sf)))
     params = weather.basis_parameters(series, {c: weather.CONFIGS[c] for c in configs})
     bases = {c: weather.cross_basis(series, weather.CONFIGS[c], params[c]) for c in configs}
+    basis = stored(study.join_bases(bases))
     cells = ex.nearest_cell(eq.locations(spark, sf), eq.LAT_AXIS, eq.LON_AXIS).select(
         "location_id", *eq.CELL, F.concat(F.lit("R"), (F.col("location_id") % 5).cast("string")).alias(weather.GRID)
     )
     return study.analysis_rows(
-        study_scope(spark, sf), cells, eq.histories(spark, sf), study_calendar(spark), study.join_bases(bases), eq.CELL
+        study_scope(spark, sf), cells, eq.histories(spark, sf), study_calendar(spark), basis, eq.CELL
     )
 
 

@@ -989,3 +989,57 @@ def bh(spark, sf):
         F.expr("(o_orderkey * 7919 % 100003 + 1) / 100004e0").alias("p"),
     )
     return benjamini_hochberg(rows, ["family"], "p", "id").select("id", "family", F.round("q", 8).alias("q"))
+
+
+_MARKED = (
+    *_ADJ,
+    f"""sc AS (SELECT *, coalesce(canonical_person_id, person_id) AS cl, {_SCOPE} AS study_group,
+      array_to_string(flags, ';') AS rf, decision = 'included' AS strict, age % 3 = 0 AS imputed, age % 2 = 0 AS core, age % 5 = 0 AS coarse
+      FROM adj WHERE reason = '')""",
+    "busy AS (SELECT onset FROM sc GROUP BY 1 HAVING count(*) >= 6)",
+    "fr AS (SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY cl, study_group ORDER BY onset, event_id) AS r FROM sc) WHERE r = 1)",
+    *_episodes("cl, icd_prefix", "sc"),
+    """ao AS (SELECT min(c.event_id) AS event_id FROM spans s JOIN sc c ON c.cl = s.cl AND c.icd_prefix = s.icd_prefix
+      AND c.onset = s.anchor GROUP BY s.cl, s.icd_prefix, s.anchor)""",
+)
+_SAMPLES = {
+    "all_registry_all_coordinates": "true",
+    "no_imputed_coordinates": "NOT imputed",
+    "core_addresses": "core",
+    "core_plus_coarse_addresses": "core OR coarse",
+    "final_review_only": "review_status = '已终审'",
+    "strict_previous_adjudication": "strict",
+    "identity_consistent": "NOT regexp_matches(rf, 'IDENTITY_|CANONICAL_ID_LINK_CHANGE')",
+    "no_duplicate_interval_flags": "NOT regexp_matches(rf, 'SOURCE_DUPLICATE_|SAME_PREFIX_WITHIN28|CROSS_PREFIX_WITHIN28|DUPLICATE_CARD')",
+    "first_person_group_record": "event_id IN (SELECT event_id FROM fr)",
+    "anchored28_ICD3_scenario": "event_id IN (SELECT event_id FROM ao)",
+    "acute_code_restriction": "CASE WHEN study_group = 'CVD' THEN icd_prefix IN ('I21','I22') OR icd10 LIKE 'I20.0%' "
+    "ELSE icd_prefix IN ('I60','I61','I63') END",
+    "exclude_flagged_onset_dates": "onset NOT IN (SELECT onset FROM busy)",
+    "strict_event_core_address": "strict AND core",
+    "strict_event_core_plus_coarse": "strict AND (core OR coarse)",
+}
+
+
+@query(
+    "P09_P13_A33_J09_sample_flow",
+    with_registry(
+        " UNION ALL ".join(
+            f"SELECT study_group, '{name}' AS scenario, count(*) AS candidate_events FROM sc WHERE {rule} GROUP BY 1"
+            for name, rule in _SAMPLES.items()
+        ),
+        *_MARKED,
+        recursive=True,
+    ),
+)
+def sample_flow(spark, sf):
+    rows = scope(spark, sf).withColumns(
+        {
+            "coordinate_imputed": (F.col("age") % 3 == 0).cast("int"),
+            "sensitivity_core_eligible": (F.col("age") % 2 == 0).cast("int"),
+            "sensitivity_coarse_eligible": (F.col("age") % 5 == 0).cast("int"),
+        }
+    )
+    busy = audit.count_by(rows, "onset").filter("n >= 6").select(F.col("onset").alias("date"))
+    marked = registry.with_selection_marks(rows, busy)
+    return registry.sample_flow(registry.with_scenarios(marked))

@@ -298,8 +298,8 @@ def spearman(df: DataFrame, keys: list[str], first: str, second: str) -> DataFra
 def autocorrelation(daily: DataFrame, date: str, value: str, max_lag: int = 21) -> DataFrame:
     """Autocorrelation of a daily series at row lags 1..max_lag (A36); bounded by days."""
     w = Window.orderBy(date)
-    mean = daily.agg(F.avg(value).alias("__mean"))
-    centred = daily.join(F.broadcast(mean)).withColumn("__c", F.col(value) - F.col("__mean"))
+    mean = daily.agg(F.avg(value)).scalar()
+    centred = daily.withColumn("__c", F.col(value) - mean)
     lagged = centred.select(
         "__c", *[F.lag("__c", k).over(w).alias(f"__l{k}") for k in range(1, max_lag + 1)]
     )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchstrata.core import collect_bounded
+from matchstrata.core import stable
 from matchstrata.functions import geo
 from matchstrata.functions.text import rounded
 
@@ -73,26 +76,25 @@ def nearest_cell(locations: DataFrame, lat_axis: list[float], lon_axis: list[flo
     )
 
 
-def nearest_grid(locations: DataFrame, grids: DataFrame, grid_id: str, max_grids: int = 4096) -> DataFrame:
+def nearest_grid(locations: DataFrame, grids: DataFrame, grid_id: str, small: int = 4096) -> DataFrame:
     """Nearest grid point by great-circle distance, lowest id among ties.
 
-    The lattice is a dimension of known, checked size; it becomes one constant array that
-    each location scans, so there is no join at all.
+    A lattice of at most ``small`` points becomes one constant array that each location scans,
+    without a join. A larger one is searched by cells.
     """
-    points = collect_bounded(
-        grids.groupBy(grid_id).agg(F.first("longitude"), F.first("latitude")), max_grids, "weather lattice"
+    points = grids.groupBy(grid_id).agg(
+        F.first("longitude").alias("gx"), F.first("latitude").alias("gy")
     )
-    lattice = F.array(
-        *[
-            F.struct(F.lit(r[0]).alias("id"), F.lit(float(r[1])).alias("x"), F.lit(float(r[2])).alias("y"))
-            for r in sorted(points)
-        ]
+    head = points.limit(small + 1).collect()
+    if len(head) > small:
+        return _nearest_by_cells(locations, points, grid_id)
+    known = F.array(
+        *[F.struct(F.lit(r[0]).alias("id"), F.lit(float(r[1])).alias("x"), F.lit(float(r[2])).alias("y")) for r in sorted(head)]
     )
     x, y = F.col("longitude"), F.col("latitude")
     best = F.array_min(
         F.transform(
-            lattice,
-            lambda g: F.struct(geo.great_circle(x, y, g["x"], g["y"]).alias("km"), g["id"].alias("id")),
+            known, lambda g: F.struct(geo.great_circle(x, y, g["x"], g["y"]).alias("km"), g["id"].alias("id"))
         )
     )
     return locations.select("*", best.alias("__b")).select(
@@ -100,6 +102,49 @@ def nearest_grid(locations: DataFrame, grids: DataFrame, grid_id: str, max_grids
     )
 
 
+def _nearest_by_cells(locations: DataFrame, points: DataFrame, grid_id: str) -> DataFrame:
+    """Nearest point through widening rings of cells, by equality joins only.
+
+    A point outside ``ring`` cells is at least ring x step degrees away along one axis, so a
+    location is settled once its best distance is below that bound; the others widen the ring.
+    """
+    box = points.agg(
+        F.count(F.lit(1)).alias("n"), F.min("gx").alias("x0"), F.max("gx").alias("x1"),
+        F.min("gy").alias("y0"), F.max("gy").alias("y1"),
+    ).first()
+    step = max(((box["x1"] - box["x0"]) * (box["y1"] - box["y0"]) / box["n"]) ** 0.5, 1e-6)
+    celled = points.select(
+        grid_id, "gx", "gy", F.floor(F.col("gx") / step).alias("cx"), F.floor(F.col("gy") / step).alias("cy")
+    )
+    x, y = F.col("longitude"), F.col("latitude")
+    left = stable(locations.select("location_id", "longitude", "latitude").distinct())
+    settled, ring = [], 1
+    while not left.isEmpty():
+        offsets = F.sequence(F.lit(-ring), F.lit(ring))
+        reach = left.select("*", F.explode(offsets).alias("__i")).select("*", F.explode(offsets).alias("__j"))
+        reach = reach.select(
+            "location_id", "longitude", "latitude",
+            (F.floor(x / step) + F.col("__i")).alias("cx"), (F.floor(y / step) + F.col("__j")).alias("cy"),
+        )
+        km = geo.great_circle(x, y, F.col("gx"), F.col("gy"))
+        best = reach.join(celled, ["cx", "cy"]).groupBy("location_id").agg(
+            F.min(F.struct(km.alias("km"), F.col(grid_id).alias("id"))).alias("b")
+        )
+        # Degrees of longitude shrink towards the poles; take the worst latitude in reach.
+        far = F.least(F.lit(90.0), F.abs(y) + ring * step)
+        sure = F.lit(ring * step * math.pi / 180 * geo.EARTH_KM) * F.cos(F.radians(far))
+        judged = stable(left.join(best, "location_id", "left"))
+        everything = ring * step > 360
+        ok = F.col("b").isNotNull() & (F.lit(everything) | (F.col("b.km") <= sure))
+        settled.append(judged.filter(ok).select("location_id", "b"))
+        left = judged.filter(~F.coalesce(ok, F.lit(False))).drop("b")
+        ring *= 2
+    found = reduce(DataFrame.unionByName, settled)
+    return locations.join(found, "location_id", "left").select(
+        *locations.columns, F.col("b.id").alias(grid_id), F.col("b.km").alias("weather_distance_km")
+    )
+
+
 def lattice(spark, south: float = 22.25, west: float = 112.5, step: float = 0.25, n: int = 10) -> DataFrame:
     """Regular n x n lattice."""
     i = F.floor(F.col("id") / n)

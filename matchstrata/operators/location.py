@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchstrata.core import stable
+from matchstrata.core import collect_bounded, stable
 from matchstrata.functions import address as ad
 from matchstrata.functions import geo
 from matchstrata.operators import clusters
@@ -548,9 +548,8 @@ def longest_prefix(unresolved: DataFrame, references: DataFrame, least_length: i
     Containment becomes an equality join: every substring of an address with the length of some
     prefix is looked up by value, so neither side of a district is paired with the other.
     """
-    lengths = sorted(r[0] for r in references.select(F.length("prefix")).distinct().limit(200).collect())
-    if not lengths:
-        return unresolved.select("query_id").limit(0).join(references.limit(0).drop("district"), F.lit(True))
+    found = references.select(F.length("prefix").alias("n")).distinct()
+    lengths = sorted(r["n"] for r in collect_bounded(found, 500, "prefix lengths")) or [least_length]
     text = F.replace(ad.normalise(F.col("address")), F.lit(ad.PROVINCE), F.lit(""))
     rows = unresolved.select("query_id", ad.district(F.col("address")).alias("district"), text.alias("t"))
 

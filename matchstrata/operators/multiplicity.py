@@ -20,8 +20,11 @@ def benjamini_hochberg(
     counted = usable.withColumn("__one", F.lit(1).cast("long"))
     ranked = Segmented(counted, family, [p, row_id]).with_running({"__rank": ("sum", "__one")})
     if family_size is None:
-        sizes = usable.groupBy(*family).agg(F.count(F.lit(1)).alias("__m"))
-        ranked = ranked.join(sizes, family) if family else ranked.crossJoin(F.broadcast(sizes))
+        size = F.count(F.lit(1)).alias("__m")
+        if family:
+            ranked = ranked.join(usable.groupBy(*family).agg(size), family)
+        else:
+            ranked = ranked.withColumn("__m", usable.agg(size).scalar())
     else:
         ranked = ranked.withColumn("__m", F.lit(family_size))
     stepped = ranked.withColumn("__raw", F.col("__m") * F.col(p) / F.col("__rank")).withColumn("__down", -F.col("__rank"))

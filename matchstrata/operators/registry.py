@@ -383,6 +383,16 @@ def scenario_selectors() -> dict[str, Column]:
     }
 
 
+def joint_selectors() -> dict[str, Column]:
+    """Strictly approved events at core, or core and coarse, addresses."""
+    strict = F.col("strict_event_approved") == 1
+    core, coarse = F.col("sensitivity_core_eligible") == 1, F.col("sensitivity_coarse_eligible") == 1
+    return {
+        "strict_event_core_address": strict & core,
+        "strict_event_core_plus_coarse": strict & (core | coarse),
+    }
+
+
 def with_selection_marks(scope: DataFrame, flagged_dates: DataFrame) -> DataFrame:
     """Add the first-record, anchored-record and flagged-date marks the selectors read."""
     who = scope.withColumn("cluster_id", cluster_id())
@@ -399,7 +409,7 @@ def with_selection_marks(scope: DataFrame, flagged_dates: DataFrame) -> DataFram
 
 def with_scenarios(scope: DataFrame) -> DataFrame:
     """Add ``scenarios``: names of the sensitivity samples an event belongs to."""
-    hits = [F.when(c, F.lit(n)) for n, c in scenario_selectors().items()]
+    hits = [F.when(c, F.lit(n)) for n, c in {**scenario_selectors(), **joint_selectors()}.items()]
     return scope.withColumn("scenarios", F.array_compact(F.array(*hits)))
 
 

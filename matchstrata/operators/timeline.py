@@ -118,89 +118,72 @@ def first_records(events: DataFrame, keys: list[str], onset: str, event_id: str)
     return first.select(*keys, F.col(f"f.{onset}").alias(onset), F.col(f"f.{event_id}").alias(event_id))
 
 
-def cross_code_cells(
-    events: DataFrame, keys: list[str], code: str, onset: str, location: str, days: int = NEAR_DAYS
-) -> DataFrame:
-    """Pairs of different codes of one key within ``days``, as counted day cells.
+def _cell_pairs(cells: DataFrame, keys: list[str], code: str, onset: str, days: int) -> DataFrame:
+    """Earlier and later cells of one key with different codes, at most ``days`` apart.
 
-    A cell is all events of one (key, day, code). Listing event pairs would grow with the square
-    of a busy key; a cell meets at most days+1 later days, and the pair count is the product
-    of the two cell sizes. Members of a cell are the events with that (key, day, code).
+    Days fall into buckets of days+1; an earlier cell looks into its own bucket and the next, so
+    each cell travels twice at most, and a bucket of one key is bounded by its days and codes.
     """
-    cells = events.groupBy(*keys, onset, code).agg(F.count(F.lit(1)).alias("n"))
-    reach = cells.select(
-        *keys,
-        F.explode(F.sequence(F.col(onset), F.date_add(onset, days))).alias("current_onset"),
-        F.col(onset).alias("previous_onset"),
-        F.col(code).alias("previous_code"),
-        F.col("n").alias("n_previous"),
-    )
-    later = cells.select(
-        *keys, F.col(onset).alias("current_onset"), F.col(code).alias("current_code"), F.col("n").alias("n_current")
-    )
-    same_day = F.col("previous_onset") == F.col("current_onset")
-    met = reach.join(later, [*keys, "current_onset"]).filter(
-        (F.col("previous_code") != F.col("current_code"))
-        & (~same_day | (F.col("previous_code") < F.col("current_code")))
-    )
-    pairs = met.select(
-        *keys,
-        "previous_onset",
-        "previous_code",
-        "current_onset",
-        "current_code",
-        F.datediff("current_onset", "previous_onset").alias("gap_days"),
-        (F.col("n_previous") * F.col("n_current")).alias("n_pairs"),
-    )
-    return pairs.join(
-        _same_location_pairs(events, keys, code, onset, location, days),
-        [*keys, "previous_onset", "previous_code", "current_onset", "current_code"],
-        "left",
-    ).select(
-        *pairs.columns,
-        (F.col("n_pairs") - F.coalesce("n_same_location", F.lit(0))).alias("n_location_conflict"),
-    )
-
-
-def _same_location_pairs(events, keys, code, onset, location, days) -> DataFrame:
-    """Pair counts of cells at the same location: products within a location, then summed."""
-    cells = events.groupBy(*keys, onset, code, location).agg(F.count(F.lit(1)).alias("n"))
-    reach = cells.select(
+    day = F.datediff(onset, F.lit("1970-01-01").cast("date"))
+    bucket = F.floor(day / (days + 1))
+    early = cells.select(
         *keys,
-        location,
-        F.explode(F.sequence(F.col(onset), F.date_add(onset, days))).alias("current_onset"),
+        F.explode(F.array(bucket, bucket + 1)).alias("__b"),
         F.col(onset).alias("previous_onset"),
         F.col(code).alias("previous_code"),
         F.col("n").alias("n_previous"),
     )
-    later = cells.select(
+    late = cells.select(
         *keys,
-        location,
+        bucket.alias("__b"),
         F.col(onset).alias("current_onset"),
         F.col(code).alias("current_code"),
         F.col("n").alias("n_current"),
     )
-    met = reach.join(later, [*keys, location, "current_onset"]).filter(
-        (F.col("previous_code") != F.col("current_code"))
-        & (
-            (F.col("previous_onset") != F.col("current_onset"))
-            | (F.col("previous_code") < F.col("current_code"))
-        )
+    gap = F.datediff("current_onset", "previous_onset")
+    met = early.join(late, [*keys, "__b"]).withColumn("gap_days", gap)
+    return met.filter(
+        F.col("gap_days").between(0, days)
+        & (F.col("previous_code") != F.col("current_code"))
+        & ((F.col("gap_days") > 0) | (F.col("previous_code") < F.col("current_code")))
+    ).drop("__b")
+
+
+def cross_code_cells(
+    events: DataFrame, keys: list[str], code: str, onset: str, location: str, days: int = NEAR_DAYS
+) -> DataFrame:
+    """Pairs of different codes of one key within ``days``, as counted day cells.
+
+    A cell is all events of one (key, day, code). Listing event pairs would grow with the square
+    of a busy key; a cell meets only the cells of the next ``days`` days, and the pair count is
+    the product of the two cell sizes. Members of a cell are the events with that (key, day, code).
+    """
+    ends = [*keys, "previous_onset", "previous_code", "current_onset", "current_code"]
+    cells = events.groupBy(*keys, onset, code).agg(F.count(F.lit(1)).alias("n"))
+    pairs = _cell_pairs(cells, keys, code, onset, days).select(
+        *ends, "gap_days", (F.col("n_previous") * F.col("n_current")).alias("n_pairs")
     )
-    return met.groupBy(*keys, "previous_onset", "previous_code", "current_onset", "current_code").agg(
-        F.sum(F.col("n_previous") * F.col("n_current")).alias("n_same_location")
+    placed = events.groupBy(*keys, location, onset, code).agg(F.count(F.lit(1)).alias("n"))
+    same = (
+        _cell_pairs(placed, [*keys, location], code, onset, days)
+        .groupBy(*ends)
+        .agg(F.sum(F.col("n_previous") * F.col("n_current")).alias("n_same_location"))
     )
+    conflict = F.col("n_pairs") - F.coalesce("n_same_location", F.lit(0))
+    return pairs.join(same, ends, "left").select(*pairs.columns, conflict.alias("n_location_conflict"))
 
 
 def flag_cross_code(
     events: DataFrame, keys: list[str], code: str, onset: str, days: int = NEAR_DAYS, name: str = "cross_near"
 ) -> DataFrame:
-    """0/1 per event: another code of the same key within ``days``."""
+    """0/1 per event: another code of the same key within ``days``.
+
+    Least and greatest code around a day tell whether there is another one; the window runs over
+    distinct (day, code) cells of a key.
+    """
     cells = events.select(*keys, onset, code).distinct()
-    other = cells.select(
-        *keys, F.explode(F.sequence(F.date_sub(onset, days), F.date_add(onset, days))).alias(onset), F.col(code).alias("__other")
-    )
-    # Two distinct neighbouring codes are enough to answer for every code of the day.
-    around = other.groupBy(*keys, onset).agg(F.min("__other").alias("__lo"), F.max("__other").alias("__hi"))
-    hit = (F.col("__lo") != F.col(code)) | (F.col("__hi") != F.col(code))
-    return events.join(around, [*keys, onset], "left").withColumn(name, flag(hit)).drop("__lo", "__hi")
+    day = F.datediff(onset, F.lit("1970-01-01").cast("date"))
+    around = Window.partitionBy(*keys).orderBy(day).rangeBetween(-days, days)
+    hit = (F.min(code).over(around) != F.col(code)) | (F.max(code).over(around) != F.col(code))
+    marks = cells.select(*keys, onset, code, hit.cast("int").alias(name))
+    return events.join(marks, [*keys, onset, code], "left").withColumn(name, F.coalesce(name, F.lit(0)))

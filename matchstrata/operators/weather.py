@@ -75,13 +75,16 @@ def basis_parameters(series: DataFrame, configs: dict[str, BasisConfig]) -> dict
     """
     dfs = sorted({c.var_df for c in configs.values()})
     probs = {f"k{n}_{i}": i / n for n in dfs for i in range(1, n)}
-    temp = exact_quantiles(series, [], "temp", {"lo": 0.0, **probs, "hi": 1.0}).first()
-    rh = exact_quantiles(series, [], "rh_ma03", {"lo": 0.0, "k1": 1 / 3, "k2": 2 / 3, "hi": 1.0}).first()
+    probs.update({"k3_1": 1 / 3, "k3_2": 2 / 3, "lo": 0.0, "hi": 1.0})
+    pairs = [F.struct(F.lit(v).alias("variable"), F.col(v).alias("value")) for v in ("temp", "rh_ma03")]
+    long = series.select(F.inline(F.array(*pairs)))
+    found = {r["variable"]: r for r in exact_quantiles(long, ["variable"], "value", probs).collect()}
+    temp, rh = found["temp"], found["rh_ma03"]
     return {
         name: {
             "temp_knots": [temp[f"k{c.var_df}_{i}"] for i in range(1, c.var_df)],
             "temp_bounds": [temp["lo"], temp["hi"]],
-            "rh_knots": [rh["k1"], rh["k2"]],
+            "rh_knots": [rh["k3_1"], rh["k3_2"]],
             "rh_bounds": [rh["lo"], rh["hi"]],
         }
         for name, c in configs.items()
@@ -96,21 +99,21 @@ def cross_basis(series: DataFrame, config: BasisConfig, params: dict, start: str
     """
     tb = spline.spline_columns(F.col("temp"), params["temp_knots"], params["temp_bounds"])
     lb = spline.lag_basis(config.lag, config.lag_df)
-    w = Window.partitionBy(GRID).orderBy(DAY)
+    frame = Window.partitionBy(GRID).orderBy(DAY).rowsBetween(-config.lag, 0)
     base = series.select(GRID, DAY, "temp", "rh_ma03", *[c.alias(f"__t{a}") for a, c in enumerate(tb)])
-    lagged = base.select(
-        "*",
-        *[F.lag(f"__t{a}", k).over(w).alias(f"__t{a}_{k}") for a in range(len(tb)) for k in range(1, config.lag + 1)],
-    )
+    # The last lag+1 values of each basis column, oldest first; nulls are left out and show as a short list.
+    recent = base.select("*", *[F.collect_list(f"__t{a}").over(frame).alias(f"__h{a}") for a in range(len(tb))])
+    weights = [F.array(*[F.lit(float(w)) for w in lb[::-1, b]]) for b in range(config.lag_df)]
     cols = []
     for a in range(len(tb)):
+        history = F.col(f"__h{a}")
         for b in range(config.lag_df):
-            total = F.col(f"__t{a}") * float(lb[0, b])
-            for k in range(1, config.lag + 1):
-                total = total + F.col(f"__t{a}_{k}") * float(lb[k, b])
-            cols.append(total.alias(f"temp_cb{a * config.lag_df + b + 1}"))
+            parts = F.zip_with(history, weights[b], lambda v, w: v * w)
+            total = F.aggregate(parts, F.lit(0.0), lambda acc, v: acc + v)
+            whole = F.size(history) == config.lag + 1
+            cols.append(F.when(whole, total).alias(f"temp_cb{a * config.lag_df + b + 1}"))
     rh = spline.spline_columns(F.col("rh_ma03"), params["rh_knots"], params["rh_bounds"])
-    out = lagged.select(GRID, DAY, "temp", "rh_ma03", *cols, *[c.alias(f"rh_ns{i + 1}") for i, c in enumerate(rh)])
+    out = recent.select(GRID, DAY, "temp", "rh_ma03", *cols, *[c.alias(f"rh_ns{i + 1}") for i, c in enumerate(rh)])
     return out.filter(F.col(DAY) >= F.lit(start).cast("date")) if start else out
 
 

@@ -209,3 +209,13 @@ def test_contracts(spark):
 
     with pytest.raises(ContractError):
         collect_bounded(ok, 2, "rows")
+
+
+def test_nearest_grid_both_ways(spark):
+    rng = random.Random(11)
+    locs = spark.createDataFrame([(i, 112 + rng.random() * 3, 22 + rng.random() * 3) for i in range(80)], "location_id int, longitude double, latitude double")
+    grids = exposure.lattice(spark)
+    few = exposure.nearest_grid(locs, grids, "weather_grid_id").toPandas().sort_values("location_id")
+    many = exposure.nearest_grid(locs, grids, "weather_grid_id", small=10).toPandas().sort_values("location_id")
+    assert few["weather_grid_id"].tolist() == many["weather_grid_id"].tolist()
+    assert np.allclose(few["weather_distance_km"], many["weather_distance_km"])

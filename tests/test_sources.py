@@ -80,3 +80,9 @@ def test_queue_stream_appends_once(spark, tmp_path):
     feed_queue(stream, out, str(tmp_path / "c1")).awaitTermination(60)
     feed_queue(stream, out, str(tmp_path / "c2")).awaitTermination(60)
     assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_inventory_lines(spark, tmp_path):
+    (tmp_path / "i.jsonl").write_text('{"pollutant":"PM25","date":"2023-01-01","path":"p","variable":"v","valid_cells":3,"missing_cells":1}\n')
+    r = readers.read_inventory(spark, str(tmp_path / "i.jsonl")).first()
+    assert r["pollutant"] == "PM25" and str(r["date"]) == "2023-01-01" and r["missing_cells"] == 1
