@@ -120,7 +120,7 @@ def archive_coverage(spark, sf):
     """File dates read from names, against the calendar."""
     names = table(spark, sf, "lineitem").select(
         F.year("l_shipdate").alias("year"),
-        F.concat(F.lit("a/CHAP_D1K_"), F.date_format("l_shipdate", "yyyyMMdd"), F.lit("_V4.nc")).alias("name"),
+        F.concat(F.lit("a/X_D1K_"), F.date_format("l_shipdate", "yyyyMMdd"), F.lit("_V4.nc")).alias("name"),
     ).distinct()
     files = names.select(F.lit("qty").alias("pollutant"), "year", readers.date_of_name(F.col("name"), F.col("year")).alias("date"))
     return readers.coverage(files, list(range(1995, 2002)))
