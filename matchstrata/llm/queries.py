@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
-from matchstrata.llm import packing  # noqa: F401
+from matchstrata.llm import packing, simhash  # noqa: F401
 from matchstrata.llm.base import CATALOG
 
 
