@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
-from matchstrata.llm import lines, packing, simhash  # noqa: F401
+from matchstrata.llm import langid, lines, packing, simhash  # noqa: F401
 from matchstrata.llm.base import CATALOG
 
 
