@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
-from matchstrata.llm import langid, lines, packing, simhash, surrogates, tokenfiles  # noqa: F401
+from matchstrata.llm import bytepair, langid, lines, packing, simhash, surrogates, tokenfiles  # noqa: F401
 from matchstrata.llm.base import CATALOG
 
 
