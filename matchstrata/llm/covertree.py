@@ -345,6 +345,20 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, block: i
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-@query("op10_cover_tree_duplicates")
+@query(
+    "op10_cover_tree_duplicates",
+    f"""
+    WITH RECURSIVE v AS (
+      SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS w FROM embeddings
+      WHERE len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+    ), l AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.w) = len(b.w)
+      WHERE list_cosine_similarity(a.w, b.w) >= {SIMILARITY}
+    ), r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    c AS (SELECT a, least(a, min(b)) AS c FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+    SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.c, vec_id) AS component_id, vec_id = coalesce(c.c, vec_id) AS kept
+    FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.a = vec_id
+    """,
+)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
