@@ -349,8 +349,8 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, block: i
     "op10_cover_tree_duplicates",
     f"""
     WITH RECURSIVE v AS (
-      SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS w FROM embeddings
-      WHERE len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+      SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS w FROM embeddings
+      WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
     ), l AS (
       SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.w) = len(b.w)
       WHERE list_cosine_similarity(a.w, b.w) >= {SIMILARITY}

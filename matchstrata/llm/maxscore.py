@@ -155,8 +155,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = TOP, shard: int =
     "op7_maxscore_top5",
     f"""
     WITH v AS (
-      SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS w FROM embeddings
-      WHERE vec_id IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS w FROM embeddings
+      WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     ), s AS (
       SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.w, c.w) AS BIGINT) AS score
       FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.w) = len(q.w)
