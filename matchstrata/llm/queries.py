@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
-from matchstrata.llm import bytepair, covertree, langid, lines, maxscore, packing, simhash, surrogates, tokenfiles  # noqa: F401
+from matchstrata.llm import bytepair, covertree, langid, lines, maxscore, ngrams, packing, simhash, surrogates, tokenfiles  # noqa: F401
 from matchstrata.llm.base import CATALOG
 
 
