@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchstrata.core import let, stored
+from matchstrata.core import ContractError, let, stored
 from matchstrata.llm.base import query, table
 
 #: Titles that tell a name's gender: m, f, or u (not told).
@@ -30,6 +30,8 @@ PATTERNS = {
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity holds; spares most texts the long pattern.
 HINT = rf"[0-9@]|(?:{ANY_TITLE})"
+#: Attempts after which values that still collide are an error: then their type has hardly more forms than the data has values.
+ROUNDS = 40
 #: Types whose digits alone identify the entity, however they are set apart.
 DIGITS = ("card", "phone", "ssn")
 #: Syllables and endings of made-up names, by script (fixed values).
@@ -212,7 +214,7 @@ def collisions(values: DataFrame, key: str) -> DataFrame | None:
     """
     now = values.withColumn("attempt", F.lit(0))
     some = False
-    while True:
+    for _ in range(ROUNDS):
         made = stored(now.withColumn("new", core(key, F.col("kind"), F.col("value"), F.col("attempt"))))
         used = made.select("kind", "new", F.struct("attempt", "value").alias("owner"), F.lit(False).alias("real"))
         real = values.select("kind", F.col("value").alias("new"), F.lit(None).cast(used.schema["owner"].dataType).alias("owner"), F.lit(True).alias("real"))
@@ -222,6 +224,7 @@ def collisions(values: DataFrame, key: str) -> DataFrame | None:
             return made.where("attempt > 0").select("kind", "value", "attempt") if some else None
         some = True
         now = made.select("kind", "value", "attempt").join(bad.withColumn("again", F.lit(1)), ["kind", "value"], "left").select("kind", "value", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
+    raise ContractError("a type has too few forms for the values of the data")
 
 
 def pseudonymised(docs: DataFrame, key: str = "matchstrata") -> DataFrame:
