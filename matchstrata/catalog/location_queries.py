@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from matchstrata.catalog.base import query, table
 from matchstrata.catalog.bindings import DuckDialect, SparkDialect, _pick
-from matchstrata.core import keep, spread, stable
+from matchstrata.core import keep, stable
 from matchstrata.functions import address as ad
 from matchstrata.operators import clusters, validate
 from matchstrata.operators import location as loc
@@ -54,7 +54,7 @@ def addresses(spark, sf):
 def candidates(spark, sf):
     return spark.sql(
         candidate_sql(SparkDialect, "{orders}", "{customer}"),
-        orders=spread(table(spark, sf, "orders")),
+        orders=table(spark, sf, "orders"),
         customer=table(spark, sf, "customer"),
     )
 
@@ -136,7 +136,7 @@ def matched(spark, sf):
 
 _PAIRS = "pair AS (SELECT * FROM cand JOIN prof USING (location_id))"
 _REASON = """CASE WHEN ad <> '' AND text NOT LIKE '%' || ad || '%' THEN 'district_conflict'
- WHEN adcode NOT LIKE '4401%' THEN 'outside_area'
+ WHEN adcode NOT LIKE '4401%' THEN 'outside_guangzhou'
  WHEN len(ar) > 0 AND len(list_filter(ar, lambda x: contains(text, x))) = 0 THEN 'road_conflict_or_missing'
  WHEN len(an) > 0 AND len(tn) > 0 AND an[1] <> tn[1] THEN 'house_number_conflict'
  WHEN len(ar) > 0 AND len(an) > 0 AND list_contains(tn, an[1]) THEN 'road_and_number_agree' ELSE 'text_and_district' END"""

@@ -78,15 +78,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a scan that arrives in fewer splits than there are cores.
-
-    A table of many files is left alone; one small file would otherwise feed one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 _KEPT: dict = {}
 
 

@@ -160,7 +160,7 @@ def strict_score(a: Column, t: Column, adcode: Column) -> Column:
     strong = has_road & _number_found(a, t)
     reason = (
         F.when((a["district"] != "") & ~t["text"].contains(a["district"]), "district_conflict")
-        .when(~F.coalesce(adcode, F.lit("")).startswith(CITY_CODE), "outside_area")
+        .when(~F.coalesce(adcode, F.lit("")).startswith(CITY_CODE), "outside_guangzhou")
         .when(has_road & ~_road_found(a, t), "road_conflict_or_missing")
         .when(_number_conflict(a, t), "house_number_conflict")
         .when(strong, "road_and_number_agree")

@@ -17,10 +17,11 @@ GCJ_ECC2 = 0.006693421622965823
 
 
 def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column, radius: float = EARTH_KM) -> Column:
-    """Haversine distance in the unit of ``radius``."""
+    """Haversine distance in the unit of ``radius``, null if a coordinate is null."""
     dlat, dlon = F.radians(lat2 - lat1) / 2, F.radians(lon2 - lon1) / 2
     a = F.pow(F.sin(dlat), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon), 2)
-    return F.lit(2.0 * radius) * F.asin(F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), a))))
+    # Least and greatest skip nulls, so the null must be kept apart.
+    return F.when(a.isNotNull(), F.lit(2.0 * radius) * F.asin(F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), a)))))
 
 
 def parse_point(c: Column, box: tuple | None = None) -> Column:

@@ -13,85 +13,48 @@ from matchstrata.functions import geo
 
 CELL_DEGREES = 0.0006
 METRES_PER_DEGREE = 111_195.0
-FOLD_LIMIT = 64
 
 
 def _metres(ax, ay, bx, by):
     return geo.great_circle(ax, ay, bx, by, geo.EARTH_M)
 
 
-def leaders(
-    points: DataFrame, key: str, order: str, lon: str, lat: str, radius: float = 100.0, fold_limit: int = FOLD_LIMIT,
-    max_lat: float = 40.0,
-) -> DataFrame:
+def leaders(points: DataFrame, key: str, order: str, lon: str, lat: str, radius: float = 100.0) -> DataFrame:
     """Leaders of each key (A24): in ``order``, a point within ``radius`` of no earlier leader leads.
 
-    Groups up to ``fold_limit`` points are folded as one small array. Larger groups go
-    through grid rounds that never gather a group: a cell is smaller than the radius, so it has at
-    most one leader, and its first undecided point leads once no neighbouring cell
-    holds an earlier undecided point.
+    Rounds over grid cells, for groups of any size, that never gather a group: a cell is smaller than the radius, so it has at
+    most one leader, and its first undecided point leads once no neighbouring cell holds an earlier undecided point. How many
+    cells the radius spans follows from each cell's own latitude. Points without coordinates are left out.
     """
-    pts = points.select(key, F.col(order).alias("ord"), F.col(lon).alias("x"), F.col(lat).alias("y"))
-    sizes = pts.groupBy(key).agg((F.count(F.lit(1)) > fold_limit).alias("big"))
-    marked = pts.join(sizes, key)
-    small = _fold(marked.filter("NOT big").drop("big"), key, radius)
-    big = _rounds(stable(marked.filter("big").drop("big")), key, radius, max_lat)
-    return small.unionByName(big) if big is not None else small
-
-
-def _fold(pts: DataFrame, key: str, radius: float) -> DataFrame:
-    kind = pts.select(F.struct("ord", "x", "y").alias("s")).schema["s"].dataType.simpleString()
-    grouped = pts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ord", "x", "y"))).alias("p"))
-    found = F.aggregate(
-        "p",
-        F.array().cast(f"array<{kind}>"),
-        lambda acc, p: F.when(
-            F.exists(acc, lambda q: _metres(q["x"], q["y"], p["x"], p["y"]) <= radius), acc
-        ).otherwise(F.concat(acc, F.array(p))),
-    )
-    return grouped.select(key, F.inline(found))
-
-
-def _rounds(undecided: DataFrame, key: str, radius: float, max_lat: float) -> DataFrame | None:
-    if undecided.isEmpty():
-        return None
     if radius < CELL_DEGREES * METRES_PER_DEGREE * math.sqrt(2):
         raise ValueError("radius must cover the diagonal of a cell")
     deg = radius / METRES_PER_DEGREE
-    ry, rx = math.ceil(deg / CELL_DEGREES), math.ceil(deg / math.cos(math.radians(max_lat)) / CELL_DEGREES)
-    around = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"))
-            for i in range(-rx, rx + 1)
-            for j in range(-ry, ry + 1)
-        ]
-    )
+    ry = math.ceil(deg / CELL_DEGREES)
+    # Degrees of longitude are shortest at the end of the reach that is nearest to a pole.
+    edge = F.least(F.abs(F.col("cy")) + ry + 1, F.lit(89.9 / CELL_DEGREES)) * CELL_DEGREES
+    rx = F.ceil(F.lit(deg / CELL_DEGREES) / F.cos(F.radians(edge))).cast("int")
+
+    def reached(cells: DataFrame) -> DataFrame:
+        wide = cells.withColumn("__i", F.explode(F.sequence(-rx, rx))).withColumn("__j", F.explode(F.sequence(F.lit(-ry), F.lit(ry))))
+        return wide.withColumn("cx", F.col("cx") + F.col("__i")).withColumn("cy", F.col("cy") + F.col("__j")).drop("__i", "__j")
+
     cell = [key, "cx", "cy"]
-    left = undecided.withColumn("cx", F.floor(F.col("x") / CELL_DEGREES)).withColumn("cy", F.floor(F.col("y") / CELL_DEGREES))
+    left = points.select(key, F.col(order).alias("ord"), F.col(lon).alias("x"), F.col(lat).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
+    left = stable(left.withColumn("cx", F.floor(F.col("x") / CELL_DEGREES)).withColumn("cy", F.floor(F.col("y") / CELL_DEGREES)))
     found = []
     while True:
         first = left.groupBy(*cell).agg(F.min(F.struct("ord", "x", "y")).alias("f"))
-        reach = first.select(key, "cx", "cy", "f", F.explode(around).alias("d")).select(
-            key, (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), "f"
-        )
-        earliest = reach.groupBy(*cell).agg(F.min("f.ord").alias("e"))
+        earliest = reached(first).groupBy(*cell).agg(F.min("f.ord").alias("e"))
         new = stable(first.join(earliest, cell).filter("f.ord = e").select(*cell, "f.*"))
         found.append(new.select(key, "ord", "x", "y"))
-        cover = new.select(
-            key,
-            F.explode(around).alias("d"),
-            "cx",
-            "cy",
-            F.col("x").alias("lx"),
-            F.col("y").alias("ly"),
-        ).select(key, (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"), "lx", "ly")
+        cover = reached(new.select(*cell, F.col("x").alias("lx"), F.col("y").alias("ly")))
         near = [left[c] == cover[c] for c in cell] + [_metres(left["x"], left["y"], cover["lx"], cover["ly"]) <= radius]
         left = stable(left.join(cover, reduce(lambda a, b: a & b, near), "left_anti"))
         if left.isEmpty():
             return reduce(DataFrame.unionByName, found)
 
 
-def separation(found: DataFrame, key: str, fold_limit: int = FOLD_LIMIT) -> DataFrame:
+def separation(found: DataFrame, key: str) -> DataFrame:
     """Number of leaders and the largest distance between two of them, per key.
 
     For many leaders only those that can be an end of the longest distance are compared: their

@@ -76,71 +76,62 @@ def nearest_cell(locations: DataFrame, lat_axis: list[float], lon_axis: list[flo
     )
 
 
-def nearest_grid(locations: DataFrame, grids: DataFrame, grid_id: str, small: int = 4096) -> DataFrame:
-    """Nearest grid point by great-circle distance, lowest id among ties.
+def nearest_grid(locations: DataFrame, grids: DataFrame, grid_id: str) -> DataFrame:
+    """Nearest grid point by great-circle distance, lowest id among ties; null for a location without coordinates.
 
-    A lattice of at most ``small`` points becomes one constant array that each location scans,
-    without a join. A larger one is searched by cells.
+    Locations look for points in widening rings of cells, by equality joins only. A ring begins at the cell of the lattice's box that is
+    nearest to the location and never leaves the box, so a location far off costs a look at each cell at most. Points outside
+    ``ring`` cells are at least ring x step degrees away along one axis, so a location is settled once its best distance
+    is below the least distance of such points; the others widen the ring. Run this on unique locations.
     """
-    points = grids.groupBy(grid_id).agg(
+    points = grids.filter("longitude IS NOT NULL AND latitude IS NOT NULL").groupBy(grid_id).agg(
         F.first("longitude").alias("gx"), F.first("latitude").alias("gy")
     )
-    head = points.limit(small + 1).collect()
-    if len(head) > small:
-        return _nearest_by_cells(locations, points, grid_id)
-    known = F.array(
-        *[F.struct(F.lit(r[0]).alias("id"), F.lit(float(r[1])).alias("x"), F.lit(float(r[2])).alias("y")) for r in sorted(head)]
-    )
-    x, y = F.col("longitude"), F.col("latitude")
-    best = F.array_min(
-        F.transform(
-            known, lambda g: F.struct(geo.great_circle(x, y, g["x"], g["y"]).alias("km"), g["id"].alias("id"))
-        )
-    )
-    return locations.select("*", best.alias("__b")).select(
-        *locations.columns, F.col("__b.id").alias(grid_id), F.col("__b.km").alias("weather_distance_km")
-    )
-
-
-def _nearest_by_cells(locations: DataFrame, points: DataFrame, grid_id: str) -> DataFrame:
-    """Nearest point through widening rings of cells, by equality joins only.
-
-    A point outside ``ring`` cells is at least ring x step degrees away along one axis, so a
-    location is settled once its best distance is below that bound; the others widen the ring.
-    """
+    # Copies on either side, for locations on the other side of the date line.
+    points = points.select(grid_id, "gy", F.explode(F.array(*[F.col("gx") + d for d in (-360.0, 0.0, 360.0)])).alias("gx"))
     box = points.agg(
         F.count(F.lit(1)).alias("n"), F.min("gx").alias("x0"), F.max("gx").alias("x1"),
         F.min("gy").alias("y0"), F.max("gy").alias("y1"),
     ).first()
-    step = max(((box["x1"] - box["x0"]) * (box["y1"] - box["y0"]) / box["n"]) ** 0.5, 1e-6)
+    none = [F.lit(None).cast(grids.schema[grid_id].dataType).alias(grid_id), F.lit(None).cast("double").alias("weather_distance_km")]
+    if not box["n"]:
+        return locations.select("*", *none)
+    # About a point per cell within one copy of the lattice.
+    width = box["x1"] - box["x0"] - 720
+    step = max(((width or 1e-6) * ((box["y1"] - box["y0"]) or 1e-6) / (box["n"] / 3)) ** 0.5, 1e-6)
     celled = points.select(
         grid_id, "gx", "gy", F.floor(F.col("gx") / step).alias("cx"), F.floor(F.col("gy") / step).alias("cy")
     )
+    celled = stable(celled)
     x, y = F.col("longitude"), F.col("latitude")
-    left = stable(locations.select("location_id", "longitude", "latitude").distinct())
+
+    def clamped(v: Column, low: float, high: float) -> Column:
+        return F.floor(F.greatest(F.lit(low), F.least(F.lit(high), v)) / step)
+
+    def cells(at: Column, low: float, high: float) -> Column:
+        return F.sequence(F.greatest(at - ring, F.lit(math.floor(low / step))), F.least(at + ring, F.lit(math.floor(high / step))))
+
+    known = locations.filter(x.isNotNull() & y.isNotNull()).select("location_id", "longitude", "latitude").distinct()
+    left = stable(known.select("*", clamped(x, box["x0"], box["x1"]).alias("ax"), clamped(y, box["y0"], box["y1"]).alias("ay")))
     settled, ring = [], 1
     while not left.isEmpty():
-        offsets = F.sequence(F.lit(-ring), F.lit(ring))
-        reach = left.select("*", F.explode(offsets).alias("__i")).select("*", F.explode(offsets).alias("__j"))
-        reach = reach.select(
-            "location_id", "longitude", "latitude",
-            (F.floor(x / step) + F.col("__i")).alias("cx"), (F.floor(y / step) + F.col("__j")).alias("cy"),
-        )
+        reach = left.select("*", F.explode(cells(F.col("ax"), box["x0"], box["x1"])).alias("cx"))
+        reach = reach.select("*", F.explode(cells(F.col("ay"), box["y0"], box["y1"])).alias("cy"))
         km = geo.great_circle(x, y, F.col("gx"), F.col("gy"))
-        best = reach.join(celled, ["cx", "cy"]).groupBy("location_id").agg(
+        best = reach.join(celled, ["cx", "cy"]).groupBy("location_id", "longitude", "latitude").agg(
             F.min(F.struct(km.alias("km"), F.col(grid_id).alias("id"))).alias("b")
         )
-        # Degrees of longitude shrink towards the poles; take the worst latitude in reach.
-        far = F.least(F.lit(90.0), F.abs(y) + ring * step)
-        sure = F.lit(ring * step * math.pi / 180 * geo.EARTH_KM) * F.cos(F.radians(far))
-        judged = stable(left.join(best, "location_id", "left"))
-        everything = ring * step > 360
+        sure = F.asin(F.cos(F.radians(y)) * math.sin(math.radians(min(ring * step, 90.0)))) * geo.EARTH_KM
+        judged = stable(left.join(best, ["location_id", "longitude", "latitude"], "left"))
+        everything = ring * step > box["x1"] - box["x0"] + box["y1"] - box["y0"] + 2 * step
         ok = F.col("b").isNotNull() & (F.lit(everything) | (F.col("b.km") <= sure))
-        settled.append(judged.filter(ok).select("location_id", "b"))
+        settled.append(judged.filter(ok).select("location_id", "longitude", "latitude", "b"))
         left = judged.filter(~F.coalesce(ok, F.lit(False))).drop("b")
         ring *= 2
+    if not settled:
+        return locations.select("*", *none)
     found = reduce(DataFrame.unionByName, settled)
-    return locations.join(found, "location_id", "left").select(
+    return locations.join(found, ["location_id", "longitude", "latitude"], "left").select(
         *locations.columns, F.col("b.id").alias(grid_id), F.col("b.km").alias("weather_distance_km")
     )
 

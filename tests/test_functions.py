@@ -96,7 +96,7 @@ def test_match_scores_follow_the_ratio(spark):
     ratio = SequenceMatcher(None, "天河区中山大道12号", "天河区中山大道12号大院").ratio()
     assert loose == pytest.approx(round(ratio + 0.6, 4), abs=1e-4)
     outside = df.select(ad.strict_score(F.col("a"), F.col("t"), F.lit("440600"))).first()[0]
-    assert outside["score"] == -1.0 and outside["reason"] == "outside_area"
+    assert outside["score"] == -1.0 and outside["reason"] == "outside_guangzhou"
 
 
 def test_points_and_datum(spark):

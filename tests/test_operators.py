@@ -170,15 +170,15 @@ def test_ranks_and_spearman(spark):
     assert got == pytest.approx(pdf["x"].rank().corr(pdf["y"].rank()))
 
 
-@pytest.mark.parametrize("fold_limit", [64, 3])
-def test_leader_clusters_both_ways(spark, fold_limit):
+@pytest.mark.parametrize("lat,count", [(0.0, 60), (23.0, 240), (60.0, 300), (-75.0, 200)])
+def test_leader_clusters(spark, lat, count):
     rng = random.Random(4)
     pts = []
-    for i in range(240):
-        key = "big" if i % 3 == 0 else f"k{i % 7}"
-        pts.append((key, i, 113 + rng.random() * 0.006, 23 + rng.random() * 0.006))
-    df = spark.createDataFrame(pts, "k string, i int, lon double, lat double")
-    found = clusters.leaders(df, "k", "i", "lon", "lat", fold_limit=fold_limit)
+    for i in range(count):
+        key = "big" if i % 3 else f"k{i % 7}"
+        pts.append((key, i, 113 + rng.random() * 0.006, lat + rng.random() * 0.006))
+    df = spark.createDataFrame([*pts, ("big", -1, None, lat), ("big", -2, 113.0, None)], "k string, i int, lon double, lat double")
+    found = clusters.leaders(df, "k", "i", "lon", "lat")
     got = {(r["k"], r["ord"]) for r in found.collect()}
 
     def metres(a, b):
@@ -211,11 +211,21 @@ def test_contracts(spark):
         collect_bounded(ok, 2, "rows")
 
 
-def test_nearest_grid_both_ways(spark):
+def test_nearest_grid(spark):
+    """Against a full scan, with locations off the lattice, across the date line and without coordinates."""
     rng = random.Random(11)
-    locs = spark.createDataFrame([(i, 112 + rng.random() * 3, 22 + rng.random() * 3) for i in range(80)], "location_id int, longitude double, latitude double")
-    grids = exposure.lattice(spark)
-    few = exposure.nearest_grid(locs, grids, "weather_grid_id").toPandas().sort_values("location_id")
-    many = exposure.nearest_grid(locs, grids, "weather_grid_id", small=10).toPandas().sort_values("location_id")
-    assert few["weather_grid_id"].tolist() == many["weather_grid_id"].tolist()
-    assert np.allclose(few["weather_distance_km"], many["weather_distance_km"])
+    near = [(i, 112 + rng.random() * 3, 22 + rng.random() * 3) for i in range(60)]
+    far = [(100, -60.0, -40.0), (101, 179.9, 23.0), (102, -179.9, 23.0), (103, 113.0, 89.5), (104, 300.0, 10.0)]
+    locs = spark.createDataFrame([*near, *far, (200, None, 23.0), (201, 113.0, None)], "location_id int, longitude double, latitude double")
+    for grids in (exposure.lattice(spark), spark.createDataFrame([("a", -179.5, 23.0), ("b", 178.0, 23.0)], "weather_grid_id string, longitude double, latitude double")):
+        points = sorted(map(tuple, grids.select("weather_grid_id", "longitude", "latitude").collect()))
+        got = {r["location_id"]: r for r in exposure.nearest_grid(locs, grids, "weather_grid_id").collect()}
+        assert len(got) == len(near) + len(far) + 2 and got[200]["weather_grid_id"] is None and got[201]["weather_distance_km"] is None
+        for i, x, y in near + far:
+            p = np.radians([[y, g[2], x, g[1]] for g in points])
+            h = np.sin((p[:, 1] - p[:, 0]) / 2) ** 2 + np.cos(p[:, 0]) * np.cos(p[:, 1]) * np.sin((p[:, 3] - p[:, 2]) / 2) ** 2
+            km = 2 * 6371.0 * np.arcsin(np.sqrt(h))
+            assert got[i]["weather_distance_km"] == pytest.approx(km.min(), abs=1e-6)
+            if np.sort(km)[1] - km.min() > 1e-6:
+                assert got[i]["weather_grid_id"] == points[int(km.argmin())][0]
+    assert exposure.nearest_grid(locs, exposure.lattice(spark).limit(0), "weather_grid_id").count() == len(got)

@@ -1,4 +1,4 @@
-"""Readers, sinks and the queue stream."""
+"""Readers and sinks."""
 
 import gzip
 import hashlib
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from matchstrata.core import ContractError
 from matchstrata.sources import readers, writers
-from matchstrata.streaming.queue import feed_queue
 
 
 def test_sources_aliases_and_empty_rows(spark, tmp_path):
@@ -73,14 +72,6 @@ def test_date_of_name_needs_the_year(spark):
     assert str(got[0]) == "2023-01-05" and got[1:] == [None, None]
 
 
-def test_queue_stream_appends_once(spark, tmp_path):
-    src, out = str(tmp_path / "in"), str(tmp_path / "queue")
-    spark.createDataFrame([(1, "a"), (2, "b"), (1, "a")], "id long, address string").write.parquet(src)
-    stream = spark.readStream.schema("id long, address string").parquet(src)
-    feed_queue(stream, out, str(tmp_path / "c1")).awaitTermination(60)
-    feed_queue(stream, out, str(tmp_path / "c2")).awaitTermination(60)
-    assert sorted(r["id"] for r in spark.read.parquet(out).collect()) == [1, 2]
-
 
 def test_inventory_lines(spark, tmp_path):
     (tmp_path / "i.jsonl").write_text('{"pollutant":"PM25","date":"2023-01-01","path":"p","variable":"v","valid_cells":3,"missing_cells":1}\n')
