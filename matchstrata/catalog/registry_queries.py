@@ -16,6 +16,10 @@ from matchstrata.operators.multiplicity import benjamini_hochberg
 EXAMPLE_SALT = b"synthetic-tables-only"
 
 
+#: Every year of the source; a pivot's columns must be known, its rows are not cut by them.
+YEARS = list(range(1995, 2002))
+
+
 def typed_now(spark, sf):
     return registry.typed_records(registry_raw(spark, sf), ReadableTokens())
 
@@ -266,8 +270,7 @@ def categories(spark, sf):
 @query(
     "A03_disease_summary",
     with_registry(
-        """SELECT disease, count(*) AS candidate_n, count(*) FILTER (year = 1995) AS n1995,
-        count(*) FILTER (year = 1996) AS n1996, count(*) FILTER (year = 1997) AS n1997,
+        f"""SELECT disease, count(*) AS candidate_n, {", ".join(f"count(*) FILTER (year = {y}) AS n{y}" for y in YEARS)},
         count(*) FILTER (sex IN ('男','1')) AS male_n, count(*) FILTER (sex IN ('女','2')) AS female_n,
         count(*) FILTER (age >= 65) AS age65plus_n, count(*) FILTER (p6 <> '') AS door_text_n
         FROM ev GROUP BY disease"""
@@ -275,7 +278,7 @@ def categories(spark, sf):
 )
 def disease_summary(spark, sf):
     conditions = {
-        **{f"n{y}": F.col("year") == y for y in (1995, 1996, 1997)},
+        **{f"n{y}": F.col("year") == y for y in YEARS},
         "male_n": F.col("sex").isin("男", "1"),
         "female_n": F.col("sex").isin("女", "2"),
         "age65plus_n": F.col("age") >= 65,
@@ -778,9 +781,8 @@ def monthly_counts(spark, sf):
 @query(
     "A13_A35_outcome_year_pivot",
     with_registry(
-        """SELECT r AS row_order, o AS outcome_id, count(*) FILTER (year = 1995) AS y1995,
-        count(*) FILTER (year = 1996) AS y1996, count(*) FILTER (year = 1997) AS y1997,
-        count(*) FILTER (year IN (1995, 1996, 1997)) AS total
+        f"""SELECT r AS row_order, o AS outcome_id, {", ".join(f"count(*) FILTER (year = {y}) AS y{y}" for y in YEARS)},
+        count(year) AS total
         FROM (VALUES (0, 'I63'), (1, 'AMI'), (2, 'I20_0'), (3, 'I61'), (4, 'I60')) t(r, o)
         LEFT JOIN coded ON outcome_id = o GROUP BY 1, 2""",
         _CODED,
@@ -788,7 +790,7 @@ def monthly_counts(spark, sf):
 )
 def pivot(spark, sf):
     return audit.outcome_year_pivot(
-        coded(spark, sf), "outcome_id", "year", [1995, 1996, 1997], list(tx.OUTCOME_PREFIXES)
+        coded(spark, sf), "outcome_id", "year", YEARS, list(tx.OUTCOME_PREFIXES)
     )
 
 
@@ -893,15 +895,16 @@ def report_spike_days(spark, sf):
     return out.select(day("report_date"), "n", "late_over30", F.round("threshold", 4).alias("threshold"))
 
 
-_CUTOFFS = {1995: "1995-12-20", 1996: "1996-12-31", 1997: "1998-01-15"}
+_CUTOFFS = {
+    1995: "1995-12-20", 1996: "1996-12-31", 1997: "1998-01-15", 1998: "1998-12-24", 1999: "1999-11-30", 2000: "2001-01-10", 2001: "2001-07-31",
+}
 
 
 @query(
     "A19_after_cutoff",
     with_registry(
-        """SELECT source_year, cast(cutoff AS varchar) AS cutoff, field, count(*) FILTER (value > cutoff) AS after_extract_cutoff
-        FROM (SELECT source_year, CASE source_year WHEN 1995 THEN date '1995-12-20' WHEN 1996 THEN date '1996-12-31'
-          WHEN 1997 THEN date '1998-01-15' END AS cutoff, unnest(['onset','report_date','diagnosis_date']) AS field,
+        f"""SELECT source_year, cast(cutoff AS varchar) AS cutoff, field, count(*) FILTER (value > cutoff) AS after_extract_cutoff
+        FROM (SELECT source_year, CASE source_year {" ".join(f"WHEN {y} THEN date '{d}'" for y, d in _CUTOFFS.items())} END AS cutoff, unnest(['onset','report_date','diagnosis_date']) AS field,
           unnest([onset, report_date, diagnosis_date]) AS value FROM registry)
         WHERE cutoff IS NOT NULL GROUP BY ALL"""
     ),

@@ -11,24 +11,23 @@ from matchstrata.sources import readers
 
 @query(
     "S01_S02_alias_union",
-    """SELECT source_year, source_row, sex, review_status, card_no FROM (
-    SELECT 1995 AS source_year, o_orderkey AS source_row, o_orderstatus AS sex, NULL AS review_status, o_orderpriority AS card_no
-      FROM orders WHERE year(o_orderdate) = 1995
-    UNION ALL SELECT 1996, o_orderkey, o_orderstatus, o_orderpriority, NULL FROM orders WHERE year(o_orderdate) = 1996)""",
+    """SELECT year(o_orderdate) AS source_year, o_orderkey AS source_row, o_orderstatus AS sex,
+    CASE WHEN year(o_orderdate) % 2 = 0 THEN o_orderpriority END AS review_status,
+    CASE WHEN year(o_orderdate) % 2 = 1 THEN o_orderpriority END AS card_no FROM orders""",
 )
 def alias_union(spark, sf):
-    """Two yearly sources with different headers; a present but null first alias still wins."""
-    orders = table(spark, sf, "orders")
-    first = orders.filter("year(o_orderdate) = 1995").select(
-        F.lit(1995).alias("source_year"),
+    """Yearly sources with two sorts of headers in turn; a present but null first alias still wins."""
+    orders = table(spark, sf, "orders").withColumn("source_year", F.year("o_orderdate"))
+    first = orders.filter("source_year % 2 = 1").select(
+        "source_year",
         F.col("o_orderkey").alias("source_row"),
         F.col("o_orderstatus").alias("性别"),
         F.lit(None).cast("string").alias("审核状态"),
         F.lit("unused").alias("卡片状态"),
         F.col("o_orderpriority").alias("报告卡编号"),
     )
-    second = orders.filter("year(o_orderdate) = 1996").select(
-        F.lit(1996).alias("source_year"),
+    second = orders.filter("source_year % 2 = 0").select(
+        "source_year",
         F.col("o_orderkey").alias("source_row"),
         F.col("o_orderstatus").alias("性别"),
         F.col("o_orderpriority").alias("卡片状态"),
