@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from matchstrata.operators.registry import DUP_CARD, DUP_EVENT
 from matchstrata.catalog.base import table
 
 
@@ -136,6 +137,36 @@ def _duck_date(c: str) -> str:
     )
 
 
+def _rounds(n: int = 8) -> str:
+    """Greedy de-duplication in unrolled rounds: rows that are first in both their groups stay, what meets them goes.
+
+    ``judged`` has every screened row with '' or the key it lost by, ``ev`` the rows that stay; a row that is still undecided
+    after the last round makes the query fail.
+    """
+    cols = "event_id, source_year, source_row, card_token, person_id, onset, disease"
+    out = [f"left0 AS MATERIALIZED (SELECT {cols} FROM passed)"]
+    for k in range(n):
+        out.append(
+            f"""mark{k} AS MATERIALIZED (SELECT *,
+    (card_token IS NULL OR row_number() OVER (PARTITION BY source_year, card_token ORDER BY source_row) = 1)
+    AND row_number() OVER (PARTITION BY person_id, onset, disease ORDER BY source_year, source_row) = 1 AS leads FROM left{k}),
+  left{k + 1} AS MATERIALIZED (SELECT {cols} FROM mark{k} m WHERE NOT leads
+    AND NOT EXISTS (FROM mark{k} c WHERE c.leads AND c.source_year = m.source_year AND c.card_token = m.card_token)
+    AND NOT EXISTS (FROM mark{k} c WHERE c.leads AND c.person_id = m.person_id AND c.onset = m.onset AND c.disease = m.disease))"""
+        )
+    kept = " UNION ALL ".join(f"SELECT {cols} FROM mark{k} WHERE leads" for k in range(n))
+    out.append(f"stay AS MATERIALIZED ({kept})")
+    out.append(
+        f"""judged AS MATERIALIZED (SELECT p.event_id, p.source_year, CASE
+    WHEN EXISTS (FROM stay c WHERE c.source_year = p.source_year AND c.card_token = p.card_token AND c.source_row < p.source_row) THEN '{DUP_CARD}'
+    WHEN EXISTS (FROM stay c WHERE c.person_id = p.person_id AND c.onset = p.onset AND c.disease = p.disease
+      AND (c.source_year < p.source_year OR c.source_year = p.source_year AND c.source_row < p.source_row)) THEN '{DUP_EVENT}'
+    ELSE '' END AS lost FROM passed p WHERE CASE WHEN (SELECT count(*) FROM left{n}) > 0 THEN error('undecided rows') ELSE true END)"""
+    )
+    out.append("ev AS (SELECT p.* FROM passed p JOIN judged j USING (event_id) WHERE j.lost = '')")
+    return ", ".join(out)
+
+
 REGISTRY_CTE = f"""
 raw AS ({registry_sql(DuckDialect)}),
 typed AS (
@@ -195,7 +226,8 @@ screened AS (
       WHEN p4 || p5 || p6 = '' THEN '缺少街道及以下现住址'
       ELSE '' END AS reason
   FROM registry),
-ev AS (SELECT * FROM screened WHERE reason = '')
+passed AS MATERIALIZED (SELECT * FROM screened WHERE reason = ''),
+{_rounds()}
 """
 
 

@@ -33,9 +33,14 @@ def screened(spark, sf):
     return registry.screen(records(spark, sf))
 
 
+def candidates(spark, sf):
+    """Screened rows with '' or the key they lost by in de-duplication, written once."""
+    return keep(spark, (sf, "candidates"), lambda: stable(registry.candidate_events(screened(spark, sf))))
+
+
 def events(spark, sf):
-    """Screened candidates before de-duplication."""
-    return screened(spark, sf).filter("reason = ''").drop("reason")
+    """Candidate events: screened and de-duplicated."""
+    return candidates(spark, sf).filter("reason = ''").drop("reason")
 
 
 def day(c):
@@ -196,9 +201,7 @@ def screening(spark, sf):
     return screened(spark, sf).select("event_id", "reason")
 
 
-# Greedy twin: the rule in closed form is recursive over row order, so SQL checks the kept set's
-# defining property instead: a row is kept if and only if no earlier kept row holds one of its keys.
-@query("P02_greedy_deduplication")
+@query("P02_greedy_deduplication", with_registry("SELECT event_id, lost AS reason FROM judged"))
 def greedy(spark, sf):
     return registry.candidate_events(screened(spark, sf)).select("event_id", "reason")
 
@@ -228,12 +231,13 @@ def greedy_property(spark, sf):
     with_registry(
         """SELECT source_year, step, n FROM (
         SELECT source_year, '原始非空记录' AS step, count(*) AS n FROM screened GROUP BY 1
-        UNION ALL SELECT source_year, CASE WHEN reason = '' THEN '保留候选记录（非最终事件）' ELSE reason END, count(*)
-        FROM screened GROUP BY 1, 2)"""
+        UNION ALL SELECT source_year, reason, count(*) FROM screened WHERE reason <> '' GROUP BY 1, 2
+        UNION ALL SELECT source_year, CASE WHEN lost = '' THEN '保留候选记录（非最终事件）' ELSE lost END, count(*)
+        FROM judged GROUP BY 1, 2)"""
     ),
 )
 def flow(spark, sf):
-    return registry.screening_flow(screened(spark, sf)).orderBy("source_year", F.desc("n"), "step")
+    return registry.screening_flow(screened(spark, sf), candidates(spark, sf)).orderBy("source_year", F.desc("n"), "step")
 
 
 @query(
