@@ -345,24 +345,34 @@ def spearman(spark, sf):
     return out.select("priority", "n", F.round("spearman_r", 6).alias("spearman_r"))
 
 
-@query(
-    "T04_V07_reextraction",
-    "SELECT cast(NULL AS bigint) AS event_id, '' AS name, 0 AS lag WHERE false",
-)
+@query("T04_V07_reextraction", "SELECT 30 AS sampled, 30 AS planted, 30 AS found, 0 AS others")
 def reextraction(spark, sf):
+    """A seeded sample of stored rows, one lag of each changed: the lookup must find these and nothing else."""
     sample = validate.seeded_sample(exposure_rows(spark, sf), ["event_id", "date"], 20261003, 30)
-    errors = validate.reextraction_errors(sample, values_wide(spark, sf), CELL, ex.POLLUTANTS, range(8))
-    return errors.select("event_id", "name", "lag")
+    wrong = sample.withColumn("PM25_l3", F.coalesce("PM25_l3", F.lit(0.0)) + 1)
+    errors = validate.reextraction_errors(wrong, values_wide(spark, sf), CELL, ex.POLLUTANTS, range(8))
+    planted = (F.col("name") == "PM25") & (F.col("lag") == 3)
+    found = errors.agg(F.count_if(planted).cast("int").alias("found"), F.count_if(~planted).cast("int").alias("others"))
+    return sample.agg(F.count(F.lit(1)).cast("int").alias("sampled")).crossJoin(found).select("sampled", F.col("sampled").alias("planted"), "found", "others")
 
 
-@query("V01_stratum_contract", "SELECT cast(NULL AS bigint) AS event_id WHERE false")
+@query("V01_stratum_contract", "SELECT o_orderkey AS event_id FROM orders WHERE o_orderkey % 97 = 0 OR o_orderkey % 101 = 0 OR o_orderkey % 103 = 0")
 def contract(spark, sf):
-    return validate.stratum_violations(strata(spark, sf)).select("event_id")
+    """Strata without a case, over two locations, or with a date twice are planted by the order's key."""
+    key = F.col("event_id")
+    rows = strata(spark, sf)
+    rows = rows.withColumn("location_id", F.when((key % 101 == 0) & (F.col("case") == 1), F.col("location_id") + 1).otherwise(F.col("location_id")))
+    rows = rows.withColumn("case", F.when(key % 97 == 0, 0).otherwise(F.col("case")))
+    twice = rows.filter((key % 103 == 0) & (F.col("case") == 0)).groupBy(rows.columns).agg(F.lit(1)).select(rows.columns)
+    return validate.stratum_violations(rows.unionByName(twice)).select("event_id")
 
 
-@query("V08_single_month", "SELECT cast(NULL AS bigint) AS event_id WHERE false")
+@query("V08_single_month", "SELECT o_orderkey AS event_id FROM orders WHERE o_orderkey % 89 = 0")
 def single_month(spark, sf):
-    return validate.several_values(strata(spark, sf), "event_id", F.date_format("date", "yyyy-MM")).select("event_id")
+    """The case day of some strata is moved to another month."""
+    moved = F.when((F.col("event_id") % 89 == 0) & (F.col("case") == 1), F.add_months("date", 1)).otherwise(F.col("date"))
+    rows = strata(spark, sf).withColumn("date", moved)
+    return validate.several_values(rows, "event_id", F.date_format("date", "yyyy-MM")).select("event_id")
 
 
 # ---------------------------------------------------------------- weather
@@ -412,9 +422,32 @@ def humidity(spark, sf):
     return humid(spark, sf).select("weather_grid_id", iso("date"), F.round("rh_ma03", 4).alias("rh_ma03"))
 
 
-@query("W12_V03_weather_contract", "SELECT '' AS weather_grid_id, '' AS rule WHERE false")
+@query(
+    "W12_V03_weather_contract",
+    f"""WITH {_WEATHER}, p AS (SELECT weather_grid_id, date, dayofmonth(date) AS d, month(date) AS m FROM wx)
+    SELECT weather_grid_id, cast(date AS varchar) AS date, 'null' AS rule FROM p WHERE d = 5 AND m = 3
+    UNION ALL SELECT weather_grid_id, cast(date AS varchar), 'range' FROM p WHERE d = 6 AND m = 4
+    UNION ALL SELECT weather_grid_id, cast(date AS varchar), 'duplicate' FROM p WHERE d = 7 AND m = 5
+    UNION ALL SELECT weather_grid_id, cast(date + 1 AS varchar), 'gap' FROM p WHERE d = 8 AND m = 6""",
+)
 def weather_contract(spark, sf):
-    return validate.weather_violations(weather_series(spark, sf)).select("weather_grid_id", "rule")
+    """Null, out-of-range, repeated and missing days are planted by date."""
+    d, m = F.dayofmonth("date"), F.month("date")
+    rows = weather_series(spark, sf).filter(~((d == 8) & (m == 6)))
+    rows = rows.withColumn("temp", F.when((d == 5) & (m == 3), F.lit(None)).otherwise(F.col("temp")))
+    rows = rows.withColumn("rh", F.when((d == 6) & (m == 4), F.lit(101.0)).otherwise(F.col("rh")))
+    rows = rows.unionByName(rows.filter((d == 7) & (m == 5)))
+    return validate.weather_violations(rows).select("weather_grid_id", iso("date"), "rule")
+
+
+@query(
+    "V02_weather_key",
+    f"""WITH {_WEATHER} SELECT weather_grid_id, cast(date AS varchar) AS date, cast(2 AS bigint) AS rows FROM wx WHERE dayofmonth(date) = 11""",
+)
+def weather_key(spark, sf):
+    rows = weather_series(spark, sf)
+    twice = rows.unionByName(rows.filter(F.dayofmonth("date") == 11))
+    return validate.duplicate_keys(twice, ["weather_grid_id", "date"]).select("weather_grid_id", iso("date"), "rows")
 
 
 @query(

@@ -464,15 +464,28 @@ def tier_counts(spark, sf):
     return loc.tier_totals(loc.tiers(audited(spark, sf)))
 
 
-@query("V05_location_invariants", "SELECT cast(NULL AS bigint) AS location_id WHERE false")
+@query("V05_location_invariants", "SELECT c_custkey AS location_id FROM customer WHERE c_custkey % 43 = 0 OR c_custkey % 47 = 0")
 def location_invariants(spark, sf):
-    return validate.location_violations(loc.tiers(audited(spark, sf))).select("location_id")
+    """Eligibility against the verification, and tiers that don't add up, are planted by the location's key."""
+    key = F.col("location_id")
+    rows = loc.tiers(audited(spark, sf)).withColumn("main_eligible", F.when(key % 43 == 0, 1 - F.col("verified_within_1km")).otherwise(F.col("main_eligible")))
+    rows = rows.withColumn("sensitivity_eligible", F.when(key % 47 == 0, F.col("sensitivity_core_eligible") + F.col("sensitivity_coarse_eligible") + 1).otherwise(F.col("sensitivity_eligible")))
+    return validate.location_violations(rows).select("location_id")
 
 
-@query("V06_coordinates_unchanged", "SELECT cast(NULL AS bigint) AS location_id, '' AS change WHERE false")
+@query(
+    "V06_coordinates_unchanged",
+    """SELECT c_custkey AS location_id, 'lost' AS change FROM customer WHERE c_custkey % 37 = 0
+    UNION ALL SELECT c_custkey, 'changed' FROM customer WHERE c_custkey % 41 = 0 AND c_custkey % 37 <> 0
+    UNION ALL SELECT -c_custkey - 1, 'gained' FROM customer WHERE c_custkey % 53 = 0""",
+)
 def unchanged(spark, sf):
-    after = loc.tiers(audited(spark, sf))
-    return validate.changed_rows(addresses(spark, sf), after, "location_id", ["longitude", "latitude"])
+    """Lost, gained and changed locations are planted among the audited ones."""
+    key = F.col("location_id")
+    after = loc.tiers(audited(spark, sf)).select("location_id", "longitude", "latitude")
+    gained = after.filter(key % 53 == 0).withColumn("location_id", -key - 1)
+    moved = after.filter(key % 37 != 0).withColumn("longitude", F.when(key % 41 == 0, F.coalesce("longitude", F.lit(0.0)) + 1).otherwise(F.col("longitude")))
+    return validate.changed_rows(addresses(spark, sf), moved.unionByName(gained), "location_id", ["longitude", "latitude"])
 
 
 _AUDIT_SQL = """SELECT c_custkey AS location_id, {level} AS provider_level, {quality} AS match_quality, {fuzzy} AS fuzzy_level,

@@ -697,9 +697,14 @@ def pending(spark, sf):
     return adjudicated(spark, sf).filter("decision = 'pending_review'").select("event_id")
 
 
-@query("V04_adjudication_invariants", "SELECT cast(NULL AS varchar) AS event_id WHERE false")
+@query("V04_adjudication_invariants", with_registry("SELECT event_id FROM registry WHERE source_row % 71 = 0 OR source_row % 73 = 0"))
 def adjudication_invariants(spark, sf):
-    return validate.adjudication_violations(adjudicated(spark, sf)).select("event_id")
+    """Included rows that aren't eligible, and pending ones that are settled, are planted by the source row."""
+    row = F.col("source_row")
+    rows = adjudicated(spark, sf)
+    rows = rows.withColumn("decision", F.when(row % 71 == 0, "included").when(row % 73 == 0, "pending_review").otherwise(F.col("decision")))
+    rows = rows.withColumn("eligible", F.when((row % 71 == 0) | (row % 73 == 0), 0).otherwise(F.col("eligible")))
+    return validate.adjudication_violations(rows).select("event_id")
 
 
 def scope(spark, sf):
@@ -886,7 +891,8 @@ def batches(spark, sf):
         FROM known k JOIN (SELECT y, greatest(2.0, med + 6 * 1.4826 * median(abs(n - med))) AS threshold FROM (
           SELECT y, n, median(n) OVER (PARTITION BY y) AS med FROM filled) GROUP BY y, med) t
         ON t.y = year(k.report_date) AND k.n > t.threshold AND k.late >= 2 AND k.late / k.n >= 0.75""",
-        f"""known AS (SELECT report_date, count(*) AS n, count(*) FILTER ({_DELAY} > 30) AS late FROM registry
+        f"""late AS (SELECT * REPLACE (CASE WHEN source_row % 20 = 0 THEN make_date(source_year + 1, 2, 3) ELSE report_date END AS report_date) FROM registry),
+        known AS (SELECT report_date, count(*) AS n, count(*) FILTER ({_DELAY} > 30) AS late FROM late
         WHERE report_date <= date '2001-06-30' GROUP BY 1)""",
         """filled AS (SELECT e.y, g.d, coalesce(k.n, 0) AS n FROM
         (SELECT year(report_date) AS y, max(report_date) AS last FROM known GROUP BY 1) e
@@ -895,7 +901,11 @@ def batches(spark, sf):
     ),
 )
 def report_spike_days(spark, sf):
-    out = audit.report_spikes(audit.report_days(records(spark, sf)), "2001-06-30", floor=2.0, late_floor=2)
+    # One day of each year gets a twentieth of the year before, as when a backlog is entered.
+    backlog = F.col("source_row") % 20 == 0
+    rows = records(spark, sf).withColumn("report_date", F.when(backlog, F.make_date(F.col("source_year") + 1, F.lit(2), F.lit(3))).otherwise(F.col("report_date")))
+    rows = rows.withColumn("onset_to_report", F.datediff("report_date", "onset"))
+    out = audit.report_spikes(audit.report_days(rows), "2001-06-30", floor=2.0, late_floor=2)
     return out.select(day("report_date"), "n", "late_over30", F.round("threshold", 4).alias("threshold"))
 
 
@@ -921,9 +931,10 @@ def cutoffs(spark, sf):
 # ---------------------------------------------------------------- sets, queues, contracts
 
 
-@query("V02_key_uniqueness", "SELECT cast(NULL AS varchar) AS event_id, cast(0 AS bigint) AS rows WHERE false")
+@query("V02_key_uniqueness", with_registry("SELECT event_id, cast(2 AS bigint) AS rows FROM registry WHERE source_row % 113 = 0"))
 def uniqueness(spark, sf):
-    return validate.duplicate_keys(records(spark, sf), ["event_id"])
+    rows = records(spark, sf)
+    return validate.duplicate_keys(rows.unionByName(rows.filter("source_row % 113 = 0")), ["event_id"])
 
 
 @query(
@@ -949,11 +960,17 @@ def set_operations(spark, sf):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@query("U02_set_equality", "SELECT cast(NULL AS bigint) AS key, '' AS side WHERE false")
+@query(
+    "U02_set_equality",
+    """SELECT o_orderkey AS key, 'left' AS side FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 1)
+    UNION ALL SELECT l_orderkey, 'right' FROM lineitem WHERE l_linenumber > 1 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY 1
+    EXCEPT SELECT o_orderkey, 'left' FROM orders WHERE o_orderstatus = 'P'""",
+)
 def set_equality(spark, sf):
-    left = table(spark, sf, "orders").select(F.col("o_orderkey").alias("key")).distinct()
-    right = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key")).distinct()
-    return validate.set_difference(right.intersect(left), right)
+    """Settled orders against orders with a second line: both sides miss some of the other."""
+    left = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("key")).distinct()
+    right = table(spark, sf, "lineitem").filter("l_linenumber > 1").select(F.col("l_orderkey").alias("key")).distinct()
+    return validate.set_difference(left, right)
 
 
 @query(

@@ -140,8 +140,3 @@ def drift(spark, sf):
     )
     expected = docs.select("filename", F.sha2("text", 256).alias("sha256"))
     return readers.drifted(actual, expected)
-
-
-@query("V02_weather_key", "SELECT cast(0 AS bigint) AS event_id, cast(0 AS bigint) AS rows WHERE false")
-def event_key(spark, sf):
-    return validate.duplicate_keys(table(spark, sf, "events"), ["event_id"])
