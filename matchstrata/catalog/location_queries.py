@@ -266,7 +266,8 @@ def queue_sync(spark, sf):
 
 _SCORED = """SELECT o_custkey AS query_id, o_orderkey AS pos, (o_orderkey * 37 % 1000) / 1e3 - 0.05e0 AS score,
  CASE WHEN o_orderkey % 2 = 0 THEN 'road_and_number_agree' ELSE 'text_and_district' END AS reason,
- CASE WHEN o_orderkey % 3 = 0 THEN '门牌号' ELSE '道路' END AS level, o_orderpriority AS location FROM {orders}"""
+ CASE WHEN o_orderkey % 3 = 0 THEN '门牌号' ELSE '道路' END AS level, o_orderpriority AS location FROM {orders}
+ WHERE o_custkey % 9 <> 0"""
 
 
 @query(
@@ -276,12 +277,16 @@ _SCORED = """SELECT o_custkey AS query_id, o_orderkey AS pos, (o_orderkey * 37 %
     b AS (SELECT *, score - coalesce(nxt, -1) AS margin, CASE WHEN score < 0 THEN 'candidate_conflict'
       WHEN n > 1 AND (score < 0.72 OR score - nxt < 0.15) THEN 'ambiguous' WHEN n = 1 AND score < 0.35 THEN 'weak_text_match'
       ELSE 'selected' END AS outcome FROM r WHERE rn = 1)
-    SELECT query_id, outcome, CASE WHEN outcome = 'selected' THEN location END AS location, round(score, 4) AS match_score,
-    round(margin, 4) AS candidate_margin, CASE WHEN level = '门牌号' AND reason = 'road_and_number_agree'
-      THEN 'door_or_building_unverified' ELSE 'coarse_or_fuzzy_unverified' END AS match_quality FROM b""",
+    SELECT c_custkey AS query_id, coalesce(outcome, 'unmatched') AS outcome, CASE WHEN outcome = 'selected' THEN location END AS location,
+    round(score, 4) AS match_score, round(margin, 4) AS candidate_margin, CASE WHEN outcome = 'selected' THEN 'direct' END AS match_method,
+    CASE WHEN query_id IS NULL THEN NULL WHEN level = '门牌号' AND reason = 'road_and_number_agree'
+      THEN 'door_or_building_unverified' ELSE 'coarse_or_fuzzy_unverified' END AS match_quality
+    FROM customer LEFT JOIN b ON query_id = c_custkey""",
 )
 def choose(spark, sf):
-    return loc.choose(spark.sql(_SCORED, orders=table(spark, sf, "orders")))
+    """Candidates of orders for all customers; those of every ninth customer are malformed and so not valid."""
+    asked = table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id"))
+    return loc.choose(spark.sql(_SCORED, orders=table(spark, sf, "orders")), asked)
 
 
 @query("W10_provider_selection")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from matchstrata.catalog.base import query, table
-from matchstrata.operators import validate, weather
-from matchstrata.sources import readers
+from matchstrata.core import _ensure_checkpoint_dir
+from matchstrata.operators import weather
+from matchstrata.sources import readers, writers
 
 
 @query(
@@ -140,3 +145,90 @@ def drift(spark, sf):
     )
     expected = docs.select("filename", F.sha2("text", 256).alias("sha256"))
     return readers.drifted(actual, expected)
+
+
+# ---------------------------------------------------------------- round trips through a scratch folder
+
+
+def scratch(spark):
+    """A new path in the shared folder of the session."""
+    return f"{_ensure_checkpoint_dir(spark)}/trip-{uuid.uuid4().hex}"
+
+
+@query(
+    "S04_csv_round_trip",
+    """SELECT lpad(cast(c_custkey AS varchar), 9, '0') AS id, c_name || ', "' || c_mktsegment || '"' AS name,
+    CASE WHEN c_custkey % 7 <> 0 THEN cast(c_nationkey AS varchar) END AS nation FROM customer""",
+)
+def csv_round_trip(spark, sf):
+    """Compressed CSV with leading zeros, quotes, separators and nulls: read back as text, nothing is lost."""
+    rows = table(spark, sf, "customer").select(
+        F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("id"),
+        F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("name"),
+        F.when(F.col("c_custkey") % 7 != 0, F.col("c_nationkey")).cast("string").alias("nation"),
+    )
+    path = scratch(spark)
+    writers.write_once(rows, path, fmt="csv")
+    return readers.read_csv(spark, path)
+
+
+_INVENTORY = """SELECT l_returnflag AS pollutant, cast(l_shipdate AS date) AS date, count(*) AS valid_cells,
+ sum(cast(l_quantity > 45 AS bigint)) AS missing_cells FROM {lineitem} GROUP BY 1, 2"""
+
+
+@query("S05_inventory_lines", f"SELECT pollutant, cast(date AS varchar) AS date, 'p/' || pollutant AS path, valid_cells, cast(missing_cells AS bigint) AS missing_cells FROM ({_INVENTORY.format(lineitem='lineitem')})")
+def inventory_lines(spark, sf):
+    """A raster inventory written as JSON lines and scanned again."""
+    rows = spark.sql(_INVENTORY, lineitem=table(spark, sf, "lineitem"))
+    path = scratch(spark)
+    rows.withColumn("path", F.concat(F.lit("p/"), "pollutant")).withColumn("variable", F.lit("v")).write.json(path)
+    back = readers.read_inventory(spark, path)
+    return back.select("pollutant", F.date_format("date", "yyyy-MM-dd").alias("date"), "path", "valid_cells", "missing_cells")
+
+
+@query("S11_S12_write_once", "SELECT o_orderstatus AS status, count(*) AS n, sum(o_orderkey) AS keys, 1 AS second_refused FROM orders GROUP BY 1")
+def written_once(spark, sf):
+    """A versioned table: the first write is whole, a second one to the same path is refused and changes nothing."""
+    orders, path = table(spark, sf, "orders"), scratch(spark)
+    writers.write_once(orders, path, ["o_orderstatus"])
+    refused = 0
+    try:
+        writers.write_once(orders.limit(1), path)
+    except AnalysisException:
+        refused = 1
+    back = spark.read.schema(orders.schema).parquet(path)
+    return back.groupBy(F.col("o_orderstatus").alias("status")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"), F.lit(refused).alias("second_refused")
+    )
+
+
+@query("S13_parameters", "SELECT o_orderpriority AS priority, cast(min(o_orderdate) AS date)::varchar AS first, count(*) AS n FROM orders GROUP BY 1")
+def parameters(spark, sf):
+    """Parameters of a bounded number of groups, written as one JSON row and read by a later step."""
+    found = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.date_format(F.min("o_orderdate"), "yyyy-MM-dd").alias("first"), F.count(F.lit(1)).alias("n"))
+    path = scratch(spark)
+    writers.write_parameters(spark, {r[0]: {"first": r[1], "n": r[2]} for r in found.collect()}, path)
+    back = json.loads(json.dumps(writers.read_parameters(spark, path)))
+    return spark.createDataFrame([(k, v["first"], v["n"]) for k, v in back.items()], "priority string, first string, n long")
+
+
+@query("S14_scoped_snapshot", "SELECT o_orderkey, o_custkey, 1 AS other_scope_refused FROM orders")
+def snapshot(spark, sf):
+    """Rows kept with their scope: they load under it, and under no other."""
+    path = scratch(spark)
+    writers.write_snapshot(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), path, "exploratory")
+    refused = 0
+    try:
+        writers.read_snapshot(spark, path, "formal")
+    except writers.ContractError:
+        refused = 1
+    return writers.read_snapshot(spark, path, "exploratory").withColumn("other_scope_refused", F.lit(refused))
+
+
+@query("S15_staging", "SELECT 'nation' AS name, n_nationkey AS key FROM nation UNION ALL SELECT 'region', r_regionkey FROM region")
+def staging(spark, sf):
+    """Named result tables copied into a staging folder."""
+    target = scratch(spark)
+    writers.stage(spark, {n: f"{sf}/{n}.parquet" for n in ("nation", "region")}, target)
+    parts = [spark.read.parquet(f"{target}/{n}").select(F.lit(n).alias("name"), F.col(f"{n[0]}_{n}key").alias("key")) for n in ("nation", "region")]
+    return parts[0].unionByName(parts[1])

@@ -166,8 +166,10 @@ def strict_score(a: Column, t: Column, adcode: Column) -> Column:
         .when(strong, "road_and_number_agree")
         .otherwise("text_and_district")
     )
-    value = F.least(F.lit(1.0), sequence_ratio(a["plain"], t["plain"]) + F.when(strong, 0.18).otherwise(0.0))
     fits = reason.isin("road_and_number_agree", "text_and_district")
+    # Rejected pairs go to the ratio as nulls, as a condition doesn't keep a row from a Python function.
+    ratio = sequence_ratio(F.when(fits, a["plain"]), F.when(fits, t["plain"]))
+    value = F.least(F.lit(1.0), ratio + F.when(strong, 0.18).otherwise(0.0))
     return F.struct(F.when(fits, value).otherwise(-1.0).alias("score"), reason.alias("reason"))
 
 
@@ -180,8 +182,9 @@ def loose_score(a: Column, t: Column, accepted: Column) -> Column:
     def part(cond, weight):
         return F.when(cond, F.lit(weight)).otherwise(F.lit(0.0))
 
+    fits = (d == "") | (td == "") | (td == d)
     value = (
-        sequence_ratio(F.regexp_replace(a["text"], city_names, ""), F.regexp_replace(t["text"], city_names, ""))
+        sequence_ratio(*(F.when(fits, F.regexp_replace(x["text"], city_names, "")) for x in (a, t)))
         + part((d != "") & t["text"].contains(d), 0.2)
         + part(has_road & found, 0.2)
         + part(_number_found(a, t), 0.2)
@@ -189,7 +192,7 @@ def loose_score(a: Column, t: Column, accepted: Column) -> Column:
         + part(has_road & (F.size(t["roads"]) > 0) & ~found, -0.25)
         + part(accepted, 2.0)
     )
-    return F.when((d == "") | (td == "") | (td == d), F.bround(value, 4))
+    return F.when(fits, F.bround(value, 4))
 
 
 EVIDENCE_FLAGS = [

@@ -78,6 +78,9 @@ def candidate_pool(locations: DataFrame, by_address: DataFrame, by_location: Dat
     """
     cols = ["provider", "lon", "lat", "text", "adcode", "level", "pos"]
     asked = locations.select("location_id", "request")
+    # A shared address is asked once per provider, point and text, whatever its cached rows repeat.
+    rest = F.min(F.struct("pos", "adcode", "level")).alias("r")
+    by_address = by_address.groupBy("address", "provider", "lon", "lat", "text").agg(rest).select("address", "provider", "lon", "lat", "text", "r.*")
     coarse = asked.select("location_id", F.concat(F.lit(SEARCH), ad.coarse_prefix(F.col("request"))).alias("address"))
     parts = [
         asked.withColumnRenamed("request", "address").join(by_address, "address").select("location_id", F.lit(0).alias("source"), *cols),
@@ -138,29 +141,31 @@ def _top_two(scored: DataFrame, key: str) -> DataFrame:
     )
 
 
-def choose(scored: DataFrame, key: str = "query_id", direct: bool = True) -> DataFrame:
+def choose(scored: DataFrame, queries: DataFrame, key: str = "query_id", method: str = "direct") -> DataFrame:
     """Selected candidate per query with margin rules.
 
-    ``scored`` has pos, score, reason, location and level per valid candidate.
+    ``scored`` has pos, score, reason, location and level per valid candidate; a query of ``queries`` that has none is unmatched.
     """
-    top = _top_two(scored, key)
+    top = queries.select(key).distinct().join(_top_two(scored, key), key, "left")
     score, second = F.col("best.score"), F.coalesce("next.score", F.lit(-1.0))
     margin = score - second
     several = F.col("shown") > 1
     outcome = (
-        F.when(score < 0, "candidate_conflict")
+        F.when(F.col("best").isNull(), "unmatched")
+        .when(score < 0, "candidate_conflict")
         .when(several & ((score < 0.72) | (margin < 0.15)), "ambiguous")
         .when(~several & (score < 0.35), "weak_text_match")
         .otherwise("selected")
     )
-    door = F.col("best.level").isin(DOOR_LEVELS) & (F.col("best.reason") == "road_and_number_agree") & F.lit(direct)
+    door = F.col("best.level").isin(DOOR_LEVELS) & (F.col("best.reason") == "road_and_number_agree") & F.lit(method == "direct")
     return top.select(
         key,
         outcome.alias("outcome"),
         F.when(outcome == "selected", F.col("best.location")).alias("location"),
         F.round(score, 4).alias("match_score"),
         F.round(margin, 4).alias("candidate_margin"),
-        F.when(door, "door_or_building_unverified").otherwise("coarse_or_fuzzy_unverified").alias("match_quality"),
+        F.when(outcome == "selected", method).alias("match_method"),
+        F.when(F.col("best").isNotNull(), F.when(door, "door_or_building_unverified").otherwise("coarse_or_fuzzy_unverified")).alias("match_quality"),
     )
 
 
