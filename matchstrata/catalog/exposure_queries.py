@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchstrata.catalog.base import query, table
@@ -229,102 +232,124 @@ def exposed(spark, sf):
     )
 
 
-_WINDOWS = """win AS (SELECT *, ("PM25_l0" + "PM25_l1") / 2 AS a, ("PM25_l0" + "PM25_l1" + "PM25_l2") / 3 AS b,
- ("PM25_l0" + "PM25_l1" + "PM25_l2" + "PM25_l3") / 4 AS c, ("PM25_l1" + "PM25_l2") / 2 AS d,
- ("PM25_l0" + "PM25_l1" + "PM25_l2" + "PM25_l3" + "PM25_l4") / 5 AS e FROM exposed)"""
+_MEANS = {"lag01": (0, 1), "lag02": (0, 1, 2), "lag03": (0, 1, 2, 3), "lag12": (1, 2), "lag04": (0, 1, 2, 3, 4)}
+
+
+def _mean_sql(p: str, lags: tuple) -> str:
+    return "(" + " + ".join(f'"{p}_l{k}"' for k in lags) + f") / {len(lags)}"
+
+
+# One row per matched row and pollutant: the two-day mean, and whether all windows are known.
+_LONG = "long AS (" + " UNION ALL ".join(
+    f"SELECT event_id, location_id, date, '{p}' AS pollutant, {_mean_sql(p, (0, 1))} AS a, "
+    + " AND ".join(f'"{p}_l{k}" IS NOT NULL' for k in range(4))
+    + " AS every FROM exposed"
+    for p in ex.POLLUTANTS
+) + ")"
+
+
+def long_rows(spark, sf):
+    """Two-day means, one row per matched row and pollutant."""
+    rows = ex.with_windows(exposure_rows(spark, sf), ex.POLLUTANTS, {"lag01": (0, 1)})
+    pairs = [F.struct(F.lit(p).alias("pollutant"), F.col(f"{p}_lag01").alias("a")) for p in ex.POLLUTANTS]
+    return rows.select("event_id", "location_id", "date", F.inline(F.array(*pairs)))
 
 
 @query(
     "W06_window_means",
     twin(
-        """SELECT event_id, cast(date AS varchar) AS date, round(a, 4) AS "PM25_lag01", round(b, 4) AS "PM25_lag02",
-        round(c, 4) AS "PM25_lag03", round(d, 4) AS "PM25_lag12", round(e, 4) AS "PM25_lag04" FROM win""",
-        _WINDOWS,
+        "SELECT event_id, cast(date AS varchar) AS date, "
+        + ", ".join(f'round({_mean_sql(p, lags)}, 4) AS "{p}_{w}"' for p in ex.POLLUTANTS for w, lags in _MEANS.items())
+        + " FROM exposed"
     ),
 )
 def window_means(spark, sf):
-    rows = ex.with_windows(exposure_rows(spark, sf), ["PM25"], {**ex.WINDOWS, **ex.EXTRA_WINDOWS})
-    names = [f"PM25_{w}" for w in ("lag01", "lag02", "lag03", "lag12", "lag04")]
+    rows = ex.with_windows(exposure_rows(spark, sf), ex.POLLUTANTS, {**ex.WINDOWS, **ex.EXTRA_WINDOWS})
+    names = [f"{p}_{w}" for p in ex.POLLUTANTS for w in _MEANS]
     return rows.select("event_id", iso("date"), *[F.round(n, 4).alias(n) for n in names])
 
 
-_ALL_WINDOWS = " AND ".join(f'"PM25_l{k}" IS NOT NULL' for k in range(4))
-
-
 @query(
     "P10_P12_A34_complete_strata",
     twin(
-        f"""SELECT sample, count(*) AS n_events, count(*) FILTER (v) AS variable_exposure_events FROM (
-        SELECT 'lag01' AS sample, event_id, max(a) > min(a) AS v FROM win WHERE event_id NOT IN
-          (SELECT event_id FROM win WHERE a IS NULL) GROUP BY 2
-        UNION ALL SELECT 'all_windows', event_id, max(a) > min(a) FROM win WHERE event_id NOT IN
-          (SELECT event_id FROM win WHERE NOT ({_ALL_WINDOWS})) GROUP BY 2) GROUP BY 1""",
-        _WINDOWS,
+        """SELECT p AS pollutant, s AS sample, count(event_id) AS n_events,
+        CASE WHEN count(event_id) > 0 THEN count(*) FILTER (v) END AS variable_exposure_events
+        FROM (SELECT DISTINCT pollutant AS p FROM long), (VALUES ('lag01'), ('all_windows')) t(s) LEFT JOIN (
+        SELECT pollutant, 'lag01' AS sample, event_id, max(a) > min(a) AS v FROM long GROUP BY ALL HAVING bool_and(a IS NOT NULL)
+        UNION ALL SELECT pollutant, 'all_windows', event_id, max(a) > min(a) FROM long GROUP BY ALL HAVING bool_and(every))
+        ON pollutant = p AND sample = s GROUP BY ALL""",
+        _LONG,
     ),
 )
 def complete(spark, sf):
-    rows = ex.with_windows(exposure_rows(spark, sf), ["PM25"])
-    one = ex.stratum_variation(ex.complete_strata(rows, ["PM25_lag01"]), "PM25_lag01")
-    every = ex.stratum_variation(ex.complete_strata(rows, [f"PM25_{w}" for w in ex.WINDOWS]), "PM25_lag01")
-    return one.withColumn("sample", F.lit("lag01")).unionByName(every.withColumn("sample", F.lit("all_windows")))
+    rows = ex.with_windows(exposure_rows(spark, sf), ex.POLLUTANTS)
+    parts = []
+    for p in ex.POLLUTANTS:
+        for sample, windows in (("lag01", ["lag01"]), ("all_windows", ex.WINDOWS)):
+            kept = ex.complete_strata(rows, [f"{p}_{w}" for w in windows])
+            parts.append(ex.stratum_variation(kept, f"{p}_lag01").select(F.lit(p).alias("pollutant"), F.lit(sample).alias("sample"), "*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+_LAG_NAMES = [f"{p}_l{k}" for p in ex.POLLUTANTS for k in range(8)]
 
 
 @query(
     "A28_missing_exposure",
     twin(
         "SELECT unnest(["
-        + ", ".join(f"'PM25_l{k}'" for k in range(8))
+        + ", ".join(f"'{c}'" for c in _LAG_NAMES)
         + '], recursive := false) AS "column", unnest(['
-        + ", ".join(f'count(*) - count("PM25_l{k}")' for k in range(8))
+        + ", ".join(f'count(*) - count("{c}")' for c in _LAG_NAMES)
         + "]) AS missing FROM exposed"
     ),
 )
 def missing(spark, sf):
-    return ex.missing_counts(exposure_rows(spark, sf), [f"PM25_l{k}" for k in range(8)])
+    return ex.missing_counts(exposure_rows(spark, sf), _LAG_NAMES)
 
 
 @query(
     "P11_trimmed_strata",
     twin(
-        """, q AS (SELECT quantile_cont(a, 0.001) AS lo, quantile_cont(a, 0.999) AS hi FROM win)
-        SELECT event_id, count(*) AS n FROM win, q GROUP BY event_id HAVING bool_and(coalesce(a BETWEEN lo AND hi, false))""",
-        _WINDOWS,
+        """SELECT pollutant, event_id, count(*) AS n FROM long JOIN (SELECT pollutant, quantile_cont(a, 0.001) AS lo, quantile_cont(a, 0.999) AS hi
+        FROM long GROUP BY 1) USING (pollutant) GROUP BY ALL HAVING bool_and(coalesce(a BETWEEN lo AND hi, false))""",
+        _LONG,
     ),
 )
 def trimmed(spark, sf):
-    rows = ex.with_windows(exposure_rows(spark, sf), ["PM25"], {"lag01": (0, 1)})
-    q = exact_quantiles(rows, [], "PM25_lag01", {"lo": 0.001, "hi": 0.999}).first()
-    return audit.count_by(ex.trim_strata(rows, "PM25_lag01", q["lo"], q["hi"]), "event_id")
+    rows = long_rows(spark, sf)
+    cuts = exact_quantiles(rows, ["pollutant"], "a", {"lo": 0.001, "hi": 0.999}).collect()  # one row per pollutant
+    parts = [ex.trim_strata(rows.filter(F.col("pollutant") == q["pollutant"]), "a", q["lo"], q["hi"]) for q in cuts]
+    return audit.count_by(reduce(DataFrame.unionByName, parts), "pollutant", "event_id")
 
 
 @query(
     "A30_spline_parameters",
     twin(
-        """SELECT round(quantile_cont(a, 1/3.0), 6) AS k1, round(quantile_cont(a, 2/3.0), 6) AS k2, round(min(a), 6) AS lo,
+        """SELECT pollutant, round(quantile_cont(a, 1/3.0), 6) AS k1, round(quantile_cont(a, 2/3.0), 6) AS k2, round(min(a), 6) AS lo,
         round(max(a), 6) AS hi, round(quantile_cont(a, 0.5), 6) AS reference, round(quantile_cont(a, 0.05), 6) AS d05,
-        round(quantile_cont(a, 0.95), 6) AS d95, count(a) AS n FROM win""",
-        _WINDOWS,
+        round(quantile_cont(a, 0.95), 6) AS d95, count(a) AS n FROM long GROUP BY 1""",
+        _LONG,
     ),
 )
 def parameters(spark, sf):
-    rows = ex.with_windows(exposure_rows(spark, sf), ["PM25"], {"lag01": (0, 1)})
     probs = {"k1": 1 / 3, "k2": 2 / 3, "lo": 0.0, "hi": 1.0, "reference": 0.5, "d05": 0.05, "d95": 0.95}
-    out = exact_quantiles(rows, [], "PM25_lag01", probs)
-    return out.select("n", *[F.round(p, 6).alias(p) for p in probs])
+    out = exact_quantiles(long_rows(spark, sf), ["pollutant"], "a", probs)
+    return out.select("pollutant", "n", *[F.round(p, 6).alias(p) for p in probs])
 
 
 @query(
     "A31_iqr_residence_days",
     twin(
-        """SELECT round(quantile_cont(a, 0.75) - quantile_cont(a, 0.25), 6) AS iqr, count(a) AS n FROM
-        (SELECT DISTINCT location_id, date, a FROM win)""",
-        _WINDOWS,
+        """SELECT pollutant, round(quantile_cont(a, 0.75) - quantile_cont(a, 0.25), 6) AS iqr, count(a) AS n FROM
+        (SELECT DISTINCT pollutant, location_id, date, a FROM long) GROUP BY 1""",
+        _LONG,
     ),
 )
 def iqr(spark, sf):
-    rows = ex.with_windows(exposure_rows(spark, sf), ["PM25"], {"lag01": (0, 1)})
-    out = exact_quantiles(ex.residence_days(rows, ["PM25_lag01"]), [], "PM25_lag01", {"a": 0.25, "b": 0.75})
-    return out.select("n", F.round(F.col("b") - F.col("a"), 6).alias("iqr"))
+    days = long_rows(spark, sf).groupBy("pollutant", "location_id", "date").agg(F.max("a").alias("a"))
+    out = exact_quantiles(days, ["pollutant"], "a", {"q1": 0.25, "q3": 0.75})
+    return out.select("pollutant", "n", F.round(F.col("q3") - F.col("q1"), 6).alias("iqr"))
 
 
 @query(

@@ -141,6 +141,7 @@ def residual_acf(spark, sf):
 
 # ---------------------------------------------------------------- full design
 
+MODIFIERS = ["age65", "male", "warm"]
 SCENARIOS = ["final_review_only", "first_person_group_record", "season_warm", "season_cold"]
 
 
@@ -214,7 +215,7 @@ def full_table(spark, sf):
         rows = grid.with_curve_columns(rows, "PM25_lag01", equal, [q["lo"], q["hi"]], "equal")
         rows = grid.with_lag_columns(rows, "PM25", "dlag")
         more = [f"{k}{i}" for k in ("curve", "equal", "dlag") for i in (1, 2, 3)]
-        more += ["PM25_lag4", "PM25_lag04", "age65", "male", "warm"]
+        more += [f"{p}_{w}" for p in ex.POLLUTANTS for w in ex.EXTRA_WINDOWS] + MODIFIERS
         return study.model_table(rows, study.grid_columns() + more, SCENARIOS)
 
     return keep(spark, (sf, "full"), build)
@@ -246,14 +247,14 @@ def scenario_grid(spark, sf):
 @query("M04_interactions")
 def interactions(spark, sf):
     specs = [
-        grid.interaction(f"{g}|{m}", "PM25_lag01", m, ADJUST, g) for g in GROUPS for m in ("age65", "male", "warm")
+        grid.interaction(f"{g}|{p}|{m}", f"{p}_lag01", m, ADJUST, g) for g in GROUPS for p in ex.POLLUTANTS for m in MODIFIERS
     ]
     return rounded_results(clogit.results(spark, clogit.fit_models(full_table(spark, sf), specs)), "model_id")
 
 
 @query("M15_subgroup_contrasts")
 def subgroups(spark, sf):
-    specs = [grid.interaction(f"{g}|{m}", "PM25_lag01", m, ADJUST, g) for g in GROUPS for m in ("age65", "male")]
+    specs = [grid.interaction(f"{g}|{p}|{m}", f"{p}_lag01", m, ADJUST, g) for g in GROUPS for p in ex.POLLUTANTS for m in MODIFIERS]
     fits = clogit.fit_models(full_table(spark, sf), specs)
     rows = [(m, *r) for m, f in fits.items() for r in grid.subgroup_rows(f)]
     return spark.createDataFrame(
@@ -319,7 +320,7 @@ def dense_lag(spark, sf):
 
 @query("M11_month_clusters")
 def month_clusters(spark, sf):
-    specs = [grid.single(g, "PM25_lag01", ADJUST, g) for g in GROUPS]
+    specs = [grid.single(f"{g}|{p}", f"{p}_lag01", ADJUST, g) for g in GROUPS for p in ex.POLLUTANTS]
     fits = clogit.fit_models(full_table(spark, sf), specs, cluster="month")
     return rounded_results(clogit.results(spark, fits, use_t=True), "model_id", "clusters")
 
@@ -327,7 +328,7 @@ def month_clusters(spark, sf):
 @query("M16_season_followup")
 def season(spark, sf):
     fits = grid.season_followup(
-        full_table(spark, sf), [(g, "PM25") for g in GROUPS], ADJUST, {1: "season_warm", 0: "season_cold"}
+        full_table(spark, sf), [(g, p) for g in GROUPS for p in ex.POLLUTANTS], ADJUST, {1: "season_warm", 0: "season_cold"}
     )
     return rounded_results(clogit.results(spark, fits), "model_id")
 
@@ -335,27 +336,27 @@ def season(spark, sf):
 @query(
     "M24_draw_table",
     """WITH y AS (SELECT strftime(o_orderdate, '%Y') AS year, count(DISTINCT strftime(o_orderdate, '%Y-%m')) AS freq FROM orders GROUP BY 1)
-    SELECT d AS draw, year, freq FROM y, range(50) t(d)""",
+    SELECT d AS draw, year, freq FROM y, range(200) t(d)""",
 )
 def draws(spark, sf):
     """Each draw holds as many months of a year as the year has."""
     months = slices.order_events(spark, sf).select(F.date_format("onset", "yyyy-MM").alias("month"))
-    table = bootstrap.draw_table(months, draws=50)
+    table = bootstrap.draw_table(months, draws=200)
     return table.groupBy("draw", F.substring("month", 1, 4).alias("year")).agg(F.sum("freq").alias("freq"))
 
 
 @query("M12_M13_month_bootstrap")
 def month_bootstrap(spark, sf):
     table = full_table(spark, sf)
-    fits = clogit.fit_models(table, [grid.single(g, "PM25_lag01", ADJUST, g) for g in GROUPS])
-    draws = bootstrap.draw_table(table.df.select("month"), draws=20)
+    fits = clogit.fit_models(table, [grid.single(f"{g}|{p}", f"{p}_lag01", ADJUST, g) for g in GROUPS for p in ex.POLLUTANTS])
+    draws = bootstrap.draw_table(table.df.select("month"), draws=200)
     rows = []
-    for g, f in fits.items():
+    for m, f in fits.items():
         lo, hi, asked, good = bootstrap.bootstrap_interval(bootstrap.bootstrap_fits(table, f, draws))
-        rows.append((g, f.n_events, float(np.exp(f.beta[0])), lo, hi, asked, good))
+        rows.append((*m.split("|"), f.n_events, float(np.exp(f.beta[0])), lo, hi, asked, good))
     return spark.createDataFrame(
         rows,
-        "outcome_id string, n_events long, odds_ratio double, lower_month_block double, upper_month_block double, "
+        "outcome_id string, pollutant string, n_events long, odds_ratio double, lower_month_block double, upper_month_block double, "
         "requested_draws int, successful_draws int",
     )
 
@@ -381,24 +382,25 @@ def weights_equal_clones(spark, sf):
 @query("M23_U01_report_tables")
 def report_tables(spark, sf):
     table = full_table(spark, sf)
-    specs = grid.scenario_grid(GROUPS, SCENARIOS[:2], pollutants=["PM25"], configs=("main",))
+    specs = grid.scenario_grid(GROUPS, SCENARIOS, configs=("main",))
     results = study.run_grid(table, specs, ["outcome_id"], 3)
     extra = [
         grid.single(
-            f"{g}|{w}",
-            f"PM25_{w}",
+            f"{g}|{p}|{w}",
+            f"{p}_{w}",
             ADJUST,
             g,
             labels={
                 "outcome_id": g,
-                "pollutant": "PM25",
+                "pollutant": p,
                 "window": w,
                 "weather_config": "main",
                 "scenario": "reference_daily_lag_extension",
             },
         )
         for g in GROUPS
-        for w in ("lag4", "lag04")
+        for p in ex.POLLUTANTS
+        for w in ex.EXTRA_WINDOWS
     ]
     more = clogit.results(spark, clogit.fit_models(table, extra)).join(grid.label_frame(spark, extra), "model_id")
     parts = {

@@ -619,9 +619,10 @@ _ADJ = (
     """toks AS (SELECT canonical_person_id, count(DISTINCT person_id) AS k FROM registry
       WHERE canonical_person_id IS NOT NULL GROUP BY 1)""",
     "cards AS (SELECT source_year, card_token, count(*) AS k FROM registry WHERE card_token IS NOT NULL GROUP BY 1, 2)",
+    "framed AS (SELECT s.* REPLACE (coalesce(j.lost, s.reason) AS reason) FROM screened s LEFT JOIN judged j USING (event_id))",
     f"""base AS (SELECT s.*, CASE WHEN s.reason = '' THEN {_OUTCOME} ELSE '' END AS outcome, coalesce(n.near, 0) AS near,
       cast(x.event_id IS NOT NULL AS integer) AS crossed, l.previous_event_id, l.gap, t.k AS toks, c.k AS cards
-      FROM screened s LEFT JOIN nearby n USING (event_id) LEFT JOIN crossed x USING (event_id)
+      FROM framed s LEFT JOIN nearby n USING (event_id) LEFT JOIN crossed x USING (event_id)
       LEFT JOIN linked l USING (event_id) LEFT JOIN toks t USING (canonical_person_id)
       LEFT JOIN cards c ON c.source_year = s.source_year AND c.card_token = s.card_token)""",
     f"noted AS (SELECT *, CASE WHEN reason = '' THEN {_CLINICAL} END AS note FROM base)",
@@ -656,8 +657,7 @@ _ADJ = (
 
 
 def adjudicated(spark, sf):
-    rows = screened(spark, sf)
-    return registry.adjudicate(rows.drop("reason"), rows.filter("reason = ''"), angina_rule_year=1997)
+    return registry.adjudicate(records(spark, sf), events(spark, sf), angina_rule_year=1997)
 
 
 @query(
@@ -708,10 +708,7 @@ def adjudication_invariants(spark, sf):
 
 
 def scope(spark, sf):
-    rows = screened(spark, sf)
-    candidates = rows.filter("reason = ''")
-    done = registry.adjudicate(rows.drop("reason"), candidates, angina_rule_year=1997)
-    return registry.two_group_scope(done.drop("year"), candidates)
+    return registry.two_group_scope(adjudicated(spark, sf).drop("year"), events(spark, sf))
 
 
 _SCOPE = """CASE WHEN icd_prefix IN ('I20','I21','I22','I46') THEN 'CVD' ELSE 'CBVD' END"""
@@ -811,11 +808,7 @@ def pivot(spark, sf):
     ),
 )
 def coding_consistency(spark, sf):
-    rows = events(spark, sf)
-    notes = registry.outcome_annotations(rows).select("event_id", "proposed_outcome", "clinical_review_flag")
-    return audit.count_by(
-        rows.join(notes, "event_id"), "year", "proposed_outcome", "clinical_review_flag"
-    )
+    return audit.count_by(registry.outcome_annotations(events(spark, sf)), "year", "proposed_outcome", "clinical_review_flag")
 
 
 _DELAY = "datediff('day', onset, report_date)"

@@ -36,7 +36,7 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
+    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="matchstrata-ckpt-"))
     else:
         raise ContractError("set spark.checkpoint.dir to a folder all executors share")

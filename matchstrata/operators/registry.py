@@ -116,6 +116,13 @@ def screen(records: DataFrame) -> DataFrame:
     return records.withColumn("reason", screening_reason())
 
 
+def join_known(rows: DataFrame, other: DataFrame, keys: list[str], unique: list[str], how: str = "left") -> DataFrame:
+    """Left or anti join in which rows with a null key, that match nothing, are dealt out by ``unique`` and not to one task."""
+    unknown = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    spread = rows.withColumn("__s", F.when(unknown, F.xxhash64(*unique)).otherwise(F.lit(0)))
+    return spread.join(other.withColumn("__s", F.lit(0).cast("long")), [*keys, "__s"], how).drop("__s")
+
+
 def greedy_distinct(rows: DataFrame, order: list[str], key_sets: dict[str, list[str]], label: str = "reason") -> DataFrame:
     """Order-dependent de-duplication on several keys.
 
@@ -135,14 +142,14 @@ def greedy_distinct(rows: DataFrame, order: list[str], key_sets: dict[str, list[
         lead = F.lit(True)
         for name, ks in key_sets.items():
             first = left.dropna(subset=ks).groupBy(*ks).agg(F.min(place).alias(f"__f_{name}"))
-            mine = mine.join(first, ks, "left")
+            mine = join_known(mine, first, ks, order)
             lead = lead & (F.col(f"__f_{name}").isNull() | (F.col(f"__f_{name}") == place))
         marked = stable(mine.withColumn("__keep", lead).select(*cols, "__keep"))
         kept = marked.filter("__keep").select(*cols)
         kept_parts.append(kept)
         left = marked.filter("NOT __keep").select(*cols)
         for ks in key_sets.values():
-            left = left.join(kept.dropna(subset=ks).select(*ks), ks, "left_anti").select(*cols)
+            left = join_known(left, kept.dropna(subset=ks).select(*ks), ks, order, "left_anti").select(*cols)
         left = stable(left)
         if left.isEmpty():
             break
@@ -152,7 +159,7 @@ def greedy_distinct(rows: DataFrame, order: list[str], key_sets: dict[str, list[
     for name, ks in reversed(key_sets.items()):
         # A key has at most one kept holder.
         holder = kept.dropna(subset=ks).select(*ks, place.alias(f"__h_{name}"))
-        judged = judged.join(holder, ks, "left")
+        judged = join_known(judged, holder, ks, order)
         why = F.when(F.col(f"__h_{name}") < place, name).otherwise(why)
     return rows.join(judged.select(*order, why.alias(label)), order)
 
@@ -189,16 +196,13 @@ def location_queue(events: DataFrame) -> DataFrame:
     return once.select("*", *blank, F.lit("").alias("crs"), F.lit("").alias("verified_within_1km"))
 
 
-def outcome_annotations(events: DataFrame) -> DataFrame:
-    """Coded outcome and code/text agreement per event."""
+def outcome_annotations(events: DataFrame, where: Column | None = None) -> DataFrame:
+    """Events with coded outcome and code/text agreement (F10, F12); '' and null outside ``where``."""
     out = tx.outcome(F.col("icd10"))
-    return events.select(
-        "event_id",
-        out.alias("proposed_outcome"),
-        "icd10",
-        "diagnosis_text",
-        tx.clinical_flag(out, F.col("diagnosis_text")).alias("clinical_review_flag"),
-    )
+    note = tx.clinical_flag(out, F.col("diagnosis_text"))
+    if where is not None:
+        out, note = F.when(where, out).otherwise(""), F.when(where, note)
+    return events.withColumns({"clinical_review_flag": note, "proposed_outcome": out})
 
 
 def pair_family(prefix: Column) -> Column:
@@ -277,12 +281,9 @@ def adjudicate(records: DataFrame, candidate_ids: DataFrame, angina_rule_year: i
     """Versioned decision per record with flags, relation and episode."""
     ids = candidate_ids.select("event_id").distinct().withColumn("candidate_present", F.lit(1))
     base = records.join(ids, "event_id", "left").withColumn("candidate_present", F.coalesce("candidate_present", F.lit(0)))
-    notes = outcome_annotations(base.filter("candidate_present = 1")).drop("icd10", "diagnosis_text")
-    base = base.join(notes, "event_id", "left").withColumn(
-        "proposed_outcome", F.coalesce("proposed_outcome", F.lit(""))
-    )
-    base = base.join(linked_tokens(records), "canonical_person_id", "left")
-    base = base.join(card_rows(records), ["source_year", "card_token"], "left")
+    base = outcome_annotations(base, F.col("candidate_present") == 1)
+    base = join_known(base, linked_tokens(records), ["canonical_person_id"], ["event_id"])
+    base = join_known(base, card_rows(records), ["source_year", "card_token"], ["event_id"])
     base = stable(base)
     person = ["canonical_person_id", "icd_prefix"]
     dated = F.col("canonical_person_id").isNotNull() & F.col("onset").isNotNull()
