@@ -242,11 +242,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE,
     return fps.join(of, names).select("doc_id", *names, "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 5, views: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 5, views: int = 8) -> DataFrame:
     """The documents that stay: of each component the row with the smallest doc_id; rows without
     doc_id, and repeated rows of one that stays, stay, too.
 
-    Four fingerprints at five bits find about 0.96 of the pairs whose five-word shingles overlap by 0.9 and all closer ones.
+    Eight fingerprints at five bits found 0.33 of the pairs of prose whose five-word shingles overlap by 0.80 to 0.85, 0.90 of those up
+    to 0.90, 0.99 of those up to 0.95 and all closer ones; and no pair of texts that share less than half.
     """
     found = near_duplicates(docs, shingle, distance, views)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
