@@ -28,16 +28,19 @@ DISTRICTS = {
 }
 PROVINCE, CITY, CITY_CODE = "广东省", "广州市", "4401"
 # Fixed patterns of the address rules.
-HAN = r"一-鿿"
 ADMIN_NAMES = "|".join([PROVINCE, CITY, *DISTRICTS])
-ROAD = rf"[{HAN}]{{2,12}}(?:大道|路|巷|街)(?!道)"
-TOWN_ONCE = rf"^(.*?)[{HAN}]{{2,8}}(?:街道|镇)"
+ROAD = r"[一-鿿]{2,12}(?:大道|路|巷|街)(?!道)"
+TOWN_ONCE = r"^(.*?)[一-鿿]{2,8}(?:街道|镇)"
 DOOR_NUMBER = r"(\d+(?:-\d+)?)(?:号|栋|幢|座)"
 HOUSE_NUMBER = r"(?<!\d)(\d+(?:-\d+)?)(?:号)(?!楼|栋|幢)"
 BUILDING_NUMBER = r"(?<!\d)([A-Za-z]?\d+|[A-Za-z])(?:栋|幢|座)"
 ROOM_SUFFIX = r"(\d+(?:号|栋|幢|座|楼))((?:\d+单元)?(?:\d+[层楼])?(?:\d+(?:室|房))?)$"
 COARSE_NUMBER = r"^(.*?\d+(?:号|栋|幢|座))"
 COARSE_PLACE = r"^(.*?(?:社区|小区|花园|大厦|村)(?!委))"
+CLAUSE_MARKS = r"(?U)[\s，,；;。]+"
+TOWN_FIRST = r"^([一-鿿]{2,12}?(?:街道|镇))"
+VILLAGE_NEXT = r"^([一-鿿]{2,16}?(?:社区|村|小区|花园))"
+TOWN_ANYWHERE = r"([一-鿿]{2,10}(?:街道|镇))"
 
 
 @F.pandas_udf(StringType())
@@ -61,7 +64,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def normalise(c: Column, compatibility: bool = True) -> Column:
     """Compatibility form, no spaces or clause marks, doubled admin names collapsed (F16)."""
     s = nfkc(c) if compatibility else c
-    s = F.regexp_replace(s, r"(?U)[\s，,；;。]+", "")
+    s = F.regexp_replace(s, CLAUSE_MARKS, "")
     return F.regexp_replace(s, rf"({ADMIN_NAMES})\1", "$1")
 
 
@@ -125,15 +128,15 @@ def place_tokens(c: Column) -> Column:
     rest = F.when(d != "", after).otherwise(
         F.replace(F.replace(c, F.lit(PROVINCE), F.lit("")), F.lit(CITY), F.lit(""))
     )
-    town = F.regexp_extract(rest, rf"^([{HAN}]{{2,12}}?(?:街道|镇))", 1)
+    town = F.regexp_extract(rest, TOWN_FIRST, 1)
     tail = F.substr(rest, F.length(town) + 1)
-    village = F.regexp_extract(tail, rf"^([{HAN}]{{2,16}}?(?:社区|村|小区|花园))", 1)
+    village = F.regexp_extract(tail, VILLAGE_NEXT, 1)
     return F.struct(d.alias("district"), town.alias("town"), village.alias("village"))
 
 
 def town_context(c: Column) -> Column:
     """struct(district, first town token)."""
-    town = F.regexp_extract(without_admin(c), rf"([{HAN}]{{2,10}}(?:街道|镇))", 1)
+    town = F.regexp_extract(without_admin(c), TOWN_ANYWHERE, 1)
     return F.struct(district(c).alias("district"), town.alias("town"))
 
 

@@ -229,6 +229,7 @@ def missing_pool(rows: DataFrame, candidates: DataFrame, key: str = "location_id
 
 def category() -> Column:
     """Address category from provider level and match quality."""
+    # Categories, provider levels and the marks that qualities and levels hold.
     level, quality, fuzzy = F.col("provider_level"), F.col("match_quality"), F.col("fuzzy_level")
     return (
         F.when(fuzzy.contains("city_reference"), "city_reference")
@@ -253,6 +254,7 @@ def category() -> Column:
 
 def disposition() -> Column:
     """Audit disposition."""
+    # Dispositions.
     return (
         F.when(F.col("audit_category").endswith("reference"), "reference_only")
         .when(F.col("conflict"), "address_conflict")
