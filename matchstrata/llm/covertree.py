@@ -97,17 +97,19 @@ class CoverTree:
 
     def _cover(self, members: np.ndarray, level: float) -> list:
         """Members in groups around centres farther apart than ``level``: (group, centre, farthest), the first member first."""
-        out, rest = [], members
+        out, rest, least = [], members, 1 - level * level / 2
         while len(rest):
             some = rest[:256]
-            d = distances(self.x[some], self.x[rest])
+            dot = self.x[some] @ self.x[rest].T
             free = np.ones(len(rest), dtype=bool)
             for i in range(len(some)):
                 if free[i]:
-                    near = free & (d[i] <= level)
+                    near = free & (dot[i] >= least)
                     near[i] = True
-                    free &= ~near
-                    out.append((rest[near], int(some[i]), float(d[i][near].max()) if near.sum() > 1 else 0.0))
+                    free ^= near
+                    group = rest[near]
+                    far = float(np.sqrt(max(0.0, 2 - 2 * dot[i][near].min()))) if len(group) > 1 else 0.0
+                    out.append((group, int(some[i]), far))
             rest = rest[free]
         return out if len(out) > 1 else [members]
 
@@ -183,25 +185,77 @@ class Joined:
             if len(p) * len(q) <= DIRECT or s.radius[u] + t.radius[v] <= self.reach:
                 self.direct(p, q, one)
                 continue
-            below, beside = s.children(u), t.children(v)
-            step = max(1, CELLS // len(beside))
-            for at in range(0, len(below), step):
-                some = below[at : at + step]
-                d = distances(s.x[s.centre[some]], t.x[t.centre[beside]])
-                bounds = s.radius[some][:, None] + t.radius[beside][None]
-                near = d - bounds <= self.reach + SLACK
-                if one:  # each pair of different children once, and each child with itself
-                    near &= np.arange(at, at + len(some))[:, None] <= np.arange(len(beside))[None]
-                i, j = np.nonzero(near)
-                inside = d[i, j] + bounds[i, j] <= self.reach - SLACK
-                for a, b, every in zip(some[i].tolist(), beside[j].tolist(), inside.tolist()):
-                    if self.same and a == b:
-                        if s.stop[a] - s.begin[a] > 1:
-                            todo.append((a, b))
-                    elif every:
-                        self.whole(s.members(a), t.members(b))
-                    else:
-                        todo.append((a, b))
+            for a, b, every in self._close(s, self._items(s, u), t, self._items(t, v), one):
+                if self.same and a == b:
+                    todo.append((a, b))
+                elif every:
+                    self.whole(s.members(a), t.members(b))
+                else:
+                    todo.append((a, b))
+
+    @staticmethod
+    def _items(tree: CoverTree, u: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Centres, radii and numbers of a node's children; small wide ones as their members, points of radius 0 with number -1."""
+        nodes = tree.children(u)
+        size = tree.stop[nodes] - tree.begin[nodes]
+        apart = (size == 1) | ((size <= LEAF) & (tree.radius[nodes] > 0.05))
+        points = np.concatenate([np.empty(0, dtype=np.int64), *(tree.members(n) for n in nodes[apart].tolist())])
+        whole = nodes[~apart]
+        none = np.zeros(len(points))
+        return np.concatenate((points, tree.centre[whole])), np.concatenate((none, tree.radius[whole])).astype(np.float32), np.concatenate((none - 1, whole)).astype(np.int64)
+
+    def _close(self, s: CoverTree, left: tuple, t: CoverTree, right: tuple, one: bool) -> Iterator[tuple[int, int, bool]]:
+        """Pairs that may hold a link: two points are decided here, others come out with whether all their members link to each other.
+
+        Items of like radii are taken together, so that one bound on the product of unit vectors throws out most pairs at once. With
+        ``one`` (children of one node with themselves) each pair of different items comes once, and each node with itself.
+        """
+        for mine in self._alike(left[1]):
+            for other in self._alike(right[1]):
+                farthest = self.reach + SLACK + float(left[1][mine].max()) + float(right[1][other].max())
+                least = 1 - farthest * farthest / 2 if farthest < 2 else -2.0
+                x, y = s.x[left[0][mine]], t.x[right[0][other]].T
+                step = max(1, CELLS // len(other))
+                for at in range(0, len(mine), step):
+                    dot = x[at : at + step] @ y
+                    i, j = np.nonzero(dot >= least)
+                    d = np.sqrt(np.maximum(2 - 2 * dot[i, j], 0))
+                    i, j = mine[i + at], other[j]
+                    bounds = left[1][i] + right[1][j]
+                    near = d - bounds <= self.reach + SLACK
+                    points = (left[2][i] < 0) & (right[2][j] < 0)
+                    if one:
+                        near &= (i < j) | ((i == j) & ~points)
+                    both = near & points
+                    self._points(left[0][i[both]], right[0][j[both]])
+                    near &= ~points
+                    inside = (d + bounds)[near] <= self.reach - SLACK
+                    for a, b, k, l, every in zip(left[2][i[near]].tolist(), right[2][j[near]].tolist(), left[0][i[near]].tolist(), right[0][j[near]].tolist(), inside.tolist()):
+                        if a >= 0 and b >= 0:
+                            yield a, b, every
+                        else:  # a point with a node
+                            p = s.members(a) if a >= 0 else np.asarray([k])
+                            q = t.members(b) if b >= 0 else np.asarray([l])
+                            (self.whole if every else self.direct)(p, q, *([] if every else [False]))
+
+    def _points(self, p: np.ndarray, q: np.ndarray) -> None:
+        """The double-precision test of single pairs."""
+        for at in range(0, len(p), 1 << 16):
+            a, b = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
+            hit = np.einsum("ij,ij->i", self.x[a], self.y[b]) >= self.similarity
+            a, b = a[hit], b[hit]
+            if len(a):
+                np.add.at(self.n, a, 1)
+                np.add.at(self.m, b, 1)
+                self._edges(a, b)
+
+    @staticmethod
+    def _alike(radius: np.ndarray) -> Iterator[np.ndarray]:
+        """Positions of items in classes of radius: points, tight nodes, wide ones."""
+        kind = np.digitize(radius, (1e-9, 0.05, 0.3))
+        for k in range(4):
+            if len(some := np.flatnonzero(kind == k)):
+                yield some
 
     def roots(self) -> np.ndarray:
         """For every position of x, then of y, the smallest position that links reach."""
