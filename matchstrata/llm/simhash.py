@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from matchstrata.core import stored
 from matchstrata.llm.base import query, sliced, table, texts
 from matchstrata.llm.components import components, forest
+from matchstrata.llm.resemblance import near_copies
 
 BITS = 64
 SEED = 42
@@ -243,14 +245,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, distance: int = DISTANCE,
     return fps.join(of, names).select("doc_id", *names, "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, distance: int = 5, views: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
     """The documents that stay: of each component the row with the smallest doc_id; rows without
     doc_id, and repeated rows of one that stays, stay, too.
 
-    Four fingerprints at five bits found 0.27 of the pairs of prose whose five-word shingles overlap by 0.80 to 0.85, 0.58 of those up
-    to 0.90, 0.95 of those up to 0.95 and all closer ones; and no pair of texts that share less than half.
+    Components are those of the pairs whose shingle sets overlap by ``least`` or more. Fingerprints don't decide that: four at five bits
+    link 0.27 of the pairs at 0.80 to 0.85 and 0.09 of those at 0.70 to 0.80, and pigeonring filtering selects nothing at the some
+    fifteen bits that reach all of the former. So candidates come from MinHash bands here, and the sets themselves decide.
     """
-    found = near_duplicates(docs, shingle, distance, views)
+    found = near_copies(docs, shingle, least)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

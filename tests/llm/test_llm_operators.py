@@ -293,3 +293,25 @@ def test_vector_duplicates(spark):
         got = covertree.near_duplicates(df, block=block).collect()
         assert collections.Counter(map(tuple, got)) == collections.Counter(want)
     assert covertree.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_near_copies_are_those_at_four_fifths(spark):
+    """The same groups as all pairs of exact sets of five-word shingles give at 0.8; pairs lie on both sides of it."""
+    rng = np.random.default_rng(8)
+    made = []
+    for base in range(60):
+        words = [f"w{base}x{i}" for i in range(int(rng.integers(40, 300)))]
+        made.append(words)
+        for _ in range(6):
+            copy = list(words)
+            for at in rng.choice(len(words), max(1, int(len(words) * rng.uniform(0.005, 0.05))), replace=False):
+                copy[at] = f"n{rng.integers(10**9)}"
+            made.append(copy)
+    rng.shuffle(made)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in made]
+    share = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(made)) for j in range(i) if made[i][0][:3] == made[j][0][:3] or sets[i] & sets[j]}
+    assert sum(0.8 <= s < 0.85 for s in share.values()) > 40 and sum(0.7 <= s < 0.8 for s in share.values()) > 40
+    hit = np.array([p for p, s in share.items() if s >= 0.8])
+    want = simhash.forest(len(made), hit[:, 0], hit[:, 1])
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.one_of_each(df).collect()} == set(want.tolist())
