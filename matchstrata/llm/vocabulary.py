@@ -18,14 +18,14 @@ class ChunkEncoder:
 
     The vocabulary drops white space, and its normaliser and pre-tokenizer never look across it, so a text's ids are those of
     its chunks between spaces. Each new chunk is encoded by the library; chunks of plain letters with stops behind them go
-    to the library in one text and are told apart by their word-end tokens.
+    to the library in one text and are told apart by their word-end tokens. Added tokens hold no white space, so a text that spells
+    one out gets its id, as the library gives by default.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
         self.ends = np.zeros(self.size, dtype=bool)

@@ -8,6 +8,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from matchstrata.llm import bytepair, covertree, langid, maxscore, packing, simhash
 from matchstrata.llm.components import forest
@@ -167,3 +168,9 @@ def test_code_switched_words_get_their_own_label():
     post = langid.marginals(model.emission([words]), first, model.move, model.start)
     assert [model.langs[i] for i in post.argmax(axis=1)] == ["en"] * 4 + ["de"] * 4
     assert model.predict([None, "", "12 34", "the thing"])[:3] == [("und", 0.0)] * 3
+
+
+def test_texts_that_spell_added_tokens_equal_the_library():
+    texts = ["ab <|endoftext|> cd", "x<|endoftext|>y.<|startoftext|>", "<|ENDOFTEXT|> <|end oftext|>", "\n<|startoftext|>\t", *AWKWARD]
+    want = [np.asarray(x.ids, dtype="<u4").tobytes() for x in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    assert encoder(WORDS).encode(texts) == want
