@@ -269,14 +269,20 @@ def identify(docs: DataFrame, model: Field | None, keep: list[str] = ()) -> Data
 
 
 def known_language(docs: DataFrame, model: Field | None) -> DataFrame:
-    """The rows in which a language is found, with the columns of ``docs``; rows labelled ``und`` go."""
+    """The rows in which a language is found, with the columns of ``docs``; rows labelled ``und`` go.
+
+    Without a model (no labelled row to learn from) only null texts and texts without a letter go.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
-            found = shared.value.predict(texts) if shared.value else [(UNKNOWN, 0.0)] * len(texts)
-            yield batch.filter(pa.array([f[0] != UNKNOWN for f in found]))
+            if shared.value:
+                kept = [f[0] != UNKNOWN for f in shared.value.predict(texts)]
+            else:
+                kept = [t is not None and has_letter(t) for t in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(each, docs.schema)
 

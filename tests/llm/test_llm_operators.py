@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from matchstrata.llm import bytepair, covertree, langid, lines, maxscore, ngrams, packing, simhash, surrogates, tokenfiles
 from matchstrata.llm.components import components
 
@@ -315,3 +316,9 @@ def test_near_copies_are_those_at_four_fifths(spark):
     want = simhash.forest(len(made), hit[:, 0], hit[:, 1])
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
     assert {r.doc_id for r in simhash.one_of_each(df).collect()} == set(want.tolist())
+
+
+def test_without_a_labelled_row_the_language_stage_keeps_texts_with_a_letter(docs, spark):
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.known_languages(spark, bare, "")
+    assert kept.columns == bare.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 5, 6, 7, 7, 9]
