@@ -15,10 +15,11 @@ TITLES = {
     "u": ["Dr", "Prof", "Professor"],
 }
 ANY_TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
+SECRETS = "password|passwd|pwd|secret|token|api_?key"
 #: Patterns by type; at a place of a text the first that matches counts.
 PATTERNS = {
-    "key": r"\b(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64})\b",
-    "secret": r"\b(?i:password|passwd|pwd|secret|token|api_?key)\b[ \t]{0,3}[=:][ \t]{0,3}[\"']?(?=[^\s\"']{0,200}[0-9])[^\s\"']{6,200}",
+    "key": r"\b(?:(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36})\b|sk-[A-Za-z0-9_\-]{20,}+)",
+    "secret": rf"\b(?i:{SECRETS})\b[ \t]{{0,3}}[=:][ \t]{{0,3}}(?:[\"'](?=(?:[^\s\"'\p{{L}}0-9]*+[\p{{L}}0-9]){{6}})[^\s\"']{{6,}}+(?=[\"']|$)|[\"']?(?=[^\s\"'0-9]*+[0-9])[^\s\"']{{6,}}+)",
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@[\p{L}\p{N}\-]{1,63}(?:\.[\p{L}\p{N}\-]{1,63}){0,6}\.\p{L}{2,24}",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
@@ -29,7 +30,7 @@ PATTERNS = {
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity holds; spares most texts the long pattern.
-HINT = rf"[0-9@]|(?:{ANY_TITLE})"
+HINT = rf"[0-9@]|(?:{ANY_TITLE})|(?i:{SECRETS})"
 #: Attempts after which values that still collide are an error: then their type has hardly more forms than the data has values.
 ROUNDS = 40
 #: Types whose digits alone identify the entity, however they are set apart.
@@ -102,13 +103,13 @@ def _atoms(entity: Column, kind: Column) -> Column:
 def core(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """The surrogate of a value: a keyed hash gives each character, digit, octet or syllable another of its sort."""
     seed = F.concat_ws(":", F.lit(key), kind, attempt.cast("string"), value)
-    stream = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / 32).cast("int")), lambda j: F.sha2(F.concat_ws(":", seed, j.cast("string")), 256)), "")
+    stream = F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / 32).cast("int")), lambda j: F.sha2(F.concat_ws(":", seed, j.cast("string")), 256))
     return let(stream, lambda s: _core(s, kind, value))
 
 
 def _core(stream: Column, kind: Column, value: Column) -> Column:
     def byte(i) -> Column:
-        return F.conv(F.substring(stream, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        return F.conv(F.substring(F.get(stream, F.floor(i / 32).cast("int")), (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
     hexed = value.rlike("^[0-9a-f]+$")
 
@@ -231,7 +232,8 @@ def pseudonymised(docs: DataFrame, key: str = "matchstrata") -> DataFrame:
     """``docs`` with every entity of text replaced; adds entities (long), the number of replaced matches of the text.
 
     Equal values have equal surrogates in all documents, different values different ones. A null text stays null, texts without an
-    entity stay as they are; a column entities is replaced. Rows and their repeats are kept. A text of any length is taken whole.
+    entity stay as they are; a column entities is replaced. Rows and their repeats are kept. A text of any length is taken whole,
+    and so are secrets and sk- keys of any length. Not found are names without a title before them, and secrets that hold no digit unless they stand in quotes.
     """
     text = F.col("text")
     found = docs.select("text").where(has_entity(text))

@@ -322,3 +322,19 @@ def test_without_a_labelled_row_the_language_stage_keeps_texts_with_a_letter(doc
     bare = docs.withColumn("lang", F.lit(None).cast("string"))
     kept = corpus_pipeline.known_languages(spark, bare, "")
     assert kept.columns == bare.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 5, 6, 7, 7, 9]
+
+
+@pytest.mark.parametrize("n", [65, 201, 360, 5000])
+def test_secrets_of_any_length_go_whole(spark, n):
+    rng = np.random.default_rng(n)
+    value = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), n))
+    plain = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    made = [f'token = "{value}" end', f"password={value} end", f"key sk-{value} end", f'secret: "{plain}" end', f"token={plain}7 end"]
+    texts = [*made, 'password: "******" end', "the token: forgotten things"]
+    got = {r.doc_id: r for r in surrogates.pseudonymised(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    for i, text in enumerate(made):
+        new = got[i].text
+        assert got[i].entities == 1 and len(new) == len(text) and new.endswith(" end") and new[:5] == text[:5]
+        hidden = {text[a : a + 12] for a in range(len(text) - 11) if text[a : a + 12] in value + "|" + plain}
+        assert hidden and not any(h in new for h in hidden)
+    assert [got[i].text for i in (5, 6)] == texts[5:]
