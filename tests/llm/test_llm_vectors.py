@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchstrata.llm import hardneg
+from matchstrata.llm import hardneg, permindex
 
 #: Columns that operators add themselves, or use inside.
 CLASH = "vec_id long, label long, embedding array<double>, uid int, score int, number int, shard int, asks int, block int, dim int, rank int"
@@ -74,3 +74,61 @@ def test_bounds_hold_the_score():
             assert (low <= score).all() and (score <= high).all()
             least = np.sort(score)[-5]
             assert set(np.flatnonzero(score >= least)) <= set(bounds.reachable(angles[q].astype(float), norm[q], least, math.inf).tolist())
+
+
+def brute_nearest(rows, asks, k=20):
+    good = [(i, np.asarray(v)) for i, _, v in rows if takes_part((i, 0, v)) and any(v)]
+    out = {}
+    for n, (q, v) in enumerate(good):
+        if asks(q):
+            scored = sorted(((-float((v * w).sum()), i) for i, w in good if i != q and len(w) == len(v)))
+            out[n, q] = scored[:k]
+    return out
+
+
+def recall(got, want):
+    """Share of the wanted neighbours that were found, by queries; scores tell copies apart from worse rows."""
+    found = collections.defaultdict(list)
+    for r in got:
+        found[r.query_id].append((-r.score, r.vec_id))
+    hits = sum(len({i for _, i in found[q]} & {i for _, i in w}) for (_, q), w in want.items())
+    return hits / sum(len({i for _, i in w}) for w in want.values())
+
+
+def test_nearest_on_an_awkward_table(spark, monkeypatch):
+    rows = awkward(d=6)
+    want = brute_nearest(rows, lambda i: i % 5 == 0)
+    got = permindex.nearest(frame(spark, rows), F.col("vec_id") % 5 == 0).collect()
+    # So few rows have so few pivots that a query looks into all files, and these are reranked whole.
+    assert recall(got, want) == 1
+    by_query = collections.Counter(r.query_id for r in got)
+    assert by_query == collections.Counter({q: sum(len(w) for (_, p), w in want.items() if p == q) for q in {q for _, q in want} if any(w for (_, p), w in want.items() if p == q)})
+    vectors = {i: np.asarray(v) for i, _, v in rows if i is not None and v is not None and i not in (20, 30)}
+    for r in got:
+        if r.query_id in vectors and r.vec_id in vectors:
+            assert r.score == pytest.approx(float(np.dot(vectors[r.query_id], vectors[r.vec_id])), rel=1e-12, abs=1e-12)
+    few = permindex.nearest(frame(spark, rows), F.col("vec_id") % 5 == 0, room=16).collect()
+    assert recall(few, want) == 1
+    # Lengths that no sampled row has are compared whole.
+    monkeypatch.setattr(permindex, "SAMPLE", 1)
+    alone = permindex.nearest(frame(spark, rows), F.col("vec_id") % 5 == 0).collect()
+    assert recall(alone, want) == 1
+    assert permindex.nearest(frame(spark, rows).limit(0), F.col("vec_id") % 5 == 0).collect() == []
+
+
+def test_nearest_recall_and_ties(spark):
+    """Spread-out directions, the worst case, and a hot group of copies: the smallest vec_ids of the copies come first."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[1000:2000] = x[1000]
+    rows = [(i, 1, v.tolist()) for i, v in enumerate(x)]
+    got = permindex.nearest(frame(spark, rows, CLASH.replace("array<double>", "array<float>")), F.col("vec_id") % 50 == 0).collect()
+    want = {}
+    for q in range(0, 3000, 50):
+        s = x.astype(float) @ x[q].astype(float)
+        s[1000:2000] = s[1000]
+        s[q] = -9
+        want[q, q] = [(-s[i], i) for i in np.lexsort((np.arange(3000), -s))[:20].tolist()]
+    assert recall(got, want) >= 0.95
+    assert [r.vec_id for r in sorted((r for r in got if r.query_id == 1500), key=lambda r: r["rank"])] == list(range(1000, 1020))
