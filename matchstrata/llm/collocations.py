@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -163,12 +164,14 @@ class Sent:
 
 MESSAGE = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("mass", pa.int64())])
 ANSWER = pa.schema([("block", pa.int64()), ("round", pa.int32()), ("part", pa.int32()), ("places", pa.binary())])
+SPELLED = pa.schema([("part", pa.int32()), ("langs", pa.list_(pa.string())), ("lang", pa.binary()), ("phrases", pa.binary()), ("counts", pa.binary())])
 PHRASE = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("f", pa.int64())])
 BLOCK = "block long, langs array<string>, n array<long>, words binary, lang binary, token binary"
 
 
 def _sql(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {({'int32': 'int', 'int64': 'long'}).get(str(f.type), str(f.type))}" for f in schema)
+    names = {"int32": "int", "int64": "long", "list<item: string>": "array<string>"}
+    return ", ".join(f"{f.name} {names.get(str(f.type), str(f.type))}" for f in schema)
 
 
 def _messages(number: int, sent: Sent) -> pa.Table:
@@ -234,11 +237,12 @@ def frequent(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, Da
     def parts(mass: int) -> int:
         return max(1, -(-mass // MASS), min(partitions(spark), -(-mass // FEW)))
 
-    pairs, longer = parts(2 * words), parts((LONGEST - 2) * words)
+    pairs, longer, home = parts(2 * words), parts((LONGEST - 2) * words), parts(words)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 levels = Block.read(row).levels()
                 yield from _messages(row["block"], Sent([next(levels), next(levels)], pairs)).to_batches()
 
@@ -258,18 +262,36 @@ def frequent(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, Da
         return pa.concat_tables(made)
 
     def spell(left: pa.Table, answers: pa.Table) -> pa.Table:
-        made = [PHRASE.empty_table()]
+        """The survivors of a block in words, with its counts, packed for each partition by hash; no phrase holds a line end."""
+        made = []
         for row in left.to_pylist():
             block, short, longest = replay(row, answers)
             longest = list(longest)
             Sent(longest, longer).told(_answered(answers, 2))
-            for lv in [*short, *longest]:
-                some = np.flatnonzero(lv.may)
-                spelled = lv.spelled[some]
-                phrases = [b" ".join(map(block.words.__getitem__, s)) for s in spelled.tolist()]
-                langs = [block.langs[k] for k in block.lang[spelled[:, 0]].tolist()]
-                made.append(pa.table([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array([lv.n] * len(some), pa.int32()), pa.array(lv.count[some], pa.int64())], schema=PHRASE))
-        return pa.concat_tables(made)
+            some = [(lv, np.flatnonzero(lv.may)) for lv in [*short, *longest]]
+            phrases = [b" ".join(map(block.words.__getitem__, w)) for lv, mine in some for w in lv.spelled[mine].tolist()]
+            lang = np.concatenate([block.lang[lv.spelled[mine, 0]] for lv, mine in some])
+            count = np.concatenate([lv.count[mine] for lv, mine in some])
+            part = (np.concatenate([lv.hashes[mine] for lv, mine in some]) >> np.uint64(32)) * np.uint64(home) >> np.uint64(32)
+            order = np.argsort(part, kind="stable")
+            begin = np.searchsorted(part[order], np.arange(home + 1, dtype=np.uint64))
+            for p in np.flatnonzero(np.diff(begin)).tolist():
+                mine = order[begin[p] : begin[p + 1]]
+                made.append({"part": p, "langs": block.langs, "lang": _narrow(lang[mine]), "phrases": b"\n".join([phrases[k] for k in mine.tolist()]), "counts": _narrow(count[mine])})
+        return pa.Table.from_pylist(made, schema=SPELLED)
+
+    def add(group: pa.Table) -> pa.Table:
+        """Exact counts of the phrases of a partition, of those that are frequent."""
+        total = PHRASE.empty_table().select(["lang", "phrase", "f"])
+        for batch in group.to_batches(max_chunksize=64):
+            told = [total]
+            for langs, lang, phrases, counts in zip(*(batch.column(c).to_pylist() for c in ("langs", "lang", "phrases", "counts"))):
+                names = pa.array(langs, pa.string()).take(pa.array(_wide(lang)))
+                told.append(pa.table({"lang": names, "phrase": pa.array(phrases.split(b"\n"), pa.binary()).cast(pa.string()), "f": pa.array(_wide(counts))}))
+            total = pa.concat_tables(told).group_by(["lang", "phrase"]).aggregate([("f", "sum")]).rename_columns(["lang", "phrase", "f"])
+        total = total.filter(pc.greater_equal(total.column("f"), threshold))
+        size = pc.add(pc.count_substring(total.column("phrase"), " "), 1)
+        return pa.table([total.column("lang"), total.column("phrase"), size.cast(pa.int32()), total.column("f")], schema=PHRASE)
 
     def met(by: DataFrame, fn, schema: pa.Schema) -> DataFrame:
         place = by.select(F.col("block").alias("place"), "round", "part", "places")
@@ -278,8 +300,7 @@ def frequent(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, Da
     short = stored(survivors(cut.mapInArrow(first, _sql(MESSAGE)), 1, threshold))
     long = survivors(met(short, second, MESSAGE), 2, threshold)
     both = stored(short.unionByName(long))
-    exact = met(both, spell, PHRASE).groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= threshold)
-    return stored(exact), totals
+    return stored(met(both, spell, SPELLED).groupBy("part").applyInArrow(add, _sql(PHRASE))), totals
 
 
 def quotient(a: Column, n: Column, left: Column, right: Column, scale: int = 1000) -> Column:
