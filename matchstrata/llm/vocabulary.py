@@ -3,26 +3,32 @@
 from __future__ import annotations
 
 import functools
+import os
+import re
 
 import numpy as np
 
-#: Chunks remembered in each of two generations; the older one is dropped when the younger is full.
-REMEMBERED = 200_000
-#: Letters that are one code point in NFC and lower case alike, so that a chunk of them is one pre-token.
-PLAIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + "àáâãäåæçèéêëìíîïñòóôõöøùúûüýß"
-STOPS = ".,;:!?"
+#: Bytes, about, of the chunks remembered in each of two generations; the older one is dropped when the younger is full.
+REMEMBERED_BYTES = 40 << 20
+#: What a remembered string and its ids take besides their characters.
+OVERHEAD = 180
+#: Letters that are one code point in NFC and lower case alike, so that a run of them is one pre-token.
+PLAIN = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + "àáâãäåæçèéêëìíîïñòóôõöøùúûüýßÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
+#: Marks of which a run is one pre-token, whatever stands before it. Not the apostrophe, which begins some suffixes.
+MARKS = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
 
 class ChunkEncoder:
     """Ids of texts as little-endian 32-bit bytes.
 
     The vocabulary drops white space, and its normaliser and pre-tokenizer never look across it, so a text's ids are those of
-    its chunks between spaces. Each new chunk is encoded by the library; chunks of plain letters with stops behind them go
-    to the library in one text and are told apart by their word-end tokens. Added tokens hold no white space, so a text that spells
-    one out gets its id, as the library gives by default.
+    its chunks between spaces; marks behind a plain letter that end a chunk are a chunk of their own. New chunks of plain letters
+    go to the library in one text and are told apart by their word-end tokens, others one by one. Added tokens hold no white space
+    and don't end in such marks, so a text that spells one out gets its id, as the library gives by default.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -32,52 +38,36 @@ class ChunkEncoder:
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
-        self.plain = str.maketrans("", "", PLAIN)
-
-    def _pieces(self, chunk: str) -> int:
-        """Pre-tokens of a plain chunk, 0 if it isn't plain."""
-        core = chunk.rstrip(STOPS)
-        if not core or core.translate(self.plain):
-            return 0
-        return 2 if len(core) < len(chunk) else 1
+        self.bytes = 0
+        self.plain = re.compile(f"[{PLAIN}]+").fullmatch
+        self.behind = re.compile(f"(?<=[{PLAIN}])([{re.escape(MARKS)}]+)(?= |$)")
+        if any(self.behind.search(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("an added token ends in marks")
 
     def _learn(self, chunks: list[str]) -> None:
-        counts = [self._pieces(c) for c in chunks]
-        joined = [c for c, n in zip(chunks, counts) if n]
-        rest = [c for c, n in zip(chunks, counts) if not n]
-        for at in range(0, len(joined), 20_000):
-            some = joined[at : at + 20_000]
+        plain = list(filter(self.plain, chunks))
+        rest = [c for c in chunks if not self.plain(c)]
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
             ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
             last = np.flatnonzero(self.ends[ids])
-            wanted = np.cumsum([self._pieces(c) for c in some])
-            if len(last) != wanted[-1]:
+            if len(last) == len(some):
+                data, stops = ids.tobytes(), [0, *((last + 1) * 4).tolist()]
+                self.young.update(zip(some, [data[a:b] for a, b in zip(stops, stops[1:])]))
+            else:
                 rest += some
-                continue
-            stops = (last[wanted - 1] + 1) * 4
-            data, begin = ids.tobytes(), 0
-            for c, stop in zip(some, stops.tolist()):
-                self.young[c] = data[begin:stop]
-                begin = stop
-        if rest:
-            for c, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False)):
-                self.young[c] = np.asarray(e.ids, dtype="<u4").tobytes()
+        self.young.update(zip(rest, [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        need = set().union(*split)
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {"": b""}
-        young, old = self.young, self.old
-        new = []
-        for c in need:
-            if c not in young:
-                if c in old:
-                    young[c] = old[c]
-                else:
-                    new.append(c)
-        if new:
-            self._learn(new)
-        get = young.__getitem__
+        split = [self.behind.sub(r" \1", t.replace("\n", " ").replace("\t", " ").replace("\r", " ")).split(" ") for t in texts]
+        if self.bytes > REMEMBERED_BYTES:
+            self.old, self.young, self.bytes = self.young, {"": b""}, 0
+        need = set().union(*split).difference(self.young)
+        again = need.intersection(self.old)
+        self.young.update((c, self.old[c]) for c in again)
+        self._learn(list(need - again))
+        self.bytes += sum(map(len, need)) * 5 + len(need) * OVERHEAD
+        get = self.young.__getitem__
         return [b"".join(map(get, s)) for s in split]
 
 
