@@ -47,13 +47,17 @@ class EliasFano:
             return np.empty(0, dtype=np.uint64)
         if k.min() < 0 or k.max() >= self.n:
             raise IndexError("no such position")
-        group = k // SAMPLE
+        order = np.argsort(k, kind="stable")
+        group = k[order] // SAMPLE
         place = np.empty(len(k), dtype=np.int64)
-        for g in np.unique(group):
-            mine = group == g
-            start, ones = (int(x) for x in self.samples[g])
-            stop = int(self.samples[g + 1][0]) + 1 if g + 1 < len(self.samples) else len(self.high)
+        # Neighbouring groups are unpacked together, and each once.
+        cuts = [0, *(np.flatnonzero(np.diff(group) > 1) + 1).tolist(), len(k)]
+        for a, b in zip(cuts, cuts[1:]):
+            start, ones = (int(x) for x in self.samples[group[a]])
+            last = int(group[b - 1]) + 1
+            stop = int(self.samples[last][0]) + 1 if last < len(self.samples) else len(self.high)
             found = np.flatnonzero(np.unpackbits(self.high[start:stop], bitorder="little"))
+            mine = order[a:b]
             place[mine] = start * 8 + found[k[mine] - ones]
         value = (place - k).astype(np.uint64) << np.uint64(self.width)
         for b in range(self.width):

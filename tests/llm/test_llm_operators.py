@@ -78,7 +78,12 @@ def test_byte_pairs(docs, none):
     assert bytepair.round_trip(none, RANKS, public_tokenizers.PATTERN).collect() == []
 
 
-def test_token_files(docs, none, tmp_path):
+@pytest.mark.parametrize("cut", [1 << 20, 3])
+def test_token_files(docs, none, tmp_path, monkeypatch, cut):
+    """With small cuts each task writes many shards, and a reader holds few documents at once."""
+    monkeypatch.setattr(tokenfiles, "SHARD_IDS", cut)
+    monkeypatch.setattr(tokenfiles, "RUN", cut)
+    monkeypatch.setattr(tokenfiles, "sliced", lambda batches: (b.slice(i, 1) for b in batches for i in range(b.num_rows)))
     rows = tokenfiles.written_and_read(docs, str(tmp_path / "a"), WORDS).collect()
     t = Tokenizer.from_file(WORDS)
     got, at = sorted(rows, key=lambda r: r.start), 0

@@ -174,3 +174,11 @@ def test_texts_that_spell_added_tokens_equal_the_library():
     texts = ["ab <|endoftext|> cd", "x<|endoftext|>y.<|startoftext|>", "<|ENDOFTEXT|> <|end oftext|>", "\n<|startoftext|>\t", *AWKWARD]
     want = [np.asarray(x.ids, dtype="<u4").tobytes() for x in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
     assert encoder(WORDS).encode(texts) == want
+
+
+def test_elias_fano_selects_in_any_order():
+    rng = np.random.default_rng(2)
+    v = np.sort(rng.integers(0, 1 << 30, 50_000)).astype(np.uint64)
+    e = EliasFano.of(v)
+    for k in (rng.integers(0, len(v), 3000), np.asarray([49_999, 0, 0, 25_000]), np.arange(len(v))[::-1], np.arange(1000, 1400)):
+        assert (e.select(k) == v[k]).all()
