@@ -23,8 +23,13 @@ PIVOTS = 256
 DIMENSIONS = 1000
 #: Members below which a node isn't split, pairs of members below which they are compared outright, and cells of a matrix at once.
 LEAF, DIRECT, CELLS = 32, 1 << 16, 1 << 20
-#: What single precision may be off by in a distance.
-SLACK = 1e-4
+#: Radius below which a node isn't split, as single precision can't tell its members apart.
+FINEST = 4e-3
+
+
+def error(dim: int) -> float:
+    """What single precision may be off by in the squared distance of two unit vectors: two roundings of each component and one of each step."""
+    return 2 * (dim + 4) * 2.0**-23
 
 
 def usable(vector: Column) -> Column:
@@ -52,7 +57,7 @@ class CoverTree:
     """
 
     def __init__(self, x: np.ndarray):
-        self.x = x.astype(np.float32)
+        self.x, self.error = x.astype(np.float32), error(x.shape[1])
         order, centre, radius, begin, stop, kids = [], [], [], [], [], []
 
         def node(members: np.ndarray, c: int, far: float, level: float) -> int:
@@ -67,7 +72,7 @@ class CoverTree:
 
         todo: list = []
         if len(x):
-            node(np.arange(len(x)), 0, float(distances(self.x, self.x[:1]).max()), 2.0)
+            node(np.arange(len(x)), 0, self._far(float((self.x @ self.x[0]).min())), 2.0)
         # Depth first, so that the members of a node stand together.
         stack = [todo.pop()] if todo else []
         while stack:
@@ -77,7 +82,7 @@ class CoverTree:
                 continue
             begin[me] = len(order)
             groups = [members]
-            while len(members) > LEAF and radius[me] > 1e-6 and len(groups) == 1:
+            while len(members) > LEAF and radius[me] > FINEST and level > FINEST and len(groups) == 1:
                 level /= 2
                 groups = self._cover(members, level) if radius[me] > level else [members]
             if len(groups) == 1:
@@ -95,6 +100,10 @@ class CoverTree:
         self.kid_at = np.concatenate(([0], np.cumsum([len(k) for k in kids]))).astype(np.int64)
         self.kids = np.asarray([k for ks in kids for k in ks], dtype=np.int64)
 
+    def _far(self, dot: float) -> float:
+        """The largest distance that a product of two of the vectors allows."""
+        return float(np.sqrt(max(0.0, 2 - 2 * dot) + self.error))
+
     def _cover(self, members: np.ndarray, level: float) -> list:
         """Members in groups around centres farther apart than ``level``: (group, centre, farthest), the first member first."""
         out, rest, least = [], members, 1 - level * level / 2
@@ -108,7 +117,7 @@ class CoverTree:
                     near[i] = True
                     free ^= near
                     group = rest[near]
-                    far = float(np.sqrt(max(0.0, 2 - 2 * dot[i][near].min()))) if len(group) > 1 else 0.0
+                    far = self._far(float(dot[i][near].min())) if len(group) > 1 else 0.0
                     out.append((group, int(some[i]), far))
             rest = rest[free]
         return out if len(out) > 1 else [members]
@@ -116,6 +125,9 @@ class CoverTree:
     def members(self, u: int) -> np.ndarray:
         return self.order[self.begin[u] : self.stop[u]]
 
+    def split(self, u: int) -> bool:
+        return self.kid_at[u + 1] > self.kid_at[u]
+
     def children(self, u: int) -> np.ndarray:
         kids = self.kids[self.kid_at[u] : self.kid_at[u + 1]]
         return kids if len(kids) else np.asarray([u])
@@ -125,7 +137,7 @@ class CoverTree:
     @classmethod
     def restored(cls, x: np.ndarray, fields: dict) -> CoverTree:
         tree = cls.__new__(cls)
-        tree.x = x.astype(np.float32)
+        tree.x, tree.error = x.astype(np.float32), error(x.shape[1])
         for f in cls.FIELDS:
             setattr(tree, f, fields[f])
         return tree
@@ -182,16 +194,35 @@ class Joined:
             u, v = todo.pop()
             one = self.same and u == v
             p, q = s.members(u), t.members(v)
-            if len(p) * len(q) <= DIRECT or s.radius[u] + t.radius[v] <= self.reach:
+            # The first pair, and a node with itself, come without a bound.
+            if one:
+                every = 2 * s.radius[u] < self.reach
+            else:
+                apart = np.sqrt(max(0.0, 2 - 2 * float(s.x[s.centre[u]] @ t.x[t.centre[v]])) + s.error)
+                every = apart + s.radius[u] + t.radius[v] < self.reach
+            if len(p) * len(q) <= DIRECT:
                 self.direct(p, q, one)
-                continue
-            for a, b, every in self._close(s, self._items(s, u), t, self._items(t, v), one):
-                if self.same and a == b:
-                    todo.append((a, b))
-                elif every:
-                    self.whole(s.members(a), t.members(b))
-                else:
-                    todo.append((a, b))
+            elif every:
+                self.all(p) if one else self.whole(p, q)
+            elif not (s.split(u) or t.split(v)):
+                self.direct(p, q, one)
+            else:
+                self._descend(s, u, t, v, one, todo)
+
+    def all(self, p: np.ndarray) -> None:
+        """Every two of p link."""
+        self.n[p] += len(p) - 1
+        self._edges(p, np.full(len(p), p[0]))
+
+    def _descend(self, s: CoverTree, u: int, t: CoverTree, v: int, one: bool, todo: list) -> None:
+        """Goes on with the pairs of children that may hold a link."""
+        for a, b, every in self._close(s, self._items(s, u), t, self._items(t, v), one):
+            if self.same and a == b:
+                todo.append((a, b))
+            elif every:
+                self.whole(s.members(a), t.members(b))
+            else:
+                todo.append((a, b))
 
     @staticmethod
     def _items(tree: CoverTree, u: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,24 +243,24 @@ class Joined:
         """
         for mine in self._alike(left[1]):
             for other in self._alike(right[1]):
-                farthest = self.reach + SLACK + float(left[1][mine].max()) + float(right[1][other].max())
-                least = 1 - farthest * farthest / 2 if farthest < 2 else -2.0
+                farthest = self.reach + float(left[1][mine].max()) + float(right[1][other].max())
+                least = 1 - farthest * farthest / 2 - s.error if farthest < 2 else -2.0
                 x, y = s.x[left[0][mine]], t.x[right[0][other]].T
                 step = max(1, CELLS // len(other))
                 for at in range(0, len(mine), step):
                     dot = x[at : at + step] @ y
                     i, j = np.nonzero(dot >= least)
-                    d = np.sqrt(np.maximum(2 - 2 * dot[i, j], 0))
+                    square = 2 - 2 * dot[i, j].astype(np.float64)
                     i, j = mine[i + at], other[j]
                     bounds = left[1][i] + right[1][j]
-                    near = d - bounds <= self.reach + SLACK
+                    near = np.sqrt(np.maximum(square - s.error, 0)) - bounds <= self.reach
                     points = (left[2][i] < 0) & (right[2][j] < 0)
                     if one:
                         near &= (i < j) | ((i == j) & ~points)
                     both = near & points
                     self._points(left[0][i[both]], right[0][j[both]])
                     near &= ~points
-                    inside = (d + bounds)[near] <= self.reach - SLACK
+                    inside = (np.sqrt(np.maximum(square, 0) + s.error) + bounds)[near] < self.reach
                     for a, b, k, l, every in zip(left[2][i[near]].tolist(), right[2][j[near]].tolist(), left[0][i[near]].tolist(), right[0][j[near]].tolist(), inside.tolist()):
                         if a >= 0 and b >= 0:
                             yield a, b, every
@@ -319,7 +350,7 @@ def linked(vectors: DataFrame, similarity: float = SIMILARITY, block: int = BLOC
     routed = sized.select("vec_id", "vk", "embedding", "dim").mapInArrow(route, "vec_id long, vk long, cell int, far double, data binary")
     routed = stored(routed)
     cells = {r.cell: (r.n, r.far) for r in routed.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # at most a row per pivot
-    reach = float(np.sqrt(max(0.0, 2 - 2 * similarity))) + SLACK
+    reach = float(np.sqrt(max(0.0, 2 - 2 * similarity))) + 1e-6  # cells are measured in double precision
     cuts, near = {}, {}
     for d in dims:
         mine = [c for c in range(first[d], first[d] + len(pivots[d])) if c in cells]

@@ -182,3 +182,31 @@ def test_elias_fano_selects_in_any_order():
     e = EliasFano.of(v)
     for k in (rng.integers(0, len(v), 3000), np.asarray([49_999, 0, 0, 25_000]), np.arange(len(v))[::-1], np.arange(1000, 1400)):
         assert (e.select(k) == v[k]).all()
+
+
+@pytest.mark.parametrize("noise", [0.0, 1e-7, 1e-5, 1e-4, 3e-4, 1e-3, 1e-2])
+@pytest.mark.parametrize("single", [True, False])
+def test_cover_trees_of_nearly_equal_vectors(noise, single):
+    """Groups of copies with noise, and pairs of groups right at the threshold."""
+    rng = np.random.default_rng(int(-np.log10(noise or 1)) + single)
+    for d, sizes in ((64, (40, 400)), (64, (300, 900)), (2, (200,))):
+        a, b = np.zeros(d), np.zeros(d)
+        a[0] = 1.0
+        b[0], b[1] = 0.95, np.sqrt(1 - 0.95**2)
+        centres = [a, b][: len(sizes)]
+        raw = np.concatenate([c + rng.normal(size=(n, d)) * noise / np.sqrt(d) for c, n in zip(centres, sizes)])
+        x = covertree.units(raw.astype(np.float32) if single else raw)
+        tree = covertree.CoverTree(x)
+        one = covertree.Joined(x, x, 0.95, True)
+        one.traverse(tree, tree)
+        hit = x @ x.T >= 0.95
+        # Pairs that double precision itself can't tell from the threshold may fall on either side.
+        sure = np.abs(x @ x.T - 0.95) > 1e-14
+        np.fill_diagonal(hit, False)
+        assert (np.abs(one.n - hit.sum(axis=1)) <= (~sure).sum(axis=1)).all()
+        if sure.all():
+            assert (one.n == hit.sum(axis=1)).all() and (one.roots() == forest(len(x), *np.nonzero(hit))).all()
+        half = len(x) // 2
+        two = covertree.Joined(x[:half], x[half:], 0.95, False)
+        two.traverse(covertree.CoverTree(x[:half]), covertree.CoverTree(x[half:]))
+        assert (np.abs(two.n - hit[:half, half:].sum(axis=1)) <= (~sure[:half, half:]).sum(axis=1)).all()
