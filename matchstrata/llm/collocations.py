@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from matchstrata.core import partitions, stored
 from matchstrata.llm.base import query, sliced, table
-from matchstrata.llm.ngrams import BLOCK_BYTES, _narrow, _rising, _risen, _wide, gathered
+from matchstrata.llm.ngrams import _narrow, _rising, _risen, _wide, gathered
 
 LONGEST, THRESHOLD, SHARE, TOP = 5, 100, 100, 2000
+#: Text bytes of a block, about; a longer text is one block.
+BLOCK_BYTES = 4 << 20
 UNKNOWN = "und"
 #: How many times mass divided by threshold a summary's capacity is: more counters leave fewer n-grams that are not frequent.
 SPARE = 4
