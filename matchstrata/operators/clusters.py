@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from matchstrata.core import stable
 from matchstrata.functions import geo
+from matchstrata.operators import hull
 
 CELL_DEGREES = 0.0006
 METRES_PER_DEGREE = 111_195.0
@@ -57,32 +58,32 @@ def leaders(points: DataFrame, key: str, order: str, lon: str, lat: str, radius:
 def separation(found: DataFrame, key: str) -> DataFrame:
     """Number of leaders and the largest distance between two of them, per key.
 
-    For many leaders only those that can be an end of the longest distance are compared: their
-    farthest bounding-box corner must reach beyond a distance already known to occur.
+    Decided on the convex hulls of the keys' leaders. Only a key that reaches beyond 44 degrees around its centre, where hulls don't hold,
+    has its leaders compared in pairs.
     """
-    box = found.groupBy(key).agg(
-        F.count(F.lit(1)).alias("clusters"),
-        F.min("x").alias("x0"),
-        F.max("x").alias("x1"),
-        F.min("y").alias("y0"),
-        F.max("y").alias("y1"),
-        F.array(
-            *[f(F.struct("x", "y"), c) for c in (F.col("x"), F.col("y"), F.col("x") + F.col("y"), F.col("x") - F.col("y")) for f in (F.min_by, F.max_by)]
-        ).alias("ends"),
-    )
-    def widest(points):
-        pairs = F.flatten(F.transform(points, lambda a: F.transform(points, lambda b: _metres(a["x"], a["y"], b["x"], b["y"]))))
-        return F.array_max(pairs)
-
-    box = box.withColumn("known", widest(F.col("ends")))
-    joined = found.join(box, key)
-    corners = [_metres(F.col("x"), F.col("y"), F.col(a), F.col(b)) for a in ("x0", "x1") for b in ("y0", "y1")]
-    ends = joined.filter(F.greatest(*corners) >= F.col("known") * (1 - 1e-9)).select(key, "x", "y")
-    other = ends.withColumnsRenamed({"x": "bx", "y": "by"})
-    longest = (
-        ends.join(other, key)
-        .filter((F.col("x") < F.col("bx")) | ((F.col("x") == F.col("bx")) & (F.col("y") < F.col("by"))))
-        .groupBy(key)
-        .agg(F.max(_metres(F.col("x"), F.col("y"), F.col("bx"), F.col("by"))).alias("far"))
-    )
-    return box.join(longest, key, "left").select(key, "clusters", F.coalesce("far", F.lit(0.0)).alias("max_separation_m"))
+    many = found.groupBy(key).agg(F.count(F.lit(1)).alias("clusters"))
+    placed = hull.projected(found, key, "x", "y")
+    scattered = placed.where("px IS NULL").select(F.col(key).alias("__k")).distinct()
+    apart = F.col(key).eqNullSafe(F.col("__k"))
+    far = hull.farthest(placed.join(scattered, apart, "left_anti"), key, geo.EARTH_M).unionByName(_compared(found.join(scattered, apart, "left_semi"), key))
+    far = far.withColumnRenamed(key, "__k")
+    return many.join(far, apart, "left").select(key, "clusters", F.coalesce("far", F.lit(0.0)).alias("max_separation_m"))
+
+
+def _compared(found: DataFrame, key: str, cell: float = 2.0) -> DataFrame:
+    """(key, far) from the points of those pairs of cells that may hold the longest distance, for keys spread over the globe."""
+    half = _metres(F.lit(0.0), F.lit(0.0), F.lit(cell / 2), F.lit(cell / 2))  # no cell's corner is farther from its middle
+    placed = found.select(F.col(key).alias("k"), "x", "y", F.floor(F.col("x") / cell).alias("cx"), F.floor(F.col("y") / cell).alias("cy"))
+    cells = placed.select("k", "cx", "cy").distinct()
+    other = cells.select(F.col("k").alias("k2"), F.col("cx").alias("dx"), F.col("cy").alias("dy"))
+    pairs = cells.join(other, F.col("k").eqNullSafe(F.col("k2")) & (F.struct("cx", "cy") <= F.struct("dx", "dy")))
+    middle = [(F.col(c) + 0.5) * cell for c in ("cx", "cy", "dx", "dy")]
+    pairs = pairs.withColumn("apart", _metres(*middle))
+    known = pairs.groupBy("k").agg(F.max("apart").alias("known")).withColumnRenamed("k", "k3")
+    # The cells that are farthest apart hold points at least their middles' distance less both halves apart.
+    pairs = pairs.join(known, F.col("k").eqNullSafe(F.col("k3"))).where(F.col("apart") + 2 * half >= F.col("known") - 2 * half).select("k", "cx", "cy", "dx", "dy")
+    right = placed.select(F.col("k").alias("k2"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("cx").alias("ex"), F.col("cy").alias("ey"))
+    left = placed.select(F.col("k").alias("k4"), "x", "y", F.col("cx").alias("fx"), F.col("cy").alias("fy"))
+    met = pairs.join(left, F.col("k").eqNullSafe(F.col("k4")) & (F.col("cx") == F.col("fx")) & (F.col("cy") == F.col("fy")))
+    met = met.join(right, F.col("k").eqNullSafe(F.col("k2")) & (F.col("dx") == F.col("ex")) & (F.col("dy") == F.col("ey")))
+    return met.groupBy(F.col("k").alias(key)).agg(F.max(_metres(F.col("x"), F.col("y"), F.col("bx"), F.col("by"))).alias("far"))

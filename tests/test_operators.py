@@ -229,3 +229,42 @@ def test_nearest_grid(spark):
             if np.sort(km)[1] - km.min() > 1e-6:
                 assert got[i]["weather_grid_id"] == points[int(km.argmin())][0]
     assert exposure.nearest_grid(locs, exposure.lattice(spark).limit(0), "weather_grid_id").count() == len(got)
+
+
+def test_farthest_pair_of_a_key(spark):
+    """Rings, discs, lines, copies, poles, the date line, and keys spread over the globe, against all pairs."""
+    from matchstrata.operators import hull
+
+    rng = np.random.default_rng(3)
+    t = np.linspace(0, 2 * np.pi, 701)[:-1]
+    shapes = {
+        "ring": np.stack([113 + 0.2 * np.cos(t), 23 + 0.18 * np.sin(t)], 1),
+        "disc": rng.normal([113, 23], 0.1, (900, 2)),
+        "line": np.stack([np.linspace(100, 120, 60), np.zeros(60)], 1),
+        "copies": np.repeat([[113.0, 23.0]], 40, 0),
+        "one": np.asarray([[10.0, 10.0]]),
+        "two": np.asarray([[10.0, 10.0], [10.5, 10.0]]),
+        "pole": np.stack([rng.uniform(-180, 180, 300), rng.uniform(88, 90, 300)], 1),
+        "date": np.stack([np.where(rng.random(300) < 0.5, 179.5, -179.5) + rng.normal(0, 0.1, 300), rng.normal(0, 0.1, 300)], 1),
+        "globe": np.stack([rng.uniform(-180, 180, 300), rng.uniform(-80, 80, 300)], 1),
+        "half": np.stack([rng.uniform(-40, 40, 300), rng.uniform(-30, 30, 300)], 1),
+        "ends": np.asarray([[0.0, 0.0], [180.0, 0.0], [90.0, 10.0]]),
+        None: rng.normal([5, 50], 0.3, (50, 2)),
+    }
+    rows = [(k, float(x), float(y)) for k, ps in shapes.items() for x, y in ps]
+    rng.shuffle(rows := np.array(rows, dtype=object))
+    df = spark.createDataFrame([tuple(r) for r in rows.tolist()], "k string, x double, y double")
+    got = {r["k"]: r for r in clusters.separation(df, "k").collect()}
+    for k, ps in shapes.items():
+        lon, lat = np.radians(ps[:, 0]), np.radians(ps[:, 1])
+        h = np.sin((lat[:, None] - lat) / 2) ** 2 + np.cos(lat[:, None]) * np.cos(lat) * np.sin((lon[:, None] - lon) / 2) ** 2
+        assert got[k]["clusters"] == len(ps)
+        assert got[k]["max_separation_m"] == pytest.approx(2 * 6371008.8 * np.arcsin(np.sqrt(min(1.0, h.max()))), abs=1e-3 if k in ("globe", "ends") else 1e-6), k
+    assert clusters.separation(df.limit(0), "k").collect() == []
+    # A million points on one ring, all of them corners of its hull.
+    t = rng.permutation(np.linspace(0, 2 * np.pi, 1_000_001)[:-1])
+    x, y = 0.2 * np.cos(t), 0.1999 * np.sin(t)
+    z = np.stack([x, y, np.ones_like(x)], 1) / np.sqrt(1 + x * x + y * y)[:, None]
+    order = hull.hull(x, y)
+    assert len(order) == 1_000_000
+    assert hull.metres(hull.widest(z[order]), 1.0) == pytest.approx(2 * np.arctan(0.2), abs=1e-9)
