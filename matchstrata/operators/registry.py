@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchstrata.core import flag, stable
+from matchstrata.core import flag, stored
 from matchstrata.functions import identity as idf
 from matchstrata.functions import text as tx
 from matchstrata.operators import timeline
+from matchstrata.operators.graph import components
 
 ADDRESS_PARTS = ["addr_province", "addr_city", "addr_district", "addr_street", "addr_community", "addr_number"]
 # Prefixes that take part in the 28-day episodes, and the two pair families.
@@ -123,37 +126,78 @@ def join_known(rows: DataFrame, other: DataFrame, keys: list[str], unique: list[
     return spread.join(other.withColumn("__s", F.lit(0).cast("long")), [*keys, "__s"], how).drop("__s")
 
 
-def greedy_distinct(rows: DataFrame, order: list[str], key_sets: dict[str, list[str]], label: str = "reason") -> DataFrame:
+#: Rows of a conflict component that one task goes through; a larger one is thinned out by rounds first.
+FOLD = 1 << 20
+
+
+def _round(left: DataFrame, order: list[str], key_sets: dict[str, list[str]]) -> tuple[DataFrame, DataFrame]:
+    """One round of the greedy rule: the rows that are first in all their key groups, and those that neither lead nor conflict with one that does."""
+    cols, place = left.columns, F.struct(*order)
+    mine, lead = left, F.lit(True)
+    for name, ks in key_sets.items():
+        first = left.dropna(subset=ks).groupBy(*ks).agg(F.min(place).alias(f"__f_{name}"))
+        mine = join_known(mine, first, ks, order)
+        lead = lead & (F.col(f"__f_{name}").isNull() | (F.col(f"__f_{name}") == place))
+    marked = stored(mine.withColumn("__keep", lead).select(*cols, "__keep"))
+    kept, rest = marked.filter("__keep").select(*cols), marked.filter("NOT __keep").select(*cols)
+    for ks in key_sets.values():
+        rest = join_known(rest, kept.dropna(subset=ks).select(*ks), ks, order, "left_anti").select(*cols)
+    return kept, stored(rest)
+
+
+def _fold(rows: DataFrame, order: list[str], key_sets: dict[str, list[str]]) -> DataFrame:
+    """The rows that the rule keeps, going through each ``component`` in order; a task holds the kept keys of one component."""
+    cols = [c for c in rows.columns if c != "component"]
+    sets = list(key_sets.values())
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, [set() for _ in sets]
+        for batch in batches:
+            component = batch.column("component").to_pylist()
+            keys = [list(zip(*(batch.column(c).to_pylist() for c in ks))) for ks in sets]
+            keep = []
+            for i, c in enumerate(component):
+                if c != now:
+                    now, held = c, [set() for _ in sets]
+                mine = [(h, k[i]) for h, k in zip(held, keys) if None not in k[i]]
+                keep.append(all(k not in h for h, k in mine))
+                if keep[-1]:
+                    for h, k in mine:
+                        h.add(k)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(cols)
+
+    return rows.repartition("component").sortWithinPartitions("component", *order).mapInArrow(walk, rows.select(*cols).schema)
+
+
+def greedy_distinct(rows: DataFrame, order: list[str], key_sets: dict[str, list[str]], label: str = "reason", fold: int = FOLD) -> DataFrame:
     """Order-dependent de-duplication on several keys.
 
-    Going through the rows in ``order``, a row is dropped when any of its keys is held by a kept
-    row; a key with a null part never conflicts. ``label`` is '' for kept rows, else the first
-    key set in conflict. Each round keeps every undecided row that is first in all its key
-    groups and drops what conflicts with kept rows; this equals the one-by-one rule, and rounds
-    go on until no row is undecided.
+    Going through the rows in ``order``, a row is dropped when any of its keys is held by a kept row; a key with a null
+    part never conflicts. ``label`` is '' for kept rows, else the first key set in conflict. A round keeps every row that is first in all its key
+    groups and drops what conflicts with these, so that a key of any number of rows is decided at once. What is left falls into
+    components of rows that share keys; each is gone through in order by one task, so long chains take no round for each link. A
+    component of more than ``fold`` rows goes through another round first.
     """
     keys = sorted({c for ks in key_sets.values() for c in ks})
     cols = list(dict.fromkeys([*order, *keys]))
     place = F.struct(*order)
-    every = left = stable(rows.select(*cols))
-    kept_parts = []
-    while True:
-        mine = left
-        lead = F.lit(True)
-        for name, ks in key_sets.items():
-            first = left.dropna(subset=ks).groupBy(*ks).agg(F.min(place).alias(f"__f_{name}"))
-            mine = join_known(mine, first, ks, order)
-            lead = lead & (F.col(f"__f_{name}").isNull() | (F.col(f"__f_{name}") == place))
-        marked = stable(mine.withColumn("__keep", lead).select(*cols, "__keep"))
-        kept = marked.filter("__keep").select(*cols)
-        kept_parts.append(kept)
-        left = marked.filter("NOT __keep").select(*cols)
-        for ks in key_sets.values():
-            left = join_known(left, kept.dropna(subset=ks).select(*ks), ks, order, "left_anti").select(*cols)
-        left = stable(left)
-        if left.isEmpty():
+    every = stored(rows.select(*cols))
+    kept, left = _round(every, order, key_sets)
+    while not left.isEmpty():
+        firsts = [left.dropna(subset=ks).groupBy(*ks).agg(F.min(place).alias("b")) for ks in key_sets.values()]
+        edges = [left.dropna(subset=ks).join(first, ks).select(place.alias("a"), "b") for ks, first in zip(key_sets.values(), firsts)]
+        found = components(reduce(DataFrame.unionByName, edges))
+        placed = left.withColumn("__p", place).join(found, F.col("__p") == F.col("node"), "left")
+        # A row that shares no key any more stands alone.
+        placed = stored(placed.select(*cols, F.coalesce("component", "__p").alias("component")))
+        size = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        large = stored(size.filter(F.col("n") > fold).select("component"))
+        kept = kept.unionByName(_fold(placed.join(large, "component", "left_anti").select(*cols, "component"), order, key_sets))
+        if large.isEmpty():
             break
-    kept = reduce(DataFrame.unionByName, kept_parts)
+        more, left = _round(placed.join(large, "component", "left_semi").select(*cols), order, key_sets)
+        kept = kept.unionByName(more)
+    kept = stored(kept)
     judged = every
     why = F.lit("")
     for name, ks in reversed(key_sets.items()):

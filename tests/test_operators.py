@@ -114,8 +114,44 @@ def test_greedy_deduplication(spark, seed):
     if seed == 0:
         rows = [(0, 1, 10), (1, 2, 10), (2, 2, 11)]
     df = spark.createDataFrame(rows, "i int, card int, event int")
-    got = registry.greedy_distinct(df, ["i"], {"card": ["card"], "event": ["event"]}).orderBy("i").collect()
-    assert [r["reason"] for r in got] == greedy(rows)
+    for fold in (registry.FOLD, 3):
+        got = registry.greedy_distinct(df, ["i"], {"card": ["card"], "event": ["event"]}, fold=fold).orderBy("i").collect()
+        assert [r["reason"] for r in got] == greedy(rows)
+    assert registry.greedy_distinct(df.limit(0), ["i"], {"card": ["card"], "event": ["event"]}).collect() == []
+
+
+def test_greedy_deduplication_of_long_chains(spark):
+    """A chain in which each row conflicts with the next: jobs grow with the logarithm of its length. A hot key is decided in the first round."""
+    jobs, sc = {}, spark.sparkContext
+    for n in (300, 10_000):
+        rows = [(i, i // 2, (i + 1) // 2) for i in range(n)] + [(n + i, -1, -1 - i) for i in range(3000)]
+        df = spark.createDataFrame(rows, "i int, card int, event int")
+        sc.setJobGroup(f"chain {n}", "")
+        got = registry.greedy_distinct(df, ["i"], {"card": ["card"], "event": ["event"]}).orderBy("i").collect()
+        sc.setJobGroup("other", "")
+        jobs[n] = len(sc.statusTracker().getJobIdsForGroup(f"chain {n}"))
+        assert [r["reason"] for r in got] == greedy(rows)
+    assert jobs[10_000] <= 2 * jobs[300] and jobs[10_000] < 1000
+
+
+def test_components(spark):
+    from matchstrata.operators.graph import components
+
+    rng = random.Random(2)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(900 + i, 901 + i) for i in range(300)] + [(7, 7), (5000, 5001), (5001, 5000)]
+    root = {x: x for ab in links for x in ab}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if find(a) != find(b):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for a, b in links if a != b for x in (a, b)}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
 def test_referents_of_a_leap_day(spark):
