@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchstrata.core import collect_bounded, stable
+from matchstrata.core import stable
 from matchstrata.functions import address as ad
 from matchstrata.functions import geo
+from matchstrata.functions.automaton import Patterns
 from matchstrata.operators import clusters
 from matchstrata.operators.segments import exact_quantiles
 
@@ -549,26 +551,45 @@ def admin_references(points: DataFrame, least_length: int = 9) -> DataFrame:
     return once.filter("single").drop("single")
 
 
-def longest_prefix(unresolved: DataFrame, references: DataFrame, least_length: int = 9) -> DataFrame:
+#: Prefixes of one automaton, and addresses that walk one; larger districts are dealt out.
+AUTOMATON, WALKERS = 1 << 16, 1 << 17
+
+
+def longest_prefix(unresolved: DataFrame, references: DataFrame, automaton: int = AUTOMATON, walkers: int = WALKERS) -> DataFrame:
     """Longest administrative prefix contained in the address, same district.
 
-    Containment becomes an equality join: every substring of an address with the length of some
-    prefix is looked up by value, so neither side of a district is paired with the other.
+    Each district's prefixes form automata of bounded size; an address walks each of its district's once, and the longest of what
+    they accept counts, of equally long prefixes the last in order. A district of any number of prefixes or addresses is dealt out
+    by hash on both sides. Null addresses and districts without a reference find nothing.
     """
-    found = references.select(F.length("prefix").alias("n")).distinct()
-    lengths = sorted(r["n"] for r in collect_bounded(found, 500, "prefix lengths")) or [least_length]
     text = F.replace(ad.normalise(F.col("address")), F.lit(ad.PROVINCE), F.lit(""))
-    rows = unresolved.select("query_id", ad.district(F.col("address")).alias("district"), text.alias("t"))
-
-    def pieces(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length("t") - n + 1)
-        every = F.transform(starts, lambda i: F.substring(F.col("t"), i, F.lit(n)))
-        return F.when(F.length("t") >= n, every).otherwise(F.array().cast("array<string>"))
-
-    spans = F.flatten(F.array(*[pieces(n) for n in lengths]))
-    parts = rows.select("query_id", "district", F.explode(F.array_distinct(spans)).alias("prefix"))
-    hits = parts.join(references, ["district", "prefix"])
-    best = hits.groupBy("query_id").agg(
-        F.max(F.struct(F.length("prefix").alias("n"), "prefix", "location", "level")).alias("b")
-    )
+    rows = unresolved.select("query_id", ad.district(F.col("address")).alias("district"), text.alias("t")).where("t IS NOT NULL")
+    refs = references.select("district", "prefix", "location", "level").where("prefix <> ''")
+
+    def parts(side: DataFrame, room: int, name: str) -> DataFrame:
+        return side.groupBy("district").agg(F.ceil(F.count(F.lit(1)) / room).cast("int").alias(name))
+
+    dealt = parts(refs, automaton, "shards").join(parts(rows, walkers, "salts"), "district")
+
+    def among(key: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+
+    def each(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    held = refs.join(dealt, "district").withColumn("shard", among("prefix", "shards")).withColumn("salt", each("salts")).drop("shards", "salts")
+    asked = rows.join(dealt, "district").withColumn("salt", among("query_id", "salts")).withColumn("shard", each("shards")).drop("shards", "salts")
+    held = held.select(*(F.col(c).alias(f"r_{c}") for c in held.columns))
+
+    def walk(left: pa.Table, right: pa.Table) -> pa.Table:
+        walker = Patterns(right.column("r_prefix").to_pylist())
+        found = [walker.find(t) for t in left.column("t").to_pylist()]
+        hit = pa.array([i for i, n in enumerate(found) if n >= 0], pa.int64())
+        best = right.select(["r_prefix", "r_location", "r_level"]).take(pa.array([n for n in found if n >= 0], pa.int64()))
+        return pa.table([left.column("query_id").take(hit), *best.columns], names=["query_id", "prefix", "location", "level"])
+
+    schema = rows.select("query_id").schema.add("prefix", "string").add("location", "string").add("level", "string")
+    keys = ["district", "shard", "salt"]
+    hits = asked.groupBy(*keys).cogroup(held.groupBy(*(f"r_{k}" for k in keys))).applyInArrow(walk, schema)
+    best = hits.groupBy("query_id").agg(F.max(F.struct(F.length("prefix").alias("n"), "prefix", "location", "level")).alias("b"))
     return best.select("query_id", "b.prefix", "b.location", "b.level")

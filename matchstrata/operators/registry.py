@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchstrata.core import flag, stored
+from matchstrata.core import flag, stable, stored
 from matchstrata.functions import identity as idf
 from matchstrata.functions import text as tx
 from matchstrata.operators import timeline

@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import hmac
+import random
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -121,3 +122,16 @@ def test_spline_columns_equal_matrix(spark):
     cols = spline.spline_columns(F.col("x"), [5.0, 11.0], (0.0, 19.0))
     got = np.array([list(r) for r in df.select(*cols).collect()])
     assert np.allclose(got, spline.spline_matrix(np.arange(20), [5.0, 11.0], (0.0, 19.0)))
+
+
+def test_longest_pattern_in_one_walk():
+    from matchstrata.functions.automaton import Patterns
+
+    rng = random.Random(5)
+    for _ in range(300):
+        patterns = ["".join(rng.choices("ab天", k=rng.randrange(1, 6))) for _ in range(rng.randrange(12))]
+        text = "".join(rng.choices("ab天c", k=rng.randrange(30)))
+        held = [p for p in patterns if p in text]
+        found = Patterns(patterns).find(text)
+        assert (patterns[found] if found >= 0 else None) == (max(held, key=lambda p: (len(p), p)) if held else None)
+    assert Patterns([]).find("a") == -1 and Patterns(["a"]).find("") == -1

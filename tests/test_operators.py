@@ -304,3 +304,29 @@ def test_farthest_pair_of_a_key(spark):
     order = hull.hull(x, y)
     assert len(order) == 1_000_000
     assert hull.metres(hull.widest(z[order]), 1.0) == pytest.approx(2 * np.arctan(0.2), abs=1e-9)
+
+
+def test_longest_prefix_in_dealt_districts(spark):
+    """Against a scan of all prefixes, in one automaton for each district and in many small ones."""
+    from matchstrata.functions import address as ad
+    from matchstrata.operators import location
+
+    rng = random.Random(8)
+    names = ["天河区", "海珠区"]
+    refs = sorted({(d, d + "".join(rng.choices("东沙石溪村", k=rng.randrange(1, 7)))) for d in names for _ in range(80)})
+    rows = [(i, rng.choice([*names, "白云区", ""]) + "".join(rng.choices(["东", "沙", "石", "溪", "村", "1号"], k=rng.randrange(12)))) for i in range(300)]
+    rows += [(1000, None), (1001, ""), (1002, "天河区" + "东沙石溪村" * 400), (1003, "海珠区天河区东村")]
+    references = spark.createDataFrame([(d, p, f"{i},1", "村庄") for i, (d, p) in enumerate(refs)], "district string, prefix string, location string, level string")
+    unresolved = spark.createDataFrame(rows, "query_id int, address string")
+    want = {}
+    for i, a in rows:
+        if a:
+            mine = [(len(p), p) for d, p in refs if p in a and d == next((x for x in ad.DISTRICTS if x in a), "")]
+            if mine:
+                want[i] = max(mine)[1]
+    assert len(want) > 100
+    for sizes in ((location.AUTOMATON, location.WALKERS), (7, 11)):
+        got = location.longest_prefix(unresolved, references, *sizes).collect()
+        assert {r["query_id"]: r["prefix"] for r in got} == want and len(got) == len(want)
+    assert location.longest_prefix(unresolved.limit(0), references).collect() == []
+    assert location.longest_prefix(unresolved, references.limit(0)).collect() == []
