@@ -7,8 +7,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchstrata.llm.base import query, sliced, table
@@ -26,8 +27,8 @@ LEXICON = 2000
 EPOCHS, RATE, DECAY = 3, 0.2, 1e-6
 #: Steps of a chain that are taken one after another; chains are cut into lanes of this length that advance side by side.
 LANE = 128
-#: Words whose scores a task remembers.
-REMEMBERED = 500_000
+#: Words whose scores a task remembers, and text bytes that it labels at once.
+REMEMBERED, LABELLED_BYTES = 150_000, 1 << 20
 UNKNOWN = "und"
 
 
@@ -231,34 +232,37 @@ def fit(rows: list[tuple[str, str]], seed: int = 7) -> Field:
 def train(labelled: DataFrame, docs_per_lang: int = SAMPLE_DOCS) -> Field | None:
     """A field from the labelled rows (doc_id, text, lang); null if none has a text and a language.
 
-    The ``docs_per_lang`` rows of each language with the smallest hash of doc_id are taken; ids are chosen first, from two columns.
+    The ``docs_per_lang`` different rows of each language with the smallest hash of doc_id (then of text) are taken, whatever rows repeat an id;
+    they are chosen by hashes in the executors, in one pass, and fetched in another.
     """
     usable = labelled.where("lang is not null and text is not null and doc_id is not null")
-    langs = [r.lang for r in usable.select("lang").distinct().limit(MAX_LANGS + 1).collect()]
+    key = ["lang", "doc_id", "t"]
+    hashed = usable.select("lang", "doc_id", F.xxhash64("text").alias("t"), F.xxhash64("doc_id").alias("h"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "t")
+    # Repeated rows are one before they are ranked, so they don't take others' places.
+    chosen = hashed.groupBy(*key, "h").agg(F.lit(1).alias("one")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= docs_per_lang).select(key)
+    wanted = chosen.collect()
+    langs = sorted({r.lang for r in wanted})
     if len(langs) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     if not langs:
         return None
-    ids = None
-    for lang in sorted(langs):
-        some = usable.where(F.col("lang") == lang).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(docs_per_lang)
-        ids = some if ids is None else ids.unionByName(some)
-    wanted = [r.doc_id for r in ids.collect()]
-    rows = usable.where(F.col("doc_id").isin(wanted)).select("text", "lang", "doc_id").collect()
-    # Repeated rows of one doc_id stay within the bound, too.
-    return fit([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text))[: docs_per_lang * len(langs)] if has_letter(r.text)] or [("", langs[0])])
+    told = labelled.sparkSession.createDataFrame([tuple(r) for r in wanted], chosen.schema)
+    rows = usable.withColumn("t", F.xxhash64("text")).join(F.broadcast(told), key).dropDuplicates(key).select("lang", "doc_id", "text").collect()  # at most docs_per_lang of each
+    return fit([(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.text)) if has_letter(r.text)] or [("", langs[0])])
 
 
 def identify(docs: DataFrame, model: Field | None, keep: list[str] = ()) -> DataFrame:
     """lang_pred and score of each row from its text alone, with the columns of ``keep``.
 
-    ``und`` with score 0 for a null text, one without a letter, and every text if nothing could be learned.
+    ``und`` with score 0 for a null text, one without a letter, and every text if nothing could be learned. Repeated rows are kept, an
+    empty table gives no rows, and only text and the columns of ``keep`` are read, so others can't clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     picked = docs.select(*keep, "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, limit=LABELLED_BYTES):
             texts = batch.column("text").to_pylist()
             found = shared.value.predict(texts) if shared.value else [(UNKNOWN, 0.0)] * len(texts)
             yield pa.RecordBatch.from_arrays(
@@ -269,22 +273,27 @@ def identify(docs: DataFrame, model: Field | None, keep: list[str] = ()) -> Data
 
 
 def known_language(docs: DataFrame, model: Field | None) -> DataFrame:
-    """The rows in which a language is found, with the columns of ``docs``; rows labelled ``und`` go.
+    """The rows in which a language is found, with the columns of ``docs``; a null lang becomes the one that was found.
 
-    Without a model (no labelled row to learn from) only null texts and texts without a letter go.
+    Null texts and those without a letter go. Without a model (no labelled row to learn from) only they go, and lang stays. Repeated rows are
+    kept; an empty table gives none. Only the text goes through Python.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            texts = batch.column("text").to_pylist()
-            if shared.value:
-                kept = [f[0] != UNKNOWN for f in shared.value.predict(texts)]
-            else:
-                kept = [t is not None and has_letter(t) for t in texts]
-            yield batch.filter(pa.array(kept, pa.bool_()))
-
-    return docs.mapInArrow(each, docs.schema)
+    def label(texts: pd.Series) -> pd.Series:
+        part = np.cumsum([len(t or "") for t in texts]) // LABELLED_BYTES
+        out: list = []
+        for _, some in texts.groupby(part):
+            some = some.tolist()
+            out += [f[0] for f in shared.value.predict(some)] if shared.value else [None if t and has_letter(t) else UNKNOWN for t in some]
+        return pd.Series(out, dtype=object)
+
+    found = F.pandas_udf(label, "string").asNondeterministic()  # asked once a row
+    name = "__" + "_".join(sorted(docs.columns))  # no column of docs
+    kept = docs.withColumn(name, found(F.coalesce("text", F.lit("")))).where(F.coalesce(name, F.lit("")) != UNKNOWN)
+    if "lang" in docs.columns:
+        kept = kept.withColumn("lang", F.coalesce("lang", name))
+    return kept.select(docs.columns)
 
 
 def third() -> F.Column:
