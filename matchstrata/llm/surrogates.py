@@ -232,7 +232,7 @@ def pseudonymised(docs: DataFrame, key: str = "matchstrata") -> DataFrame:
     """``docs`` with every entity of text replaced; adds entities (long), the number of replaced matches of the text.
 
     Equal values have equal surrogates in all documents, different values different ones. A null text stays null, texts without an
-    entity stay as they are; a column entities is replaced. Rows and their repeats are kept. A text of any length is taken whole,
+    entity stay as they are; a column entities is replaced. Rows and their repeats are kept, no rows give none. A text of any length is taken whole,
     and so are secrets and sk- keys of any length. Not found are names without a title before them, and secrets that hold no digit unless they stand in quotes.
     """
     text = F.col("text")
@@ -240,23 +240,23 @@ def pseudonymised(docs: DataFrame, key: str = "matchstrata") -> DataFrame:
     values = stored(found.select(F.explode(F.flatten(F.transform(_matches(text), atoms))).alias("a")).select("a.*").distinct())
     again = collisions(values, key)
     attempts = None
-    if again is None:
-        base = docs
-    else:
+    # Rows are held as one value, so that no column of theirs meets a name used here.
+    base = docs.select(F.struct(*docs.columns).alias("held"))
+    if again is not None:
         # The few values on a later attempt, by the rows that hold them; equal rows hold the same ones.
         row = docs.where(has_entity(text)).select(F.col("doc_id").alias("row_doc"), F.xxhash64("text").alias("row_text"), F.explode(F.flatten(F.transform(_matches(text), atoms))).alias("a"))
         maps = (
             row.select("row_doc", "row_text", "a.kind", "a.value").join(again, ["kind", "value"]).distinct()
             .groupBy("row_doc", "row_text").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws(":", "kind", "value"), "attempt"))).alias("row_attempts"))
         )
-        base = docs.join(maps, docs["doc_id"].eqNullSafe(maps["row_doc"]) & (F.xxhash64(docs["text"]) == maps["row_text"]), "left")
+        base = base.join(maps, F.col("held.doc_id").eqNullSafe(F.col("row_doc")) & (F.xxhash64("held.text") == F.col("row_text")), "left")
         attempts = F.coalesce("row_attempts", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")))
+    text = F.col("held.text")
     pieces = F.concat(F.transform(_matches(text), lambda e: replaced(key, e, attempts)), F.array(F.lit("")))
     new = F.array_join(F.zip_with(F.split(text, ENTITY, -1), pieces, lambda a, b: F.concat(a, b)), "")
     changed = F.when(has_entity(text), F.struct(new.alias("text"), F.size(_matches(text)).cast("long").alias("n"))).otherwise(F.struct(text.alias("text"), F.lit(0).cast("long").alias("n")))
-    out = base.withColumn("_changed", changed)
-    kept = [c for c in docs.columns if c != "entities"]
-    return out.select(*[(F.col("_changed.text") if c == "text" else docs[c]).alias(c) for c in kept], F.col("_changed.n").alias("entities"))
+    out = base.select("held", changed.alias("changed"))
+    return out.select(*[F.col("changed.text" if c == "text" else f"held.`{c}`").alias(c) for c in docs.columns if c != "entities"], F.col("changed.n").alias("entities"))
 
 
 @query("op3_keyed_surrogates")

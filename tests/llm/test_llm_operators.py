@@ -27,12 +27,12 @@ ROWS = [
     (9, PROSE.replace("cat", "dog"), "en", "b"), (10, "12 34 !?", None, "f"),
 ]
 #: Columns that operators add themselves, or use inside.
-CLASH = "doc_id long, text string, lang string, source string, length int, part int, fp0 int, node int, score int, key int, pos int, entities int, cell int, n_chars long"
+CLASH = "doc_id long, text string, lang string, source string, length int, part int, fp0 int, node int, score int, key int, pos int, entities int, cell int, n_chars long, _changed int, row_text int, held int, changed int, attempts int"
 
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    return spark.createDataFrame([(*r, *[1] * 9, None) for r in ROWS], CLASH)
+    return spark.createDataFrame([(*r, *[1] * 9, None, *[1] * 5) for r in ROWS], CLASH)
 
 
 @pytest.fixture(scope="module")
@@ -167,12 +167,17 @@ def test_lines_near_the_threshold_are_counted_exactly(spark, sites):
     assert lines.boilerplate(df, 8).count() == (sites >= 8)
 
 
-def test_language(docs, none):
+def test_language(spark, docs, none):
     model = langid.train(docs)
     got = {r.doc_id: r for r in langid.identify(docs, model, ["doc_id"]).collect()}
     assert got[3].lang_pred == got[4].lang_pred == got[8].lang_pred == got[10].lang_pred == "und"
     assert all(0 <= r.score <= 1 for r in got.values())
     assert got[5].lang_pred == "en"
+    kept = langid.known_language(docs, model)
+    assert {r.doc_id: r.lang for r in kept.collect()}[7] == got[7].lang_pred and {r.doc_id: r.lang for r in kept.collect()}[6] == "de"
+    # A doc_id repeated over many rows and languages takes no language's place.
+    hot = spark.createDataFrame([(1, f"der hund {i}", "de") for i in range(300)] + [(1, f"the dog {i}", "en") for i in range(300)] + [(2, "le chien", "fr")] * 300, "doc_id long, text string, lang string")
+    assert langid.train(hot, docs_per_lang=3).langs == ["de", "en", "fr"]
     assert langid.known_language(docs, model).columns == docs.columns
     assert sorted(r.doc_id or 0 for r in langid.known_language(docs, model).collect()) == [0, 1, 2, 5, 6, 7, 7, 9]
     assert langid.train(none) is None and langid.identify(none, None, ["doc_id"]).collect() == []

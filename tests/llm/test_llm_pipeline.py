@@ -105,10 +105,10 @@ def test_packing_stage_holds_every_document(passed):
 
 def test_every_operator_has_one_query():
     names = [k for k in entry.queries() if k.startswith("op")]
-    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
-@pytest.mark.parametrize("key", ["op5_line_site_spread", "op7_maxscore_top5", "op10_cover_tree_duplicates"])
+@pytest.mark.parametrize("key", ["op5_line_site_spread", "op7_maxscore_top5", "op10_cover_tree_duplicates", "op11_angular_hard_negatives", "op12_misra_gries_collocations"])
 def test_query_equals_twin(spark, key):
     con = duckdb.connect()
     for name in ("documents", "embeddings"):
