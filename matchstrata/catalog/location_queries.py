@@ -151,9 +151,57 @@ def match_reason(spark, sf):
     return matched(spark, sf).select("location_id", "pos", s["reason"].alias("reason"))
 
 
+def _ratio_sql(pairs: str) -> str:
+    """``ratio`` (x, y, r) of the distinct texts (x, y) of ``pairs``: the longest common block, first in x and then in y, and the same left and right of it."""
+    blocks = "[{{'l': l, 'i': -i}} for l in range(1, length(a) - i + 2) if contains(b, substr(a, i, l))]"
+    return f"""rs AS (SELECT DISTINCT x, y FROM ({pairs})),
+    seg AS (SELECT x, y, x AS a, y AS b, 0::BIGINT AS m FROM rs
+      UNION ALL SELECT x, y, unnest([substr(a, 1, i - 1), substr(a, i + l)]), unnest([substr(b, 1, j - 1), substr(b, j + l)]), unnest([l, 0]) FROM
+        (SELECT x, y, a, b, k.l AS l, -k.i AS i, instr(b, substr(a, -k.i, k.l)) AS j FROM
+          (SELECT x, y, a, b, list_max(flatten([{blocks.format()} for i in range(1, length(a) + 1)])) AS k FROM seg WHERE a <> '' AND b <> '') WHERE k IS NOT NULL)),
+    ratio AS (SELECT x, y, CASE WHEN length(x) + length(y) = 0 THEN 1e0 ELSE 2e0 * sum(m) / (length(x) + length(y)) END AS r FROM seg GROUP BY x, y)"""
+
+
+def _plain(x: str) -> str:
+    return f"regexp_replace({x}, '{_ADMIN}', '', 'g')"
+
+
+def _cityless(x: str) -> str:
+    return f"regexp_replace({x}, '广东省|广州市', '', 'g')"
+
+
+_STRICT = f"CASE WHEN {_REASON} IN ('road_and_number_agree', 'text_and_district') THEN least(1e0, r + CASE WHEN {_REASON} = 'road_and_number_agree' THEN 0.18e0 ELSE 0e0 END) ELSE -1e0 END"
+_ROAD_FOUND = "len(list_filter(ar, lambda x: contains(text, x))) > 0"
+_LOOSE = f"""CASE WHEN ad = '' OR td = '' OR ad = td THEN round_even(r
+  + CASE WHEN ad <> '' AND contains(text, ad) THEN 0.2e0 ELSE 0e0 END + CASE WHEN len(ar) > 0 AND {_ROAD_FOUND} THEN 0.2e0 ELSE 0e0 END
+  + CASE WHEN len(an) > 0 AND list_contains(tn, an[1]) THEN 0.2e0 ELSE 0e0 END + CASE WHEN len(an) > 0 AND len(tn) > 0 AND an[1] <> tn[1] THEN -0.4e0 ELSE 0e0 END
+  + CASE WHEN len(ar) > 0 AND len(tr) > 0 AND NOT ({_ROAD_FOUND}) THEN -0.25e0 ELSE 0e0 END + CASE WHEN {{accepted}} THEN 2e0 ELSE 0e0 END, 4) END"""
+_PAIRED = f"WITH RECURSIVE {_ADDR}, {_PROFILED}, {_CAND}, {_PAIRS}"
+
+
+@query(
+    "F23_strict_score",
+    f"""{_PAIRED}, t AS (SELECT *, {_plain('norm')} AS x, {_plain('text')} AS y FROM pair), {_ratio_sql('SELECT x, y FROM t')}
+    SELECT location_id, pos, round({_STRICT}, 6) AS strict FROM t JOIN ratio USING (x, y)""",
+)
+def strict_scores(spark, sf):
+    s = ad.strict_score(F.col("a"), F.col("t"), F.col("adcode"))
+    return matched(spark, sf).select("location_id", "pos", F.round(s["score"], 6).alias("strict"))
+
+
+@query(
+    "F24_loose_score",
+    f"""{_PAIRED}, t AS (SELECT *, {_cityless('norm')} AS x, {_cityless('text')} AS y FROM pair), {_ratio_sql('SELECT x, y FROM t')}
+    SELECT location_id, pos, {_LOOSE.format(accepted='pos % 17 = 0')} AS loose FROM t JOIN ratio USING (x, y)""",
+)
+def loose_scores(spark, sf):
+    loose = ad.loose_score(F.col("a"), F.col("t"), F.col("pos") % 17 == 0)
+    return matched(spark, sf).select("location_id", "pos", loose.alias("loose"))
+
+
 @query("F23_F24_match_scores")
 def match_scores(spark, sf):
-    """Similarity scores; the matching-block ratio has no SQL form."""
+    """Both similarity scores; their twins are those of the two queries above."""
     s = ad.strict_score(F.col("a"), F.col("t"), F.col("adcode"))
     loose = ad.loose_score(F.col("a"), F.col("t"), F.lit(False))
     return matched(spark, sf).select(

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
-from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from matchstrata.core import let
+from matchstrata.functions.similarity import ratios
 
 # Districts of the study city and their area codes, in matching order.
 DISTRICTS = {
@@ -50,15 +51,19 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block similarity 2M/T of two texts; argument order matters."""
-    return pd.Series(
-        [
-            None if x is None or y is None else SequenceMatcher(None, x, y).ratio()
-            for x, y in zip(a, b)
-        ],
-        dtype="float64",
-    )
+def _ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    out = pd.Series(np.nan, index=a.index)
+    known = a.notna() & b.notna()
+    out[known] = ratios(a[known].tolist(), b[known].tolist(), least[known].to_numpy())
+    return out.astype(object).where(known, None).astype("Float64")
+
+
+def sequence_ratio(a: Column, b: Column, least: Column | float = 0.0) -> Column:
+    """Matching-block similarity 2M/T of two texts; argument order matters, null if one is null.
+
+    Where only ratios of ``least`` and more matter, a pair that can't reach it gets a bound below it, without a search for blocks.
+    """
+    return _ratio(a, b, least if isinstance(least, Column) else F.lit(float(least)))
 
 
 def normalise(c: Column, compatibility: bool = True) -> Column:
@@ -157,8 +162,8 @@ def _road_found(a: Column, t: Column) -> Column:
     return F.exists(a["roads"], lambda x: t["text"].contains(x))
 
 
-def strict_score(a: Column, t: Column, adcode: Column) -> Column:
-    """struct(score, reason) of two profiles; any conflict gives -1."""
+def strict_score(a: Column, t: Column, adcode: Column, least: float = 0.0) -> Column:
+    """struct(score, reason) of two profiles; any conflict gives -1 (F23). Scores below ``least`` may be too high, but stay below it."""
     has_road = F.size(a["roads"]) > 0
     strong = has_road & _number_found(a, t)
     reason = (
@@ -171,8 +176,10 @@ def strict_score(a: Column, t: Column, adcode: Column) -> Column:
     )
     fits = reason.isin("road_and_number_agree", "text_and_district")
     # Rejected pairs go to the ratio as nulls, as a condition doesn't keep a row from a Python function.
-    ratio = sequence_ratio(F.when(fits, a["plain"]), F.when(fits, t["plain"]))
-    value = F.least(F.lit(1.0), ratio + F.when(strong, 0.18).otherwise(0.0))
+    extra = F.when(strong, 0.18).otherwise(0.0)
+    # A little less, as the sum is rounded.
+    ratio = sequence_ratio(F.when(fits, a["plain"]), F.when(fits, t["plain"]), F.lit(least) - extra - 1e-9)
+    value = F.least(F.lit(1.0), ratio + extra)
     return F.struct(F.when(fits, value).otherwise(-1.0).alias("score"), reason.alias("reason"))
 
 

@@ -190,7 +190,7 @@ def provider_select(
     )
     if least_reliability is not None:
         keep = keep & (F.coalesce("reliability", F.lit(0)) >= least_reliability)
-    s = ad.strict_score(F.col("a"), F.col("t"), F.col("adcode"))
+    s = ad.strict_score(F.col("a"), F.col("t"), F.col("adcode"), least_score)
     scored = rated.filter(keep).withColumn("s", s).select(
         key, "pos", "location", F.col("s.score").alias("score"), F.col("s.reason").alias("reason")
     ).filter(F.col("score") >= least_score)

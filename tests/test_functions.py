@@ -135,3 +135,18 @@ def test_longest_pattern_in_one_walk():
         found = Patterns(patterns).find(text)
         assert (patterns[found] if found >= 0 else None) == (max(held, key=lambda p: (len(p), p)) if held else None)
     assert Patterns([]).find("a") == -1 and Patterns(["a"]).find("") == -1
+
+
+def test_ratios_of_a_batch_equal_the_plain_ratio():
+    from matchstrata.functions import similarity
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("ab天河路1", k=rng.randrange(0, 26))) for _ in range(400)] + ["", "天河路" * 70, "ab" * 150, "x", "\U0001f600ab"]
+    a, b = rng.choices(texts, k=1500), rng.choices(texts, k=1500)
+    want = np.asarray([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+    assert (similarity.ratios(a, b) == want).all()
+    assert (similarity.bounds(a, b) >= want).all()
+    least = np.asarray([rng.random() for _ in a])
+    cut = similarity.ratios(a, b, least)
+    assert (cut >= want).all() and (cut[want >= least] == want[want >= least]).all() and (cut[want < least] >= want[want < least]).all()
+    assert len(similarity.ratios([], [])) == 0
