@@ -40,23 +40,34 @@ class ChunkEncoder:
         self.old: dict[str, bytes] = {}
         self.bytes = 0
         self.plain = re.compile(f"[{PLAIN}]+").fullmatch
-        self.behind = re.compile(f"(?<=[{PLAIN}])([{re.escape(MARKS)}]+)(?= |$)")
+        mark = f"[{re.escape(MARKS)}]"  # looked for first, as a set of characters is found fast
+        self.behind = re.compile(f"({mark}(?<=[{PLAIN}]{mark}){mark}*)(?= |$)")
         if any(self.behind.search(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()):
             raise ValueError("an added token ends in marks")
 
     def _learn(self, chunks: list[str]) -> None:
         plain = list(filter(self.plain, chunks))
         rest = [c for c in chunks if not self.plain(c)]
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
+        # Case makes no difference to plain letters.
+        small = dict(zip(plain, map(str.lower, plain)))
+        known, old = self.young, self.old
+        new = set(small.values()).difference(known)
+        known.update((c, old[c]) for c in new.intersection(old))
+        new = list(new.difference(known))
+        for at in range(0, len(new), 20_000):
+            some = new[at : at + 20_000]
             ids = np.asarray(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, dtype="<u4")
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(some):
                 data, stops = ids.tobytes(), [0, *((last + 1) * 4).tolist()]
-                self.young.update(zip(some, [data[a:b] for a, b in zip(stops, stops[1:])]))
+                known.update(zip(some, [data[a:b] for a, b in zip(stops, stops[1:])]))
             else:
-                rest += some
-        self.young.update(zip(rest, [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(rest, add_special_tokens=False)]))
+                known.update(zip(some, self._alone(some)))
+        known.update((c, known[low]) for c, low in small.items())
+        known.update(zip(rest, self._alone(rest)))
+
+    def _alone(self, chunks: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(chunks, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.behind.sub(r" \1", t.replace("\n", " ").replace("\t", " ").replace("\r", " ")).split(" ") for t in texts]
