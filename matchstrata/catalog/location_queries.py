@@ -337,16 +337,33 @@ def choose(spark, sf):
     return loc.choose(spark.sql(_SCORED, orders=table(spark, sf, "orders")), asked)
 
 
-@query("W10_provider_selection")
+@query(
+    "W10_provider_selection",
+    f"""{_PAIRED}, t AS (SELECT *, {_plain('norm')} AS x, {_plain('text')} AS y, concat_ws(',', lon, lat) AS point FROM
+      (SELECT cand.*, prof.* EXCLUDE (location_id, longitude, latitude) FROM cand JOIN prof USING (location_id))
+      WHERE adcode LIKE '4401%' AND lon > 112.5e0 AND lon < 114.7e0 AND lat > 22e0 AND lat < 24.8e0 AND (ad = '' OR td = ad) AND (len(an) = 0 OR an[1] = tn[1])),
+    {_ratio_sql('SELECT x, y FROM t')}, s AS (SELECT location_id, pos, point, {_STRICT} AS score FROM t JOIN ratio USING (x, y)),
+    o AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS score2, lead(point) OVER w AS point2 FROM s WHERE score >= 0.55e0 WINDOW w AS (PARTITION BY location_id ORDER BY score DESC, pos))
+    SELECT q.location_id, CASE WHEN o.k IS NULL THEN 'candidate_conflict_or_insufficient_anchor'
+      WHEN score - score2 < 0.15e0 AND point <> point2 THEN 'ambiguous' ELSE 'selected' END AS outcome, point AS location, round(score, 6) AS match_score
+    FROM (SELECT DISTINCT location_id FROM cand) q LEFT JOIN o ON q.location_id = o.location_id AND o.k = 1""",
+)
 def provider_selection(spark, sf):
     rows = candidates(spark, sf).join(addresses(spark, sf).select("location_id", "address"), "location_id")
     rows = rows.withColumn("district", ad.district(F.col("text"))).withColumn(
         "location", F.concat_ws(",", F.col("lon").cast("string"), F.col("lat").cast("string"))
     )
-    return loc.provider_select(rows, "location_id")
+    return loc.provider_select(rows, "location_id").withColumn("match_score", F.round("match_score", 6))
 
 
-@query("W11_J26_best_of_pool")
+@query(
+    "W11_J26_best_of_pool",
+    f"""{_PAIRED}, t AS (SELECT *, {_cityless('norm')} AS x, {_cityless('text')} AS y FROM pair
+      WHERE segment = 'MACHINERY' AND (adcode = '' OR adcode LIKE '4401%') AND lon > 112.5e0 AND lon < 114.7e0 AND lat > 22e0 AND lat < 24.8e0),
+    {_ratio_sql('SELECT x, y FROM t')}, s AS (SELECT *, {_LOOSE.format(accepted='pos % 17 = 0')} AS fuzzy_score, pos % 17 = 0 AS accepted FROM t JOIN ratio USING (x, y)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY location_id ORDER BY fuzzy_score DESC, text DESC, adcode DESC, level DESC, lon DESC, lat DESC, accepted DESC) AS k FROM s WHERE fuzzy_score IS NOT NULL)
+    SELECT location_id, fuzzy_score, text, 'amap' AS provider, adcode, level, lon, lat, accepted FROM o WHERE k = 1 AND (accepted OR fuzzy_score >= 0.35e0)""",
+)
 def pool_best(spark, sf):
     rows = addresses(spark, sf).withColumn("longitude", F.when(F.col("segment") != "MACHINERY", F.col("longitude")))
     pool = candidates(spark, sf).select(
