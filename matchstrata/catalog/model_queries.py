@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from matchstrata.catalog import exposure_queries as eq
+from matchstrata.catalog import model_sql as sql
 from matchstrata.catalog.base import query
 from matchstrata.core import keep, stable, stored
 from matchstrata.models import bootstrap, clogit, grid, likelihood, shape
@@ -230,7 +231,10 @@ def rounded_results(df, *extra):
     return df.select(*extra, "n_events", "variable_exposure_events", "status", *[F.round(c, 6).alias(c) for c in cols])
 
 
-@query("M01_M02_M03_adjusted_fit")
+@query(
+    "M01_M02_M03_adjusted_fit",
+    sql.fitted("""SELECT grp || '|PM25' AS model_id, event_id, person AS cluster, c, 1 AS target, list_prepend("PM25" / 10, adjust) AS x FROM base""", f"model_id, {sql.SHOWN}"),
+)
 def adjusted(spark, sf):
     specs = [grid.single(f"{g}|PM25", "PM25_lag01", ADJUST, g) for g in GROUPS]
     return rounded_results(clogit.results(spark, clogit.fit_models(full_table(spark, sf), specs)), "model_id")
