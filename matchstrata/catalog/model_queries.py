@@ -233,7 +233,7 @@ def rounded_results(df, *extra):
 
 @query(
     "M01_M02_M03_adjusted_fit",
-    sql.fitted("""SELECT grp || '|PM25' AS model_id, event_id, person AS cluster, c, 1 AS target, list_prepend("PM25" / 10, adjust) AS x FROM base""", f"model_id, {sql.SHOWN}"),
+    sql.fitted(sql.single("grp || '|PM25'", "PM25"), f"model_id, {sql.SHOWN}"),
 )
 def adjusted(spark, sf):
     specs = [grid.single(f"{g}|PM25", "PM25_lag01", ADJUST, g) for g in GROUPS]
@@ -248,7 +248,10 @@ def scenario_grid(spark, sf):
     return rounded_results(out.withColumn("q", F.round("q", 6)), *labels, "q")
 
 
-@query("M04_interactions")
+_INTERACTIONS = " UNION ALL ".join(sql.interaction(f"grp || '|{p}|{m}'", p, m) for p in ex.POLLUTANTS for m in MODIFIERS)
+
+
+@query("M04_interactions", sql.fitted(_INTERACTIONS, f"model_id, {sql.SHOWN}"))
 def interactions(spark, sf):
     specs = [
         grid.interaction(f"{g}|{p}|{m}", f"{p}_lag01", m, ADJUST, g) for g in GROUPS for p in ex.POLLUTANTS for m in MODIFIERS
@@ -256,17 +259,65 @@ def interactions(spark, sf):
     return rounded_results(clogit.results(spark, clogit.fit_models(full_table(spark, sf), specs)), "model_id")
 
 
-@query("M15_subgroup_contrasts")
+@query(
+    "M15_subgroup_contrasts",
+    sql.fitted(
+        _INTERACTIONS,
+        f"""f.model_id, cast(f.k - 1 AS int) AS level, coalesce(n.n, 0) AS n_events, {sql.ESTIMATE.replace("log_or", "f.log_or").replace("se)", "f.se)")},
+        round({sql.normal_p('f.log_or / f.se')}, 6) AS p, round({sql.normal_p('i.log_or / i.se')}, 6) AS interaction_p""",
+        f"""SELECT model_id, k, list_transform(range(1, 17), lambda j: CASE WHEN (j = 1 AND k < 3) OR (j = 16 AND k > 1) THEN 1e0 ELSE 0e0 END) AS w
+        FROM (SELECT DISTINCT model_id FROM z), (VALUES (1), (2), (3)) t(k)""",
+        last="""FROM fit f JOIN fit i ON f.model_id = i.model_id AND i.k = 3
+        LEFT JOIN (SELECT model_id, level, count(DISTINCT event_id) AS n FROM z GROUP BY ALL) n ON n.model_id = f.model_id AND n.level = f.k - 1 WHERE f.k < 3""",
+    ),
+)
 def subgroups(spark, sf):
+    """Odds ratios at both levels of a modifier, with the complete strata of the level and the interaction's p."""
     specs = [grid.interaction(f"{g}|{p}|{m}", f"{p}_lag01", m, ADJUST, g) for g in GROUPS for p in ex.POLLUTANTS for m in MODIFIERS]
-    fits = clogit.fit_models(full_table(spark, sf), specs)
-    rows = [(m, *r) for m, f in fits.items() for r in grid.subgroup_rows(f)]
-    return spark.createDataFrame(
-        rows, "model_id string, level int, odds_ratio double, lower double, upper double, p double"
-    )
+    table = full_table(spark, sf)
+    fits = clogit.fit_models(table, specs)
+    rows = [(m, *r, clogit.result_row(f)[10]) for m, f in fits.items() for r in grid.subgroup_rows(f)]
+    out = spark.createDataFrame(rows, "model_id string, level int, odds_ratio double, lower double, upper double, p double, interaction_p double")
+    cases = clogit.scored(table, fits, {s.model_id: s.terms[-1].columns[1] for s in specs}).filter("case = 1")
+    counts = cases.groupBy("model_id", F.col("carried").cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n_events"))
+    estimates = ("odds_ratio", "lower", "upper", "p", "interaction_p")
+    return out.join(counts, ["model_id", "level"], "left").select("model_id", "level", F.coalesce("n_events", F.lit(0)).alias("n_events"), *[F.round(c, 6).alias(c) for c in estimates])
 
 
-@query("M05_M07_two_pollutants")
+@query(
+    "A36_M17_adjusted_residuals",
+    sql.fitted(
+        " UNION ALL ".join(sql.single(f"grp || '|{p}'", p) for p in ex.POLLUTANTS),
+        "a.model_id, cast(k AS int) AS lag, round(sum(a.r * b.r) / any_value(w.s), 6) AS acf",
+        last=f"""FROM (SELECT model_id, row_number() OVER (PARTITION BY model_id ORDER BY date) AS i, r - avg(r) OVER (PARTITION BY model_id) AS r FROM
+          (SELECT model_id, date, sum(c - p) AS r FROM r{sql.ROUNDS} GROUP BY ALL)) a
+        JOIN (SELECT model_id, row_number() OVER (PARTITION BY model_id ORDER BY date) AS i, r - avg(r) OVER (PARTITION BY model_id) AS r FROM
+          (SELECT model_id, date, sum(c - p) AS r FROM r{sql.ROUNDS} GROUP BY ALL)) b ON a.model_id = b.model_id
+        JOIN range(1, 22) t(k) ON b.i = a.i - k
+        JOIN (SELECT model_id, sum((r - m) * (r - m)) AS s FROM (SELECT model_id, r, avg(r) OVER (PARTITION BY model_id) AS m FROM
+          (SELECT model_id, date, sum(c - p) AS r FROM r{sql.ROUNDS} GROUP BY ALL)) GROUP BY ALL) w ON w.model_id = a.model_id GROUP BY a.model_id, k""",
+    ),
+)
+def adjusted_residuals(spark, sf):
+    """Autocorrelation of the daily residuals of the adjusted model of each outcome and pollutant."""
+    table = full_table(spark, sf)
+    fits = clogit.fit_models(table, [grid.single(f"{g}|{p}", f"{p}_lag01", ADJUST, g) for g in GROUPS for p in ex.POLLUTANTS])
+    daily = clogit.scored(table, fits).groupBy("model_id", "date").agg(F.sum(F.col("case") - F.col("prob")).alias("residual"))
+    out = audit.autocorrelation(daily, "date", "residual", keys=["model_id"])
+    return out.select("model_id", "lag", F.round("acf", 6).alias("acf"))
+
+
+@query(
+    "M05_M07_two_pollutants",
+    sql.fitted(
+        " UNION ALL ".join(
+            sql.several(f"grp || '|{a}+O3'", f'["{a}" / 10, "O3" / 10]') for a in ("PM25", "PM10")
+        ),
+        f"model_id, term, {sql.SHOWN}",
+        f"""SELECT model_id, k, {sql.one_hot('16', 'k')} AS w, CASE k WHEN 1 THEN 'poll_first' ELSE 'poll_second' END AS term
+        FROM (SELECT DISTINCT model_id FROM z), (VALUES (1), (2)) t(k)""",
+    ),
+)
 def two_pollutants(spark, sf):
     pairs = [("PM25", "O3"), ("PM10", "O3")]
     specs = [

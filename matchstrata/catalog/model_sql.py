@@ -34,7 +34,7 @@ def models(select: str) -> str:
 
 
 def _system(i: int, right: str) -> str:
-    """Probabilities, scores and the information at step i, and its solution for the right-hand side ``right`` (of u and j)."""
+    """Probabilities, scores and the information at step i, and its elimination with the right-hand sides ``right`` (a list, of u, j and ws)."""
     return f"""r{i} AS (SELECT z.*, b, exp(list_dot_product(x, b)) / sum(exp(list_dot_product(x, b))) OVER (PARTITION BY model_id, event_id) AS p FROM z JOIN b{i} USING (model_id)),
  l{i} AS (SELECT model_id, event_id, cluster, c, p, target, unnest(x) AS v, unnest(range(1, len(x) + 1)) AS j FROM r{i}),
  m{i} AS (SELECT model_id, event_id, cluster, target, j, sum(p * v) AS m, sum(c * v) AS xc FROM l{i} GROUP BY ALL),
@@ -44,28 +44,44 @@ def _system(i: int, right: str) -> str:
  h{i} AS (SELECT model_id, j, k, sum(v) AS v FROM q{i} GROUP BY ALL),
  s{i} AS (SELECT model_id, j, k, v FROM h{i} UNION ALL SELECT model_id, k, j, v FROM h{i} WHERE j <> k),
  f{i} AS (SELECT model_id, j, list(v ORDER BY k) AS line FROM s{i} GROUP BY ALL),
- a{i} AS (SELECT f.model_id, list(list_append(line, {right}) ORDER BY j) AS a FROM f{i} f JOIN u{i} USING (model_id, j) GROUP BY f.model_id),
+ a{i} AS (SELECT f.model_id, list(list_concat(line, {right}) ORDER BY j) AS a FROM f{i} f JOIN u{i} USING (model_id, j) JOIN rhs USING (model_id) GROUP BY f.model_id),
  g{i} AS (SELECT model_id, 0 AS s, a FROM a{i} UNION ALL
    SELECT model_id, s + 1, list_transform(a, lambda line, n: CASE WHEN n = s + 1 THEN list_transform(line, lambda v: v / a[s + 1][s + 1])
-     ELSE list_transform(line, lambda v, k: v - line[s + 1] * a[s + 1][k] / a[s + 1][s + 1]) END) FROM g{i} WHERE s < len(a)),
- d{i} AS (SELECT model_id, list_transform(a, lambda line: line[len(a) + 1]) AS d FROM g{i} WHERE s = len(a))"""
+     ELSE list_transform(line, lambda v, k: v - line[s + 1] * a[s + 1][k] / a[s + 1][s + 1]) END) FROM g{i} WHERE s < len(a))"""
 
 
-def newton(rounds: int = 6) -> str:
-    """``fit`` (model_id, b, se, n_events, varying, clusters): coefficients after so many steps, and the target's robust error."""
-    steps = ["b0 AS (SELECT DISTINCT model_id, list_transform(x, lambda v: 0e0) AS b FROM z)"]
+def newton(contrasts: str, rounds: int = 6) -> str:
+    """``fit``: the rows of ``contrasts`` (model_id, k, w, ...; k from 1 in each model) with log_or, se, clusters, n_events and varying."""
+    steps = [f"cw AS ({contrasts})", "rhs AS (SELECT model_id, list(w ORDER BY k) AS ws FROM cw GROUP BY ALL)"]
+    steps.append("b0 AS (SELECT DISTINCT model_id, list_transform(x, lambda v: 0e0) AS b FROM z)")
     for i in range(rounds):
-        steps.append(_system(i, "u"))
-        steps.append(f"b{i + 1} AS (SELECT model_id, list_transform(b, lambda v, k: v + d[k]) AS b FROM b{i} JOIN d{i} USING (model_id))")
-    steps.append(_system(rounds, "CASE WHEN j = target THEN 1e0 ELSE 0e0 END"))
-    steps.append(f"meat AS (SELECT model_id, cluster, sum(d[j] * (xc - m)) AS gu FROM m{rounds} JOIN d{rounds} USING (model_id) GROUP BY ALL)")
-    steps.append("rob AS (SELECT model_id, sqrt(sum(gu * gu)) AS se, count(*) AS clusters FROM meat GROUP BY ALL)")
-    steps.append("per AS (SELECT model_id, event_id, max(x[target]) > min(x[target]) AS moves, any_value(target) AS target FROM z GROUP BY ALL)")
-    steps.append("siz AS (SELECT model_id, count(*) AS n_events, count(*) FILTER (moves) AS varying, any_value(target) AS target FROM per GROUP BY ALL)")
-    steps.append(f"fit AS (SELECT model_id, b, b[target] AS log_or, se, n_events, varying, clusters FROM b{rounds} JOIN rob USING (model_id) JOIN siz USING (model_id))")
+        steps.append(_system(i, "[u]"))
+        steps.append(f"b{i + 1} AS (SELECT model_id, list_transform(b, lambda v, k: v + a[k][len(a) + 1]) AS b FROM b{i} JOIN g{i} USING (model_id) WHERE s = len(a))")
+    last = rounds
+    steps.append(_system(last, "list_transform(ws, lambda w: cast(w[j] AS double))"))
+    steps.append(f"con AS (SELECT cw.*, list_transform(a, lambda line: line[len(a) + k]) AS d, list_dot_product(cast(w AS double[]), b) AS log_or FROM cw JOIN g{last} g USING (model_id) JOIN b{last} USING (model_id) WHERE s = len(a))")
+    steps.append(f"uc AS (SELECT model_id, cluster, j, sum(xc - m) AS u FROM m{last} GROUP BY ALL)")
+    steps.append("meat AS (SELECT con.model_id, con.k, cluster, sum(d[j] * u) AS gu FROM uc JOIN con USING (model_id) GROUP BY ALL)")
+    steps.append("rob AS (SELECT model_id, k, sqrt(sum(gu * gu)) AS se, count(*) AS clusters FROM meat GROUP BY ALL)")
+    steps.append("per AS (SELECT model_id, event_id, max(x[target]) > min(x[target]) AS moves FROM z GROUP BY model_id, event_id)")
+    steps.append("siz AS (SELECT model_id, count(*) AS n_events, count(*) FILTER (moves) AS varying FROM per GROUP BY ALL)")
+    steps.append("fit AS (SELECT con.*, se, clusters, n_events, varying FROM con JOIN rob USING (model_id, k) JOIN siz USING (model_id))")
     return ", ".join(steps)
 
 
+def several(model_id: str, terms: str) -> str:
+    """A list of exposure terms and the adjustment."""
+    return f"""SELECT {model_id} AS model_id, event_id, date, NULL AS level, person AS cluster, c, 1 AS target, list_concat({terms}, adjust) AS x FROM base"""
+
+
+def one_hot(size: str, at: str) -> str:
+    return f"list_transform(range(1, {size} + 1), lambda j: CASE WHEN j = {at} THEN 1e0 ELSE 0e0 END)"
+
+
+#: One contrast a model: its target's coefficient.
+TARGET = f"SELECT DISTINCT model_id, 1 AS k, {one_hot('len(x)', 'target')} AS w FROM z"
+
+
 def normal_p(z: str) -> str:
     """Two-sided p of a normal deviate by a series of positive terms."""
     x = f"(abs({z}) / sqrt(2e0))"
@@ -73,9 +89,27 @@ def normal_p(z: str) -> str:
     return f"(1 - 2 / sqrt(pi()) * exp(-{x} * {x}) * {terms})"
 
 
-SHOWN = f"""n_events, varying AS variable_exposure_events, 'estimated' AS status, round(log_or, 6) AS log_or, round(se, 6) AS robust_se,
- round(exp(log_or), 6) AS odds_ratio, round(exp(log_or - 1.96 * se), 6) AS lower, round(exp(log_or + 1.96 * se), 6) AS upper, round({normal_p('log_or / se')}, 6) AS p"""
+ESTIMATE = """round(exp(log_or), 6) AS odds_ratio, round(exp(log_or - 1.96 * se), 6) AS lower, round(exp(log_or + 1.96 * se), 6) AS upper"""
+SHOWN = f"""n_events, varying AS variable_exposure_events, 'estimated' AS status, round(log_or, 6) AS log_or, round(se, 6) AS robust_se, {ESTIMATE}, round({normal_p('log_or / se')}, 6) AS p"""
+
+
+ROUNDS = 6
+
+
+def fitted(select: str, shown: str, contrasts: str = TARGET, more: str = "", last: str = "FROM fit") -> str:
+    """Rows of the models of ``select`` (see ``models``); ``more`` are further tables made of ``base``, ``r6`` has the fitted probabilities."""
+    return f"WITH RECURSIVE {DESIGN}, {more}{models(select)}, {newton(contrasts, ROUNDS)} SELECT {shown} {last}"
+
+
+def interaction(model_id: str, pollutant: str, modifier: str, where: str = "true") -> str:
+    """The exposure, the adjustment and the exposure of those with the modifier, whose value is ``level``."""
+    exposed = f'"{pollutant}" / 10'
+    return f"""SELECT {model_id} AS model_id, event_id, date, {modifier} AS level, person AS cluster, c, 16 AS target, list_append(list_prepend({exposed}, adjust), "{pollutant}" * {modifier} / 10) AS x FROM base WHERE {where}"""
+
+
+def single(model_id: str, pollutant: str, cluster: str = "person", where: str = "true") -> str:
+    return f"""SELECT {model_id} AS model_id, event_id, date, NULL AS level, {cluster} AS cluster, c, 1 AS target, list_prepend("{pollutant}" / 10, adjust) AS x FROM base WHERE {where}"""
 
 
-def fitted(select: str, shown: str, rounds: int = 6) -> str:
-    return f"WITH RECURSIVE {DESIGN}, {models(select)}, {newton(rounds)} SELECT {shown} FROM fit"
+def spline(x: str, knots: list[str], lo: str, hi: str) -> str:
+    return f"[{', '.join(eq._spline_sql(x, knots, lo, hi))}]"

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchstrata.models.strata import Block, StrataTable, read_batches
+from matchstrata.models.strata import KEYS, Block, StrataTable, read_batches
 
 MAX_ITERATIONS = 50
 TOLERANCE = 1e-9
@@ -379,6 +379,50 @@ def _robust_variance(table: StrataTable, specs, fits, cluster: str) -> None:
         f.robust = bread @ v[1:].reshape(k, k) @ bread
 
 
+# ---------------------------------------------------------------- scoring
+
+
+def scored(table: StrataTable, fits: dict[str, Fit], carry: dict[str, str] | None = None) -> DataFrame:
+    """Fitted probabilities of every row of the complete strata of each estimated model.
+
+    Rows are (model_id, event_id, date, case, prob, carried): the softmax of the linear predictor within the stratum, and the value of
+    the model's column in ``carry``. One pass over the packed strata serves all models; nothing is shuffled.
+    """
+    done = [f for f in fits.values() if f.ok]
+    carry = carry or {}
+    cols, scen, needed = table.columns, table.scenarios, _all_needed([f.spec for f in done])
+    schema = "model_id string, event_id string, date date, case int, prob double, carried double"
+
+    def run(batches):
+        import pyarrow as pa
+
+        for rb in batches:
+            event = np.asarray(rb.column("event_id").to_pylist(), dtype=object)
+            sizes = rb.column("n").to_numpy(zero_copy_only=False)
+            first = np.cumsum(sizes) - sizes
+            days = rb.column("dates").flatten().to_numpy(zero_copy_only=False)
+            for batch in read_batches([rb], cols, needed):
+                for block in batch.blocks:
+                    for f in done:
+                        _, whole = _selection(block, f.spec, scen)
+                        if not whole.any():
+                            continue
+                        d = _design(block, whole, f.spec)
+                        *_, p = _likelihood(d, f.beta)
+                        at, n = block.rows[whole], d.shape[1]
+                        kept = block.values[carry[f.spec.model_id]][whole].ravel() if f.spec.model_id in carry else np.full(p.size, np.nan)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array([f.spec.model_id] * p.size), pa.array(np.repeat(event[at], n), pa.string()), pa.array(days[(first[at][:, None] + np.arange(n)).ravel()], pa.date32()),
+                                pa.array(np.tile([1] + [0] * (n - 1), len(at)), pa.int32()), pa.array(p.ravel()), pa.array(kept),
+                            ],
+                            ["model_id", "event_id", "date", "case", "prob", "carried"],
+                        )
+
+    every = table.df.select(*KEYS, F.col("event_id").cast("string").alias("event_id"), "dates", *[F.col(f"v{cols.index(c)}") for c in needed])
+    return every.mapInArrow(run, schema)
+
+
 # ---------------------------------------------------------------- tails and result rows
 
 

@@ -295,17 +295,18 @@ def spearman(df: DataFrame, keys: list[str], first: str, second: str) -> DataFra
     return sums.select(*keys, "n", (cov / F.sqrt(vx * vy)).alias("spearman_r"))
 
 
-def autocorrelation(daily: DataFrame, date: str, value: str, max_lag: int = 21) -> DataFrame:
-    """Autocorrelation of a daily series at row lags 1..max_lag (A36); bounded by days."""
-    w = Window.orderBy(date)
-    mean = daily.agg(F.avg(value)).scalar()
-    centred = daily.withColumn("__c", F.col(value) - mean)
-    lagged = centred.select(
-        "__c", *[F.lag("__c", k).over(w).alias(f"__l{k}") for k in range(1, max_lag + 1)]
-    )
-    sums = lagged.agg(
-        F.sum(F.col("__c") * F.col("__c")).alias("c0"),
-        *[F.sum(F.col("__c") * F.col(f"__l{k}")).alias(f"c{k}") for k in range(1, max_lag + 1)],
-    )
-    rows = [F.struct(F.lit(k).alias("lag"), (F.col(f"c{k}") / F.col("c0")).alias("acf")) for k in range(1, max_lag + 1)]
-    return sums.select(F.inline(F.array(*rows)))
+def autocorrelation(daily: DataFrame, date: str, value: str, max_lag: int = 21, keys: list[str] = ()) -> DataFrame:
+    """Autocorrelation of the daily series of each of ``keys`` at row lags 1..max_lag.
+
+    Days are numbered within a series, which the calendar bounds, and each meets its earlier ones by number.
+    """
+    keys = list(keys)
+    every = daily.withColumn("__one", F.lit(0)) if not keys else daily
+    by = keys or ["__one"]
+    mean = every.groupBy(*by).agg(F.avg(value).alias("__m"))
+    named = every.join(mean, by).select(*by, date, (F.col(value) - F.col("__m")).alias("__c"))
+    named = named.withColumn("__i", F.row_number().over(Window.partitionBy(*by).orderBy(date)))
+    earlier = named.select(*by, F.col("__c").alias("__b"), F.explode(F.sequence(F.lit(1), F.lit(max_lag))).alias("lag"), "__i").withColumn("__i", F.col("__i") + F.col("lag"))
+    whole = named.groupBy(*by).agg(F.sum(F.col("__c") * F.col("__c")).alias("__c0"))
+    sums = named.join(earlier, [*by, "__i"]).groupBy(*by, "lag").agg(F.sum(F.col("__c") * F.col("__b")).alias("__s"))
+    return sums.join(whole, by).select(*keys, "lag", (F.col("__s") / F.col("__c0")).alias("acf"))
