@@ -9,6 +9,7 @@ from matchstrata.catalog import exposure_queries as eq
 from matchstrata.catalog import model_sql as sql
 from matchstrata.catalog.base import query
 from matchstrata.core import keep, stable, stored
+from matchstrata.functions import spline
 from matchstrata.models import bootstrap, clogit, grid, likelihood, shape
 from matchstrata.models.clogit import ModelSpec, Term
 from matchstrata.models.strata import pack_strata
@@ -328,7 +329,29 @@ def two_pollutants(spark, sf):
     return rounded_results(out, "model_id", "term")
 
 
-@query("M06_M08_M10_exposure_curves")
+_CURVE_SHAPE = """qs AS (SELECT quantile_cont("PM25", 1/3.0) AS k1, quantile_cont("PM25", 2/3.0) AS k2, min("PM25") AS lo, max("PM25") AS hi, median("PM25") AS ref,
+   quantile_cont("PM25", 0.05) AS d05, quantile_cont("PM25", 0.95) AS d95 FROM base),
+ grid AS (SELECT *, d05 + (d95 - d05) * i / 79e0 AS conc, i + 1 AS k FROM qs, range(80) t(i)), """
+_KNOTS = {"curve": ["k1", "k2"], "equal": ["(lo + (hi - lo) / 3)", "(lo + 2 * (hi - lo) / 3)"]}
+
+
+def _curve_sql(x, kind):
+    return sql.spline(x, _KNOTS[kind], "lo", "hi")
+
+
+@query(
+    "M06_M08_M10_exposure_curves",
+    sql.fitted(
+        " UNION ALL ".join(sql.several(f"grp || '|{k}'", _curve_sql('"PM25"', k)) + ", qs" for k in _KNOTS),
+        f"model_id, round(conc, 6) AS concentration, round(ref, 6) AS reference, {sql.ESTIMATE}",
+        " UNION ALL ".join(
+            f"""SELECT g || '|{k}' AS model_id, k, conc, ref, list_concat(list_transform(list_zip({_curve_sql('conc', k)}, {_curve_sql('ref', k)}), lambda p: p[1] - p[2]), list_transform(range(14), lambda j: 0e0)) AS w
+            FROM grid, (VALUES ('CVD'), ('CBVD')) t(g)"""
+            for k in _KNOTS
+        ),
+        _CURVE_SHAPE,
+    ),
+)
 def curves(spark, sf):
     q = curve_parameters(spark, sf)
     bounds = [q["lo"], q["hi"]]
@@ -342,9 +365,10 @@ def curves(spark, sf):
         if f.ok:
             k = m.split("|")[1]
             rows += [(m, *r) for r in grid.curve_rows(f, names[k], knots[k], bounds, q["ref"], points)]
-    return spark.createDataFrame(
+    out = spark.createDataFrame(
         rows, "model_id string, concentration double, reference double, odds_ratio double, lower double, upper double"
     )
+    return out.select("model_id", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
 LAG_SCHEMA = "outcome_id string, pollutant string, lag int, odds_ratio double, lower double, upper double"
@@ -362,15 +386,55 @@ def lag_points(spark, sf):
     return spark.createDataFrame(rows, LAG_SCHEMA), spark.createDataFrame(total, LAG_SCHEMA)
 
 
-@query("M09_distributed_lag")
+_LAG_BASIS = spline.lag_basis(7, 3)
+_LAG_TERMS = "[" + ", ".join(" + ".join(f'"PM25_l{k}" * {float(_LAG_BASIS[k, j] / 10)!r}' for k in range(8)) + " + 0e0" for j in range(3)) + "]"
+
+
+def _lag_contrasts(weights) -> str:
+    """One contrast for each (number, weights of the three lag terms)."""
+    rows = ", ".join(f"({i}, {n!r}, [{', '.join(f'{float(v)!r}::DOUBLE' for v in w)}])" for i, (n, w) in enumerate(weights, 1))
+    return f"SELECT g AS model_id, k, lag, list_concat(w3, list_transform(range(14), lambda j: 0e0)) AS w FROM (VALUES {rows}) t(k, lag, w3), (VALUES ('CVD'), ('CBVD')) u(g)"
+
+
+@query(
+    "M09_distributed_lag",
+    sql.fitted(
+        sql.several("grp", _LAG_TERMS),
+        f"model_id AS outcome_id, 'PM25' AS pollutant, cast(lag AS int) AS lag, {sql.ESTIMATE}",
+        _lag_contrasts([(k, _LAG_BASIS[k]) for k in range(8)] + [(-1, _LAG_BASIS.sum(axis=0))]),
+    ),
+)
 def distributed_lag(spark, sf):
     per, whole = lag_points(spark, sf)
-    return per.unionByName(whole)
+    return per.unionByName(whole).select("outcome_id", "pollutant", "lag", *[F.round(c, 6).alias(c) for c in ("odds_ratio", "lower", "upper")])
+
+
+def _dense_lags():
+    x = np.linspace(0, 7, 281)
+    return [(round(float(v), 6), w) for v, w in zip(x, spline.spline_matrix(x, np.quantile(np.arange(8), [0.5]), (0, 7), intercept=True))]
 
 
-@query("M21_dense_lag_curve")
+@query(
+    "M21_dense_lag_curve",
+    sql.fitted(
+        sql.several("grp", _LAG_TERMS),
+        f"model_id AS outcome_id, 'PM25' AS pollutant, cast(lag AS double) AS lag, {sql.ESTIMATE}, 0e0 AS rebuild_error",
+        _lag_contrasts(_dense_lags()),
+    ),
+)
 def dense_lag(spark, sf):
-    return grid.dense_lag_curve(lag_points(spark, sf)[0], ["outcome_id", "pollutant"])
+    """The curve recovered from the eight estimates; its twin reads it off the fitted terms."""
+    out = grid.dense_lag_curve(lag_points(spark, sf)[0], ["outcome_id", "pollutant"])
+    return out.select("outcome_id", "pollutant", *[F.round(c, 6).alias(c) for c in ("lag", "odds_ratio", "lower", "upper", "rebuild_error")])
+
+
+@query(
+    "M11_month_cluster_errors",
+    sql.fitted(" UNION ALL ".join(sql.single(f"grp || '|{p}'", p, "month") for p in ex.POLLUTANTS), "model_id, clusters, n_events, round(log_or, 6) AS log_or, round(se, 6) AS robust_se"),
+)
+def month_errors(spark, sf):
+    """Robust errors with the calendar month as cluster; the t interval is in the next query."""
+    return month_clusters(spark, sf).select("model_id", "clusters", "n_events", "log_or", "robust_se")
 
 
 @query("M11_month_clusters")
@@ -380,7 +444,21 @@ def month_clusters(spark, sf):
     return rounded_results(clogit.results(spark, fits, use_t=True), "model_id", "clusters")
 
 
-@query("M16_season_followup")
+@query(
+    "M16_season_followup",
+    sql.fitted(
+        " UNION ALL ".join(
+            m
+            for p in ex.POLLUTANTS
+            for m in (
+                sql.interaction(f"grp || '|{p}|interaction'", p, "warm"),
+                sql.single(f"grp || '|{p}|season1'", p, where="warm = 1"),
+                sql.single(f"grp || '|{p}|season0'", p, where="warm = 0"),
+            )
+        ),
+        f"model_id, {sql.SHOWN}",
+    ),
+)
 def season(spark, sf):
     fits = grid.season_followup(
         full_table(spark, sf), [(g, p) for g in GROUPS for p in ex.POLLUTANTS], ADJUST, {1: "season_warm", 0: "season_cold"}

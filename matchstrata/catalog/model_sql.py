@@ -11,7 +11,7 @@ _TEMP_PARTS = ", ".join(
     for a in range(3)
     for b in range(3)
 )
-_LAG01 = ", ".join(f'("{p}_l0" + "{p}_l1") / 2 AS "{p}"' for p in POLLUTANTS)
+_LAG01 = ", ".join(f'("{p}_l0" + "{p}_l1") / 2 AS "{p}"' for p in POLLUTANTS) + ", " + ", ".join(f'"PM25_l{k}"' for k in range(8))
 #: One row per event and date: exposures, sample marks and the fourteen adjustment terms.
 DESIGN = f"""{", ".join(eq.BASE)}, {eq._WEATHER},
  tp AS (SELECT quantile_cont(temp, 1/3.0) AS k1, quantile_cont(temp, 2/3.0) AS k2, min(temp) AS lo, max(temp) AS hi FROM rolled),
@@ -20,7 +20,7 @@ DESIGN = f"""{", ".join(eq.BASE)}, {eq._WEATHER},
  tc AS (SELECT weather_grid_id, date, {_TEMP_PARTS} FROM tt WINDOW w AS (PARTITION BY weather_grid_id ORDER BY date)),
  hc AS (SELECT weather_grid_id, date, {_RH[0]} AS rh1, {_RH[1]} AS rh2, {_RH[2]} AS rh3 FROM rolled, hp),
  base AS (SELECT e.event_id, e.location_id AS person, CASE WHEN substr(priority, 1, 1) IN ('1', '2') THEN 'CVD' ELSE 'CBVD' END AS grp,
-   cast(e.date AS date) AS date, strftime(e.date, '%Y-%m') AS month, e."case" AS c, {_LAG01},
+   cast(e.date AS date) AS date, strftime(cast(e.date AS date), '%Y-%m') AS month, e."case" AS c, {_LAG01},
    cast(e.location_id % 3 = 0 AS int) AS age65, CASE WHEN e.location_id % 7 <> 0 THEN e.location_id % 2 END AS male, cast(month(e.date) BETWEEN 4 AND 9 AS int) AS warm,
    [{", ".join(f"cb{i}" for i in range(1, 10))}, rh1, rh2, rh3, cast(dayofmonth(e.date) <= 3 AS double), cast(dayofmonth(e.date) = 15 AS double)] AS adjust
    FROM exposed e LEFT JOIN tc ON tc.weather_grid_id = 'R' || (e.location_id % 5) AND tc.date = e.date
