@@ -249,6 +249,24 @@ def scenario_grid(spark, sf):
     return rounded_results(out.withColumn("q", F.round("q", 6)), *labels, "q")
 
 
+_ALTERNATIVES = ["lag14", "lag28", "df4"]
+
+
+@query(
+    "M19_M20_alternative_adjustment",
+    sql.fitted(
+        " UNION ALL ".join(sql.single(f"grp || '|{p}|{a}'", p, adjust=f"adjust_{a}") for p in ex.POLLUTANTS for a in [*_ALTERNATIVES, "break"]),
+        f"model_id, {sql.SHOWN}",
+        design=sql.design(["main", *_ALTERNATIVES]),
+    ),
+)
+def alternative_adjustment(spark, sf):
+    """The one-day-lag models with other weather terms, and with the official breaks as holidays."""
+    adjust = {a: grid.adjustment(a, prefix=f"{a}_") for a in _ALTERNATIVES} | {"break": grid.adjustment(holiday="official_break")}
+    specs = [grid.single(f"{g}|{p}|{a}", f"{p}_lag01", terms, g) for g in GROUPS for p in ex.POLLUTANTS for a, terms in adjust.items()]
+    return rounded_results(clogit.results(spark, clogit.fit_models(full_table(spark, sf), specs)), "model_id")
+
+
 _INTERACTIONS = " UNION ALL ".join(sql.interaction(f"grp || '|{p}|{m}'", p, m) for p in ex.POLLUTANTS for m in MODIFIERS)
 
 
@@ -336,7 +354,7 @@ _KNOTS = {"curve": ["k1", "k2"], "equal": ["(lo + (hi - lo) / 3)", "(lo + 2 * (h
 
 
 def _curve_sql(x, kind):
-    return sql.spline(x, _KNOTS[kind], "lo", "hi")
+    return sql.spline_terms(x, _KNOTS[kind], "lo", "hi")
 
 
 @query(

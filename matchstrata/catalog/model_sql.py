@@ -3,30 +3,62 @@
 from __future__ import annotations
 
 from matchstrata.catalog import exposure_queries as eq
+from matchstrata.functions import spline
 from matchstrata.operators.exposure import POLLUTANTS
+from matchstrata.operators.weather import CONFIGS, BasisConfig
 
 _RH = eq._spline_sql("rh_ma03", ["k1", "k2"], "lo", "hi")
-_TEMP_PARTS = ", ".join(
-    " + ".join(f"{float(eq._CB_LAG[k, b])!r} * " + (f"t{a}" if k == 0 else f"lag(t{a}, {k}) OVER w") for k in range(22)) + f" AS cb{a * 3 + b + 1}"
-    for a in range(3)
-    for b in range(3)
-)
+
+
+def _cross_basis(config: BasisConfig, prefix: str) -> tuple[str, str]:
+    """Columns of the temperature spline (``prefix``t0, ...) and of its sums over the lag basis (``prefix``1, ...)."""
+    knots = [f"q{config.var_df}_{i}" for i in range(1, config.var_df)]
+    parts = eq._spline_sql("temp", knots, "lo", "hi")
+    lags = spline.lag_basis(config.lag, config.lag_df)
+    sums = [
+        " + ".join(f"{float(lags[k, b])!r} * " + (f"{prefix}t{a}" if k == 0 else f"lag({prefix}t{a}, {k}) OVER w") for k in range(config.lag + 1)) + f" AS {prefix}{a * config.lag_df + b + 1}"
+        for a in range(config.var_df)
+        for b in range(config.lag_df)
+    ]
+    return ", ".join(f"{c} AS {prefix}t{i}" for i, c in enumerate(parts)), ", ".join(sums)
+
+
+def _adjust(config: BasisConfig, prefix: str, holiday: str) -> str:
+    terms = [f"{prefix}{i}" for i in range(1, config.var_df * config.lag_df + 1)] + ["rh1", "rh2", "rh3", holiday, "cast(dayofmonth(e.date) = 15 AS double)"]
+    return "[" + ", ".join(terms) + "]"
+
+
+_HOLIDAY, _BREAK = "cast(dayofmonth(e.date) <= 3 AS double)", "cast(dayofmonth(e.date) <= 5 AS double)"
+_PREFIX = {"main": "cb", "lag14": "sb", "lag28": "lb", "df4": "fb"}
+_BASES = {name: _cross_basis(CONFIGS[name], p) for name, p in _PREFIX.items()}
+
+
+def _weather(configs: list[str]) -> str:
+    """Weather terms of the configurations, per grid and day."""
+    probs = sorted({(n, i) for c in configs for n in [CONFIGS[c].var_df] for i in range(1, n)})
+    return f"""tp AS (SELECT {", ".join(f"quantile_cont(temp, {i}/{n}.0) AS q{n}_{i}" for n, i in probs)}, min(temp) AS lo, max(temp) AS hi FROM rolled),
+ tt AS (SELECT weather_grid_id, date, {", ".join(_BASES[c][0] for c in configs)} FROM rolled, tp),
+ tc AS (SELECT weather_grid_id, date, {", ".join(_BASES[c][1] for c in configs)} FROM tt WINDOW w AS (PARTITION BY weather_grid_id ORDER BY date)),"""
+
+
 _LAG01 = ", ".join(f'("{p}_l0" + "{p}_l1") / 2 AS "{p}"' for p in POLLUTANTS) + ", " + ", ".join(f'"PM25_l{k}"' for k in range(8))
-#: One row per event and date: exposures, sample marks and the fourteen adjustment terms.
-DESIGN = f"""{", ".join(eq.BASE)}, {eq._WEATHER},
- tp AS (SELECT quantile_cont(temp, 1/3.0) AS k1, quantile_cont(temp, 2/3.0) AS k2, min(temp) AS lo, max(temp) AS hi FROM rolled),
+def design(configs: list[str]) -> str:
+    """``base``: one row per event and date with exposures, sample marks and the adjustment terms of each configuration."""
+    lists = [f"{_adjust(CONFIGS[c], _PREFIX[c], _HOLIDAY)} AS {'adjust' if c == 'main' else 'adjust_' + c}" for c in configs]
+    return f"""{", ".join(eq.BASE)}, {eq._WEATHER}, {_weather(configs)}
  hp AS (SELECT quantile_cont(rh_ma03, 1/3.0) AS k1, quantile_cont(rh_ma03, 2/3.0) AS k2, min(rh_ma03) AS lo, max(rh_ma03) AS hi FROM rolled),
- tt AS (SELECT weather_grid_id, date, {eq._TB[0]} AS t0, {eq._TB[1]} AS t1, {eq._TB[2]} AS t2 FROM rolled, tp),
- tc AS (SELECT weather_grid_id, date, {_TEMP_PARTS} FROM tt WINDOW w AS (PARTITION BY weather_grid_id ORDER BY date)),
  hc AS (SELECT weather_grid_id, date, {_RH[0]} AS rh1, {_RH[1]} AS rh2, {_RH[2]} AS rh3 FROM rolled, hp),
  base AS (SELECT e.event_id, e.location_id AS person, CASE WHEN substr(priority, 1, 1) IN ('1', '2') THEN 'CVD' ELSE 'CBVD' END AS grp,
    cast(e.date AS date) AS date, strftime(cast(e.date AS date), '%Y-%m') AS month, e."case" AS c, {_LAG01},
    cast(e.location_id % 3 = 0 AS int) AS age65, CASE WHEN e.location_id % 7 <> 0 THEN e.location_id % 2 END AS male, cast(month(e.date) BETWEEN 4 AND 9 AS int) AS warm,
-   [{", ".join(f"cb{i}" for i in range(1, 10))}, rh1, rh2, rh3, cast(dayofmonth(e.date) <= 3 AS double), cast(dayofmonth(e.date) = 15 AS double)] AS adjust
+   {", ".join(lists)}, {_adjust(CONFIGS["main"], "cb", _BREAK)} AS adjust_break
    FROM exposed e LEFT JOIN tc ON tc.weather_grid_id = 'R' || (e.location_id % 5) AND tc.date = e.date
    LEFT JOIN hc ON hc.weather_grid_id = 'R' || (e.location_id % 5) AND hc.date = e.date)"""
 
 
+DESIGN = design(["main"])
+
+
 def models(select: str) -> str:
     """``z``: the complete strata of ``select``, rows (model_id, event_id, cluster, c, x, target), x the list of terms."""
     return f"""zr AS ({select}), lost AS (SELECT DISTINCT model_id, event_id FROM zr WHERE len(list_filter(x, lambda v: v IS NULL)) > 0),
@@ -96,9 +128,9 @@ SHOWN = f"""n_events, varying AS variable_exposure_events, 'estimated' AS status
 ROUNDS = 6
 
 
-def fitted(select: str, shown: str, contrasts: str = TARGET, more: str = "", last: str = "FROM fit") -> str:
+def fitted(select: str, shown: str, contrasts: str = TARGET, more: str = "", last: str = "FROM fit", design: str = DESIGN) -> str:
     """Rows of the models of ``select`` (see ``models``); ``more`` are further tables made of ``base``, ``r6`` has the fitted probabilities."""
-    return f"WITH RECURSIVE {DESIGN}, {more}{models(select)}, {newton(contrasts, ROUNDS)} SELECT {shown} {last}"
+    return f"WITH RECURSIVE {design}, {more}{models(select)}, {newton(contrasts, ROUNDS)} SELECT {shown} {last}"
 
 
 def interaction(model_id: str, pollutant: str, modifier: str, where: str = "true") -> str:
@@ -107,9 +139,9 @@ def interaction(model_id: str, pollutant: str, modifier: str, where: str = "true
     return f"""SELECT {model_id} AS model_id, event_id, date, {modifier} AS level, person AS cluster, c, 16 AS target, list_append(list_prepend({exposed}, adjust), "{pollutant}" * {modifier} / 10) AS x FROM base WHERE {where}"""
 
 
-def single(model_id: str, pollutant: str, cluster: str = "person", where: str = "true") -> str:
-    return f"""SELECT {model_id} AS model_id, event_id, date, NULL AS level, {cluster} AS cluster, c, 1 AS target, list_prepend("{pollutant}" / 10, adjust) AS x FROM base WHERE {where}"""
+def single(model_id: str, pollutant: str, cluster: str = "person", where: str = "true", adjust: str = "adjust") -> str:
+    return f"""SELECT {model_id} AS model_id, event_id, date, NULL AS level, {cluster} AS cluster, c, 1 AS target, list_prepend("{pollutant}" / 10, {adjust}) AS x FROM base WHERE {where}"""
 
 
-def spline(x: str, knots: list[str], lo: str, hi: str) -> str:
+def spline_terms(x: str, knots: list[str], lo: str, hi: str) -> str:
     return f"[{', '.join(eq._spline_sql(x, knots, lo, hi))}]"
