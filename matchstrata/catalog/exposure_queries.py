@@ -539,6 +539,32 @@ def with_grid(spark, sf):
     )
 
 
+_MATRIX = [*ex.POLLUTANTS, "temp", "rh_ma03"]
+
+
+@query(
+    "A32_spearman_matrix",
+    twin(
+        "SELECT priority, a AS variable1, b AS variable2, count(*) AS n, round(corr(rx, ry), 6) AS spearman_r FROM v GROUP BY ALL",
+        _WEATHER,
+        """days AS (SELECT DISTINCT priority, e.location_id, e.date, ("PM25_l0" + "PM25_l1") / 2 AS "PM25", ("PM10_l0" + "PM10_l1") / 2 AS "PM10", ("O3_l0" + "O3_l1") / 2 AS "O3", temp, rh_ma03
+          FROM exposed e LEFT JOIN rolled r ON r.weather_grid_id = 'R' || (e.location_id % 5) AND r.date = e.date)""",
+        "pairs AS ("
+        + " UNION ALL ".join(f"""SELECT priority, '{a}' AS a, '{b}' AS b, "{a}" AS x, "{b}" AS y FROM days""" for i, a in enumerate(_MATRIX) for b in _MATRIX[i + 1 :])
+        + ")",
+        """v AS (SELECT *, rank() OVER (PARTITION BY priority, a, b ORDER BY x) + (count(*) OVER (PARTITION BY priority, a, b, x) - 1) / 2.0 AS rx,
+          rank() OVER (PARTITION BY priority, a, b ORDER BY y) + (count(*) OVER (PARTITION BY priority, a, b, y) - 1) / 2.0 AS ry FROM pairs WHERE x IS NOT NULL AND y IS NOT NULL)""",
+    ),
+)
+def spearman_matrix(spark, sf):
+    """All ten pairs of one-day-lag exposures and weather per group, over distinct residence days."""
+    rows = ex.with_windows(exposure_rows(spark, sf), ex.POLLUTANTS, {"lag01": (0, 1)})
+    rows = rows.groupBy("priority", "location_id", "date").agg(*[F.max(f"{p}_lag01").alias(p) for p in ex.POLLUTANTS])
+    rows = rows.withColumn("weather_grid_id", F.concat(F.lit("R"), (F.col("location_id") % 5).cast("string"))).join(humid(spark, sf), ["weather_grid_id", "date"], "left")
+    out = audit.spearman_matrix(rows, ["priority"], _MATRIX)
+    return out.select("priority", "variable1", "variable2", "n", F.round("spearman_r", 6).alias("spearman_r"))
+
+
 @query(
     "J06_J23_A29_weather_description",
     f"""WITH {_STRATA}, {_WEATHER}, z AS (SELECT DISTINCT priority, location_id, date, weather_grid_id FROM ({_REGION_GRID})),

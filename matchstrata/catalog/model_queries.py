@@ -491,11 +491,27 @@ def season(spark, sf):
 )
 def draws(spark, sf):
     """Each draw holds as many months of a year as the year has."""
-    months = slices.order_events(spark, sf).select(F.date_format("onset", "yyyy-MM").alias("month"))
-    table = bootstrap.draw_table(months, draws=200)
+    table = drawn_months(spark, sf)
     return table.groupBy("draw", F.substring("month", 1, 4).alias("year")).agg(F.sum("freq").alias("freq"))
 
 
+def drawn_months(spark, sf):
+    months = slices.order_events(spark, sf).select(F.date_format("onset", "yyyy-MM").alias("month"))
+    return bootstrap.draw_table(months, draws=200)
+
+
+@query(
+    "M24_draws_month_by_month",
+    """WITH m AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month, strftime(o_orderdate, '%Y') AS year FROM orders),
+    n AS (SELECT year, month, row_number() OVER (PARTITION BY year ORDER BY month) - 1 AS i, count(*) OVER (PARTITION BY year) AS size FROM m),
+    s AS (SELECT d AS draw, year, size, unnest(range(size)) AS slot FROM (SELECT DISTINCT year, size FROM n), range(200) t(d)),
+    p AS (SELECT draw, year, cast('0x' || substr(md5('20261003:' || draw || ':' || year || ':' || slot), 1, 12) AS BIGINT) % size AS i FROM s)
+    SELECT cast(draw AS int) AS draw, month, count(*) AS freq FROM p JOIN n USING (year, i) GROUP BY ALL""",
+)
+def draws_by_month(spark, sf):
+    return drawn_months(spark, sf)
+
+
 @query("M12_M13_month_bootstrap")
 def month_bootstrap(spark, sf):
     table = full_table(spark, sf)

@@ -17,7 +17,7 @@ MAX_MONTHS = 2400
 def draw_table(months: DataFrame, draws: int = 200, seed: int = 20261003) -> DataFrame:
     """(draw, month, freq): per year as many months drawn with replacement as it has.
 
-    Each pick is a hash of (seed, draw, year, slot), so any task computes the same draw.
+    Each pick is taken from the md5 of "seed:draw:year:slot", so any task, and any other system, computes the same draw.
     """
     spark = months.sparkSession
     names = sorted(r[0] for r in collect_bounded(months.select("month").distinct(), MAX_MONTHS, "months"))
@@ -35,7 +35,8 @@ def draw_table(months: DataFrame, draws: int = 200, seed: int = 20261003) -> Dat
         .select(F.col("id").cast("int").alias("draw"), F.explode(years).alias("y"))
         .select("draw", "y.year", "y.months", F.explode(F.sequence(F.lit(0), F.size("y.months") - 1)).alias("slot"))
     )
-    pick = F.pmod(F.xxhash64(F.lit(seed), "draw", "year", "slot"), F.size("months").cast("long")).cast("int")
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), "year", F.col("slot").cast("string")))
+    pick = F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), F.size("months").cast("long")).cast("int")
     return slots.groupBy("draw", F.get("months", pick).alias("month")).agg(F.count(F.lit(1)).alias("freq"))
 
 

@@ -295,6 +295,17 @@ def spearman(df: DataFrame, keys: list[str], first: str, second: str) -> DataFra
     return sums.select(*keys, "n", (cov / F.sqrt(vx * vy)).alias("spearman_r"))
 
 
+def spearman_matrix(df: DataFrame, keys: list[str], variables: list[str]) -> DataFrame:
+    """Rank correlation of every two of ``variables`` on their pairwise complete rows (A32): (keys, variable1, variable2, n, spearman_r).
+
+    All pairs are columns of one long table, so rows are read once and one pass of ranks serves all pairs.
+    """
+    pairs = [(a, b) for i, a in enumerate(variables) for b in variables[i + 1 :]]
+    both = [F.struct(F.lit(a).alias("variable1"), F.lit(b).alias("variable2"), F.col(a).cast("double").alias("__x"), F.col(b).cast("double").alias("__y")) for a, b in pairs]
+    long = df.select(*keys, F.inline(F.array(*both))).where("__x IS NOT NULL AND __y IS NOT NULL")
+    return spearman(long, [*keys, "variable1", "variable2"], "__x", "__y")
+
+
 def autocorrelation(daily: DataFrame, date: str, value: str, max_lag: int = 21, keys: list[str] = ()) -> DataFrame:
     """Autocorrelation of the daily series of each of ``keys`` at row lags 1..max_lag.
 
