@@ -1,4 +1,7 @@
-"""SQL twins of conditional logistic models with any number of terms: Newton steps over lists, and elimination of the dense system."""
+"""SQL twins of conditional logistic models with any number of terms: Newton steps over lists, and elimination of the dense system.
+
+The twins take every model to be estimable (as all are from sf0.01 on) and give no row for one that isn't.
+"""
 
 from __future__ import annotations
 

@@ -12,6 +12,9 @@ PICKED = [
     "A24_leader_clusters",
     "M01_M02_conditional_logistic_fit",
     "J13_cross_code_cells",
+    "F23_strict_score",
+    "J16_longest_prefix",
+    "M24_draws_month_by_month",
 ]
 
 

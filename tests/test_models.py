@@ -182,3 +182,24 @@ def test_tails():
     assert clogit.normal_p(1.96) == pytest.approx(0.04999579, abs=1e-7)
     assert clogit.t_quantile(0.975, 35) == pytest.approx(2.030108, abs=1e-5)
     assert clogit.t_p(2.030108, 35) == pytest.approx(0.05, abs=1e-6)
+
+
+def test_scored_rows_are_the_softmax_of_the_fit(spark, rows, data):
+    """Probabilities of a two-term model by row, a carried column, and a stratum with a missing value left out."""
+    x, z, case = data
+    holed = rows.withColumn("z", F.when((F.col("event_id") == "S5") & (F.col("date") == DATES[1]), None).otherwise(F.col("z")))
+    packed = pack_strata(holed, ["PM25_lag01", "z"])
+    spec = ModelSpec("two", (grid.exposure_term("PM25_lag01"), Term("z", ("z",))), "pollution10")
+    fit = clogit.fit_models(packed, [spec])["two"]
+    got = {(r["event_id"], r["date"]): r for r in clogit.scored(packed, {"two": fit}, {"two": "z"}).collect()}
+    eta = fit.beta[0] * x / 10 + fit.beta[1] * z
+    p = np.exp(eta - eta.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    assert len(got) == 4 * (len(x) - 1) and not any(e == "S5" for e, _ in got)
+    for i in range(0, len(x), 37):
+        if i != 5:
+            for j, day in enumerate(DATES):
+                r = got[f"S{i}", day]
+                assert r["prob"] == pytest.approx(p[i, j], abs=1e-9) and r["case"] == int(case[i] == j) and r["carried"] == pytest.approx(z[i, j])
+    none = ModelSpec("none", (grid.exposure_term("PM25_lag01"),), "pollution10", group="nobody")
+    assert clogit.scored(packed, clogit.fit_models(packed, [none])).collect() == []

@@ -330,3 +330,24 @@ def test_longest_prefix_in_dealt_districts(spark):
         assert {r["query_id"]: r["prefix"] for r in got} == want and len(got) == len(want)
     assert location.longest_prefix(unresolved.limit(0), references).collect() == []
     assert location.longest_prefix(unresolved, references.limit(0)).collect() == []
+
+
+def test_rank_matrix_and_autocorrelation_by_key(spark):
+    rng = np.random.default_rng(12)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b"], 300), "u": rng.integers(0, 9, 300).astype(float), "v": rng.normal(size=300), "w": rng.normal(size=300)})
+    pdf.loc[::7, "u"], pdf.loc[::5, "w"] = np.nan, np.nan
+    df = spark.createDataFrame(pdf).select("k", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in "uvw"])
+    got = {(r["k"], r["variable1"], r["variable2"]): r for r in audit.spearman_matrix(df, ["k"], ["u", "v", "w"]).collect()}
+    assert len(got) == 6
+    for (k, a, b), r in got.items():
+        some = pdf[(pdf["k"] == k) & pdf[a].notna() & pdf[b].notna()]
+        assert r["n"] == len(some) and r["spearman_r"] == pytest.approx(some[a].rank().corr(some[b].rank()))
+    series = {k: rng.normal(size=n) for k, n in (("a", 60), ("b", 25))}
+    daily = spark.createDataFrame([(k, DAY + dt.timedelta(days=2 * i), float(x)) for k, v in series.items() for i, x in enumerate(v)], "k string, date date, r double")
+    got = {(r["k"], r["lag"]): r["acf"] for r in audit.autocorrelation(daily, "date", "r", 21, ["k"]).collect()}
+    alone = {r["lag"]: r["acf"] for r in audit.autocorrelation(daily.where("k = 'a'"), "date", "r").collect()}
+    for k, v in series.items():
+        c = v - v.mean()
+        for lag in range(1, 22):
+            assert got[k, lag] == pytest.approx((c[lag:] * c[:-lag]).sum() / (c * c).sum())
+    assert all(alone[lag] == pytest.approx(got["a", lag]) for lag in range(1, 22))
