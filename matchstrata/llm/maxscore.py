@@ -10,12 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchstrata.llm.base import query, table
+from matchstrata.llm.vectors import as_long, product, sound, wide
 
 TOP = 5
 #: Candidates of a shard and queries of a block at most (about, as both are dealt by a hash).
 SHARD, QUERIES = 8192, 512
-#: Largest size of a term's weight that integer arithmetic takes; larger ones are refused.
-LARGEST = 1 << 24
 
 
 class Postings:
@@ -79,17 +78,51 @@ class Postings:
         return list(zip(self.ids[live[best]].tolist(), score[best].tolist()))
 
 
+class Exact:
+    """Candidates whose scores may pass what doubles hold exactly, in whole numbers of any size."""
+
+    def __init__(self, ids: list[int], weights: np.ndarray):
+        self.ids, self.weights = ids, [[int(x) for x in w] for w in weights.tolist()]
+
+    def search(self, query: list[int], own: int) -> list[tuple[int, int]]:
+        return [(i, as_long(product(query, w))) for i, w in zip(self.ids, self.weights) if i != own]
+
+
+class Shard:
+    """Candidates of one length: postings of those that doubles score exactly, and the others."""
+
+    def __init__(self, ids: np.ndarray, weights: np.ndarray):
+        large = wide(weights)
+        self.plain = Postings(ids[~large], weights[~large].astype(np.int64)) if not large.all() else None
+        self.large = Exact(ids[large].tolist(), weights[large])
+        self.every: Exact | None = None
+
+    def search(self, query: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+        """(vec_id, score) of the k best other candidates, ties to the smaller id."""
+        if wide(query[None])[0]:
+            if self.every is None and self.plain:
+                self.every = Exact(self.plain.ids.tolist(), self.plain.weights)
+            whole = [int(x) for x in query.tolist()]
+            found = (self.every.search(whole, own) if self.every else []) + self.large.search(whole, own)
+        else:
+            found = self.plain.search(query.astype(np.int64), own, k) if self.plain else []
+            if self.large.ids:
+                found = found + self.large.search([int(x) for x in query.tolist()], own)
+        return sorted(found, key=lambda f: (-f[1], f[0]))[:k]
+
+
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and weights (array of long): floor(scale * x) of each component as a double; unusable vectors are left out."""
-    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    kept = vectors.where(F.col("vec_id").isNotNull() & F.coalesce(sound, F.lit(False)))
-    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("weights"))
+    """vec_id and weights (array of double): floor(scale * x) of each component, a whole number; unusable vectors are left out."""
+    kept = vectors.where(F.col("vec_id").isNotNull() & sound(F.col("embedding")))
+    # Beyond 2**53 a double is whole already; Spark's floor gives longs.
+    whole = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double") * scale) >= 2.0**53, x.cast("double") * scale).otherwise(F.floor(x.cast("double") * scale).cast("double")))
+    return kept.select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("weights"))
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = TOP, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id and score of the k best candidates of every query, its own row apart.
 
-    Both have vec_id and weights. Scores are integer inner products, ties go to the smaller vec_id; fewer candidates give fewer rows. Vectors of
+    Both have vec_id and weights (whole numbers of any size). Scores are integer inner products, exact, and a long's limit where they pass it; ties go to the smaller vec_id; fewer candidates give fewer rows. Vectors of
     another length than the query's are no candidates; repeated rows count each. Candidates are dealt to shards by a hash; queries
     travel in packed blocks, each to every shard, and a task holds one shard and one block at a time. Empty tables give no rows.
     """
@@ -99,7 +132,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = TOP, shard: int =
 
     def pack(group: pa.Table) -> pa.Table:
         sizes = group.column("weights").combine_chunks().value_lengths().to_numpy()
-        return pa.table({"block": group.column("block").slice(0, 1), "ids": pa.array([group.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "sizes": pa.array([sizes.astype("<i8").tobytes()], pa.binary()), "data": pa.array([group.column("weights").combine_chunks().flatten().to_numpy().astype("<i8").tobytes()], pa.binary())})
+        return pa.table({"block": group.column("block").slice(0, 1), "ids": pa.array([group.column("vec_id").to_numpy().astype("<i8").tobytes()], pa.binary()), "sizes": pa.array([sizes.astype("<i8").tobytes()], pa.binary()), "data": pa.array([group.column("weights").combine_chunks().flatten().to_numpy().astype("<f8").tobytes()], pa.binary())})
 
     packed = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "weights"), F.lit(blocks)).cast("int")).groupBy("block").applyInArrow(pack, "block int, ids binary, sizes binary, data binary")
     asked = packed.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("block").alias("turn"), "ids", "sizes", "data")
@@ -108,7 +141,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = TOP, shard: int =
         for batch in batches:
             lists = batch.column("weights")
             sizes = lists.value_lengths().to_numpy()
-            flat, at = lists.flatten().to_numpy().astype("<i8"), np.concatenate(([0], np.cumsum(sizes)))
+            flat, at = lists.flatten().to_numpy().astype("<f8"), np.concatenate(([0], np.cumsum(sizes)))
             data = [flat[a:b].tobytes() for a, b in zip(at, at[1:])]
             ids = [x.to_bytes(8, "little", signed=True) for x in batch.column("vec_id").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(np.full(len(ids), -1, dtype=np.int32)), pa.array(ids, pa.binary()), pa.array([int(x).to_bytes(8, "little") for x in sizes], pa.binary()), pa.array(data, pa.binary())], names=["shard", "turn", "ids", "sizes", "data"])
@@ -131,13 +164,11 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = TOP, shard: int =
                     for i, d in waiting:
                         by_size.setdefault(len(d) // 8, []).append((i, d))
                     for size, rows in by_size.items():
-                        weights = np.frombuffer(b"".join(d for _, d in rows), dtype="<i8").reshape(len(rows), size)
-                        if size and np.abs(weights).max() > LARGEST:
-                            raise ValueError(f"a weight over {LARGEST}")
-                        ready[size] = Postings(np.frombuffer(b"".join(i for i, _ in rows), dtype="<i8"), weights)
+                        weights = np.frombuffer(b"".join(d for _, d in rows), dtype="<f8").reshape(len(rows), size)
+                        ready[size] = Shard(np.frombuffer(b"".join(i for i, _ in rows), dtype="<i8"), weights)
                     waiting = []
                 at = 0
-                flat = np.frombuffer(data, dtype="<i8")
+                flat = np.frombuffer(data, dtype="<f8")
                 for q, size in zip(np.frombuffer(ids, dtype="<i8").tolist(), np.frombuffer(sizes, dtype="<i8").tolist()):
                     w = flat[at : at + size]
                     at += size

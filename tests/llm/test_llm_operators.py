@@ -288,6 +288,20 @@ def test_top_k(spark):
     assert maxscore.top_k(v.limit(0), v.limit(0)).collect() == []
 
 
+def test_top_k_of_large_components(spark):
+    """Scores past what doubles hold are exact, and a long's limit where they pass it."""
+    rng = np.random.default_rng(6)
+    rows = [(i, (rng.integers(-9, 9, 3) * float(rng.choice([0.5, 70000.0, 3e6, 4e6 + 1]))).tolist()) for i in range(120)] + [(150, [1e30, 1.0, 0.0]), (151, [-1e300, 0.0, 1.0]), (200, [0.5, 0.5, 0.5])]
+    ints = {i: [math.floor(256 * x) if abs(x) < 2**40 else 256 * int(x) for x in v] for i, v in rows}
+    v = maxscore.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    want = []
+    for q in (i for i in ints if i % 50 == 0):
+        scored = [(max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(ints[q], w)))), i) for i, w in ints.items() if i != q]
+        want += [(q, k, i, s) for k, (s, i) in enumerate(sorted(scored, key=lambda x: (-x[0], x[1]))[:5], 1)]
+    for shard in (8192, 16):
+        assert sorted(map(tuple, maxscore.top_k(v, v.where("vec_id % 50 = 0"), shard=shard).collect())) == sorted(want)
+
+
 def test_vector_duplicates(spark):
     rng = np.random.default_rng(1)
     base = rng.normal(size=(40, 8))
