@@ -27,8 +27,8 @@ LEXICON = 2000
 EPOCHS, RATE, DECAY = 3, 0.2, 1e-6
 #: Steps of a chain that are taken one after another; chains are cut into lanes of this length that advance side by side.
 LANE = 128
-#: Words whose scores a task remembers, and text bytes that it labels at once.
-REMEMBERED, LABELLED_BYTES = 150_000, 1 << 20
+#: Words whose scores a task remembers, and text bytes that the pipeline's stage labels at once.
+REMEMBERED, LABELLED_BYTES = 300_000, 1 << 20
 UNKNOWN = "und"
 
 
@@ -262,7 +262,7 @@ def identify(docs: DataFrame, model: Field | None, keep: list[str] = ()) -> Data
     picked = docs.select(*keep, "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, limit=LABELLED_BYTES):
+        for batch in sliced(batches):
             texts = batch.column("text").to_pylist()
             found = shared.value.predict(texts) if shared.value else [(UNKNOWN, 0.0)] * len(texts)
             yield pa.RecordBatch.from_arrays(
