@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from matchstrata.catalog import exposure_queries as eq
 from matchstrata.catalog import model_sql as sql
 from matchstrata.catalog.base import query
-from matchstrata.core import keep, stable, stored
+from matchstrata.core import keep, stable
 from matchstrata.functions import spline
 from matchstrata.models import bootstrap, clogit, grid, likelihood, shape
 from matchstrata.models.clogit import ModelSpec, Term
-from matchstrata.models.strata import pack_strata
+from matchstrata.models.strata import Shared, pack_strata
 from matchstrata.operators import audit, weather
 from matchstrata.operators import exposure as ex
 from matchstrata.operators.segments import exact_quantiles
@@ -185,40 +185,47 @@ def study_calendar(spark):
     )
 
 
-def study_rows(spark, sf, configs=("main",)):
-    """Matched rows of the full design."""
+def study_series(spark, sf, configs=("main",)):
+    """Daily values of the full design, with the curve and lag terms of PM2.5."""
     series = keep(spark, (sf, "series"), lambda: stable(eq.humid(spark, sf)))
     params = weather.basis_parameters(series, {c: weather.CONFIGS[c] for c in configs})
     bases = {c: weather.cross_basis(series, weather.CONFIGS[c], params[c]) for c in configs}
-    basis = stored(study.join_bases(bases))
-    cells = ex.nearest_cell(eq.locations(spark, sf), eq.LAT_AXIS, eq.LON_AXIS).select(
-        "location_id", *eq.CELL, F.concat(F.lit("R"), (F.col("location_id") % 5).cast("string")).alias(weather.GRID)
-    )
-    return study.analysis_rows(
-        study_scope(spark, sf), cells, eq.histories(spark, sf), study_calendar(spark), basis, eq.CELL
-    )
+    q = curve_parameters(spark, sf)
+    bounds = [q["lo"], q["hi"]]
+    exposure, *rest = study.analysis_series(eq.histories(spark, sf), study_calendar(spark), study.join_bases(bases), eq.CELL)
+    days = grid.with_curve_columns(exposure.df, "PM25_lag01", [q["k1"], q["k2"]], bounds, "curve")
+    days = grid.with_curve_columns(days, "PM25_lag01", grid.equal_width_knots(*bounds), bounds, "equal")
+    days = grid.with_lag_columns(days, "PM25", "dlag")
+    return [Shared(days, exposure.keys, [c for c in days.columns if c not in (*exposure.keys, "date")]), *rest]
+
+
+def study_places(spark, sf):
+    """Raster cell and weather grid of each location."""
+    cells = ex.nearest_cell(eq.locations(spark, sf), eq.LAT_AXIS, eq.LON_AXIS)
+    return cells.select("location_id", *eq.CELL, F.concat(F.lit("R"), (F.col("location_id") % 5).cast("string")).alias(weather.GRID))
 
 
 def curve_parameters(spark, sf):
+    """Quantiles of the one-day-lag PM2.5 over all matched rows, counted by cell and onset before dates are expanded."""
+
     def build():
         probs = {"k1": 1 / 3, "k2": 2 / 3, "lo": 0.0, "hi": 1.0, "ref": 0.5, "d05": 0.05, "d95": 0.95}
-        rows = ex.with_windows(eq.exposure_rows(spark, sf), ["PM25"], {"lag01": (0, 1)})
-        return exact_quantiles(rows, [], "PM25_lag01", probs).first().asDict()
+        events = slices.order_events(spark, sf).withColumn("location_id", F.col("person_id"))
+        placed = events.select("location_id", "onset").join(study_places(spark, sf), "location_id", "left")
+        counted = placed.groupBy(*eq.CELL, "onset").agg(F.count(F.lit(1)).alias("events"))
+        rows = ex.matched_strata(counted, keep=[*eq.CELL, "events"]).join(eq.histories(spark, sf), [*eq.CELL, "date"], "left")
+        rows = ex.with_windows(rows, ["PM25"], {"lag01": (0, 1)})
+        return exact_quantiles(rows, [], "PM25_lag01", probs, "events").first().asDict()
 
     return keep(spark, (sf, "curve"), build)
 
 
 def full_table(spark, sf):
     def build():
-        q = curve_parameters(spark, sf)
-        rows = study_rows(spark, sf, tuple(weather.CONFIGS))
-        rows = grid.with_curve_columns(rows, "PM25_lag01", [q["k1"], q["k2"]], [q["lo"], q["hi"]], "curve")
-        equal = grid.equal_width_knots(q["lo"], q["hi"])
-        rows = grid.with_curve_columns(rows, "PM25_lag01", equal, [q["lo"], q["hi"]], "equal")
-        rows = grid.with_lag_columns(rows, "PM25", "dlag")
         more = [f"{k}{i}" for k in ("curve", "equal", "dlag") for i in (1, 2, 3)]
         more += [f"{p}_{w}" for p in ex.POLLUTANTS for w in ex.EXTRA_WINDOWS] + MODIFIERS
-        return study.model_table(rows, study.grid_columns() + more, SCENARIOS)
+        series = study_series(spark, sf, tuple(weather.CONFIGS))
+        return study.model_table(study_scope(spark, sf), study_places(spark, sf), series, study.grid_columns() + more, SCENARIOS)
 
     return keep(spark, (sf, "full"), build)
 

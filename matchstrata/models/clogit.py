@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchstrata.models.strata import KEYS, Block, StrataTable, read_batches
+from matchstrata.models.strata import Block, StrataTable, read_batches
 
 MAX_ITERATIONS = 50
 TOLERANCE = 1e-9
@@ -419,7 +419,7 @@ def scored(table: StrataTable, fits: dict[str, Fit], carry: dict[str, str] | Non
                             ["model_id", "event_id", "date", "case", "prob", "carried"],
                         )
 
-    every = table.df.select(*KEYS, F.col("event_id").cast("string").alias("event_id"), "dates", *[F.col(f"v{cols.index(c)}") for c in needed])
+    every = table.scan(needed, F.col("event_id").cast("string").alias("event_id"), "dates")
     return every.mapInArrow(run, schema)
 
 

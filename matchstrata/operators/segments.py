@@ -97,19 +97,20 @@ class Segmented:
         return out.drop(SEG)
 
 
-def ranked_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Distinct (keys, value) with count ``n`` and running count ``upto``; nulls left out."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+def ranked_values(df: DataFrame, keys: list[str], value: str, times: str | None = None) -> DataFrame:
+    """Distinct (keys, value) with count ``n`` and running count ``upto``; nulls left out. A row counts ``times`` times."""
+    rows = F.sum(times) if times else F.count(F.lit(1))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(rows.alias("n"))
     return Segmented(counts, keys, [value]).with_running({"upto": ("sum", "n")})
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], times: str | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per key, with no key gathered into one task.
 
     The built-in ``percentile`` keeps every distinct value of a group in one buffer, which is
     right for ages or day counts but not for a continuous value over a very large group.
     """
-    ranked = ranked_values(df, keys, value).withColumn("__one", F.lit(1))
+    ranked = ranked_values(df, keys, value, times).withColumn("__one", F.lit(1))
     by = keys or ["__one"]
     totals = ranked.groupBy(*by).agg(F.max("upto").alias("total"))
     if keys:

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchstrata.core import stored
 from matchstrata.models import clogit, grid
-from matchstrata.models.strata import StrataTable, pack_strata
+from matchstrata.models.strata import Shared, StrataTable, pack_events
 from matchstrata.operators import exposure as ex
 from matchstrata.operators import weather
 from matchstrata.operators.multiplicity import benjamini_hochberg
@@ -31,34 +32,29 @@ def join_bases(bases: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, [weather.GRID, weather.DAY], "full"), parts)
 
 
-def analysis_rows(
-    scope: DataFrame,
-    placements: DataFrame,
+def analysis_series(
     histories: DataFrame,
     calendar: DataFrame,
     basis: DataFrame,
     cell: list[str],
     pollutants: list[str] = ex.POLLUTANTS,
     windows: dict[str, tuple] = {**ex.WINDOWS, **ex.EXTRA_WINDOWS},
-) -> DataFrame:
-    """Matched rows with exposure windows, calendar and weather.
+) -> list[Shared]:
+    """Daily values of the matched rows: exposure windows by cell, calendar, weather by grid.
 
-    Everything that depends on the event alone (scope, location tier, cell, weather grid) is
-    joined before the 4-5-fold expansion into dates. After it come the exposure join on
-    (cell, date), the calendar (one row per day of the study, hence broadcast) and the
-    weather join on (grid, date); the final packing by event is the last shuffle.
+    Each is stored once, a row per place and day, as its strata and its scans read it.
     """
-    placed = scope.join(placements, "location_id", "left")
-    keep = [c for c in placed.columns if c != "onset"]
-    rows = ex.matched_strata(placed, keep=keep)
-    rows = rows.join(histories, [*cell, "date"], "left")
-    rows = ex.with_windows(rows, pollutants, windows)
-    rows = rows.join(F.broadcast(calendar.select("date", *CALENDAR_COLUMNS)), "date", "left")
-    return rows.join(basis, [weather.GRID, weather.DAY], "left")
+    days = ex.with_windows(histories, pollutants, windows)
+    parts = [(days, cell), (calendar.select("date", *CALENDAR_COLUMNS), []), (basis, [weather.GRID])]
+    return [Shared(stored(df), list(keys), [c for c in df.columns if c not in (*keys, "date")]) for df, keys in parts]
 
 
-def model_table(rows: DataFrame, columns: list[str], scenarios: list[str] = ()) -> StrataTable:
-    return pack_strata(rows, columns, scenarios)
+def model_table(
+    scope: DataFrame, placements: DataFrame, series: list[Shared], columns: list[str], scenarios: list[str] = ()
+) -> StrataTable:
+    """Packed strata of the scoped events. Joins are between events (scope, location tier, cell, weather grid); no date is expanded."""
+    held = [Shared(s.df, s.keys, [c for c in s.columns if c in columns]) for s in series]
+    return pack_events(scope.join(placements, "location_id", "left"), held, columns, scenarios)
 
 
 def grid_columns(

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchstrata.models import bootstrap, clogit, grid, likelihood
+from matchstrata.models import bootstrap, clogit, grid, likelihood, strata
 from matchstrata.models.clogit import ModelSpec, Term
 from matchstrata.models.strata import pack_strata
 from matchstrata.operators import exposure, validate
@@ -203,3 +203,32 @@ def test_scored_rows_are_the_softmax_of_the_fit(spark, rows, data):
                 assert r["prob"] == pytest.approx(p[i, j], abs=1e-9) and r["case"] == int(case[i] == j) and r["carried"] == pytest.approx(z[i, j])
     none = ModelSpec("none", (grid.exposure_term("PM25_lag01"),), "pollution10", group="nobody")
     assert clogit.scored(packed, clogit.fit_models(packed, [none])).collect() == []
+
+
+def test_events_packed_over_shared_series_equal_packed_rows(spark):
+    """Repeated events, events of two places, unknown places and days without values; the daily values are not copied to the events."""
+    day = dt.date(2024, 6, 1)
+    series = [(c, day + dt.timedelta(d), float(7 * d % 5 + c) if d % 9 else None) for c in (0, 1) for d in range(60)]
+    series = spark.createDataFrame(series, "cell int, date date, x double")
+    days = spark.createDataFrame([(day + dt.timedelta(d), d % 3) for d in range(60)], "date date, off int")
+    events = [(i, day + dt.timedelta(i * 11 % 61), i % 2 if i % 13 else None, f"P{i % 5}", i % 2) for i in range(40)]
+    events += [events[3]] * 2 + [(4, day, 1, "P4", 0), (50, None, 0, "P0", 1), (51, day + dt.timedelta(200), 0, None, None)]
+    events = spark.createDataFrame(events, "event_id int, onset date, cell int, cluster_id string, male int")
+    events = events.select("*", F.lit("all").alias("study_group"), F.array(F.lit("even")).alias("scenarios"))
+    columns = ["x", "off", "male"]
+    shared = [strata.Shared(series, ["cell"], ["x"]), strata.Shared(days, [], ["off"])]
+    rows = exposure.matched_strata(events, keep=[c for c in events.columns if c != "onset"])
+    wide = pack_strata(rows.join(series, ["cell", "date"], "left").join(days, "date", "left"), columns, ["even"])
+
+    def packed(table):
+        found = table.scan(columns, "event_id", "dates").drop("pos").collect()
+        return sorted(str((r.event_id, r.study_group, r.cluster_id, r.month, r.bits, r.n, r.dates, r.v0, r.v1, r.v2)) for r in found)
+
+    narrow = strata.pack_events(events, shared, columns, ["even"], parts=3)
+    assert packed(narrow) == packed(wide)
+    assert packed(strata.pack_events(events, shared, columns, ["even"], most=0)) == packed(wide)
+    once = strata.pack_events(events.dropDuplicates(["event_id"]), shared, columns, ["even"])
+    assert not {"v0", "v1", "v2"} & set(once.df.columns)
+    twice = [strata.Shared(series.unionByName(series.filter("cell = 0")), ["cell"], ["x"]), shared[1]]
+    more = rows.join(twice[0].df, ["cell", "date"], "left").join(days, "date", "left")
+    assert packed(strata.pack_events(events, twice, columns, ["even"])) == packed(pack_strata(more, columns, ["even"]))
