@@ -525,7 +525,7 @@ def audited_now(spark, sf):
     direct = F.col("level").isin("门牌号", "道路")
     by_address = cached.filter(direct).drop("location_id")
     by_location = cached.filter(~direct).drop("address")
-    pool = loc.candidate_pool(rows.select("location_id", "request"), by_address, by_location)
+    pool = loc.candidate_pool(rows.select("location_id", "request", "address"), by_address, by_location)
     return loc.audit_locations(rows.drop("request"), pool)
 
 

@@ -20,6 +20,43 @@ def _metres(ax, ay, bx, by):
     return geo.great_circle(ax, ay, bx, by, geo.EARTH_M)
 
 
+def _celled(points: DataFrame) -> DataFrame:
+    return points.withColumn("cx", F.floor(F.col("x") / CELL_DEGREES)).withColumn("cy", F.floor(F.col("y") / CELL_DEGREES))
+
+
+def _reached(cells: DataFrame, radius: float) -> DataFrame:
+    """Rows of cells copied to every cell that their radius may reach."""
+    deg = radius / METRES_PER_DEGREE
+    ry = math.ceil(deg / CELL_DEGREES)
+    # Degrees of longitude are shortest at the end of the reach that is nearest to a pole.
+    edge = F.least(F.abs(F.col("cy")) + ry + 1, F.lit(89.9 / CELL_DEGREES)) * CELL_DEGREES
+    rx = F.ceil(F.lit(deg / CELL_DEGREES) / F.cos(F.radians(edge))).cast("int")
+    wide = cells.withColumn("__i", F.explode(F.sequence(-rx, rx))).withColumn("__j", F.explode(F.sequence(F.lit(-ry), F.lit(ry))))
+    return wide.withColumn("cx", F.col("cx") + F.col("__i")).withColumn("cy", F.col("cy") + F.col("__j")).drop("__i", "__j")
+
+
+def _beyond(left: DataFrame, found: DataFrame, key: str, radius: float) -> DataFrame:
+    cell = [key, "cx", "cy"]
+    cover = _reached(found.select(*cell, F.col("x").alias("lx"), F.col("y").alias("ly")), radius)
+    near = [left[c] == cover[c] for c in cell] + [_metres(left["x"], left["y"], cover["lx"], cover["ly"]) <= radius]
+    return left.join(cover, reduce(lambda a, b: a & b, near), "left_anti")
+
+
+def uncovered(points: DataFrame, found: DataFrame, key: str, lon: str, lat: str, radius: float = 100.0) -> DataFrame:
+    """Points that lie within ``radius`` of no leader (``found`` by ``leaders``) of their key; those without key or place stay."""
+    placed = _celled(points.withColumn("x", F.col(lon)).withColumn("y", F.col(lat)))
+    return _beyond(placed, _celled(found), key, radius).select(*points.columns)
+
+
+def rim(found: DataFrame, key: str) -> DataFrame:
+    """(key, x, y) of those leaders of each key that can be farthest from any point: the hull's; all, where hulls don't hold."""
+    placed = hull.projected(found, key, "x", "y", keep=True)
+    scattered = placed.where("px IS NULL").select(F.col(key).alias("__k")).distinct()
+    apart = F.col(key).eqNullSafe(F.col("__k"))
+    some = hull.rims(placed.join(scattered, apart, "left_anti"), key).select(key, "x", "y")
+    return some.unionByName(placed.join(scattered, apart, "left_semi").select(key, "x", "y"))
+
+
 def leaders(points: DataFrame, key: str, order: str, lon: str, lat: str, radius: float = 100.0) -> DataFrame:
     """Leaders of each key (A24): in ``order``, a point within ``radius`` of no earlier leader leads.
 
@@ -29,28 +66,16 @@ def leaders(points: DataFrame, key: str, order: str, lon: str, lat: str, radius:
     """
     if radius < CELL_DEGREES * METRES_PER_DEGREE * math.sqrt(2):
         raise ValueError("radius must cover the diagonal of a cell")
-    deg = radius / METRES_PER_DEGREE
-    ry = math.ceil(deg / CELL_DEGREES)
-    # Degrees of longitude are shortest at the end of the reach that is nearest to a pole.
-    edge = F.least(F.abs(F.col("cy")) + ry + 1, F.lit(89.9 / CELL_DEGREES)) * CELL_DEGREES
-    rx = F.ceil(F.lit(deg / CELL_DEGREES) / F.cos(F.radians(edge))).cast("int")
-
-    def reached(cells: DataFrame) -> DataFrame:
-        wide = cells.withColumn("__i", F.explode(F.sequence(-rx, rx))).withColumn("__j", F.explode(F.sequence(F.lit(-ry), F.lit(ry))))
-        return wide.withColumn("cx", F.col("cx") + F.col("__i")).withColumn("cy", F.col("cy") + F.col("__j")).drop("__i", "__j")
-
     cell = [key, "cx", "cy"]
     left = points.select(key, F.col(order).alias("ord"), F.col(lon).alias("x"), F.col(lat).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
-    left = stable(left.withColumn("cx", F.floor(F.col("x") / CELL_DEGREES)).withColumn("cy", F.floor(F.col("y") / CELL_DEGREES)))
+    left = stable(_celled(left))
     found = []
     while True:
         first = left.groupBy(*cell).agg(F.min(F.struct("ord", "x", "y")).alias("f"))
-        earliest = reached(first).groupBy(*cell).agg(F.min("f.ord").alias("e"))
+        earliest = _reached(first, radius).groupBy(*cell).agg(F.min("f.ord").alias("e"))
         new = stable(first.join(earliest, cell).filter("f.ord = e").select(*cell, "f.*"))
         found.append(new.select(key, "ord", "x", "y"))
-        cover = reached(new.select(*cell, F.col("x").alias("lx"), F.col("y").alias("ly")))
-        near = [left[c] == cover[c] for c in cell] + [_metres(left["x"], left["y"], cover["lx"], cover["ly"]) <= radius]
-        left = stable(left.join(cover, reduce(lambda a, b: a & b, near), "left_anti"))
+        left = stable(_beyond(left, new, key, radius))
         if left.isEmpty():
             return reduce(DataFrame.unionByName, found)
 

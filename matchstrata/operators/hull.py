@@ -99,10 +99,13 @@ def metres(square: float, radius: float) -> float:
 COLUMNS = ["ux", "uy", "uz", "px", "py"]
 
 
-def projected(points: DataFrame, key: str, lon: str, lat: str) -> DataFrame:
-    """key, unit vector, and place on the plane that touches the sphere at the key's centre, where great circles are straight; null beyond REACH."""
-    x, y = F.radians(lon), F.radians(lat)
-    unit = points.select(key, (F.cos(y) * F.cos(x)).alias("ux"), (F.cos(y) * F.sin(x)).alias("uy"), F.sin(y).alias("uz"))
+def projected(points: DataFrame, key: str, lon: str, lat: str, keep: bool = False) -> DataFrame:
+    """key, unit vector, and place on the plane that touches the sphere at the key's centre, where great circles are straight; null beyond REACH.
+
+    With ``keep`` the columns ``lon`` and ``lat`` as well.
+    """
+    x, y, kept = F.radians(lon), F.radians(lat), [lon, lat] if keep else []
+    unit = points.select(key, *kept, (F.cos(y) * F.cos(x)).alias("ux"), (F.cos(y) * F.sin(x)).alias("uy"), F.sin(y).alias("uz"))
     sums = unit.groupBy(key).agg(*(F.sum(c).alias(f"s{c}") for c in ("ux", "uy", "uz")))
     norm = F.sqrt(sum((F.col(f"s{c}") * F.col(f"s{c}") for c in ("ux", "uy", "uz")), F.lit(0.0)))
     centre = sums.select(F.col(key).alias("__key"), *((F.col(f"s{c}") / F.greatest(norm, F.lit(1e-9))).alias(f"c{c[1]}") for c in ("ux", "uy", "uz")))
@@ -115,16 +118,11 @@ def projected(points: DataFrame, key: str, lon: str, lat: str) -> DataFrame:
     across = F.col("ux") * F.col("ax") + F.col("uy") * F.col("ay")
     up = F.col("ux") * F.col("bx") + F.col("uy") * F.col("by") + F.col("uz") * F.col("bz")
     joined = unit.join(centre, F.col(key).eqNullSafe(F.col("__key")))
-    return joined.select(key, "ux", "uy", "uz", F.when(near > REACH, across / near).alias("px"), F.when(near > REACH, up / near).alias("py"))
+    return joined.select(key, *kept, "ux", "uy", "uz", F.when(near > REACH, across / near).alias("px"), F.when(near > REACH, up / near).alias("py"))
 
 
-def farthest(points: DataFrame, key: str, radius: float) -> DataFrame:
-    """(key, far): the largest distance between two points of each key, of ``projected`` rows that all have a place.
-
-    A task sends the hull of each key's points in a batch; the hulls of one key meet in one task, key by key. Points that
-    are at least some distance apart bound what meets there by the length of a hull around half the globe.
-    """
-    kind = points.schema[key].dataType.simpleString()
+def _reduced(points: DataFrame, key: str) -> DataFrame:
+    """The hull of each key's points in each batch."""
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,6 +133,22 @@ def farthest(points: DataFrame, key: str, radius: float) -> DataFrame:
             kept = [mine if len(mine) < FEW else mine[hull(px[mine], py[mine])] for a, b in zip(cuts, cuts[1:]) for mine in [order[a:b]]]
             yield batch.take(pa.array(np.concatenate(kept)))
 
+    return points.mapInArrow(reduce, points.schema)
+
+
+def rims(points: DataFrame, key: str) -> DataFrame:
+    """The ``projected`` rows that are on the hull of their key; some inside a large key's, or of a key of few, stay as well."""
+    return _reduced(_reduced(points, key).repartition(F.col(key)).sortWithinPartitions(key), key)
+
+
+def farthest(points: DataFrame, key: str, radius: float) -> DataFrame:
+    """(key, far): the largest distance between two points of each key, of ``projected`` rows that all have a place.
+
+    A task sends the hull of each key's points in a batch; the hulls of one key meet in one task, key by key. Points that
+    are at least some distance apart bound what meets there by the length of a hull around half the globe.
+    """
+    kind = points.schema[key].dataType.simpleString()
+
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
@@ -164,5 +178,5 @@ def farthest(points: DataFrame, key: str, radius: float) -> DataFrame:
         if held:
             yield told([ends()])
 
-    reduced = points.mapInArrow(reduce, points.schema)
+    reduced = _reduced(points, key)
     return reduced.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(finish, f"`{key}` {kind}, far double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
@@ -73,29 +74,48 @@ def compact(rows: DataFrame) -> DataFrame:
     ).filter("lon IS NOT NULL")
 
 
-def candidate_pool(locations: DataFrame, by_address: DataFrame, by_location: DataFrame) -> DataFrame:
-    """Candidates of each location from the address cache, the coarse search and the id lists.
+@dataclass(frozen=True)
+class Pool:
+    """Candidates of locations: those of a request once for all locations that make it, those of single locations by location."""
 
-    Exact repeats (provider, point, text) count once; the earliest source keeps its place.
+    shared: DataFrame
+    own: DataFrame
+    links: DataFrame
+
+
+def candidate_pool(locations: DataFrame, by_address: DataFrame, by_location: DataFrame) -> Pool:
+    """Candidates from the address cache, the coarse search and the id lists (J14); ``locations``: location_id, request, address.
+
+    Exact repeats (provider, point, text) count once; the earliest source keeps its place. Locations of one request see the same
+    cached candidates, so these stay with the request; ``links`` gives each location's request and address. A location_id
+    that comes with several requests or addresses has all its candidates among its own.
     """
-    cols = ["provider", "lon", "lat", "text", "adcode", "level", "pos"]
-    asked = locations.select("location_id", "request")
+    point = ["provider", "lon", "lat", "text"]
+    cols = [*point, "adcode", "level", "pos"]
+    per = locations.select("location_id", "request", "address").distinct()
+    several = per.groupBy("location_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("location_id").alias("__id"))
+    twofold = F.col("location_id").eqNullSafe(F.col("__id"))
+    links = per.join(several, twofold, "left_anti")
     # A shared address is asked once per provider, point and text, whatever its cached rows repeat.
     rest = F.min(F.struct("pos", "adcode", "level")).alias("r")
-    by_address = by_address.groupBy("address", "provider", "lon", "lat", "text").agg(rest).select("address", "provider", "lon", "lat", "text", "r.*")
-    coarse = asked.select("location_id", F.concat(F.lit(SEARCH), ad.coarse_prefix(F.col("request"))).alias("address"))
-    parts = [
-        asked.withColumnRenamed("request", "address").join(by_address, "address").select("location_id", F.lit(0).alias("source"), *cols),
-        coarse.join(by_address, "address").select("location_id", F.lit(1).alias("source"), *cols),
-        by_location.select("location_id", F.lit(2).alias("source"), *cols),
-    ]
-    every = reduce(DataFrame.unionByName, parts)
+    by_address = by_address.groupBy("address", *point).agg(rest).select("address", *point, "r.*")
+    asked = per.select("request").distinct()
+    coarse = asked.select("request", F.concat(F.lit(SEARCH), ad.coarse_prefix(F.col("request"))).alias("address"))
     first = F.min(F.struct("source", "pos", "adcode", "level")).alias("f")
-    once = every.groupBy("location_id", "provider", "lon", "lat", "text").agg(first)
-    return once.select(
-        "location_id", "provider", "lon", "lat", "text", "f.adcode", "f.level", "f.source", "f.pos",
-        ad.profile(F.col("text")).alias("t"),
-    )
+    seen = [
+        asked.withColumn("address", F.col("request")).join(by_address, "address").select("request", F.lit(0).alias("source"), *cols),
+        coarse.join(by_address, "address").select("request", F.lit(1).alias("source"), *cols),
+    ]
+    shared = seen[0].unionByName(seen[1]).groupBy("request", *point).agg(first).select("request", *point, "f.*")
+    shared = stable(shared.withColumn("t", ad.profile(F.col("text"))))
+    mixed = per.join(several, twofold, "left_semi").select("location_id", "request").distinct().join(shared, "request")
+    own = by_location.select("location_id", F.lit(2).alias("source"), *cols).unionByName(mixed.select("location_id", "source", *cols))
+    own = own.groupBy("location_id", *point).agg(first).select("location_id", *point, "f.*")
+    own = own.join(links.select("location_id", "request"), "location_id", "left")
+    again = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ("request", *point)]
+    known = shared.select(*[F.col(c).alias(f"__{c}") for c in ("request", *point)])
+    own = own.join(known, reduce(lambda a, b: a & b, again), "left_anti").drop("request")
+    return Pool(shared, own.withColumn("t", ad.profile(F.col("text"))), links)
 
 
 def with_profile(rows: DataFrame, address: str = "address") -> DataFrame:
@@ -278,45 +298,88 @@ def review_priority() -> Column:
     )
 
 
-def evidence_match(locations: DataFrame, pool: DataFrame, within_m: float = 2.0) -> DataFrame:
-    """Best candidate of the saved provider within 2 m of the saved point, with evidence flags."""
-    cols = ["location_id", "a", "gcj_lon", "gcj_lat", "coordinate_source"]
-    both = pool.join(locations.select(*cols), "location_id")
-    metres = geo.great_circle(F.col("gcj_lon"), F.col("gcj_lat"), F.col("lon"), F.col("lat"), geo.EARTH_M)
-    same = both.filter((metres <= within_m) & (F.col("provider") == F.replace("coordinate_source", F.lit("existing_"), F.lit(""))))
+def _strict(rows: DataFrame) -> DataFrame:
+    """Rank ``s`` and evidence ``c`` of rows of an address profile ``a`` and a candidate."""
     score = ad.strict_score(F.col("a"), F.col("t"), F.col("adcode"))["score"]
     place = F.struct((-F.col("source")).alias("a"), (-F.col("pos")).alias("b"), "text")
-    chosen = same.withColumn("score", score).groupBy("location_id").agg(
-        F.max_by(F.struct("a", "t", "adcode"), F.struct("score", place)).alias("c")
-    )
+    return rows.withColumn("score", score).withColumns({"s": F.struct("score", place), "c": F.struct("a", "t", "adcode")})
+
+
+def evidence_match(locations: DataFrame, shared: DataFrame, own: DataFrame, within_m: float = 2.0) -> DataFrame:
+    """Best candidate of the saved provider within 2 m of the saved point, with evidence flags.
+
+    Of a request's candidates at one point only the best counts, and points meet saved points by cells of ``within_m``.
+    """
+    provider = F.replace("coordinate_source", F.lit("existing_"), F.lit(""))
+    saved = locations.select("location_id", "a", "gcj_lon", "gcj_lat", provider.alias("saved"))
+    metres = geo.great_circle(F.col("gcj_lon"), F.col("gcj_lat"), F.col("lon"), F.col("lat"), geo.EARTH_M)
+    near = own.join(saved, "location_id").filter((metres <= within_m) & (F.col("provider") == F.col("saved")))
+    deg = within_m / clusters.METRES_PER_DEGREE * 1.01
+
+    def column(x: str) -> Column:
+        """Number of the cell of a longitude in the row of cells ``cy``; near a pole all are one."""
+        edge = (F.abs("cy") + 2) * deg
+        return F.when(edge < 89, F.floor(F.col(x) * F.cos(F.radians(edge)) / deg)).otherwise(F.lit(0).cast("long"))
+
+    best = _strict(shared).groupBy("ask", "provider", "lon", "lat").agg(F.max("s").alias("s"), F.max_by("c", "s").alias("c"))
+    best = best.withColumn("cy", F.explode(F.sequence(*[F.floor(F.col("lat") / deg) + i for i in (-1, 1)])))
+    best = best.withColumn("cx", column("lon")).withColumn("cx", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)))
+    points = locations.filter("ask IS NOT NULL").select("location_id", "ask", "gcj_lon", "gcj_lat", provider.alias("provider"))
+    points = points.withColumn("cy", F.floor(F.col("gcj_lat") / deg)).withColumn("cx", column("gcj_lon"))
+    both = points.join(best, ["ask", "provider", "cx", "cy"]).filter(metres <= within_m)
+    chosen = _strict(near).select("location_id", "s", "c").unionByName(both.select("location_id", "s", "c"))
+    chosen = chosen.groupBy("location_id").agg(F.max_by("c", "s").alias("c"))
     flags = ad.evidence(F.col("c.a"), F.col("c.t"), F.col("c.adcode"))
     return chosen.select("location_id", flags.alias("e")).select("location_id", "e.*", F.lit(1).alias("candidate_evidence_found"))
 
 
-def plausible_candidates(locations: DataFrame, pool: DataFrame) -> DataFrame:
-    """Candidates without conflict that confirm every anchor of the address (input of A24)."""
-    both = pool.join(locations.select("location_id", "a"), "location_id").filter("text <> ''")
-    rated = both.withColumn("e", ad.evidence(F.col("a"), F.col("t"), F.col("adcode")))
+def plausible_points(rows: DataFrame, key: str) -> DataFrame:
+    """Points of the candidates without conflict that confirm every anchor of the address (input of A24).
+
+    A point seen twice is one point; the earliest place keeps the order.
+    """
+    rated = rows.filter("text <> ''").withColumn("e", ad.evidence(F.col("a"), F.col("t"), F.col("adcode")))
     keep = F.lit(True)
     for c in CONFLICTS:
         keep = keep & (F.col(f"e.{c}") == 0)
     for part, agreed in (("roads", "road_agree"), ("houses", "house_number_agree"), ("buildings", "building_number_agree")):
         keep = keep & ((F.size(F.col(f"a.{part}")) == 0) | (F.col(f"e.{agreed}") == 1))
-    return rated.filter(keep).drop("e", "a", "t")
+    return rated.filter(keep).groupBy(key, "lon", "lat").agg(F.min(F.struct("source", "pos", "text")).alias("ord"))
 
 
-def audit_locations(locations: DataFrame, pool: DataFrame) -> DataFrame:
-    """Consistency audit of every location."""
-    # Both sides are read twice (evidence and clusters) and carry the costly text profiles.
-    locations, pool = stable(with_profile(locations)), stable(pool)
-    evidence = evidence_match(locations, pool)
-    # A point seen twice is one point; the earliest place keeps the order.
-    points = (
-        plausible_candidates(locations, pool)
-        .groupBy("location_id", "lon", "lat")
-        .agg(F.min(F.struct("source", "pos", "text")).alias("ord"))
+def candidate_spread(locations: DataFrame, shared: DataFrame, own: DataFrame) -> DataFrame:
+    """Leader clusters of each location's plausible points and their largest distance.
+
+    A request's cached candidates come before a location's own, so their leaders are those of every location of the request; a
+    location adds the leaders of its own points that these don't cover, and its farthest pair is one of both, or of its own
+    leaders and the rim of the request's.
+    """
+    asked = locations.filter("ask IS NOT NULL").select("location_id", "ask").distinct()
+    common = stable(clusters.leaders(plausible_points(shared, "ask"), "ask", "ord", "lon", "lat"))
+    points = plausible_points(own.join(locations.select("location_id", "a"), "location_id"), "location_id").join(asked, "location_id", "left")
+    more = stable(clusters.leaders(clusters.uncovered(points, common, "ask", "lon", "lat"), "location_id", "ord", "lon", "lat"))
+    added = more.groupBy("location_id").agg(F.count(F.lit(1)).alias("added"))
+    edge = asked.join(added, "location_id", "left_semi").join(clusters.rim(common, "ask"), "ask")
+    both = more.select("location_id", "x", "y").unionByName(edge.select("location_id", "x", "y"))
+    far = clusters.separation(both, "location_id").select("location_id", F.col("max_separation_m").alias("far"))
+    rows = asked.join(clusters.separation(common, "ask"), "ask").drop("ask").join(added.join(far, "location_id"), "location_id", "full")
+    return rows.select(
+        "location_id",
+        (F.coalesce("clusters", F.lit(0)) + F.coalesce("added", F.lit(0))).alias("clusters"),
+        F.greatest("max_separation_m", "far").alias("max_separation_m"),
     )
-    spread = clusters.separation(clusters.leaders(points, "location_id", "ord", "lon", "lat"), "location_id")
+
+
+def audit_locations(locations: DataFrame, pool: Pool) -> DataFrame:
+    """Consistency audit of every location."""
+    asks = stable(pool.links.select("request", "address").distinct().withColumn("ask", F.monotonically_increasing_id()))
+    # Address texts are profiled once per location and once per request, and read twice (evidence and clusters).
+    linked = pool.links.join(asks, ["request", "address"]).select("location_id", "ask")
+    locations = stable(with_profile(locations).join(linked, "location_id", "left"))
+    shared = with_profile(asks).join(pool.shared, "request").drop("request", "address")
+    own = stable(pool.own)
+    evidence = evidence_match(locations, shared, own)
+    spread = candidate_spread(locations, shared, own)
     rows = locations.join(evidence, "location_id", "left").join(spread, "location_id", "left")
     rows = rows.fillna(0, [*ad.EVIDENCE_FLAGS, "candidate_evidence_found", "clusters", "max_separation_m"])
     conflict = F.greatest(*[F.col(c) for c in CONFLICTS]) == 1
@@ -346,7 +409,7 @@ def audit_locations(locations: DataFrame, pool: DataFrame) -> DataFrame:
         F.col("ambiguous").cast("int").alias("multiple_plausible_locations"),
         F.round("max_separation_m").cast("long").alias("plausible_candidate_max_separation_m"),
         F.lit(0).alias("independently_verified_within_1km"),
-    ).drop("conflict", "ambiguous", "passed", "max_separation_m", "a")
+    ).drop("conflict", "ambiguous", "passed", "max_separation_m", "a", "ask")
 
 
 def review_queue(audited: DataFrame) -> DataFrame:

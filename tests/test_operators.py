@@ -351,3 +351,34 @@ def test_rank_matrix_and_autocorrelation_by_key(spark):
         for lag in range(1, 22):
             assert got[k, lag] == pytest.approx((c[lag:] * c[:-lag]).sum() / (c * c).sum())
     assert all(alone[lag] == pytest.approx(got["a", lag]) for lag in range(1, 22))
+
+
+def test_locations_of_one_request_share_its_candidates(spark):
+    """The audit is that of every location with all its candidates spelled out, but a request's cached candidates stay one set."""
+    from matchstrata.functions import address as ad
+    from matchstrata.operators import location as loc
+
+    text = "广东省广州市天河区天河路{}号"
+    places = [(i, text.format(5 + i % 2), 113.0 + (i % 5) * 1e-3, 23.0 + (i % 3) * 2e-5, "existing_amap") for i in range(24)]
+    places += [(3, text.format(7), 113.0, 23.0, "existing_amap"), (30, None, 113.0, 23.0, "existing_amap")]
+    rows = spark.createDataFrame(places, "location_id int, address string, longitude double, latitude double, coordinate_source string")
+    rows = rows.select("*", F.col("longitude").alias("gcj_lon"), F.col("latitude").alias("gcj_lat"), ad.normalise(F.col("address")).alias("request"))
+    rows = rows.select("*", *[F.lit(v).alias(c) for c, v in [("provider_level", "门牌号"), ("match_quality", ""), ("fuzzy_level", "")]])
+    cached = [(text.format(5 + k % 3), 113.0 + (k % 7) * 1e-3, 23.0 + (k % 2) * 1e-5, text.format(5 + k % 2), "440106" if k % 6 else "440600", k) for k in range(60)]
+    cached = spark.createDataFrame(cached, "address string, lon double, lat double, text string, adcode string, pos int")
+    cached = cached.select("*", F.lit("amap").alias("provider"), F.lit("门牌号").alias("level"))
+    own = [(i % 26, 113.0 + (i % 11) * 1e-3, 23.0, text.format(5 + i % 2), "440106", 100 + i) for i in range(90)]
+    own = spark.createDataFrame(own, "location_id int, lon double, lat double, text string, adcode string, pos int")
+    own = own.select("*", F.lit("amap").alias("provider"), F.lit("门牌号").alias("level"))
+    asked = rows.select("location_id", "request", "address")
+    pool = loc.candidate_pool(asked, cached, own)
+    assert pool.shared.count() == pool.shared.select("request", "lon", "lat", "text").distinct().count() < 60
+    spelled = asked.select("location_id", F.col("request").alias("address")).join(cached, "address").drop("address")
+    alone = loc.candidate_pool(asked, cached.filter("1 = 0"), spelled.unionByName(own))
+
+    def audited(p):
+        return sorted(str(r.asDict()) for r in loc.audit_locations(rows.drop("request"), p).collect())
+
+    found = audited(pool)
+    assert found == audited(alone)
+    assert any("'candidate_evidence_found': 1" in r for r in found) and any("'clusters': 9" in r or "'clusters': 10" in r or "'clusters': 11" in r for r in found)
