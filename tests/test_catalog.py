@@ -49,3 +49,21 @@ def test_every_inventory_id_is_covered():
     ids = set(re.findall(r"^\| ([SFPJAWTUMKV]\d\d) \|", part, re.M))
     named = {i for key in entry.queries() for i in re.findall(r"[SFPJAWTUMKV]\d\d", key)}
     assert ids - named == set()
+
+
+def test_records_of_one_row_group_are_typed_by_many_tasks(spark, tmp_path):
+    from matchstrata.catalog import bindings
+
+    for name in ("orders", "customer"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    raw = bindings.registry_raw(spark, str(tmp_path))
+    held = raw.rdd.glom().map(len).collect()
+    assert sum(held) == spark.read.parquet(f"{tmp_path}/orders.parquet").count()
+    assert len(held) == 8 and max(held) < sum(held) / 4
+
+
+def test_records_and_candidates_are_tables_that_readers_take_columns_of(spark):
+    from matchstrata.catalog import registry_queries as rq
+
+    for df in (rq.records(spark, FOLDER), rq.candidates(spark, FOLDER)):
+        assert df.inputFiles() and "ReadSchema: struct<event_id:string>" in df.select("event_id")._jdf.queryExecution().toString()
