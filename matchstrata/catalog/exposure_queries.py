@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchstrata.catalog.base import query, table
 from matchstrata.catalog.bindings import SparkDialect
+from matchstrata.core import partitions
 from matchstrata.functions import geo, spline
 from matchstrata.functions.text import rounded
 from matchstrata.operators import audit, calendar, validate, weather
@@ -308,6 +309,10 @@ def missing(spark, sf):
     return ex.missing_counts(exposure_rows(spark, sf), _LAG_NAMES)
 
 
+#: Rows of one pollutant that a task goes through when strata are trimmed.
+TRIMMED_AT_ONCE = 1 << 20
+
+
 @query(
     "P11_trimmed_strata",
     twin(
@@ -319,8 +324,11 @@ def missing(spark, sf):
 def trimmed(spark, sf):
     rows = long_rows(spark, sf)
     cuts = exact_quantiles(rows, ["pollutant"], "a", {"lo": 0.001, "hi": 0.999}).collect()  # one row per pollutant
-    parts = [ex.trim_strata(rows.filter(F.col("pollutant") == q["pollutant"]), "a", q["lo"], q["hi"]) for q in cuts]
-    return audit.count_by(reduce(DataFrame.unionByName, parts), "pollutant", "event_id")
+    # A task sorts a bounded number of rows; an event's rows stay where they are to be counted.
+    tasks = max(partitions(spark), max((q["n"] for q in cuts), default=0) // TRIMMED_AT_ONCE)
+    slim = rows.select("pollutant", "event_id", "a")
+    parts = [ex.trim_strata(slim.filter(F.col("pollutant") == q["pollutant"]), "a", q["lo"], q["hi"], parts=tasks) for q in cuts]
+    return reduce(DataFrame.unionByName, [audit.count_by(part, "pollutant", "event_id") for part in parts])
 
 
 @query(

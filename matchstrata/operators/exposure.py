@@ -213,8 +213,10 @@ def complete_strata(rows: DataFrame, needed: list[str], event_id: str = "event_i
     return rows.withColumn("__ok", F.min(ok.cast("int")).over(w)).filter("__ok = 1").drop("__ok")
 
 
-def trim_strata(rows: DataFrame, value: str, low: float, high: float, event_id: str = "event_id") -> DataFrame:
-    """Drop every stratum with a date outside [low, high]."""
+def trim_strata(rows: DataFrame, value: str, low: float, high: float, event_id: str = "event_id", parts: int | None = None) -> DataFrame:
+    """Drop every stratum with a date outside [low, high] (P11); by ``parts`` tasks, if given, whose number can grow with the rows."""
+    if parts:
+        rows = rows.repartition(parts, event_id)
     inside = F.coalesce(F.col(value).between(low, high), F.lit(False))
     w = Window.partitionBy(event_id)
     return rows.withColumn("__ok", F.min(inside.cast("int")).over(w)).filter("__ok = 1").drop("__ok")
