@@ -8,12 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchstrata.core import stable
+from matchstrata.core import stored
 from matchstrata.functions import geo
 from matchstrata.operators import hull
 
 CELL_DEGREES = 0.0006
 METRES_PER_DEGREE = 111_195.0
+#: Points of a key that are decided together; the points of a larger one stay apart.
+FEW = 256
 
 
 def _metres(ax, ay, bx, by):
@@ -57,10 +59,27 @@ def rim(found: DataFrame, key: str) -> DataFrame:
     return some.unionByName(placed.join(scattered, apart, "left_semi").select(key, "x", "y"))
 
 
-def leaders(points: DataFrame, key: str, order: str, lon: str, lat: str, radius: float = 100.0) -> DataFrame:
+def _led(placed: DataFrame, key: str, radius: float) -> DataFrame:
+    """The leaders of keys of few points, by one fold over a key's points in order."""
+    point = F.struct("ord", "x", "y", "cx", "cy")
+    lists = placed.groupBy(key).agg(F.sort_array(F.collect_list(point)).alias("all"))
+    none = F.array().cast(lists.schema["all"].dataType)
+
+    def step(led, p):
+        def covers(a):
+            # Of points equal in order, the first of a cell leads.
+            earlier = (a["ord"] < p["ord"]) | ((a["cx"] == p["cx"]) & (a["cy"] == p["cy"]))
+            return earlier & (_metres(a["x"], a["y"], p["x"], p["y"]) <= radius)
+
+        return F.when(F.exists(led, covers), led).otherwise(F.concat(led, F.array(p)))
+
+    return lists.select(key, F.explode(F.aggregate("all", none, step)).alias("f")).select(key, "f.ord", "f.x", "f.y")
+
+
+def leaders(points: DataFrame, key: str, order: str, lon: str, lat: str, radius: float = 100.0, few: int = FEW) -> DataFrame:
     """Leaders of each key (A24): in ``order``, a point within ``radius`` of no earlier leader leads.
 
-    Rounds over grid cells, for groups of any size, that never gather a group: a cell is smaller than the radius, so it has at
+    The points of a key of at most ``few`` are gone through in order as one row. Rounds over grid cells, for groups of any size, that never gather a group, decide the others: a cell is smaller than the radius, so it has at
     most one leader, and its first undecided point leads once no neighbouring cell holds an earlier undecided point. How many
     cells the radius spans follows from each cell's own latitude. Points without coordinates are left out.
     """
@@ -68,14 +87,19 @@ def leaders(points: DataFrame, key: str, order: str, lon: str, lat: str, radius:
         raise ValueError("radius must cover the diagonal of a cell")
     cell = [key, "cx", "cy"]
     left = points.select(key, F.col(order).alias("ord"), F.col(lon).alias("x"), F.col(lat).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
-    left = stable(_celled(left))
-    found = []
+    placed = _celled(left)
+    many = stored(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few).select(F.col(key).alias("__k")))
+    large = F.col(key).eqNullSafe(F.col("__k"))
+    if many.isEmpty():
+        return _led(placed, key, radius)
+    found = [_led(placed.join(many, large, "left_anti"), key, radius)]
+    left = stored(placed.join(many, large, "left_semi"))
     while True:
         first = left.groupBy(*cell).agg(F.min(F.struct("ord", "x", "y")).alias("f"))
         earliest = _reached(first, radius).groupBy(*cell).agg(F.min("f.ord").alias("e"))
-        new = stable(first.join(earliest, cell).filter("f.ord = e").select(*cell, "f.*"))
+        new = stored(first.join(earliest, cell).filter("f.ord = e").select(*cell, "f.*"))
         found.append(new.select(key, "ord", "x", "y"))
-        left = stable(_beyond(left, new, key, radius))
+        left = stored(_beyond(left, new, key, radius))
         if left.isEmpty():
             return reduce(DataFrame.unionByName, found)
 

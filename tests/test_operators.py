@@ -382,3 +382,37 @@ def test_locations_of_one_request_share_its_candidates(spark):
     found = audited(pool)
     assert found == audited(alone)
     assert any("'candidate_evidence_found': 1" in r for r in found) and any("'clusters': 9" in r or "'clusters': 10" in r or "'clusters': 11" in r for r in found)
+
+
+def test_rows_without_a_key_are_dealt_out_in_a_join(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") < 100, F.col("id")).alias("k"), F.col("id").alias("u"))
+    other = spark.range(90).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for how, n in (("left", 4000), ("left_anti", 3910)):
+            held = registry.join_known(rows, other, ["k"], ["u"], how).rdd.glom().map(len).collect()
+            assert sum(held) == n and max(held) < n / 4
+        got = registry.join_known(rows, other, ["k"], ["u"]).filter("v IS NOT NULL").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept[0])
+        spark.conf.set("spark.sql.adaptive.enabled", kept[1])
+    assert sorted((r["k"], r["v"]) for r in got) == [(i, 2 * i) for i in range(90)]
+
+
+def test_leaders_of_few_points_equal_those_of_rounds(spark):
+    rng = random.Random(5)
+    points = [(k, i // 2, 113 + rng.random() * 0.004, 23 + rng.random() * 0.004) for k in range(12) for i in range(10 * (k + 1))]
+    points += points[:30] + [(50, i, None, 23.0) for i in range(3)]
+    df = spark.createDataFrame(points, "k long, i long, lon double, lat double")
+    rounds = sorted(clusters.leaders(df, "k", "i", "lon", "lat", few=0).collect())
+    for few in (45, 10_000):
+        assert sorted(clusters.leaders(df, "k", "i", "lon", "lat", few=few).collect()) == rounds
+
+
+def test_trimmed_strata_take_as_many_tasks_as_asked(spark):
+    df = spark.createDataFrame([(e, float(e + d)) for e in range(50) for d in range(4)], "event_id long, a double")
+    got = exposure.trim_strata(df, "a", 3.0, 40.0, parts=21)
+    assert got.rdd.getNumPartitions() == 21
+    assert sorted(got.collect()) == sorted(exposure.trim_strata(df, "a", 3.0, 40.0).collect())
