@@ -26,7 +26,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies stays, the one with the smallest doc_id."""
+    """One document of each group of copies and near copies stays, the one with the smallest doc_id: SimHash groups, then exact overlap."""
     return simhash.one_of_each(docs)
 
 

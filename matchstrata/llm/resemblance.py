@@ -1,4 +1,4 @@
-"""Near copies by the exact overlap of word shingles: MinHash bands bring candidates together, each pair's own sets decide."""
+"""Near copies by the exact overlap of word shingles: fingerprint groups and MinHash bands bring candidates together, each pair's own sets decide."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchstrata.core import stored
@@ -86,32 +86,59 @@ def similar(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return both.where(shorter * q >= longer * p).where(F.size(F.array_intersect("x", "y")).cast("long") * (p + q) >= total * p).select("a", "b").distinct()
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
+def _rare_first(sets: DataFrame, least: Fraction) -> DataFrame:
+    """Of each set (node, part, items) the items one of which it shares with any set that overlaps it by ``least``: its rarest, with
+    their places k in that order and its size n. Items that no other set holds keep their places, but aren't returned."""
+    p, q = least.numerator, least.denominator
+    long = sets.select("node", "part", F.xxhash64("items").alias("s"), F.size("items").cast("long").alias("n"), F.explode("items").alias("item"))
+    shared = long.groupBy("item").agg(F.count("*").alias("f")).where("f > 1")
+    ordered = (
+        long.join(shared, "item", "left")
+        .groupBy("node", "part", "s", "n")
+        .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "item"))).alias("all"))
+    )
+    taken = F.col("n") - F.floor((F.col("n") * p + (q - 1)) / q) + 1
+    return ordered.select("node", "part", "n", F.posexplode(F.slice("all", F.lit(1), taken.cast("int"))).alias("k", "e")).where("e.f > 1").select("node", "part", "n", "k", "e.item")
+
+
+def across(sets: DataFrame, least: Fraction) -> DataFrame:
+    """All pairs (a, b) of nodes of different parts whose sets (node, part, items) may overlap by ``least`` or more, and few others.
+
+    The first item that two such sets share, rare ones first, lies so early in both that what follows it can still be overlap enough. Sets that differ
+    in rare items and share frequent ones don't meet, however many of them there are.
+    """
+    p, q = least.numerator, least.denominator
+    early = stored(_rare_first(sets, least))
+    left, right = (early.select(*[F.col(c).alias(f"{c}_{side}") for c in early.columns]) for side in "xy")
+    enough = (F.least(F.col("n_x") - F.col("k_x"), F.col("n_y") - F.col("k_y")) * (p + q)) >= (F.col("n_x") + F.col("n_y")) * p
+    sizes = F.least("n_x", "n_y") * q >= F.greatest("n_x", "n_y") * p
+    met = left.join(right, (F.col("item_x") == F.col("item_y")) & (F.col("node_x") < F.col("node_y")) & (F.col("part_x") != F.col("part_y")) & sizes & enough)
+    return met.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
+def near_copies(docs: DataFrame, alike: DataFrame, shingle: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
     """doc_id, s0, s1 (the hash of the set of shingles) and component_id (smallest doc_id that links reach) of every row.
 
-    Two texts link if their sets of shingles overlap by ``least`` or more. Rows with equal sets are one node. In each bucket of a band
-    all are held against the smallest node first; then all pairs of a bucket that aren't in one component are. A null doc_id keeps its row.
+    Two texts link if their sets of shingles overlap by ``least`` or more. Rows with equal sets are one node. Buckets are the groups of ``alike``
+    (doc_id, component_id), and those of each MinHash band. All nodes of a bucket are held against the smallest first; then the nodes of all
+    buckets that are in more than one component still are, by ``across``. A null doc_id keeps its row.
     """
     rows = stored(_signed(docs, shingle))
-    nodes = stored(rows.groupBy("s0", "s1").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    bucket = Window.partitionBy("key")
-    placed = nodes.where("node is not null").select("node", "n", F.explode("bands").alias("key"))
-    placed = placed.select("key", "node", "n", F.min("node").over(bucket).alias("lead"), F.max("node").over(bucket).alias("last"))
-    placed = stored(placed.where("lead <> last"))
+    nodes = stored(rows.groupBy("s0", "s1").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")))
+    known = nodes.where("node is not null")
+    grouped = alike.select(F.col("doc_id").alias("node"), F.xxhash64(F.lit("alike"), "component_id").alias("key")).join(known.select("node"), "node", "left_semi")
+    placed = known.select("node", F.explode("bands").alias("key")).unionByName(grouped).distinct()
+    buckets = placed.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last").select("key", "lead")
+    placed = stored(placed.join(buckets, "key"))
     known = placed.select("node").distinct()
     wanted = docs.join(known, docs["doc_id"].cast("long") == known["node"], "left_semi")
     sets = stored(_sets(wanted, shingle).distinct())
     star = stored(placed.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct())
     edges = stored(similar(star, sets, least))
-    part = components(edges)
-    member = stored(placed.select("key", "node", "n").join(part, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("part")))
-    kinds = member.select("key", "part").distinct()
-    apart = kinds.select("key", F.col("part").alias("p")).join(kinds.select("key", F.col("part").alias("q")), "key").where("p < q")
-    left = member.select("key", F.col("part").alias("p"), F.col("node").alias("x"), F.col("n").alias("n_x"))
-    right = member.select("key", F.col("part").alias("q"), F.col("node").alias("y"), F.col("n").alias("n_y"))
-    rest = apart.join(left, ["key", "p"]).join(right, ["key", "q"])
-    rest = rest.where(F.least("n_x", "n_y") * least.denominator >= F.greatest("n_x", "n_y") * least.numerator)
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    member = stored(placed.select("key", "node").join(components(edges), "node", "left").select("key", "node", F.coalesce("component", "node").alias("part")))
+    open_ = member.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("key")
+    left = member.join(open_, "key", "left_semi").select("node", "part").distinct()
+    rest = across(sets.join(left, "node"), least).join(star, ["a", "b"], "left_anti")
     joined = components(edges.unionByName(stored(similar(stored(rest), sets, least))))
     of = nodes.join(joined, "node", "left").select("s0", "s1", F.coalesce("component", "node").alias("component_id"))
     return rows.select("doc_id", "s0", "s1").join(of, ["s0", "s1"]).select("doc_id", "s0", "s1", "component_id")

@@ -249,11 +249,13 @@ def one_of_each(docs: DataFrame, shingle: int = 5, least: Fraction = Fraction(4,
     """The documents that stay: of each component the row with the smallest doc_id; rows without
     doc_id, and repeated rows of one that stays, stay, too.
 
-    Components are those of the pairs whose shingle sets overlap by ``least`` or more. Fingerprints don't decide that: four at five bits
-    link 0.27 of the pairs at 0.80 to 0.85 and 0.09 of those at 0.70 to 0.80, and pigeonring filtering selects nothing at the some
-    fifteen bits that reach all of the former. So candidates come from MinHash bands here, and the sets themselves decide.
+    Components are those of the pairs whose shingle sets overlap by ``least`` or more. Groups of near fingerprints are candidates,
+    and the sets themselves decide. Fingerprints alone don't: four at five bits link 0.27 of the pairs at 0.80 to 0.85 and 0.09 of
+    those at 0.70 to 0.80, and pigeonring filtering selects nothing at the some fifteen bits that reach all of the former. So
+    MinHash bands add candidates.
     """
-    found = near_copies(docs, shingle, least)
+    alike = stored(near_duplicates(docs, shingle).select("doc_id", "component_id"))
+    found = near_copies(docs, alike, shingle, least)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

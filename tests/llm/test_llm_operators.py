@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from matchstrata.llm import bytepair, covertree, langid, lines, maxscore, ngrams, packing, simhash, surrogates, tokenfiles
+from matchstrata.llm import bytepair, covertree, langid, lines, maxscore, ngrams, packing, resemblance, simhash, surrogates, tokenfiles
 from matchstrata.llm.components import components
 
 RANKS, WORDS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
@@ -362,3 +363,22 @@ def test_secrets_of_any_length_go_whole(spark, n):
         hidden = {text[a : a + 12] for a in range(len(text) - 11) if text[a : a + 12] in value + "|" + plain}
         assert hidden and not any(h in new for h in hidden)
     assert [got[i].text for i in (5, 6)] == texts[5:]
+
+
+def test_texts_that_share_frequent_shingles_alone_do_not_meet(spark):
+    """A group whose members overlap by some 0.7 makes hardly any pairs; those at four fifths are among them."""
+    sets = [(i, i, [*range(800), *range(1000 * (i + 1), 1000 * (i + 1) + 170)]) for i in range(150)]
+    sets += [(200 + i, 200 + i, [*range(800), *range(300_000, 300_000 + 150 + i)]) for i in range(3)]
+    df = spark.createDataFrame(sets, "node long, part long, items array<long>")
+    pairs = {tuple(r) for r in resemblance.across(df, Fraction(4, 5)).collect()}
+    assert {(200, 201), (200, 202), (201, 202)} <= pairs and len(pairs) < 150
+
+
+def test_fingerprint_groups_are_candidates(spark, monkeypatch):
+    """Texts that no band brings together link through their fingerprint group, if their sets overlap enough."""
+    words = [f"w{i}" for i in range(400)]
+    made = [words, [*words[:-1], "other"], [f"v{i}" for i in range(400)]]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "doc_id long, text string")
+    monkeypatch.setattr(resemblance, "bands", lambda hashes: [])
+    alike = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "doc_id long, component_id long")
+    assert {r.doc_id: r.component_id for r in resemblance.near_copies(df, alike).collect()} == {0: 0, 1: 0, 2: 2}
