@@ -54,6 +54,37 @@ def test_identity_classes(spark):
     assert one(spark, [old, good], idf.canonical_id(F.col("v"))) == [good, good]
 
 
+def test_identity_columns_equal_the_single_functions(spark):
+    rng = random.Random(2)
+    numbers = [_full("44010619800229123"), _full("44010619800229123")[:-1] + "x", "440106800229123", _full("44010619800230124"), "440106801330123", "x", "", None, "1" * 17, "0" * 18, "9" * 15]
+    numbers += [_full("0" * (i % 3) + "".join(rng.choice("0123456789") for _ in range(17 - i % 3))) for i in range(40)]
+    numbers += ["".join(rng.choice("0123456789X") for _ in range(rng.choice([15, 18]))) for _ in range(40)]
+    df = idf.with_identity(spark.createDataFrame([(v,) for v in numbers], "v string"), "v")
+    for r in df.select("*", idf.classify_id(F.col("v")).alias("want"), idf.canonical_id(F.col("v")).alias("canon")).collect():
+        assert r["id_class"] == r["want"] and (r["want"]["birth"] is None or r["id_canonical"] == r["canon"]), r["v"]
+
+
+def test_dates_of_cleaned_texts_equal_parse_date(spark):
+    texts = ["45000", "45000.7", "59", "80001", "2023-1-5", "2023/01/05", "2023/1-5", "20230105", "20231305", "2023-01-0510:00:00", "2023-02-30", "2023-13-01", "2023-00-10", "", None, "abcdefgh", "2023-1-510:0:0"]
+    df = spark.createDataFrame([(v,) for v in texts], "v string").withColumn("t", tx.clean_text(F.col("v")))
+    df = df.withColumn("i", tx.dashed(F.col("t"))).select("v", tx.date_of(F.col("t"), F.col("i")).alias("got"), tx.parse_date(F.col("v")).alias("want"))
+    d = dt.date
+    known = {"45000": d(2023, 3, 15), "45000.7": d(2023, 3, 15), "59": d(1900, 2, 28), "80001": None, "2023-1-5": d(2023, 1, 5), "2023/1-5": None, "20231305": None, "2023-13-01": None, "2023-1-510:0:0": d(2023, 1, 5)}
+    for r in df.collect():
+        assert r["got"] == r["want"] and known.get(r["v"], r["got"]) == r["got"], r["v"]
+
+
+def test_typed_records_parse_no_text_inside_a_lambda(spark):
+    """Lambdas are interpreted for every record."""
+    from matchstrata.operators import registry
+
+    texts = ["onset", "birth", "report_date", "diagnosis_date", "sex", "diagnosis_text", "card_no", "review_status", "duplicate_flag", "first_onset_flag", "icd10", "identity", *registry.ADDRESS_PARTS]
+    raw = spark.createDataFrame([], "source_year int, source_row long, identity_is_number int, " + ", ".join(f"{c} string" for c in texts))
+    plan = registry.typed_records(raw, idf.ReadableTokens())._jdf.queryExecution().optimizedPlan().toString()
+    inside = [x.split("lambdafunction(", 1)[1] for x in plan.split("transform(")[1:] if "lambdafunction(" in x]
+    assert not any("RLIKE" in x.split(")], ")[0][:400] for x in inside) and "transform(array(regexp" not in plan
+
+
 @pytest.mark.parametrize("salt", [b"short", b"x" * 80])
 def test_tokens_equal_hmac_and_stay_out_of_the_plan(spark, salt):
     df = spark.createDataFrame([("440106",)], "v string").select(idf.Tokenizer.from_salt(spark, salt).token("person:", F.col("v")).alias("t"))

@@ -416,3 +416,23 @@ def test_trimmed_strata_take_as_many_tasks_as_asked(spark):
     got = exposure.trim_strata(df, "a", 3.0, 40.0, parts=21)
     assert got.rdd.getNumPartitions() == 21
     assert sorted(got.collect()) == sorted(exposure.trim_strata(df, "a", 3.0, 40.0).collect())
+
+
+def test_rows_without_a_card_are_held_against_the_rule_by_many_tasks(spark):
+    rows = [(2000, i, None if i % 10 else f"c{i % 200}", f"p{i % 3000}", DAY, "x") for i in range(4000)]
+    df = spark.createDataFrame(rows, "source_year int, source_row long, card_token string, person_id string, onset date, disease string")
+    judged = registry.candidate_events(df.withColumn("reason", F.lit(""))).cache()
+    kept = [spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        held = registry.held_against_rule(judged)
+        assert held.filter("should <> reason").isEmpty() and held.filter("should <> ''").count() > 1000
+        marked = held.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        plan = held._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept[0])
+        spark.conf.set("spark.sql.adaptive.enabled", kept[1])
+    assert sum(r["count"] for r in marked) == 4000 and plan.count("__s") > 1
+    wrong = judged.withColumn("reason", F.when(F.col("source_row") == 7, registry.DUP_EVENT).otherwise(F.col("reason")))
+    assert not registry.held_against_rule(wrong).filter("should <> reason").isEmpty()
