@@ -31,10 +31,11 @@ LARGE = 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 
 
-def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, forget: bool = False) -> DataFrame:
     """Each document's ids and ``end_id``, cut into pieces of ``capacity``; part and nth number the pieces of a length.
 
-    A null or empty text is the end id alone. Null and repeated doc_id are kept, row by row.
+    A null or empty text is the end id alone. Null and repeated doc_id are kept, row by row. With ``forget`` a task leaves no encoder
+    and no remembered chunks in its Python worker, which other stages go on with.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,6 +54,8 @@ def pieces(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY
                 [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))],
                 names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"],
             )
+        if forget:
+            encoder.cache_clear()
 
     return texts(docs).mapInArrow(cut, PIECES)
 
@@ -247,13 +250,13 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Data
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def packed(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, forget: bool = False) -> DataFrame:
     """Every piece of every document with its sequence and its place there.
 
     Empty and null texts are one piece of the end id; a text longer than ``capacity`` is cut; no documents give no rows.
     Repeated rows are packed each; further columns of ``docs`` are left out.
     """
-    return pack(stored(pieces(docs, path, end_id, capacity)), capacity)
+    return pack(stored(pieces(docs, path, end_id, capacity, forget)), capacity)
 
 
 @query("op1_linear_grouping_packing")

@@ -1,8 +1,11 @@
 """The pipeline's stages, each on its own input, against brute force; and the contract of the queries."""
 
 import collections
+import shutil
 
 import duckdb
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +106,26 @@ def test_packing_stage_holds_every_document(passed):
     assert max(size.values()) <= 4096
 
 
+def test_packing_stage_leaves_no_encoder_in_a_worker(spark, tmp_path, monkeypatch):
+    """Python workers go on with the next stages, whose memory the encoder and its remembered chunks would take."""
+    path = str(tmp_path / "vocabulary.json")  # no other test has an encoder of this path
+    shutil.copy(public_tokenizers.path("word_bpe_49k.json"), path)
+    docs = spark.createDataFrame([(i, f"some words of text {i}") for i in range(64)], "doc_id long, text string").repartition(8).localCheckpoint()
+
+    def held(batches):
+        from matchstrata.llm.vocabulary import encoder
+
+        for batch in batches:
+            hits = encoder.cache_info().hits
+            encoder(path)
+            yield pa.RecordBatch.from_arrays([pa.array([encoder.cache_info().hits - hits])], names=["held"])
+            encoder.cache_clear()
+
+    monkeypatch.setattr(public_tokenizers, "path", lambda name: path)
+    assert corpus_pipeline.packed(spark, docs, "").count() == 64
+    assert {r.held for r in docs.mapInArrow(held, "held long").collect()} == {0}
+
+
 def test_every_operator_has_one_query():
     names = [k for k in entry.queries() if k.startswith("op")]
     assert sorted(int(k[2:].split("_")[0]) for k in names) == list(range(1, 14)) and "pipeline" in entry.queries()
