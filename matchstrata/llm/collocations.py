@@ -23,14 +23,16 @@ from matchstrata.llm.ngrams import _narrow, _rising, _risen, _wide, gathered
 
 LONGEST, THRESHOLD, SHARE, TOP = 5, 100, 100, 2000
 #: Text bytes of a block, about; a longer text is one block.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 UNKNOWN = "und"
 #: How many times mass divided by threshold a summary's capacity is: more counters leave fewer n-grams that are not frequent.
 SPARE = 4
-#: Occurrences of n-grams that a hash partition gets at most, about, and what one should have at least.
-MASS, FEW = 16 << 20, 1 << 20
+#: Occurrences of n-grams that a hash partition gets at most, about, and what one should have at least. A task holds one partition's messages.
+MASS, FEW = 4 << 20, 1 << 20
 #: Keys that a partition sorts into its summary at once.
-HELD = 4 << 20
+HELD = 1 << 20
+#: Blocks in a row group: Spark's reader and writer hold one, and would else let a hundred rows come together before they look at the size.
+GROUP = 8
 #: Bytes that end a piece become one byte that no UTF-8 text holds; only it, spaces and tabs end words.
 BREAK = b"\xff"
 CUT = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", BREAK * 10)
@@ -196,7 +198,12 @@ def blocks(docs: DataFrame) -> DataFrame:
             )
 
     some = docs.select(F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"))
-    return stored(some.mapInArrow(build, BLOCK))
+    return stored(some.mapInArrow(build, BLOCK), {"parquet.block.row.count.limit": str(GROUP)})
+
+
+def shards(mass: int, tasks: int) -> int:
+    """Hash partitions for ``mass`` occurrences: none gets more than about ``MASS`` of them, however few tasks are asked for."""
+    return max(1, -(-mass // MASS), min(tasks, -(-mass // FEW)))
 
 
 def survivors(messages: DataFrame, turn: int, threshold: int) -> DataFrame:
@@ -236,10 +243,7 @@ def frequent(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, Da
     totals = cut.select(F.explode(F.arrays_zip("langs", "n")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.n").alias("n"))
     words = cut.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
 
-    def parts(mass: int) -> int:
-        return max(1, -(-mass // MASS), min(partitions(spark), -(-mass // FEW)))
-
-    pairs, longer, home = parts(2 * words), parts((LONGEST - 2) * words), parts(words)
+    pairs, longer, home = (shards(k * words, partitions(spark)) for k in (2, LONGEST - 2, 1))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -92,3 +92,15 @@ def test_summaries_never_lose_what_is_frequent(streams, capacity):
     for threshold in (1, 3, 10):
         if capacity > mass / threshold:
             assert {x for x, n in every.items() if n >= threshold} <= set(whole.survivors(threshold).tolist())
+
+
+def test_what_a_task_holds_does_not_grow_with_the_input(spark, tmp_path):
+    """Few shuffle partitions make no larger hash partitions; a stored row group holds few blocks."""
+    assert all(mass / collocations.shards(mass, 16) <= 1 << 22 for mass in (10**7, 10**8, 10**9, 10**10))
+    assert collocations.shards(0, 200) == 1 and collocations.shards(3 << 20, 200) == 3
+    import pyarrow.parquet as pq
+
+    docs = spark.range(30).select(F.format_string("word%s ", "id").alias("w"), F.lit("en").alias("lang")).select(F.repeat("w", 320_000).alias("text"), "lang").coalesce(1)
+    files = [f.removeprefix("file:").replace("///", "/") for f in collocations.blocks(docs).inputFiles()]
+    held = [pq.ParquetFile(f).metadata.row_group(k).num_rows for f in files for k in range(pq.ParquetFile(f).num_row_groups)]
+    assert sum(held) >= 30 and max(held) <= collocations.GROUP
