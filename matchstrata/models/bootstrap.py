@@ -50,15 +50,42 @@ def _weights(draws: DataFrame) -> tuple[np.ndarray, list[str]]:
     return w, months
 
 
+#: Strata that all draws go through at once.
+STRATA = 1024
+
+
+def _draw_sums(d: np.ndarray, beta: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """(log-likelihood, score, information) of each draw; d is (strata, dates, terms), beta (draws, terms), w (strata, draws)."""
+    m, n, k = d.shape
+    flat = d.reshape(m * n, k)
+    eta = (flat @ beta.T).reshape(m, n, -1)
+    top = eta.max(axis=1)
+    p = np.exp(eta - top[:, None])
+    total = p.sum(axis=1)
+    loglik = np.where(w > 0, w * -(top + np.log(total)), 0.0).sum(axis=0)
+    p /= total[:, None]
+    mean = np.matmul(p.transpose(0, 2, 1), d)
+    p *= w[:, None]
+    score = -(p.reshape(m * n, -1).T @ flat)
+    i, j = np.triu_indices(k)
+    info = np.empty((len(beta), k, k))
+    info[:, i, j] = info[:, j, i] = p.reshape(m * n, -1).T @ (flat[:, i] * flat[:, j])
+    mean = np.ascontiguousarray((mean * np.sqrt(w)[:, :, None]).transpose(1, 0, 2))
+    info -= np.matmul(mean.transpose(0, 2, 1), mean)
+    return np.concatenate([loglik[:, None], score, info.reshape(len(beta), -1)], axis=1)
+
+
 def _weighted_sums(spec: ModelSpec, betas: dict[int, np.ndarray], weights, months, table: StrataTable):
     """Weighted Newton sums of every active draw; strata of one month share a weight."""
     at = {m: i for i, m in enumerate(months)}
     cols, scen, needed, k = table.columns, table.scenarios, spec.needed(), len(spec.terms)
+    beta = np.array(list(betas.values()))
+    drawn = np.column_stack([weights[list(betas)], np.zeros(len(betas))]).T  # by month; the last row is of months in no draw
 
     def run(batches):
         import pyarrow as pa
 
-        acc = {b: np.zeros(1 + k + k * k) for b in betas}
+        acc = np.zeros((len(betas), 1 + k + k * k))
         for batch in read_batches(batches, cols, needed):
             for block in batch.blocks:
                 _, whole = clogit._selection(block, spec, scen)
@@ -66,16 +93,12 @@ def _weighted_sums(spec: ModelSpec, betas: dict[int, np.ndarray], weights, month
                     continue
                 d = clogit._design(block, whole, spec)
                 month = np.array([at.get(m, -1) for m in block.month[whole]])
-                for b, beta in betas.items():
-                    w = np.where(month >= 0, weights[b][month], 0.0)
-                    use = w > 0
-                    if not use.any():
-                        continue
-                    ll, score, p = clogit._likelihood(d[use], beta)
-                    info = clogit._information(d[use], p, score, w[use])
-                    acc[b] += np.concatenate([[w[use] @ ll], w[use] @ score, info.ravel()])
+                times = block.weight[whole]
+                for i in range(0, len(d), STRATA):
+                    some = slice(i, i + STRATA)
+                    acc += _draw_sums(d[some], beta, drawn[month[some]] * times[some, None])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([str(b) for b in acc]), pa.array([v.tolist() for v in acc.values()], pa.list_(pa.float64()))],
+            [pa.array([str(b) for b in betas]), pa.array(acc.tolist(), pa.list_(pa.float64()))],
             ["model_id", "v"],
         )
 
@@ -95,12 +118,13 @@ def bootstrap_fits(table: StrataTable, base: Fit, draws: DataFrame) -> dict[int,
     step = {b: np.zeros(k) for b in beta}
     out: dict[int, float | None] = {}
     target = base.index(spec.target)
+    pool = table.pooled(spec.needed(), [] if spec.scenario is None else [spec.scenario])
     for _ in range(clogit.MAX_ITERATIONS):
         active = {b: beta[b] for b in beta if b not in out}
         if not active:
             break
-        job = table.scan(spec.needed()).mapInArrow(
-            _weighted_sums(spec, active, weights, months, table), "model_id string, v array<double>"
+        job = pool.scan(spec.needed()).mapInArrow(
+            _weighted_sums(spec, active, weights, months, pool), "model_id string, v array<double>"
         )
         sums = clogit._collect_sums(job)
         for b in active:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from matchstrata.core import partitions, stored
 from matchstrata.operators import exposure as ex
 
-KEYS = ["pos", "study_group", "cluster_id", "month", "bits", "n"]
+KEYS = ["pos", "study_group", "cluster_id", "month", "bits", "n", "weight"]
 #: Strata of a shared series up to which its values are looked up by each scan; those of a larger one are packed with the events.
 SHARED = 1 << 17
 
@@ -39,6 +39,24 @@ class StrataTable:
     cluster: str = "cluster_id"
     shared: list[Shared] = field(default_factory=list)
 
+    def pooled(self, needed: list[str], scenarios: list[str] = ()) -> StrataTable:
+        """One row for all strata that are alike in the ``needed`` variables, group, month and ``scenarios``, with their number as ``weight``.
+
+        Events that share places and onsets have alike strata, which give a sum over strata the same part. A table that holds arrays
+        of its own for its events (series of more than ``SHARED`` strata among them) is left as it is.
+        """
+        own = [f"o{self.columns.index(c)}" for c in needed if f"o{self.columns.index(c)}" in self.df.columns]
+        if not self.shared or any(c.startswith("v") for c in self.df.columns):
+            return self
+        keys = list(dict.fromkeys(k for s in self.shared if any(c in s.columns for c in needed) for k in s.keys))
+        mask = sum(1 << self.scenarios.index(s) for s in set(scenarios))
+        bits = F.col("bits").bitwiseAND(F.lit(mask).cast("long")).alias("bits")
+        alike = ["study_group", "month", "n", "times", "onset", *keys, *own]
+        rows = self.df.select(bits, *alike).groupBy("bits", *alike).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+        # Dealt out evenly: a few small files would be read by a few tasks.
+        rows = stored(rows.repartition(partitions(self.df.sparkSession)))
+        return StrataTable(rows, self.columns, self.scenarios, self.cluster, self.shared)
+
     def scan(self, needed: list[str], *more: Column | str) -> DataFrame:
         """Only the variables a job reads; the rest stays unread in the columnar files."""
         rows, held = self.df, set(self.df.columns)
@@ -59,7 +77,7 @@ class StrataTable:
                 parts += [once, F.array_repeat(F.lit(None).cast("double"), F.col("n"))]
             return (F.coalesce(*parts) if len(parts) > 1 else parts[0]).alias(f"v{i}")
 
-        return rows.select(*KEYS, *more, *[value(c) for c in needed])
+        return rows.select(*[c for c in KEYS if c in held], *more, *[value(c) for c in needed])
 
 
 def pack_strata(
@@ -201,6 +219,7 @@ class Block:
     group: np.ndarray
     bits: np.ndarray
     month: np.ndarray
+    weight: np.ndarray | None = None
     centred: dict = field(default_factory=dict)
 
     def missing(self, names) -> np.ndarray:
@@ -222,11 +241,18 @@ class Block:
             self.centred[key] = v - v[:, :1]
         return self.centred[key]
 
+    def by_date(self, columns: tuple[str, ...], scale: float) -> np.ndarray:
+        """``term`` as (dates, strata)."""
+        key = ("by_date", columns, scale)
+        if key not in self.centred:
+            self.centred[key] = np.ascontiguousarray(self.term(columns, scale).T)
+        return self.centred[key]
+
 
 @dataclass
 class Batch:
     size: int
-    pos: np.ndarray
+    pos: np.ndarray | None
     blocks: list[Block] = field(default_factory=list)
     key: np.ndarray | None = None
 
@@ -240,7 +266,9 @@ def read_batches(batches, table_columns: list[str], needed: list[str], key: str
         group = np.asarray(rb.column("study_group").to_pylist(), dtype=object)
         month = np.asarray(rb.column("month").to_pylist(), dtype=object)
         bits = rb.column("bits").to_numpy(zero_copy_only=False)
-        out = Batch(rb.num_rows, rb.column("pos").to_numpy(zero_copy_only=False))
+        names = rb.schema.names
+        weight = rb.column("weight").to_numpy(zero_copy_only=False) if "weight" in names else np.ones(rb.num_rows)
+        out = Batch(rb.num_rows, rb.column("pos").to_numpy(zero_copy_only=False) if "pos" in names else None)
         if key:
             out.key = np.asarray(rb.column(key).to_pylist(), dtype=object)
         starts = np.concatenate([[0], np.cumsum(n)[:-1]])
@@ -251,5 +279,5 @@ def read_batches(batches, table_columns: list[str], needed: list[str], key: str
         for size in np.unique(n):
             at = np.flatnonzero(n == size)
             take = starts[at][:, None] + np.arange(size)
-            out.blocks.append(Block(at, {c: v[take] for c, v in flat.items()}, group[at], bits[at], month[at]))
+            out.blocks.append(Block(at, {c: v[take] for c, v in flat.items()}, group[at], bits[at], month[at], weight[at]))
         yield out

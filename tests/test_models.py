@@ -232,3 +232,28 @@ def test_events_packed_over_shared_series_equal_packed_rows(spark):
     twice = [strata.Shared(series.unionByName(series.filter("cell = 0")), ["cell"], ["x"]), shared[1]]
     more = rows.join(twice[0].df, ["cell", "date"], "left").join(days, "date", "left")
     assert packed(strata.pack_events(events, twice, columns, ["even"])) == packed(pack_strata(more, columns, ["even"]))
+
+
+def test_alike_strata_are_gone_through_once(spark):
+    """Fits, draws and person errors over pooled strata equal those over each event's own; a table of own arrays is left as it is."""
+    day = dt.date(2024, 1, 1)
+    series = spark.createDataFrame([(c, day + dt.timedelta(d), float(d * (7 + c) % 23)) for c in (0, 1) for d in range(366)], "cell int, date date, x double")
+    events = [(i, day + dt.timedelta(i * 11 % 120), i % 2, f"P{i % 40}") for i in range(1500)]
+    events = spark.createDataFrame(events, "event_id int, onset date, cell int, cluster_id string")
+    marks = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("third"))).otherwise(F.array().cast("array<string>"))
+    events = events.select("*", F.lit("all").alias("study_group"), marks.alias("scenarios"))
+    shared = [strata.Shared(series, ["cell"], ["x"])]
+    narrow = strata.pack_events(events, shared, ["x"], ["third"], parts=3)
+    wide = strata.pack_events(events, shared, ["x"], ["third"], parts=3, most=0)
+    pool = narrow.pooled(["x"])
+    held = pool.df.agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).first()
+    assert held["n"] <= 240 and held["w"] == 1500 and wide.pooled(["x"]) is wide
+    assert narrow.pooled(["x"], ["third"]).df.filter("bits = 1").agg(F.sum("weight")).first()[0] == 500
+    specs = [ModelSpec(n, (grid.exposure_term("x"),), "pollution10", scenario=s) for n, s in (("a", None), ("t", "third"))]
+    one, two = clogit.fit_models(narrow, specs), clogit.fit_models(wide, specs)
+    for m in one:
+        assert one[m].ok and (one[m].n_events, one[m].n_varying, one[m].clusters) == (two[m].n_events, two[m].n_varying, two[m].clusters)
+        assert one[m].beta == pytest.approx(two[m].beta, abs=1e-10) and one[m].robust.ravel() == pytest.approx(two[m].robust.ravel(), rel=1e-9)
+    draws = bootstrap.draw_table(narrow.df.select("month"), draws=7)
+    got, want = (bootstrap.bootstrap_fits(t, f["a"], draws) for t, f in ((narrow, one), (wide, two)))
+    assert got == pytest.approx(want, abs=1e-9)
