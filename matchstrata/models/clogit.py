@@ -111,13 +111,24 @@ def _likelihood(d: np.ndarray, beta: np.ndarray):
     return loglik, -mean, p
 
 
-def _information(d, p, mean, weight=None) -> np.ndarray:
-    if weight is not None:
-        p = p * weight[:, None]
-    k = d.shape[2]
-    a = (d * np.sqrt(p)[:, :, None]).reshape(-1, k)
-    b = mean if weight is None else mean * np.sqrt(weight)[:, None]
-    return a.T @ a - b.T @ b
+def _by_date(block: Block, whole: np.ndarray, spec: ModelSpec) -> np.ndarray:
+    """``_design`` as (terms, dates, strata): sums over dates and products run along whole rows."""
+    every = bool(whole.all())
+    parts = [block.by_date(t.columns, t.scale) for t in spec.terms]
+    out = np.empty((len(parts), parts[0].shape[0], int(whole.sum())))
+    for j, v in enumerate(parts):
+        out[j] = v if every else v[:, whole]
+    return out
+
+
+def _sums_by_date(d: np.ndarray, beta: np.ndarray):
+    """Log-likelihood and score (terms, strata) of each stratum, and d times the fitted probabilities."""
+    eta = np.tensordot(beta, d, 1)
+    top = eta.max(axis=0)
+    e = np.exp(eta - top)
+    total = e.sum(axis=0)
+    weighted = d * (e / total)
+    return -(top + np.log(total)), -weighted.sum(axis=1), weighted
 
 
 def _newton_sums(specs, betas, table: StrataTable):
@@ -134,15 +145,13 @@ def _newton_sums(specs, betas, table: StrataTable):
                     if not keep.any():
                         continue
                     k = len(s.terms)
-                    d = _design(block, whole, s)
-                    ll, score, p = _likelihood(d, betas[s.model_id])
-                    target = d[:, :, [t.name for t in s.terms].index(s.target)]
+                    w = block.weight[whole]
+                    d = _by_date(block, whole, s)
+                    ll, score, weighted = _sums_by_date(d, betas[s.model_id])
+                    info = (weighted * w).reshape(k, -1) @ d.reshape(k, -1).T - (score * w) @ score.T
+                    target = d[[t.name for t in s.terms].index(s.target)]
                     part = np.concatenate(
-                        [
-                            [keep.sum(), whole.sum(), (target != 0).any(axis=1).sum(), ll.sum()],
-                            score.sum(axis=0),
-                            _information(d, p, score).ravel(),
-                        ]
+                        [[block.weight[keep].sum(), w.sum(), w[(target != 0).any(axis=0)].sum(), ll @ w], score @ w, info.ravel()]
                     )
                     acc[s.model_id] = acc.get(s.model_id, np.zeros(4 + k + k * k)) + part
         if acc:
@@ -179,36 +188,51 @@ def _score_sums(specs, betas, table: StrataTable, key: str, sorted_by_key: bool)
                     closed[m] += 1
 
         for batch in read_batches(batches, cols, needed, key):
-            scores, touched = {}, {}
-            for s in specs:
-                scores[s.model_id] = np.zeros((batch.size, len(s.terms)))
-                touched[s.model_id] = np.zeros(batch.size, bool)
-            for block in batch.blocks:
-                for s in specs:
-                    _, whole = _selection(block, s, scen)
-                    if whole.any():
-                        d = _design(block, whole, s)
-                        _, score, _ = _likelihood(d, betas[s.model_id])
-                        scores[s.model_id][block.rows[whole]] = score
-                        touched[s.model_id][block.rows[whole]] = True
             names, pos = batch.key, batch.pos
             broken = np.r_[last_pos is None or pos[0] != last_pos + 1, pos[1:] != pos[:-1] + 1]
             last_pos = pos[-1]
             starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]] | broken)
-            sums = {m: np.add.reduceat(v, starts, axis=0) for m, v in scores.items()}
-            seen = {m: np.add.reduceat(v.astype(int), starts) > 0 for m, v in touched.items()}
-            for i, at in enumerate(starts):
+            sums, seen = {}, {}
+            for s in specs:
+                scores, touched = np.zeros((batch.size, len(s.terms))), np.zeros(batch.size, bool)
+                for block in batch.blocks:
+                    _, whole = _selection(block, s, scen)
+                    if whole.any():
+                        _, score, _ = _sums_by_date(_by_date(block, whole, s), betas[s.model_id])
+                        scores[block.rows[whole]] = score.T
+                        touched[block.rows[whole]] = True
+                sums[s.model_id] = np.add.reduceat(scores, starts, axis=0)
+                seen[s.model_id] = np.add.reduceat(touched.astype(int), starts) > 0
+            if not sorted_by_key:
+                number: dict = {}
+                code = np.array([number.setdefault(c, len(number)) for c in names[starts]])
+                for m in sums:
+                    total = np.zeros((len(number), sums[m].shape[1]))
+                    np.add.at(total, code, sums[m])
+                    some = np.bincount(code, seen[m], len(number)) > 0
+                    for c, i in number.items():
+                        if some[i]:
+                            loose[m, c] = loose.get((m, c), 0.0) + total[i]
+                continue
+            # Clusters that begin and end inside this batch and stretch are closed at once.
+            free = ~broken[starts]
+            free[:-1] &= ~broken[starts[1:]]
+            free[[0, -1]] = False
+            for m in sums:
+                inside = sums[m][free & seen[m]]
+                meat[m] += inside.T @ inside
+                closed[m] += len(inside)
+            for i in np.flatnonzero(~free):
+                at = starts[i]
                 now = {m: (sums[m][i] if seen[m][i] else None) for m in sums}
-                if not sorted_by_key:
-                    for m, u in now.items():
-                        if u is not None:
-                            loose[m, names[at]] = loose.get((m, names[at]), 0.0) + u
-                    continue
                 if broken[at] and open_key is not None:
                     # A new stretch of rows: what is open may go on in another task.
                     close(open_key, open_sum, True)
                     open_key, first = None, True
-                if names[at] == open_key:
+                if i and free[i - 1]:
+                    close(open_key, open_sum, first)
+                    open_key, first = None, False
+                if open_key is not None and names[at] == open_key:
                     for m, u in now.items():
                         if u is not None:
                             open_sum[m] = u if open_sum[m] is None else open_sum[m] + u
@@ -306,9 +330,10 @@ def fit_models(table: StrataTable, specs: list[ModelSpec], cluster: str = "clust
     fits = {s.model_id: Fit(s, np.zeros(len(s.terms)), np.ones(len(s.terms), bool)) for s in specs}
     steps = {m: np.zeros(len(f.beta)) for m, f in fits.items()}
     active = list(specs)
+    pool = table.pooled(_all_needed(specs), [s.scenario for s in specs if s.scenario is not None])
     for round_no in range(MAX_ITERATIONS + 1):
         betas = {s.model_id: fits[s.model_id].beta for s in active}
-        job = table.scan(_all_needed(active)).mapInArrow(_newton_sums(active, betas, table), "model_id string, v array<double>")
+        job = pool.scan(_all_needed(active)).mapInArrow(_newton_sums(active, betas, pool), "model_id string, v array<double>")
         sums = _collect_sums(job)
         for s in active:
             f, k = fits[s.model_id], len(s.terms)
